@@ -1,16 +1,14 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Target text is what a bounded sample of labelled rows calls good; raw text is a mixture of the target and of the kinds of
-bad text in that sample (low quality, toxic). Each component is a generative model: a multinomial over hashed word
-unigrams and bigrams. The importance weight of a document is target / raw; documents are drawn by Gumbel top-k: the k
-largest of log weight plus Gumbel noise that only depends on the id. k is the expected number of target documents, the
-sum over all documents of (share of target) x weight, unless it is given.
+bad text in that sample (low quality, toxic). Each component is a generative model over hashed n-grams: words, pairs of
+words, and pairs of the words' looks. The importance weight of a document is target / raw; documents are drawn by Gumbel
+top-k: the k largest of log weight plus Gumbel noise that only depends on the id. Unless it is given, k is the number of
+documents whose log weight is at least WANTED, counted over the whole corpus.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,26 +20,42 @@ from .shared import text_of, written
 BUCKETS = 1 << 18
 SAMPLE = 20_000  # most labelled documents that the models are fitted on
 KINDS = ("good", "junk", "toxic")
-SMOOTHING, EVIDENCE = 0.5, 3.0
+EVIDENCE, EFFECT, LEAST, SHARE = 4.0, 2.0, 4, 0.005
+FAMILIES = 3
+WANTED = -6.0  # the least log weight that counts towards k
+
+
+_CLASS = np.full(256, 5, np.uint64)  # of a word's first and last byte: letter, capital, digit, stop, or the byte itself
+_CLASS[33:127] = np.arange(33, 127)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[44, 46]] = 0, 1, 2, 3
+
+
+def _shapes(words: spans.Words, hashes: np.ndarray) -> np.ndarray:
+    """A number for the look of each word: its edges, its length, and whether it repeats the word before."""
+    same = np.zeros(len(words), np.uint64)
+    same[1:] = hashes[1:] == hashes[:-1]
+    size = np.minimum(words.ends - words.starts, 24).astype(np.uint64) // np.uint64(4)
+    return ((_CLASS[words.data[words.starts]] * np.uint64(256) + _CLASS[words.data[words.ends - 1]]) * np.uint64(8) + size) * np.uint64(2) + same
 
 
 def _features(batch: pa.RecordBatch, buckets: int):
-    """(first row, last row, feature buckets, feature ranges by row): each word and each pair of neighbours."""
+    """(first row, last row, [(feature buckets, ranges by row)] by family): words, pairs of neighbours, pairs of their looks."""
     offsets, data = spans.buffers(batch.column(1))
     for first, last in spans.slices(offsets):
         at = offsets[first : last + 1]
         words = spans.Words(at - at[0], data[at[0] : at[-1]])
-        h = words.hashes(fold_case=False)
+        h = words.hashes()
+        looks = _shapes(words, h)
         one = (h % np.uint64(buckets)).astype(np.int64)
         starts = spans.inside(words.of_row, 2)
-        two = (spans.mix(h[starts] * np.uint64(3) + h[starts + 1]) % np.uint64(buckets)).astype(np.int64)
+        pair = lambda x: (spans.mix(x[starts] * np.uint64(0x9E3779B97F4A7C15) + x[starts + 1]) % np.uint64(buckets)).astype(np.int64)  # noqa: B023, E731
         pairs = np.concatenate(([0], np.cumsum(np.maximum(np.diff(words.of_row) - 1, 0))))
-        yield first, last, one, words.of_row, two, pairs
+        yield first, last, [(one, words.of_row), (pair(h), pairs), (pair(looks), pairs)]
 
 
 def _counts(batches, kinds: dict[int, int], buckets: int):
     """Feature counts of the labelled documents, by kind: one row per kind and bucket and task."""
-    total = np.zeros((len(KINDS), 2 * buckets), np.int64)
+    total = np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64)  # the last column counts documents
     for batch in batches:
         ids = batch.column(0).to_pylist()
         own = [i for i, x in enumerate(ids) if x in kinds]
@@ -49,10 +63,12 @@ def _counts(batches, kinds: dict[int, int], buckets: int):
             continue
         part = batch.take(pa.array(own))
         labels = np.array([kinds[ids[i]] for i in own])
-        for first, last, one, at, two, pairs in _features(part, buckets):
-            for values, ends, base in ((one, at, 0), (two, pairs, buckets)):
-                kind = np.repeat(labels[first:last], np.diff(ends))
-                np.add.at(total, (kind, values + base), 1)
+        total[:, FAMILIES * buckets] += np.bincount(labels, minlength=len(KINDS))
+        for first, last, families in _features(part, buckets):
+            for base, (values, ends) in zip(range(0, FAMILIES * buckets, buckets), families, strict=True):
+                row = np.repeat(np.arange(first, last), np.diff(ends))
+                each = np.unique(row * buckets + values)  # a feature counts once a document
+                np.add.at(total, (labels[each // buckets], each % buckets + base), 1)
     kind, bucket = np.nonzero(total)
     if len(kind):
         yield pa.RecordBatch.from_arrays(
@@ -60,25 +76,42 @@ def _counts(batches, kinds: dict[int, int], buckets: int):
         )
 
 
+def _first_runs(batches, width: int = 8, draws: int = 4):
+    """The smallest hashes of a document's word runs under a few orders; near copies share most of them."""
+    for batch in batches:
+        offsets, data = spans.buffers(batch.column(1))
+        found = np.zeros((batch.num_rows, draws), np.uint64)
+        for first, last in spans.slices(offsets):
+            at = offsets[first : last + 1]
+            words = spans.Words(at - at[0], data[at[0] : at[-1]])
+            h = words.hashes()
+            for r in range(last - first):
+                own = h[words.of_row[r] : words.of_row[r + 1]]
+                runs = spans.window_hashes(own, min(width, len(own))) if len(own) else np.zeros(1, np.uint64)
+                found[first + r] = [spans.mix(runs ^ np.uint64(d * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min() for d in range(draws)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, d].view(np.int64)) for d in range(draws))], names=["id", *(f"m{d}" for d in range(draws))])
+
+
 class Model:
-    """Log ratios of each bad kind's model to the target's, by feature bucket, and the shares of the kinds."""
+    """Log ratios of each bad kind's model to the target's, by feature bucket, and the shares of the kinds.
+
+    A bucket's probability is the share of a kind's documents that have it. Buckets whose shares differ by less than
+    `effect` (a log ratio), not significantly, or that few documents of either kind have, say nothing and get 0: their
+    noise would otherwise add up over long texts.
+    """
 
-    def __init__(self, counts: np.ndarray, shares: np.ndarray, smoothing: float = SMOOTHING, evidence: float = EVIDENCE):
-        counts = counts.astype(np.float64)
+    def __init__(self, counts: np.ndarray, shares: np.ndarray, evidence: float = EVIDENCE, effect: float = EFFECT):
+        counts, docs = counts[:, :-1].astype(np.float64), counts[:, -1].astype(np.float64)
         self.shares = shares
         ratios = []
-        half = counts.shape[1] // 2
         for kind in range(1, len(counts)):
-            parts = []
-            for part in (slice(0, half), slice(half, None)):  # unigrams, bigrams
-                good, bad = counts[0, part], counts[kind, part]
-                n_good, n_bad = max(good.sum(), 1.0), max(bad.sum(), 1.0)
-                share = n_bad / (n_good + n_bad)
-                expected = (good + bad) * share
-                spread = np.sqrt(np.maximum((good + bad) * share * (1 - share), 1e-9))
-                ratio = np.log((bad + smoothing) / (n_bad + smoothing)) - np.log((good + smoothing * n_good / n_bad) / (n_good + smoothing * n_good / n_bad))
-                parts.append(np.where(np.abs(bad - expected) >= evidence * spread, ratio, 0.0))
-            ratios.append(np.concatenate(parts))
+            good, bad, n_good, n_bad = counts[0], counts[kind], docs[0], docs[kind]
+            ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+            both = (good + bad + 1) / (n_good + n_bad + 2)
+            spread = np.sqrt(both * (1 - both) * (1 / (n_good + 1) + 1 / (n_bad + 1)))
+            sure = np.abs(bad / (n_bad + 1e-9) - good / (n_good + 1e-9)) >= evidence * spread
+            common = (bad >= max(LEAST, SHARE * n_bad)) | (good >= max(LEAST, SHARE * n_good))
+            ratios.append(np.where(sure & common & (np.abs(ratio) >= effect), ratio, 0.0))
         self.ratios = np.array(ratios, np.float32)
 
     def log_weights(self, sums: np.ndarray) -> np.ndarray:
@@ -96,10 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kinds = dict(zip(rows["id"].tolist(), rows["kind"].tolist(), strict=True))
     shares = np.bincount(rows["kind"].to_numpy(dtype=np.int64), minlength=len(KINDS)) / max(len(rows), 1)
     if not kinds:
-        return Model(np.zeros((len(KINDS), 2 * buckets)), np.array([1.0, 0.0, 0.0]))
+        return Model(np.zeros((len(KINDS), FAMILIES * buckets + 1)), np.array([1.0, 0.0, 0.0]))
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kinds], "picked long"))  # at most `sample` rows
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
+    named = named.join(picked, named.id == picked.picked, "left_semi")
+    first = named.mapInArrow(_first_runs, "id long, m0 long, m1 long, m2 long, m3 long").toPandas().drop_duplicates("id").sort_values("id")
+    copies = first["m0"].duplicated() | first["m1"].duplicated() | first["m2"].duplicated() | first["m3"].duplicated()
+    kinds = {i: kinds[i] for i in first["id"][~copies].tolist()}  # else a group of copies counts as if its words were common
     summed = named.mapInArrow(lambda b: _counts(b, kinds, buckets), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(KINDS), 2 * buckets))
+    counts = np.zeros((len(KINDS), FAMILIES * buckets + 1))
     counts[summed["kind"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
     return Model(counts, shares)
 
@@ -108,10 +146,10 @@ def _scores(batches, ratios: np.ndarray, model: Model, buckets: int):
     for batch in batches:
         sums = np.zeros((len(ratios), batch.num_rows))
         words = np.zeros(batch.num_rows, np.int64)
-        for first, last, one, at, two, pairs in _features(batch, buckets):
-            words[first:last] = np.diff(at)
+        for first, last, families in _features(batch, buckets):
+            words[first:last] = np.diff(families[0][1])
             for k, ratio in enumerate(ratios):
-                for values, ends, base in ((one, at, 0), (two, pairs, buckets)):
+                for base, (values, ends) in zip(range(0, FAMILIES * buckets, buckets), families, strict=True):
                     total = np.concatenate(([0.0], np.cumsum(ratio[values + base], dtype=np.float64)))
                     sums[k, first:last] += total[ends[1:]] - total[ends[:-1]]
         weight = np.round(model.log_weights(sums), 6)
@@ -180,6 +218,5 @@ def importance_sample(
         named.mapInArrow(lambda b: _scores(b, shared.value[0], shared.value[1], buckets), "doc_id long, n_words long, log_weight double, key double"), "scores"
     )
     if k is None:
-        expected = scored.agg(F.sum(F.exp("log_weight") * F.lit(float(model.shares[0])))).first()[0] or 0.0
-        k = math.ceil(expected)
+        k = scored.where(F.col("log_weight") >= WANTED).count()
     return top_k(scored, k)
