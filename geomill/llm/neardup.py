@@ -5,8 +5,10 @@ picks one register and keeps it if it is the earliest there. Once no pending arr
 sketch is complete (early termination). Registers of two documents agree with the probability Jaccard of their weights.
 
 Bands of registers give candidate buckets. Pairs inside a bucket are not all built: every member meets the bucket's
-smallest document (its pivot), survivors of the exact check become links, links become components. Only buckets that
-then still hold several components get their cross-component pairs, so no link between different texts in a bucket is lost.
+smallest document (its pivot), survivors of the exact check become links, links become components. Where a pivot's group
+then still holds several components, the pairs across them are compared too: all of them in a group of at most
+SMALL_GROUP members, and in a larger one those that an exact filter on differences from the group's common set leaves
+(`_large_pairs`). So no link between different texts of a group is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
 from .shared import components, text_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
+SMALL_GROUP = 24
 REGISTERS, ROWS = 120, 5  # 24 bands of 5: a pair at 0.8 is missed with probability 7e-5
 
 
@@ -111,10 +114,97 @@ def verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets have a Jaccard similarity of at least `similarity`."""
     left = grams.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    met = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b").select("a", "b", "x", "y")
     return met.mapInArrow(_jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _explode(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        for k in range(0, len(flat), 1 << 18):
+            at = pa.array(rows[k : k + (1 << 18)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[k : k + (1 << 18)])], names=["p", "id", "gram"])
+
+
+def _differences(batches):
+    """(p, id, size, diff, gram): the grams in which a member and its group's common set differ."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            found = []
+            for own, common in zip(part.column(2), part.column(3).to_pylist(), strict=True):
+                found.append(np.setxor1d(np.frombuffer(own.as_buffer(), np.int64), np.array(common or [], np.int64), assume_unique=True))
+            sizes = np.array([len(x.as_buffer()) // 8 for x in part.column(2)], np.int64)
+            count = np.array([len(f) for f in found], np.int64)
+            shown = np.maximum(count, 1)  # a member without differences has one row with a null gram
+            at = np.repeat(np.arange(part.num_rows), shown)
+            flat = np.concatenate([f if len(f) else np.zeros(1, np.int64) for f in found])
+            none = np.repeat(count == 0, shown)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(sizes[at]), pa.array(count[at]), pa.array(flat, pa.int64(), mask=none)],
+                names=["p", "id", "size", "diff", "gram"],
+            )
+
+
+def _small_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components in the same small group."""
+    other = members.select("p", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    met = members.withColumnRenamed("id", "a").join(other, "p").where("a < b and label <> label_b")
+    return met.where(F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b")).select("a", "b")
+
+
+def _large_differences(members: DataFrame, grams: DataFrame) -> DataFrame:
+    """(p, id, size, diff, gram): where each member of a large group differs from the group's common set.
+
+    A group's common set R has the grams of over half of its members; D(x) are the grams in which x and R differ.
+    """
+    own = members.join(grams.hint("merge"), "id").select("p", "id", "grams")
+    counted = own.mapInArrow(_explode, "p long, id long, gram long").groupBy("p", "gram").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("p").agg(F.count("*").alias("m"))
+    common = counted.join(sizes, "p").where("2 * n > m").groupBy("p").agg(F.collect_list("gram").alias("common"))
+    rows = own.join(common, "p", "left").select("p", "id", "grams", "common")
+    return written(rows.mapInArrow(_differences, "p long, id long, size long, diff long, gram long"), "differences")
+
+
+def _central_pairs(diff: DataFrame, similarity: float) -> DataFrame:
+    """Every member with the member of its group that has the largest f |y| - |D(y)|, the one closest to the common set."""
+    f = (1 - similarity) / (1 + similarity)
+    each = diff.select("p", "id", "size", (F.lit(f) * F.col("size") - F.col("diff")).alias("slack")).distinct()
+    top = each.groupBy("p").agg(F.max(F.struct("slack", "id", "size")).alias("top"))
+    near = each.join(top, "p").where("id <> top.id").where(F.least("size", "top.size") >= F.lit(similarity) * F.greatest("size", "top.size"))
+    return near.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
+
+
+def _large_pairs(diff: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components in the same large group that may be similar; no similar pair is missed.
+
+    x and y are similar exactly if |x ^ y| <= f (|x| + |y|), f = (1 - s) / (1 + s), and
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. Either the sizes of D(x) and D(y) alone suffice; then both are similar to
+    the group's central member and have its label already. Or D(x) and D(y) share at least |D(x)| - |x| (1 - s) / s grams,
+    so they share one in their prefixes, which leave out that many of the grams that are most frequent in the group.
+    """
+    often = diff.where("gram is not null").groupBy("p", "gram").agg(F.count("*").alias("often"))
+    ordered = Window.partitionBy("p", "id").orderBy("often", "gram")
+    length = F.col("diff") - F.greatest(F.lit(1.0), F.ceil(F.col("diff") - F.lit((1 - similarity) / similarity) * F.col("size"))) + 1
+    prefix = diff.join(often, ["p", "gram"]).withColumn("at", F.row_number().over(ordered)).where((F.col("at") <= length) & (F.col("often") > 1))
+    prefix = prefix.join(labels, prefix.id == labels.node, "left").select("p", "gram", "id", "size", "diff", "at", F.coalesce("label", "id").alias("label"))
+    spread = prefix.groupBy("p", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("p", "gram")
+    prefix = written(prefix.join(spread, ["p", "gram"]), "prefixes")
+    other = prefix.select("p", "gram", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "diff", "at", "label")))
+    f = (1 - similarity) / (1 + similarity)
+    shared = F.ceil((F.col("diff") + F.col("diff_b") - F.lit(f) * (F.col("size") + F.col("size_b"))) / 2 - F.lit(1e-6))
+    met = prefix.join(other, ["p", "gram"]).where(
+        (F.col("id") < F.col("id_b"))
+        & (F.col("label") != F.col("label_b"))
+        & (F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b"))
+        & (F.col("diff") - F.col("at") + 1 >= shared)  # the first shared gram of a similar pair leaves room for the others
+        & (F.col("diff_b") - F.col("at_b") + 1 >= shared)
+    )
+    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,37 +224,33 @@ def near_duplicates(
     sketch = written(
         named.mapInArrow(lambda b: _sketches(b, width, registers, rows), "id long, copy binary, size long, bands array<long>"), "sketch"
     )
-    copies = sketch.groupBy("copy").agg(F.min("id").alias("rep"))
+    copies = sketch.groupBy("copy").agg(F.min("id").alias("rep")).hint("merge")
     member = written(sketch.join(copies, "copy").select("id", "rep", "size", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "member")
-    own = member.where("id = rep and size > 0").dropDuplicates(["id"]) if similarity > 0 else member
-    dealt = own.select("id", "size", F.explode("bands").alias("band"))
-
-    def close(x: str, y: str):
-        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-
+    dealt = member.where("id = rep and size > 0").dropDuplicates(["id"]).select("id", "size", F.explode("bands").alias("band"))
     pivots = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    dealt = written(dealt.join(pivots, "band").select("band", "id", "size", "p"), "bands")
-    first = written(dealt.where(F.col("id") != F.col("p.id")).where(close("size", "p.size")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = dealt.select("id").distinct()
-    grams = written(named.join(wanted, "id", "left_semi").mapInArrow(lambda b: _shingle_sets(b, width), "id long, grams binary").dropDuplicates(["id"]), "grams")
-    links = written(verify(first, grams, similarity), "links")
+    # a group: a pivot and all that share a bucket of which it is the smallest document
+    group = dealt.join(pivots.hint("merge"), "band").select("id", "size", F.col("p.id").alias("p"), F.col("p.size").alias("p_size")).distinct()
+    group = written(group, "groups")
+    first = group.where((F.col("id") != F.col("p")) & (F.least("size", "p_size") >= F.lit(similarity) * F.greatest("size", "p_size")))
+    wanted = group.select("id").distinct()
+    read = named.join(wanted.hint("merge"), "id", "left_semi")
+    grams = written(read.mapInArrow(lambda b: _shingle_sets(b, width), "id long, grams binary").dropDuplicates(["id"]), "grams")
+    links = written(verify(first.select(F.col("p").alias("a"), F.col("id").alias("b")), grams, similarity), "links")
     labels = components(links)
 
-    # buckets that still hold several components: their cross-component pairs
-    tagged = dealt.join(labels, dealt.id == labels.node, "left").select("band", "id", "size", F.coalesce("label", "id").alias("label"))
-    mixed = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rest = written(tagged.join(mixed, "band"), "mixed")
-    other = rest.select("band", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    cross = (
-        rest.select("band", F.col("id").alias("a"), "size", "label")
-        .join(other, "band")
-        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & close("size", "size_b"))
-        .select("a", "b")
-        .distinct()
-    )
-    more = written(verify(cross.join(first, ["a", "b"], "left_anti"), grams, similarity), "links")
-    if not more.isEmpty():
-        labels = components(links.select("a", "b").union(more.select("a", "b")))
+    # groups that still hold several components: the pairs across them that may be similar
+    tagged = written(group.join(labels, group.id == labels.node, "left").select("p", "id", "size", F.coalesce("label", "id").alias("label")), "tagged")
+    mixed = tagged.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("p", "n")
+    rest = written(tagged.join(mixed, "p"), "mixed")
+    tried = first.select(F.col("p").alias("a"), F.col("id").alias("b"))
+    pairs = _small_pairs(rest.where(F.col("n") <= SMALL_GROUP), similarity)
+    large = rest.where(F.col("n") > SMALL_GROUP).drop("n")
+    if not large.isEmpty():
+        diff = _large_differences(large, grams)
+        links = written(links.union(verify(_central_pairs(diff, similarity).distinct(), grams, similarity)), "links")
+        pairs = pairs.union(_large_pairs(diff, components(links), similarity))
+    more = written(verify(pairs.distinct().join(tried, ["a", "b"], "left_anti"), grams, similarity), "links")
+    labels = components(links.select("a", "b").union(more.select("a", "b")))
     return (
         member.select("id", "rep")
         .distinct()
