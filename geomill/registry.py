@@ -1,7 +1,15 @@
-"""Registered queries of the library proper."""
+"""Registered queries of the library proper, with their SQL."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from .plans import features, places, requests
+
+GROUPS = (features, places, requests)
+
+
+def queries() -> dict:
+    return {name: f for g in GROUPS for name, f in g.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for g in GROUPS for name, sql in g.SQL.items()}
