@@ -27,7 +27,7 @@ from tokenizers import normalizers
 from . import spans
 from .shared import text_of
 
-KEPT_WORDS = 250_000  # encodings that a Python worker keeps
+KEPT_WORDS, KEPT_PAIRS = 120_000, 200_000  # encodings and compatible pairs that a Python worker keeps
 END = "</w>"
 TOKEN, FINAL, CHILDREN = 0, 1, 2
 
@@ -124,7 +124,7 @@ class WordBpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = found
         return found

@@ -27,6 +27,7 @@ from . import spans
 from .shared import shuffle_partitions
 
 WIDTH = 13
+BLOCKS = 3  # blocks of documents for each hash bucket; a task holds one block at a time
 
 
 class _Windows:
@@ -216,7 +217,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = [c for c in docs.columns if c not in added and c not in (text_col, id_col)]
     ids, texts = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     blocks = docs.select(
-        ids.alias("_id"), texts.alias("_text"), *(F.col(f"`{c}`") for c in others), F.pmod(F.xxhash64(ids), F.lit(buckets)).cast("int").alias("_block")
+        ids.alias("_id"), texts.alias("_text"), *(F.col(f"`{c}`") for c in others), F.pmod(F.xxhash64(ids), F.lit(BLOCKS * buckets)).cast("int").alias("_block")
     )
     sent = "bucket int, block int, h binary, d binary"
     back = "bucket int, block int, v binary"
