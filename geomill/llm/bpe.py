@@ -10,6 +10,7 @@ Encodings are kept by word in a bounded table that the tasks of one Python worke
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -27,7 +28,7 @@ from tokenizers import normalizers
 from . import spans
 from .shared import text_of
 
-KEPT_WORDS, KEPT_PAIRS = 120_000, 200_000  # encodings and compatible pairs that a Python worker keeps
+KEPT_WORDS, KEPT_PAIRS = 250_000, 500_000  # encodings (twice: new and old) and compatible pairs that a Python worker keeps
 END = "</w>"
 TOKEN, FINAL, CHILDREN = 0, 1, 2
 
@@ -62,6 +63,14 @@ def newer_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern, regex.V1)
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBpe:
     """A tokenizers file of kind BPE with a word-end suffix, NFC, white space dropped and lower case."""
 
@@ -89,10 +98,12 @@ class WordBpe:
             for c in t.removesuffix(END):
                 node = node[CHILDREN].setdefault(c, [None, None, {}])
             node[FINAL if t.endswith(END) and t != END else TOKEN] = i
+        self.own = [array("I", [i]).tobytes() for i in range(len(self.names))]
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge while `token` is built, each with the rank at which it is merged into the next."""
@@ -131,6 +142,15 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that are not known yet."""
+        collecting = gc.isenabled()
+        gc.disable()  # a trie has no cycles; walking it again and again for some costs a quarter of the time
+        try:
+            self._walk(words)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _walk(self, words: set[str]) -> None:
         root: dict = {}
         letters = self.letters
         for word in words:
@@ -141,36 +161,36 @@ class WordBpe:
             node[""] = word
         # depth first: the last tokens of the prefixes on the way down, and the vocabulary entries that may still grow
         last: list[int] = [0]
-        todo = [(root, 0, "", [])]
-        size, compatible, known, trie = self.size, self.compatible, self.known, self.trie
+        todo = [(child, 1, c, ()) for c, child in root.items() if c]
+        if "" in root:
+            self.known[""] = b""
+        compatible, pairs, known, first = self.compatible, self.pairs, self.known, self.trie[CHILDREN]
         while todo:
             node, depth, letter, open_at = todo.pop()
-            if depth:
-                grown = []
-                for start, entry in [*open_at, (depth - 1, trie)]:
-                    child = entry[CHILDREN].get(letter)
-                    if child is not None:
-                        grown.append((start, child))
-                del last[depth:]
-                if "" in node:
-                    known[node[""]] = self._chain(last, grown)
-                if len(node) > ("" in node):
-                    for start, entry in grown:  # the longest first
-                        token = entry[TOKEN]
-                        if token is not None and (start == 0 or compatible(last[start], token)):
+            grown = [(start, children[letter]) for start, (_, _, children) in open_at if letter in children]
+            grown.append((depth - 1, first[letter]))
+            del last[depth:]
+            word = node.pop("", None)
+            if word is not None:
+                known[word] = self._chain(last, grown)
+            if node:
+                for start, entry in grown:  # the longest first
+                    token = entry[TOKEN]
+                    if token is not None:
+                        ok = start == 0 or pairs.get((last[start], token))
+                        if ok or (ok is None and compatible(last[start], token)):
                             last.append(token)
                             break
-                    else:
-                        raise ValueError(f"no token for {letter!r}")
-                open_at = grown
-            for c, child in node.items():
-                if c:
-                    todo.append((child, depth + 1, c, open_at))
+                depth += 1
+                for c, child in node.items():
+                    todo.append((child, depth, c, grown))
 
     def _chain(self, last: list[int], grown: list) -> bytes:
         for start, entry in grown:
             token = entry[FINAL]
             if token is not None and (start == 0 or self.compatible(last[start], token)):
+                if not start:
+                    return self.own[token]
                 out = [token]
                 while start:
                     out.append(last[start])
@@ -182,7 +202,7 @@ class WordBpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-            if self.has_newer(text):
+            if not _is_latin(text) and self.has_newer(text):
                 return self.words_with_newer(normalizers.Lowercase().normalize_str(text))
             return self.words_of(text)
         return self.words_of(text.lower())
@@ -200,10 +220,15 @@ class WordBpe:
         """Little-endian 32-bit ids of each text."""
         cut = [self.pieces(t) for t in texts]
         every = set().union(*cut)
-        fresh = {w for w in every if w not in self.known}
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known.clear()
-            fresh = every
+        if len(self.known) > KEPT_WORDS:  # words that are still in use move on, the others go with the next turn
+            self.before, self.known = self.known, {}
+        known, before, fresh = self.known, self.before, set()
+        for w in every:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    fresh.add(w)
         numbers = {x for x in fresh if isinstance(x, int)}
         self.learn(fresh - numbers)
         for x in numbers:
@@ -231,7 +256,7 @@ def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, by
     for batch in batches:
         at = batch.schema.get_field_index("_text")
         offsets, _ = spans.buffers(batch.column(at))
-        for first, last in spans.slices(offsets):
+        for first, last in spans.slices(offsets, 4 * spans.SLICE_BYTES):
             part = batch.slice(first, last - first)
             texts = part.column(at).to_pylist()
             rows = [row(model, ids) for ids in model.encode([t or "" for t in texts])]
