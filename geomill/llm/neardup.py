@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """`docs` without all but the first document of each class; rows with a null id stay."""
     classes = near_duplicates(docs, id_col, text_col, **options)
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = SHINGLE, similarity: float = SIMILARITY) -> dict[int, int]:
