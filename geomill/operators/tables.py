@@ -95,10 +95,14 @@ def read_geojsonl(spark: SparkSession, path: str, collection_id: str, job: str |
     )
     rows = rows.withColumn("_n", numbers(F.col("coordinates")))
     for name, at, f in (("minx", 0, F.array_min), ("miny", 1, F.array_min), ("maxx", 0, F.array_max), ("maxy", 1, F.array_max)):
-        rows = rows.withColumn(name, f(F.transform("_n", lambda p, at=at: p[at])))
+        rows = rows.withColumn(name, f(F.transform("_n", _nth(at))))
     return rows.drop("_n"), parsed.where(~F.coalesce(good, F.lit(False))).select("value")
 
 
+def _nth(at: int):
+    return lambda pair: pair[at]
+
+
 def write_geojsonl(df: DataFrame, path: str) -> None:
     """One feature per line from columns id, kind, coordinates and properties, sorted by id and part."""
     geometry = F.concat(F.lit('{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}"))
