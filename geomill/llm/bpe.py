@@ -28,7 +28,7 @@ from tokenizers import normalizers
 from . import spans
 from .shared import text_of
 
-KEPT_WORDS, KEPT_PAIRS = 250_000, 500_000  # encodings (twice: new and old) and compatible pairs that a Python worker keeps
+KEPT_WORDS, KEPT_PAIRS = 150_000, 300_000  # encodings (twice: new and old) and compatible pairs that a Python worker keeps
 END = "</w>"
 TOKEN, FINAL, CHILDREN = 0, 1, 2
 
