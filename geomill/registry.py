@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import features, places, requests
+from .plans import features, places, requests, shapes
 
-GROUPS = (features, places, requests)
+GROUPS = (features, places, requests, shapes)
 
 
 def queries() -> dict:
