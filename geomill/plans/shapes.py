@@ -29,10 +29,11 @@ def boxes(s, d, status=None):
     return p if status is None else p.where(F.col("collection_id") == f"parcels_{status}")
 
 
-def lots(s, d):
-    """Parcels without the triangle at their upper right corner, between the middles of two sides."""
+def lots(s, d, scale=1):
+    """Parcels, `scale` times as long and high, without the triangle at their upper right corner between the middles of two sides."""
     mx, my = "(minx + maxx) / 2", "(miny + maxy) / 2"
-    return fx.parcels(s, d).withColumn("rings", F.expr(f"array(array(minx, miny, maxx, miny, maxx, {my}, {mx}, maxy, minx, maxy, minx, miny))"))
+    grown = {f"max{c}": F.expr(f"min{c} + (max{c} - min{c}) * {scale}") for c in "xy"}
+    return fx.parcels(s, d).withColumns(grown).withColumn("rings", F.expr(f"array(array(minx, miny, maxx, miny, maxx, {my}, {mx}, maxy, minx, maxy, minx, miny))"))
 
 
 def area_by(parts, *keys):
@@ -57,10 +58,10 @@ def _(s, d):
 
 @query("g2_polygon_intersection", None)
 def _(s, d):
-    """Lots with lots: SQL has no polygon clip; tests compare the kernel with sampled points."""
-    every = lots(s, d)
+    """Large lots with large lots: SQL has no polygon clip; tests compare the kernel with sampled points."""
+    every = lots(s, d, 4)
     f, o = (every.where(F.col("collection_id") == f"parcels_{k}") for k in "FO")
-    return ov.intersection(f, o).groupBy("id", "id_b", "properties").agg(F.round(F.sum(G.planar_area(F.col("rings"))), 9).alias("area"))
+    return ov.intersection(f, o, 4.0).groupBy("id", "id_b", "properties").agg(F.round(F.sum(G.planar_area(F.col("rings"))), 9).alias("area"))
 
 
 @query("g3_feature_layers", wv("SELECT id, collection_id AS _layer, (least(maxx, 12) - greatest(minx, -12)) * (least(maxy, 12) - greatest(miny, -12)) AS area FROM parcels WHERE status IN ('O', 'F') AND minx < 12 AND maxx > -12 AND miny < 12 AND maxy > -12", "parcels"))
