@@ -26,6 +26,8 @@ from .shared import components, text_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SMALL_GROUP = 24
+#: Texts that hold more than this part of all rows are frequent.
+HOT = 1000
 REGISTERS, ROWS = 120, 5  # 24 bands of 5: a pair at 0.8 is missed with probability 7e-5
 
 
@@ -205,6 +207,20 @@ def _large_pairs(diff: DataFrame, labels: DataFrame, similarity: float) -> DataF
     return met.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
+def _representatives(sketch: DataFrame) -> DataFrame:
+    """(id, rep, size, bands): the smallest id with the same text; only representatives keep their bands.
+
+    A text with over 1 / HOT of all rows is looked up by broadcast (there are fewer than HOT), so no task gets its copies.
+    """
+    copies = written(sketch.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    often = F.col("n") * HOT > F.lit(sketch.count())
+    found = sketch.join(F.broadcast(copies.where(often).select("copy", F.col("rep").alias("hot"))), "copy", "left")
+    rest = found.where("hot is null").join(copies.where(~often).select("copy", "rep").hint("merge"), "copy", "left")
+    columns = ("id", "rep", "size", "bands")
+    every = found.where("hot is not null").withColumn("rep", F.col("hot")).select(*columns).union(rest.withColumn("rep", F.coalesce("rep", "id")).select(*columns))
+    return every.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -224,8 +240,7 @@ def near_duplicates(
     sketch = written(
         named.mapInArrow(lambda b: _sketches(b, width, registers, rows), "id long, copy binary, size long, bands array<long>"), "sketch"
     )
-    copies = sketch.groupBy("copy").agg(F.min("id").alias("rep")).hint("merge")
-    member = written(sketch.join(copies, "copy").select("id", "rep", "size", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "member")
+    member = written(_representatives(sketch), "member")
     dealt = member.where("id = rep and size > 0").dropDuplicates(["id"]).select("id", "size", F.explode("bands").alias("band"))
     pivots = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
     # a group: a pivot and all that share a bucket of which it is the smallest document
