@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .filters import bbox_filter, properties_map
 
 BUFFER = 256 / 4096
 
@@ -57,3 +60,50 @@ def stale(collections: DataFrame, built: DataFrame, force: bool = False) -> Data
     """Collections to build again: never built, changed since, or forced."""
     out = collections.join(built, "collection_id", "left")
     return out if force else out.where("features_updated_at is null or last_updated > features_updated_at")
+
+
+def tile_box(z: int, x: int, y: int) -> tuple[float, float, float, float]:
+    n = 2.0**z
+    lat = lambda row: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * row / n))))
+    return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+def tile_features(df: DataFrame, z: int, x: int, y: int, box=None, paged: tuple[int, int] | None = None, cap: int = 50_000) -> DataFrame:
+    """Features that meet a tile and, if given, a user's box. With paged=(limit, offset): those of that page by id that meet the
+    tile; otherwise at most `cap` by id, the size limit of a tile."""
+    for b in (box, None if paged else tile_box(z, x, y)):
+        df = df if b is None else bbox_filter(df, b)
+    if paged is None:
+        return df.orderBy("id", "part_index").limit(cap)
+    return bbox_filter(df.orderBy("id", "part_index").offset(paged[1]).limit(paged[0]), tile_box(z, x, y))
+
+
+def quantized(points: DataFrame, zoom: int, extent: int = 4096) -> DataFrame:
+    """Points (lon, lat) with their tile and integer place in it, counted from its upper left corner."""
+    n, z = 2.0**zoom, F.lit(zoom)
+    held = F.radians(F.least(F.greatest("lat", F.lit(-S.LAT_LIMIT)), F.lit(S.LAT_LIMIT)))
+    out = points.withColumns({"z": z, "x": S.tile_x(F.col("lon"), z), "y": S.tile_y(F.col("lat"), z)})
+    fx, fy = (F.col("lon") + 180) / 360 * n, (1 - F.ln(F.tan(held) + 1 / F.cos(held)) / F.pi()) / 2 * n
+    return out.withColumns({"qx": F.floor((fx - F.col("x")) * extent + 0.5).cast("int"), "qy": F.floor((fy - F.col("y")) * extent + 0.5).cast("int")})
+
+
+def merge_members(members: list[DataFrame], zmin: int, zmax: int) -> DataFrame:
+    """Features per tile over all members, as (member, id) lists' sizes: z, x, y, n, members."""
+    every = None
+    for k, m in enumerate(members):
+        tagged = m.select("id", "minx", "miny", "maxx", "maxy", F.lit(k).alias("member"))
+        every = tagged if every is None else every.unionByName(tagged)
+    return assign_tiles(every, zmin, zmax).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.countDistinct("member").alias("members"))
+
+
+def export_rows(df: DataFrame, prefix: int = 3) -> DataFrame:
+    """Logical features with a number in id order, from 1; a property `id` moves to `id_source`.
+
+    Rows are numbered within id prefixes, and each prefix starts after the rows before it, so no task sorts all rows.
+    """
+    d = df.withColumn("_p", F.left("id", F.lit(prefix)))
+    starts = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("id", "collection_id"))
+    props = properties_map()
+    moved = F.transform_keys(props, lambda k, _: F.when((k == "id") & ~F.map_contains_key(props, "id_source"), F.lit("id_source")).when(k == "id", F.lit("id_source_1")).otherwise(k))
+    return d.withColumn("_k", place).join(starts, "_p").withColumn("number", F.col("_s") + F.col("_k")).withColumn("properties", F.to_json(moved)).drop("_p", "_s", "_k")

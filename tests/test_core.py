@@ -11,6 +11,7 @@ from geomill.functions import scalar as S
 from geomill.operators import filters as fl
 from geomill.operators import spatial as sp
 from geomill.operators import tables as tb
+from geomill.operators import tiles as tl
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -97,3 +98,9 @@ def test_season_slices():
     assert len(S.season_slices(dt.date(2023, 1, 1), dt.date(2023, 12, 31))) == 12
     assert S.season_slices(dt.date(2023, 6, 30), dt.date(2023, 6, 1)) == [(dt.date(2023, 6, 1), dt.date(2023, 6, 30))]
     assert S.season_slices(dt.date(2023, 1, 1), dt.date(2024, 12, 31), ["winter"])[1] == (dt.date(2023, 12, 1), dt.date(2024, 2, 28))
+
+
+def test_exported_id_moves(spark):
+    df = spark.createDataFrame([("1", "c", '{"id":"a"}'), ("2", "c", '{"id":"b","id_source":"z"}'), ("3", "c", None)], "id string, collection_id string, properties string")
+    rows = {r.id: (r.number, r.properties) for r in tl.export_rows(df).collect()}
+    assert rows == {"1": (1, '{"id_source":"a"}'), "2": (2, '{"id_source_1":"b","id_source":"z"}'), "3": (3, None)}
