@@ -36,6 +36,15 @@ def federate(*catalogs: DataFrame) -> DataFrame:
     return newest(out, ["catalog", "id"], F.col("ord"), F.col("dt")).drop("ord")
 
 
+def dedupe_scenes(slices: list[DataFrame], last: bool = False) -> DataFrame:
+    """One scene for each catalog, collection and id: the first slice's, or with `last` the last one's; `ord` is its slice."""
+    every = None
+    for k, d in enumerate(slices):
+        tagged = d.withColumn("ord", F.lit(k))
+        every = tagged if every is None else every.unionByName(tagged)
+    return newest(every, ["catalog", "collection", "id"], F.col("ord").desc() if last else F.col("ord").asc(), F.col("dt"))
+
+
 def window_costs(scenes: DataFrame, half: int = 3) -> DataFrame:
     """(anchor, n, cloud): scenes within `half` days around each day that has one. Each scene is dealt to its 2 half + 1
     anchors, so the range join is an equi-join."""

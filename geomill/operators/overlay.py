@@ -194,6 +194,11 @@ def make_valid(df: DataFrame) -> DataFrame:
     return _rowwise(df, ["id"], ["rings"], lambda r: [[p] for p in overlay([(0, r)], lambda n: n[0] > 0)])
 
 
+def simple_parts(df: DataFrame) -> DataFrame:
+    """id, part_index, rings: valid simple parts of polygons (array of rings each), numbered through."""
+    return _rowwise(df, ["id"], ["polygons"], lambda every: [[p] for r in every or [] for p in overlay([(0, r)], lambda n: n[0] > 0)])
+
+
 def subdivide(df: DataFrame, max_points: int = 256) -> DataFrame:
     """id, part_index, rings: halved along the longer side until a part has at most `max_points` points."""
     held = max(max_points, 8)

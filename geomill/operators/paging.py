@@ -29,6 +29,14 @@ def page(df: DataFrame, sortby: str = "id", descending: bool = False, limit: int
     return keyed.orderBy(ordered(F.col("sort_key"), descending), ordered(F.col("id"), descending if sortby == "id" else False), "collection_id").offset(offset).limit(limit)
 
 
+def page_summary(df: DataFrame, **options) -> DataFrame:
+    """The box of a page's features and the number of all that match, in one pass; the page (at most 1000 ids) is broadcast."""
+    ids = page(df, **options).select("collection_id", "id", F.lit(True).alias("_paged"))
+    held = lambda f, c: f(F.when(F.col("_paged"), F.col(c))).alias(c)
+    box = (held(F.min, "minx"), held(F.min, "miny"), held(F.max, "maxx"), held(F.max, "maxy"))
+    return df.join(F.broadcast(ids), ["collection_id", "id"], "left").agg(*box, F.countDistinct("id").alias("number_matched"))
+
+
 def keyset_page(df: DataFrame, after_id: str, after_part: int, limit: int = 1000) -> DataFrame:
     later = (F.col("id") > after_id) | ((F.col("id") == after_id) & (F.col("part_index") > after_part))
     return df.where(later).orderBy("id", "part_index", "collection_id").limit(limit)

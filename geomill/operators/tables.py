@@ -22,6 +22,17 @@ def write_features(df: DataFrame, path: str, mode: str = "append") -> None:
         writer.mode("append").parquet(path)
 
 
+def bulk_append(stage: DataFrame, path: str) -> DataFrame:
+    """Appends the newest row of each staged part, then gives count, box and last update of the collections it touched."""
+    spark, names = stage.sparkSession, stage.select("collection_id").distinct()
+    write_features(dedupe_staging(stage), path)
+    touched = spark.read.parquet(path).join(names, "collection_id", "left_semi")
+    return touched.groupBy("collection_id").agg(
+        F.countDistinct("id").alias("feature_count"), F.min("minx").alias("minx"), F.min("miny").alias("miny"),
+        F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"), F.max("updated_at").alias("last_updated"),
+    )
+
+
 def dedupe_staging(stage: DataFrame) -> DataFrame:
     """The newest row of each part; ties by the properties' text."""
     return newest(stage, KEY, F.col("updated_at").desc_nulls_last(), F.col("properties"))
@@ -74,11 +85,17 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def read_geojsonl(spark: SparkSession, path: str, collection_id: str, job: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(features, rejects) of GeoJSON lines. Blank lines are skipped; bad JSON and missing geometry are rejects.
+    """(features, rejects) of GeoJSON lines, as `parse_features` gives them."""
+    return parse_features(spark.read.text(path), collection_id, job)
+
+
+def parse_features(texts: DataFrame, collection_id: str, job: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, rejects) of texts(value) of one feature each, batch or stream. Blank texts are skipped; bad JSON and missing
+    geometry are rejects.
 
     Multi geometries become parts. A part keeps its coordinates as JSON text and its box.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = texts.where(F.trim("value") != "")
     schema = "type string, id string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
     parsed = lines.withColumn("f", F.from_json("value", schema))
     good = F.col("f.geometry.type").isNotNull() & F.col("f.geometry.coordinates").isNotNull()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .filters import bbox_filter, properties_map
+from .overlay import _rowwise, clip
 
 BUFFER = 256 / 4096
 
@@ -87,6 +89,23 @@ def quantized(points: DataFrame, zoom: int, extent: int = 4096) -> DataFrame:
     return out.withColumns({"qx": F.floor((fx - F.col("x")) * extent + 0.5).cast("int"), "qy": F.floor((fy - F.col("y")) * extent + 0.5).cast("int")})
 
 
+def tile_polygons(df: DataFrame, zmin: int, zmax: int, extent: int = 4096, buffer: float = BUFFER) -> DataFrame:
+    """id, z, x, y, part_index, rings: polygons in tile units, cut at the buffered tile; what has no area there is left out."""
+    low, high = -buffer * extent, (1 + buffer) * extent
+
+    def cut(rings, z, x, y):
+        placed = []
+        for ring in rings or []:
+            p = np.asarray(ring, float).reshape(-1, 2)
+            held = np.radians(np.clip(p[:, 1], -S.LAT_LIMIT, S.LAT_LIMIT))
+            across, down = (p[:, 0] + 180) / 360 * 2**z, (1 - np.log(np.tan(held) + 1 / np.cos(held)) / np.pi) / 2 * 2**z
+            placed.append(np.column_stack([(across - x) * extent, (down - y) * extent]).ravel())
+        whole = [np.floor(np.round(r, 6) + 0.5) for r in clip(placed, low, low, high, high)]
+        return [[r.tolist() for r in whole]] if any(np.ptp(r[::2]) * np.ptp(r[1::2]) > 0 for r in whole) else []
+
+    return _rowwise(assign_tiles(df, zmin, zmax, buffer), ["id", "z", "x", "y"], ["rings", "z", "x", "y"], cut)
+
+
 def merge_members(members: list[DataFrame], zmin: int, zmax: int) -> DataFrame:
     """Features per tile over all members, as (member, id) lists' sizes: z, x, y, n, members."""
     every = None

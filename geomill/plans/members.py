@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -14,6 +11,7 @@ from ..operators import tables as tb
 from ..operators import tiles as tl
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views as wv
+from ..sources.readers import shared_path
 from . import places
 
 Q: dict = {}
@@ -33,8 +31,7 @@ def query(name: str, sql: str | None = None):
 @query("s1_s4_geojsonl", wv("SELECT id, lon AS minx, lat AS maxy, event_type AS type FROM points", "points"))
 def _(s, d):
     """Points are written as GeoJSON lines to the shared folder and read back."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{shared}/geojsonl-{uuid.uuid4().hex}"
+    path = shared_path(s, "geojsonl")
     out = fx.points(s, d).withColumn("kind", F.lit("Point")).withColumn("coordinates", F.concat(F.lit("["), "lon", F.lit(","), "lat", F.lit("]")))
     tb.write_geojsonl(out, path)
     good, _ = tb.read_geojsonl(s, path, "points")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import features, members, places, requests, shapes
+from .plans import features, members, places, requests, scenes, shapes
 
-GROUPS = (features, members, places, requests, shapes)
+GROUPS = (features, members, places, requests, scenes, shapes)
 
 
 def queries() -> dict:

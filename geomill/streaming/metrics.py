@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import KEY, parse_features
+
 
 def minute_metrics_stream(events: DataFrame, lateness: str = "180 minutes") -> DataFrame:
     """Tumbling minutes by route. Percentiles are approximate here; the batch job over the same events is exact."""
@@ -18,3 +20,11 @@ def minute_metrics_stream(events: DataFrame, lateness: str = "180 minutes") -> D
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Writes all that is available now to Parquet and stops; the checkpoint makes a repeated run write nothing twice."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def ingest_stream(spark: SparkSession, folder: str, collection_id: str, job: str | None = None, lateness: str = "180 minutes") -> DataFrame:
+    """Features of the GeoJSON lines that arrive in a folder. A part that comes again within `lateness` of its first arrival is
+    dropped, so the state stays bounded; later repeats are for `dedupe_staging`."""
+    lines = spark.readStream.text(folder)
+    parts, _ = parse_features(lines, collection_id, job)
+    return parts.withColumn("ingested_at", F.current_timestamp()).withWatermark("ingested_at", lateness).dropDuplicatesWithinWatermark(KEY)
