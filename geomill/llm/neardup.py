@@ -26,6 +26,8 @@ from .shared import components, text_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SMALL_GROUP = 24
+#: Members of a large group that meet one copy of its common set.
+SHARE = 256
 #: Texts that hold more than this part of all rows are frequent.
 HOT = 1000
 REGISTERS, ROWS = 120, 5  # 24 bands of 5: a pair at 0.8 is missed with probability 7e-5
@@ -160,13 +162,16 @@ def _small_pairs(members: DataFrame, similarity: float) -> DataFrame:
 def _large_differences(members: DataFrame, grams: DataFrame) -> DataFrame:
     """(p, id, size, diff, gram): where each member of a large group differs from the group's common set.
 
-    A group's common set R has the grams of over half of its members; D(x) are the grams in which x and R differ.
+    A group's common set R has the grams of over half of its members; D(x) are the grams in which x and R differ. Members meet
+    a copy of R in shares of about SHARE, so a large group's members don't go to one task.
     """
-    own = members.join(grams.hint("merge"), "id").select("p", "id", "grams")
-    counted = own.mapInArrow(_explode, "p long, id long, gram long").groupBy("p", "gram").agg(F.count("*").alias("n"))
+    shares = lambda n: F.ceil(F.col(n) / SHARE)
+    own = members.join(grams.hint("merge"), "id").select("p", "id", "grams", F.pmod(F.xxhash64("id"), shares("n")).alias("share"))
+    counted = own.select("p", "id", "grams").mapInArrow(_explode, "p long, id long, gram long").groupBy("p", "gram").agg(F.count("*").alias("n"))
     sizes = members.groupBy("p").agg(F.count("*").alias("m"))
-    common = counted.join(sizes, "p").where("2 * n > m").groupBy("p").agg(F.collect_list("gram").alias("common"))
-    rows = own.join(common, "p", "left").select("p", "id", "grams", "common")
+    common = counted.join(sizes, "p").where("2 * n > m").groupBy("p", "m").agg(F.collect_list("gram").alias("common"))
+    common = common.select("p", "common", F.explode(F.sequence(F.lit(0).cast("long"), shares("m") - 1)).alias("share"))
+    rows = own.join(common.hint("merge"), ["p", "share"], "left").select("p", "id", "grams", "common")
     return written(rows.mapInArrow(_differences, "p long, id long, size long, diff long, gram long"), "differences")
 
 
@@ -259,7 +264,7 @@ def near_duplicates(
     rest = written(tagged.join(mixed, "p"), "mixed")
     tried = first.select(F.col("p").alias("a"), F.col("id").alias("b"))
     pairs = _small_pairs(rest.where(F.col("n") <= SMALL_GROUP), similarity)
-    large = rest.where(F.col("n") > SMALL_GROUP).drop("n")
+    large = rest.where(F.col("n") > SMALL_GROUP)
     if not large.isEmpty():
         diff = _large_differences(large, grams)
         links = written(links.union(verify(_central_pairs(diff, similarity).distinct(), grams, similarity)), "links")
