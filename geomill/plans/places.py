@@ -234,7 +234,13 @@ def _(s, d):
     return tiles.groupBy("z").agg(F.count("*").alias("n"), F.countDistinct(F.col("x") * 100000 + F.col("y")).alias("tiles"))
 
 
-@query("t8_cap_tiles", None)
+def _cap_sql() -> str:
+    head = _assign_sql().replace("range(0, 7)", "range(2, 3)").replace("SELECT id, z, unnest", "SELECT id, (maxx - minx) * (maxy - miny) AS area, z, unnest")
+    place = "row_number() OVER (PARTITION BY z, x, y ORDER BY area DESC, id) AS place"
+    return head[: head.index("SELECT z, count(*)")] + f"SELECT z, x, y, id FROM (SELECT *, {place} FROM (SELECT id, area, z, x, unnest(range(y1, y2 + 1)) AS y FROM r)) WHERE place <= 20"
+
+
+@query("t8_cap_tiles", _cap_sql())
 def _(s, d):
     sized = fx.parcels(s, d).selectExpr("id", *sp.BOX, "(maxx - minx) * (maxy - miny) as area")
     return tl.cap_tiles(tl.assign_tiles(sized, 2, 2), 20).select("z", "x", "y", "id")
@@ -247,7 +253,15 @@ def _(s, d):
     return tl.stale(c, built).select("collection_id")
 
 
-@query("m8_mosaic_index", None)
+def _index_sql() -> str:
+    x, y = (t.replace("64", "32").replace("63", "31") for t in (TX, TY))
+    key = QK.split(" || ", 1)[1]  # five digits
+    tiles = f"""r AS (SELECT cloud, id, href, unnest(range({x.format('(minx - 1e-5)')}, {x.format('(maxx + 1e-5)')} + 1)) AS x, {y.format('(maxy + 1e-5)')} AS y1, {y.format('(miny - 1e-5)')} AS y2 FROM scenes),
+ t AS (SELECT cloud, id, href, x, unnest(range(y1, y2 + 1)) AS y FROM r)"""
+    return wv(f"WITH {tiles} SELECT {key} AS quadkey, CAST(count(*) AS INT) AS n, first(href ORDER BY cloud, id) AS first FROM t GROUP BY 1", "scenes")
+
+
+@query("m8_mosaic_index", _index_sql())
 def _(s, d):
     return mo.mosaic_index(fx.scenes(s, d), 5).select("quadkey", F.size("assets").alias("n"), F.get("assets", 0).alias("first"))
 
