@@ -2,7 +2,7 @@
 
 A seed is a fixed mask over consecutive token positions; positions that are 0 are ignored, so a substituted token there
 does not hide a shared passage. Hashes of all masks over the benchmark are joined with those over the training text;
-around each hit the two token sequences are compared on that diagonal, and the best stretch decides.
+around each hit the two token sequences are compared on that diagonal, and every stretch that meets both limits counts.
 
 The benchmark is a stated query set: it is handled in blocks of at most BLOCK_BYTES of text, each broadcast to the tasks,
 so the training text is read once per block and never shuffled, however large the benchmark is.
@@ -10,6 +10,8 @@ so the training text is read once per block and never shuffled, however large th
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from .shared import text_of
 
 #: Weight 8 in spans of 8 to 14: the first one is contiguous, the others skip different positions.
 MASKS = ("11111111", "1101100110101", "11101001010011", "1011010011101")
+#: For items of under SHORT tokens, which the spaced masks don't fit in: one of these fits around any one changed token of 8.
+SHORT_MASKS, SHORT = ("111111", "11001111", "11110011"), 13
 MIN_MATCH, MIN_IDENTITY, MIN_TOKENS = 13, 0.75, 8
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
@@ -52,13 +56,14 @@ class Seeds:
     def __init__(self, ids: np.ndarray, column, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS):
         self.ids = ids
         self.tokens, self.of_row = _tokens(column)
-        self.masks = masks
         sizes = np.diff(self.of_row)
+        short = ((sizes >= min_tokens) & (sizes < SHORT)).any()
+        self.masks = masks + SHORT_MASKS if short else masks
         hashes, places = [], []
-        for salt, mask in enumerate(masks):
+        for salt, mask in enumerate(self.masks):
             starts = spans.inside(self.of_row, len(mask))
-            row = np.searchsorted(self.of_row, starts, "right") - 1
-            starts = starts[sizes[row] >= min_tokens]
+            size = sizes[np.searchsorted(self.of_row, starts, "right") - 1]
+            starts = starts[(size >= min_tokens) & ((size < SHORT) | (salt < len(masks)))]
             hashes.append(seed_hashes(self.tokens, starts, mask, salt))
             places.append(starts)
         h, p = np.concatenate(hashes), np.concatenate(places)
@@ -77,8 +82,43 @@ def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int]:
     return first, last
 
 
+def fullest_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """[first, last) of the run with the most matches among all with an identity of at least `min_identity`.
+
+    Of equal ones the shortest, then the first. For each end the leftmost start with a prefix sum that is not larger has the
+    most matches; sums are of integers, so a run at exactly the limit counts.
+    """
+    part = Fraction(min_identity).limit_denominator(1_000_000)
+    total = np.concatenate(([0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))))
+    count = np.concatenate(([0], np.cumsum(same)))
+    low = np.minimum.accumulate(total)
+    start = np.searchsorted(-low, -total)  # the first place at which the lowest sum so far is not larger
+    matched = count - count[start]
+    if not matched.max():
+        return 0, 0
+    at = np.flatnonzero(same)
+    ends = np.flatnonzero(matched == matched.max())
+    first, last = at[count[start[ends]]], at[count[ends] - 1] + 1  # without differences at either end
+    k = np.lexsort((first, last - first))[0]
+    return int(first[k]), int(last[k])
+
+
+def passages(same: np.ndarray, need: int, min_identity: float) -> list[tuple[int, int]]:
+    """Disjoint runs [first, last) with at least `need` matches and the identity: the fullest one, then those beside it."""
+    out, parts = [], [(0, len(same))]
+    while parts:
+        a, b = parts.pop()
+        if np.count_nonzero(same[a:b]) < need:
+            continue
+        x, y = fullest_stretch(same[a:b], min_identity)
+        if np.count_nonzero(same[a + x : a + y]) >= need:
+            out.append((a + x, a + y))
+            parts += [(a, a + x), (a + y, b)]
+    return sorted(out)
+
+
 def _overlaps(batches, seeds: Seeds, min_match: int, min_identity: float):
-    penalty = min_identity / (1 - min_identity)
+    part = Fraction(min_identity).limit_denominator(1_000_000)
     for batch in batches:
         ids = batch.column(0)
         offsets, _ = spans.buffers(batch.column(1))
@@ -104,10 +144,10 @@ def _overlaps(batches, seeds: Seeds, min_match: int, min_identity: float):
                 a = max(seeds.of_row[i] + s, of_row[r])
                 b = min(seeds.of_row[i + 1] + s, of_row[r + 1])
                 same = tokens[a:b] == seeds.tokens[a - s : b - s]
-                x, y = best_stretch(same, penalty)
-                matched = int(same[x:y].sum())
-                need = min(min_match, int(seeds.of_row[i + 1] - seeds.of_row[i]))
-                if matched >= need and matched >= min_identity * (y - x):
+                size = int(seeds.of_row[i + 1] - seeds.of_row[i])
+                need = max(1, min(min_match, -(-size * part.numerator // part.denominator)))
+                for x, y in passages(same, need, min_identity):
+                    matched = int(same[x:y].sum())
                     for k, v in zip(found, (r + first, i, a + x - of_row[r], a + y - of_row[r], a + x - s - seeds.of_row[i], matched, matched / (y - x)), strict=True):
                         found[k].append(v)
         rows = np.array(found["row"], np.int64)
@@ -132,8 +172,8 @@ def overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, doc_first, doc_last, item_first, matched, identity): shared passages, in token positions.
 
-    A passage counts with at least `min_match` equal tokens (all of a shorter item's tokens) and an identity of at least
-    `min_identity`. Benchmark items of under MIN_TOKENS tokens, null items and null ids of items are not searched: they would
+    A passage counts with at least `min_match` equal tokens (of a short item, `min_identity` of its tokens if that is less) and
+    an identity of at least `min_identity`; a passage inside which no mask fits on equal tokens is not seen. Benchmark items of under MIN_TOKENS tokens, null items and null ids of items are not searched: they would
     fit ordinary text. Null text: empty. Several passages of a document and an item give several rows; repeated benchmark
     rows and repeated document rows give the same row once. Documents with a null id are reported with a null id.
     """
