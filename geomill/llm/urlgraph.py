@@ -1,8 +1,11 @@
 """URL verdicts from rules and, where no rule fits, from link-graph propagation. DataFrame operations only.
 
 Trust starts at hosts whose pages are mostly allowed by rules and flows along links (personalised PageRank); distrust
-starts at hosts that a rule blocks as a whole and flows against links, to those that point there. A host is blocked if its
-distrust exceeds its trust and a share of an average blocked seed's.
+starts at hosts that a rule blocks as a whole and flows against links, to those that point there. These two scores are
+divided among all that link to a host (or that it links to), so they rank hosts and do not judge them. A host is judged by
+shares: the damped share of its links that lead to blocked hosts, directly or over others that are not trusted (`exposure`),
+and likewise the share of the links to it that come from trusted ones. It is blocked if the first exceeds the second and reaches
+THRESHOLD. How many others link to the same blocked host doesn't matter.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from .shared import written
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.2
+#: Scores are iterated until none changes by more than this part of a seed's; changes shrink by DAMPING a round.
+TOLERANCE, MOST_ROUNDS = 1e-4, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 
@@ -48,34 +53,60 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
     """(host, score) by power iteration over edges (src, dst, w) with teleports to seeds (host, s); sums of s are 1.
 
-    Mass on hosts without links returns to the seeds. It stops early when no score changes. Out-weights are aggregated
-    before each join's shuffle, and every round is written to the shared folder.
+    Mass on hosts without links returns to the seeds. It stops early when no score changes by more than `tolerance`.
+    Out-weights are aggregated before each join's shuffle, and every round is written to the shared folder.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     flow = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "edges")
     scores = written(seeds.select("host", F.col("s").cast("double").alias("score")), "scores")
     if flow.isEmpty():
         return scores
+    total = scores.agg(F.sum("score")).first()[0] or 0.0
     for _ in range(rounds):
         moved = flow.join(scores, flow.src == scores.host).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         moved = written(moved, "moved")
         sent = moved.agg(F.sum("got")).first()[0] or 0.0
-        total = scores.agg(F.sum("score")).first()[0] or 0.0
         back = (1 - damping) + damping * (total - sent)  # teleports, and what stood on hosts without links
-        new = seeds.select("host", "s").join(moved.withColumnRenamed("dst", "host"), "host", "full_outer").select(
-            "host", F.round(F.coalesce("s", F.lit(0.0)) * back + F.lit(damping) * F.coalesce("got", F.lit(0.0)), 12).alias("score")
+        new = seeds.select("host", "s").join(moved.withColumnRenamed("dst", "host"), "host", "full_outer")
+        new = new.join(scores.withColumnRenamed("score", "before"), "host", "full_outer").select(
+            "host", F.round(F.coalesce("s", F.lit(0.0)) * back + F.lit(damping) * F.coalesce("got", F.lit(0.0)), 12).alias("score"), F.coalesce("before", F.lit(0.0)).alias("before")
         )
-        new = written(new.where("score > 0"), "scores")
-        same = new.join(scores.withColumnRenamed("score", "before"), "host", "full_outer").where("not (score <=> before)").isEmpty()
-        scores = new
-        if same:
+        new = written(new, "scores")
+        total, change = new.agg(F.coalesce(F.sum("score"), F.lit(0.0)), F.coalesce(F.max(F.abs(F.col("score") - F.col("before"))), F.lit(0.0))).first()
+        scores = new.where("score > 0").select("host", "score")
+        if change <= tolerance:
             break
     return scores
 
 
+def exposure(edges: DataFrame, seeds: DataFrame, ends: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, share): 1 for seeds (host), 0 for other `ends`, else `damping` times the mean share of the hosts that it links
+    to, by link weight.
+
+    A host all of whose links go to seeds has `damping`, whatever else links there; hosts without a share have no row or 0.
+    """
+    named = seeds.select("host").distinct()
+    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
+    flow = edges.join(out, "src").join(named.union(ends.select("host")).withColumnRenamed("host", "src"), "src", "left_anti")
+    flow = written(flow.select("src", "dst", (F.lit(damping) * F.col("w") / F.col("out")).alias("p")), "edges")
+    fixed = written(named.select("host", F.lit(1.0).alias("share")), "shares")
+    shares = fixed
+    if flow.isEmpty():
+        return shares
+    for _ in range(rounds):
+        got = flow.join(shares, flow.dst == shares.host).groupBy("src").agg(F.round(F.sum(F.col("p") * F.col("share")), 12).alias("share"))
+        new = got.join(shares.select(F.col("host").alias("src"), F.col("share").alias("before")), "src", "left")
+        new = written(new.select(F.col("src").alias("host"), "share", F.coalesce("before", F.lit(0.0)).alias("before")), "shares")
+        change = new.agg(F.max(F.abs(F.col("share") - F.col("before")))).first()[0] or 0.0
+        shares = fixed.union(new.select("host", "share"))
+        if change <= tolerance:
+            break
+    return shares
+
+
 def judge(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] | None = None,
@@ -83,7 +114,8 @@ def judge(
     url_col: str = "url",
     html_col: str = "html",
     threshold: float = THRESHOLD,
-    rounds: int = ROUNDS,
+    rounds: int = MOST_ROUNDS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of `pages`.
 
@@ -100,12 +132,15 @@ def judge(
     hosts = written(hosts.select("host", (root == "block").alias("bad"), (F.col("good") * 2 > F.col("n")).alias("good")), "hosts")
     edges = written(host_edges(judged), "links")
     n_good, n_bad = hosts.agg(F.count_if("good"), F.count_if(F.coalesce("bad", F.lit(False)))).first()
-    trust = personalised_rank(edges, hosts.where("good").select("host", F.lit(1.0 / max(n_good, 1)).alias("s")), rounds=rounds)
+    good, bad = hosts.where("good").select("host"), hosts.where("bad").select("host")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_rank(back, hosts.where("bad").select("host", F.lit(1.0 / max(n_bad, 1)).alias("s")), rounds=rounds)
+    rank = lambda e, seeds, n: personalised_rank(e, seeds.withColumn("s", F.lit(1.0 / max(n, 1))), rounds=rounds, tolerance=max(tolerance / max(n, 1), 1e-12))
+    trust, distrust = rank(edges, good, n_good), rank(back, bad, n_bad)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
+    for seeds, ends, links, name in ((good, bad, back, "credit"), (bad, good, edges, "risk")):
+        scores = scores.join(exposure(links, seeds, ends, rounds=rounds, tolerance=tolerance).withColumnRenamed("share", name), "host", "full_outer")
     tail = judged.select("page_id", "host", "path", "rule", "action").join(scores, "host", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    blocked = (F.round(zero("distrust") - zero("trust"), 9) > 0) & (F.round(zero("distrust") * max(n_bad, 1), 6) >= threshold)
+    blocked = (F.round(zero("risk") - zero("credit"), 9) > 0) & (F.round(zero("risk"), 6) >= threshold)
     verdict = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
     return tail.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(zero("trust"), 9).alias("trust"), F.round(zero("distrust"), 9).alias("distrust"))
