@@ -1,8 +1,9 @@
-"""Near-duplicate classes with ProbMinHash sketches of weighted word shingles, banding and exact verification.
+"""Near-duplicate classes with ProbMinHash sketches of word shingles, banding and exact verification.
 
 Sketch: every shingle is an element that arrives at the times of a Poisson process whose rate is its weight; each arrival
 picks one register and keeps it if it is the earliest there. Once no pending arrival can beat the latest register, the
 sketch is complete (early termination). Registers of two documents agree with the probability Jaccard of their weights.
+All weights are 1, however often a text repeats a shingle, so this is the set similarity that is verified.
 
 Bands of registers give candidate buckets. Pairs inside a bucket are not all built: every member meets the bucket's
 smallest document (its pivot), survivors of the exact check become links, links become components. Where a pivot's group
@@ -86,9 +87,9 @@ def _sketches(batches, width: int, registers: int, rows: int):
         keys, sizes, found = [], [], []
         for _, body, hashes in _each_text(batch):
             keys.append(hashlib.blake2b(body, digest_size=16).digest())
-            own, counts = np.unique(shingles(hashes, width), return_counts=True)
+            own = np.unique(shingles(hashes, width))
             sizes.append(len(own))
-            found.append(bands(probminhash(own, 1.0 + np.log(counts), registers), rows) if len(own) else np.zeros(0, np.int64))
+            found.append(bands(probminhash(own, np.ones(len(own)), registers), rows) if len(own) else np.zeros(0, np.int64))
         at = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
         values = np.concatenate(found) if found else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
