@@ -195,7 +195,7 @@ def _large_pairs(diff: DataFrame, labels: DataFrame, similarity: float) -> DataF
     """
     often = diff.where("gram is not null").groupBy("p", "gram").agg(F.count("*").alias("often"))
     ordered = Window.partitionBy("p", "id").orderBy("often", "gram")
-    length = F.col("diff") - F.greatest(F.lit(1.0), F.ceil(F.col("diff") - F.lit((1 - similarity) / similarity) * F.col("size"))) + 1
+    length = F.col("diff") - F.greatest(F.lit(1.0), F.ceil(F.col("diff") - F.lit((1 - similarity) / similarity) * F.col("size") - F.lit(1e-6))) + 1
     prefix = diff.join(often, ["p", "gram"]).withColumn("at", F.row_number().over(ordered)).where((F.col("at") <= length) & (F.col("often") > 1))
     prefix = prefix.join(labels, prefix.id == labels.node, "left").select("p", "gram", "id", "size", "diff", "at", F.coalesce("label", "id").alias("label"))
     spread = prefix.groupBy("p", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("p", "gram")
