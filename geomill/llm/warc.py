@@ -101,15 +101,17 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
 
     The payload is the html in UTF-8; null: empty. Of rows whose payloads are equal and have at least `min_revisit` bytes,
     the smallest page_id is a response and the others are revisits of it. Null ids are always responses. A repeated
-    page_id with an equal payload is a response again (it can't refer to itself). Null url: empty. Extra columns are not read.
+    page_id with an equal payload is a response again (it can't refer to itself); with another payload it is a row of its
+    own, so a revisit's target is the response with its id and its digest. Null url: empty. Extra columns are not read.
     """
     q = lambda c: F.col(f"`{c}`")
     rows = pages.select(q(id_col).cast("long").alias("page_id"), q(url_col).cast("string").alias("url"), F.coalesce(q(html_col).cast("string"), F.lit("")).alias("html"))
-    keyed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit)).select("page_id", F.sha1(F.col("html").cast("binary")).alias("sum"))
+    rows = rows.withColumn("sum", F.sha1(F.col("html").cast("binary")))
+    keyed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit)).select("page_id", "sum")
     first = keyed.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    again = keyed.join(first, "sum").where("page_id <> refers_to").select(F.col("page_id").alias("again"), "refers_to").distinct()
-    # a repeated page_id may have several payloads, so the pair is matched by the payload as well where ids repeat
-    marked = rows.join(again, rows.page_id == again.again, "left").select("page_id", "url", "html", "refers_to")
+    again = keyed.join(first, "sum").where("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("sum").alias("again_sum"), "refers_to").distinct()
+    # a repeated page_id may have several payloads, so a row is matched by its payload as well; null ids match none
+    marked = rows.join(again, (rows.page_id == again.again) & (rows["sum"] == again.again_sum), "left").select("page_id", "url", "html", "refers_to")
     return written(marked.mapInArrow(lambda b: _write(b, folder), INDEX), "warc-index")
 
 
