@@ -7,6 +7,7 @@ A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR; words
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLICE_BYTES = 1 << 19
 
-BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+WORD_BASE, SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+
+#: Digests of short words, kept between slices; emptied when it is full.
+_KNOWN: dict[bytes, bytes] = {}
+KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 32
+
+
+def _digest(word: bytes) -> bytes:
+    found = _KNOWN.get(word)
+    if found is None:
+        found = blake2b(word, digest_size=16).digest()
+        if len(word) <= KNOWN_BYTES:
+            if len(_KNOWN) >= KNOWN_WORDS:
+                _KNOWN.clear()
+            _KNOWN[word] = found
+    return found
 
 
 class Powers:
@@ -103,15 +119,22 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, fold_case: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes from prefix sums, then mixed."""
+    def digests(self, fold_case: bool = False) -> np.ndarray:
+        """Two independent 64-bit hashes of each word, the halves of a cryptographic digest, as an array of two columns."""
         if not len(self):
-            return np.zeros(0, np.uint64)
-        raw = LOWER[self.data] if fold_case else self.data
-        up, down = powers(BYTE_BASE, len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            return np.zeros((0, 2), np.uint64)
+        body = self.data[~SEPARATOR[self.data]]
+        if fold_case:
+            body = LOWER[body]
+        kind, width = (pa.large_binary(), np.int64) if len(body) >= 1 << 31 else (pa.binary(), np.int32)
+        at = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(width)
+        words = pa.Array.from_buffers(kind, len(self), [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
+        table = np.frombuffer(b"".join(map(_digest, words.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+        return table[words.indices.to_numpy()]
+
+    def hashes(self, fold_case: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.digests(fold_case)[:, 0].copy()
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.of_row) - 1), np.diff(self.of_row))

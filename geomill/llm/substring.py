@@ -1,15 +1,19 @@
 """Substring deduplication with Rabin-Karp hashes of every fixed-length word window.
 
-Documents are dealt into blocks by a hash of their id. Three passes over the blocks use the same shuffle:
+Documents are dealt into blocks of about BLOCK_BYTES of text. Three passes over the blocks use the same shuffle:
 
 1. every block sends, for each hash bucket, the short hashes of its distinct windows once; a bucket's task answers
    with one bit for each: does another block have it too?
-2. the few windows that another block has are sent with their full hash and the block's smallest document id;
+2. the few windows that another block has are sent with their full hashes and the block's smallest document id;
    a bucket's task answers with those for which another block has a smaller one;
 3. with these answers each block marks the repeated windows and merges them into maximal removal intervals.
 
 A window that repeats inside one block needs no shuffle, and however often a window repeats, each block sends it once:
-a passage that a third of all documents share costs no bucket more than one entry a block.
+a passage that a third of all documents share costs no bucket more than one entry a block. The sizes of blocks and buckets
+are measured in bytes of text, so what a task holds at a time does not depend on the number of partitions. A block sends one
+row for each bucket in which it has windows; on inputs of many terabytes larger blocks keep these rows well filled.
+
+Windows are equal if two 64-bit Rabin-Karp hashes agree, over the two halves of a 128-bit digest of each word: 128 bits in all.
 """
 
 from __future__ import annotations
@@ -24,38 +28,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .shared import shuffle_partitions
 
 WIDTH = 13
-BLOCKS = 3  # blocks of documents for each hash bucket; a task holds one block at a time
+#: Text of a block, and text whose windows share a bucket: what one task holds at a time.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 class _Windows:
-    """All windows of a block: 64-bit hash, row, word position, bucket, and each row's words."""
+    """All windows of a block: two 64-bit hashes, row, word position, and each row's words."""
 
     def __init__(self, texts: pa.Array, width: int, buckets: int):
         offsets, data = spans.buffers(texts)
-        hashes, rows, places, counts = [], [], [], np.zeros(len(offsets) - 1, np.int64)
-        second = []
+        hashes, second, rows, places, counts = [], [], [], [], np.zeros(len(offsets) - 1, np.int64)
         for first, last in spans.slices(offsets):
             at = offsets[first : last + 1]
             words = spans.Words(at - at[0], data[at[0] : at[-1]])
             counts[first:last] = np.diff(words.of_row)
             starts = spans.inside(words.of_row, width)
             if len(starts):
-                each = words.hashes()
-                hashes.append(spans.window_hashes(each, width)[starts])
-                second.append((spans.window_hashes(each, width, spans.SECOND_BASE)[starts] % np.uint64(buckets)).astype(np.int32))
+                each = words.digests()
+                hashes.append(spans.window_hashes(each[:, 0], width)[starts])
+                second.append(spans.window_hashes(each[:, 1], width, spans.SECOND_BASE)[starts])
                 own = np.searchsorted(words.of_row, starts, "right") - 1
                 rows.append((own + first).astype(np.int32))
                 places.append((starts - words.of_row[own]).astype(np.int32))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hash, self.row, self.place = join(hashes, np.uint64), join(rows, np.int32), join(places, np.int32)
-        self.bucket, self.counts = join(second, np.int32), counts
+        self.hash, self.second, self.row, self.place = join(hashes, np.uint64), join(second, np.uint64), join(rows, np.int32), join(places, np.int32)
+        self.counts, self.buckets = counts, buckets
 
     def by_bucket(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(self.bucket, kind="stable")
-        return order, np.searchsorted(self.bucket[order], np.arange(int(self.bucket.max(initial=-1)) + 2))
+        bucket = (self.second % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(int(bucket.max(initial=-1)) + 2))
+
+
+def _firsts(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Where another pair of hashes begins, in sorted pairs."""
+    return np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -66,16 +75,16 @@ def _packed(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("d", pa.binary())])
-_BACK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("v", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("s", pa.binary()), ("d", pa.binary())])
+_BACK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("v", pa.binary()), ("s", pa.binary())])
 
 
 def _send_short(table: pa.Table, width: int, buckets: int) -> pa.Table:
-    w = _Windows(table["_text"], width, buckets)
+    w = _Windows(table["text"], width, buckets)
     order, at = w.by_bucket()
-    block, rows = table["_block"][0].as_py(), []
+    block, rows = table["block"][0].as_py(), []
     for b in np.flatnonzero(np.diff(at)):
-        rows.append((int(b), block, np.unique(_short(w.hash[order[at[b] : at[b + 1]]])).tobytes(), None))
+        rows.append((int(b), block, np.unique(_short(w.hash[order[at[b] : at[b + 1]]])).tobytes(), None, None))
     return _packed(rows, _SENT)
 
 
@@ -87,7 +96,7 @@ def _answer_short(table: pa.Table) -> pa.Table:
     for bucket, block, part in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), parts, strict=True):
         hit = _among(part, twice)
         if hit.any():
-            rows.append((bucket, block, np.packbits(hit).tobytes()))
+            rows.append((bucket, block, np.packbits(hit).tobytes(), None))
     return _packed(rows, _BACK)
 
 
@@ -103,66 +112,77 @@ def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
 def _send_full(table: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return _packed([], _SENT)
-    w = _Windows(table["_text"], width, buckets)
+    w = _Windows(table["text"], width, buckets)
     ids = _ids(table)
     order, at = w.by_bucket()
-    block, rows = table["_block"][0].as_py(), []
+    block, rows = table["block"][0].as_py(), []
     for b, bits in zip(answers["bucket"].to_pylist(), answers["v"], strict=True):
         own = order[at[b] : at[b + 1]]
         short = _short(w.hash[own])
         known = np.unique(short)
         hit = known[np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(known)).astype(bool)]
         own = own[_among(short, hit)]
-        h, d = w.hash[own], ids[w.row[own]]
-        o = np.lexsort((d, h))
-        h, d = h[o], d[o]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        rows.append((b, block, h[first].tobytes(), d[first].tobytes()))
+        h, s, d = w.hash[own], w.second[own], ids[w.row[own]]
+        o = np.lexsort((d, s, h))
+        h, s, d = h[o], s[o], d[o]
+        first = _firsts(h, s)
+        rows.append((b, block, h[first].tobytes(), s[first].tobytes(), d[first].tobytes()))
     return _packed(rows, _SENT)
 
 
 def _answer_full(table: pa.Table) -> pa.Table:
-    h = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["h"]]
-    d = [np.frombuffer(x.as_buffer(), np.int64) for x in table["d"]]
-    every, ids = np.concatenate(h), np.concatenate(d)
-    o = np.lexsort((ids, every))
-    every, ids = every[o], ids[o]
-    first = np.concatenate(([True], every[1:] != every[:-1]))
-    values, least = every[first], ids[first]
-    rows = []
-    for bucket, block, own, doc in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), h, d, strict=True):
-        later = own[least[np.searchsorted(values, own)] < doc]
-        if len(later):
-            rows.append((bucket, block, later.tobytes()))
+    h, s = ([np.frombuffer(x.as_buffer(), np.uint64) for x in table[c]] for c in ("h", "s"))
+    d = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["d"]])
+    one, two = np.concatenate(h), np.concatenate(s)
+    o = np.lexsort((d, two, one))
+    first = _firsts(one[o], two[o])
+    later = np.zeros(len(o), bool)
+    later[o] = d[o[first]][np.cumsum(first) - 1] < d[o]
+    rows, at = [], 0
+    for bucket, block, x, y in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), h, s, strict=True):
+        own = later[at : at + len(x)]
+        at += len(x)
+        if own.any():
+            rows.append((bucket, block, x[own].tobytes(), y[own].tobytes()))
     return _packed(rows, _BACK)
 
 
+def _pairs_among(h: np.ndarray, s: np.ndarray, found_h: np.ndarray, found_s: np.ndarray) -> np.ndarray:
+    """Which pairs (h, s) are among the found ones, which are sorted by h."""
+    hit, at = np.zeros(len(h), bool), np.searchsorted(found_h, h)
+    live = np.arange(len(h))
+    while len(live):
+        live = live[at[live] < len(found_h)]
+        live = live[found_h[at[live]] == h[live]]
+        hit[live[found_s[at[live]] == s[live]]] = True
+        at[live] += 1
+    return hit
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     """Ids as integers; a null id counts as the largest, so such a row keeps nothing from others."""
-    column = table["_id"].combine_chunks()
+    column = table["id"].combine_chunks()
     return column.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _removed(table: pa.Table, answers: pa.Table, width: int, buckets: int) -> tuple[_Windows, list[np.ndarray]]:
     """For each row which words go."""
-    w = _Windows(table["_text"], width, buckets)
+    w = _Windows(table["text"], width, buckets)
     ids = _ids(table)
     marks = [np.zeros(n, bool) for n in w.counts]
     if not len(w.hash):
         return w, marks
     doc = ids[w.row]
-    o = np.lexsort((doc, w.hash))
-    h, d = w.hash[o], doc[o]
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    least = d[first][np.cumsum(first) - 1]
-    repeated = np.zeros(len(h), bool)
-    repeated[o] = d > least
+    o = np.lexsort((doc, w.second, w.hash))
+    d = doc[o]
+    first = _firsts(w.hash[o], w.second[o])
+    repeated = np.zeros(len(o), bool)
+    repeated[o] = d > d[first][np.cumsum(first) - 1]
     if answers.num_rows:
-        elsewhere = {b: np.frombuffer(v.as_buffer(), np.uint64) for b, v in zip(answers["bucket"].to_pylist(), answers["v"], strict=True)}
         order, at = w.by_bucket()
-        for b, found in elsewhere.items():
-            own = order[at[b] : at[b + 1]]
-            repeated[own] |= _among(w.hash[own], np.sort(found))
+        for b, v, s in zip(answers["bucket"].to_pylist(), answers["v"], answers["s"], strict=True):
+            own = order[at[b] : at[b + 1]]  # what comes back is sorted as it was sent
+            repeated[own] |= _pairs_among(w.hash[own], w.second[own], np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.uint64))
     rows, places = w.row[repeated], w.place[repeated]
     bounds = np.searchsorted(rows, np.arange(len(marks) + 1))  # windows stand in row order
     for r in np.flatnonzero(np.diff(bounds)):
@@ -178,7 +198,7 @@ def _apply(table: pa.Table, answers: pa.Table, width: int, buckets: int, columns
     if not table.num_rows:
         return _empty(table, columns)
     _, marks = _removed(table, answers, width, buckets)
-    offsets, data = spans.buffers(table["_text"])
+    offsets, data = spans.buffers(table["text"])
     kept, intervals = [], []
     for r, mark in enumerate(marks):
         words = data[offsets[r] : offsets[r + 1]].tobytes().split()  # at the same six bytes as spans.Words
@@ -201,7 +221,9 @@ def _empty(table: pa.Table, columns: list[str]) -> pa.Table:
     return _result(table.slice(0, 0), columns, [], [], [], [])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """One row per row of `docs`: its id and other columns, and what is left of its text.
 
     A word goes if a window of `width` words covers it whose words also start somewhere in a document with a smaller id.
@@ -210,29 +232,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null text: no words. A null id counts as larger than every id. Rows with the same id are the same document: they never
     remove words from each other. The text column itself is not returned; other columns pass through under their names,
     unless they clash with an added column, which then wins.
-    Two different windows are taken for equal only if both a 64-bit hash and their bucket, from another hash, agree.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
-    added = {"n_words", "n_removed", "kept_text", "removed", "_id", "_text", "_block"}
-    others = [c for c in docs.columns if c not in added and c not in (text_col, id_col)]
+    others = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text", "removed", text_col, id_col}]
     ids, texts = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    blocks = docs.select(
-        ids.alias("_id"), texts.alias("_text"), *(F.col(f"`{c}`") for c in others), F.pmod(F.xxhash64(ids), F.lit(BLOCKS * buckets)).cast("int").alias("_block")
-    )
-    sent = "bucket int, block int, h binary, d binary"
-    back = "bucket int, block int, v binary"
-    one = blocks.groupBy("_block").applyInArrow(lambda t: _send_short(t, width, buckets), sent)
+    size = docs.agg(F.sum(F.octet_length(texts))).first()[0] or 0
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    # rows are dealt by all they have, so rows without an id or with the same id don't meet in one block
+    dealt = F.pmod(F.xxhash64(ids, texts, F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block")
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    parts = docs.select(ids.alias("id"), texts.alias("text"), rest.alias("rest"), dealt)
+    sent, back = "bucket int, block int, h binary, s binary, d binary", "bucket int, block int, v binary, s binary"
+    one = parts.groupBy("block").applyInArrow(lambda t: _send_short(t, width, buckets), sent)
     two = one.groupBy("bucket").applyInArrow(_answer_short, back)
-    three = blocks.groupBy("_block").cogroup(two.groupBy("block")).applyInArrow(lambda t, a: _send_full(t, a, width, buckets), sent)
+    three = parts.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(lambda t, a: _send_full(t, a, width, buckets), sent)
     four = three.groupBy("bucket").applyInArrow(_answer_full, back)
-    columns = ["_id", *others]
     schema = T.StructType(
-        [T.StructField("_id", T.LongType()), *(docs.schema[c] for c in others)]
+        [T.StructField("id", T.LongType()), parts.schema["rest"]]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
         + [T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))]
     )
-    out = blocks.groupBy("_block").cogroup(four.groupBy("block")).applyInArrow(lambda t, a: _apply(t, a, width, buckets, columns), schema)
-    return out.withColumnRenamed("_id", id_col)
+    out = parts.groupBy("block").cogroup(four.groupBy("block")).applyInArrow(lambda t, a: _apply(t, a, width, buckets, ["id", "rest"]), schema)
+    kept = [F.col("rest")[c].alias(c) for c in others]
+    return out.select(F.col("id").alias(id_col), *kept, "n_words", "n_removed", "kept_text", "removed")
 
 
 def kept_digest(result: DataFrame) -> DataFrame:
