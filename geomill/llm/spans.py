@@ -21,20 +21,9 @@ SLICE_BYTES = 1 << 19
 
 WORD_BASE, SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
-#: Digests of short words, kept between slices; emptied when it is full.
-_KNOWN: dict[bytes, bytes] = {}
-KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 32
-
-
-def _digest(word: bytes) -> bytes:
-    found = _KNOWN.get(word)
-    if found is None:
-        found = blake2b(word, digest_size=16).digest()
-        if len(word) <= KNOWN_BYTES:
-            if len(_KNOWN) >= KNOWN_WORDS:
-                _KNOWN.clear()
-            _KNOWN[word] = found
-    return found
+#: Words of up to SHORT bytes are hashed as two 64-bit numbers each, under two keys; longer ones by a cryptographic digest.
+SHORT, KEYS = 16, (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
+_LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 class Powers:
@@ -120,17 +109,21 @@ class Words:
         return len(self.starts)
 
     def digests(self, fold_case: bool = False) -> np.ndarray:
-        """Two independent 64-bit hashes of each word, the halves of a cryptographic digest, as an array of two columns."""
+        """Two independent 64-bit hashes of each word, as an array of two columns."""
         if not len(self):
             return np.zeros((0, 2), np.uint64)
-        body = self.data[~SEPARATOR[self.data]]
-        if fold_case:
-            body = LOWER[body]
-        kind, width = (pa.large_binary(), np.int64) if len(body) >= 1 << 31 else (pa.binary(), np.int32)
-        at = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(width)
-        words = pa.Array.from_buffers(kind, len(self), [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
-        table = np.frombuffer(b"".join(map(_digest, words.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
-        return table[words.indices.to_numpy()]
+        raw = np.concatenate((LOWER[self.data] if fold_case else self.data, np.zeros(SHORT, np.uint8)))
+        eight = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))  # the eight bytes from each place on
+        size = self.ends - self.starts
+        low = eight[self.starts] & _LOW_BYTES[np.minimum(size, 8)]
+        high = eight[self.starts + 8] & _LOW_BYTES[np.clip(size - 8, 0, 8)]
+        high = high * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+        out = np.empty((len(self), 2), np.uint64)
+        for column, key in enumerate(KEYS):
+            out[:, column] = mix(mix(low + np.uint64(key)) + high)
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[k] = np.frombuffer(blake2b(raw[self.starts[k] : self.ends[k]], digest_size=16).digest(), np.uint64)
+        return out
 
     def hashes(self, fold_case: bool = False) -> np.ndarray:
         """A 64-bit hash of each word."""
