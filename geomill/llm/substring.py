@@ -13,7 +13,7 @@ a passage that a third of all documents share costs no bucket more than one entr
 are measured in bytes of text, so what a task holds at a time does not depend on the number of partitions. A block sends one
 row for each bucket in which it has windows; on inputs of many terabytes larger blocks keep these rows well filled.
 
-Windows are equal if two 64-bit Rabin-Karp hashes agree, over the two halves of a 128-bit digest of each word: 128 bits in all.
+Windows are equal if two Rabin-Karp hashes agree, of 64 bits and of the upper 32 bits, over two independent hashes of each word.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 class _Windows:
-    """All windows of a block: two 64-bit hashes, row, word position, and each row's words."""
+    """All windows of a block: hash, upper half of a second hash, bucket (from the second hash), row, word position, and each row's words."""
 
     def __init__(self, texts: pa.Array, width: int, buckets: int):
         offsets, data = spans.buffers(texts)
-        hashes, second, rows, places, counts = [], [], [], [], np.zeros(len(offsets) - 1, np.int64)
+        hashes, second, bucket, rows, places, counts = [], [], [], [], [], np.zeros(len(offsets) - 1, np.int64)
         for first, last in spans.slices(offsets):
             at = offsets[first : last + 1]
             words = spans.Words(at - at[0], data[at[0] : at[-1]])
@@ -48,18 +48,19 @@ class _Windows:
             if len(starts):
                 each = words.digests()
                 hashes.append(spans.window_hashes(each[:, 0], width)[starts])
-                second.append(spans.window_hashes(each[:, 1], width, spans.SECOND_BASE)[starts])
+                other = spans.window_hashes(each[:, 1], width, spans.SECOND_BASE)[starts]
+                second.append((other >> np.uint64(32)).astype(np.uint32))
+                bucket.append(((other & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32))
                 own = np.searchsorted(words.of_row, starts, "right") - 1
                 rows.append((own + first).astype(np.int32))
                 places.append((starts - words.of_row[own]).astype(np.int32))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hash, self.second, self.row, self.place = join(hashes, np.uint64), join(second, np.uint64), join(rows, np.int32), join(places, np.int32)
-        self.counts, self.buckets = counts, buckets
+        self.hash, self.second, self.bucket = join(hashes, np.uint64), join(second, np.uint32), join(bucket, np.int32)
+        self.row, self.place, self.counts = join(rows, np.int32), join(places, np.int32), counts
 
     def by_bucket(self) -> tuple[np.ndarray, np.ndarray]:
-        bucket = (self.second % np.uint64(self.buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(int(bucket.max(initial=-1)) + 2))
+        order = np.argsort(self.bucket, kind="stable")
+        return order, np.searchsorted(self.bucket[order], np.arange(int(self.bucket.max(initial=-1)) + 2))
 
 
 def _firsts(h: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -131,7 +132,7 @@ def _send_full(table: pa.Table, answers: pa.Table, width: int, buckets: int) ->
 
 
 def _answer_full(table: pa.Table) -> pa.Table:
-    h, s = ([np.frombuffer(x.as_buffer(), np.uint64) for x in table[c]] for c in ("h", "s"))
+    h, s = ([np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("h", np.uint64), ("s", np.uint32)))
     d = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["d"]])
     one, two = np.concatenate(h), np.concatenate(s)
     o = np.lexsort((d, two, one))
@@ -182,7 +183,7 @@ def _removed(table: pa.Table, answers: pa.Table, width: int, buckets: int) -> tu
         order, at = w.by_bucket()
         for b, v, s in zip(answers["bucket"].to_pylist(), answers["v"], answers["s"], strict=True):
             own = order[at[b] : at[b + 1]]  # what comes back is sorted as it was sent
-            repeated[own] |= _pairs_among(w.hash[own], w.second[own], np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.uint64))
+            repeated[own] |= _pairs_among(w.hash[own], w.second[own], np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.uint32))
     rows, places = w.row[repeated], w.place[repeated]
     bounds = np.searchsorted(rows, np.arange(len(marks) + 1))  # windows stand in row order
     for r in np.flatnonzero(np.diff(bounds)):
