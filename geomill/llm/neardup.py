@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import components, text_of, written
+from .shared import HOT, components, lookup, text_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SMALL_GROUP = 24
 #: Members of a large group that meet one copy of its common set.
 SHARE = 256
-#: Texts that hold more than this part of all rows are frequent.
-HOT = 1000
 REGISTERS, ROWS = 120, 5  # 24 bands of 5: a pair at 0.8 is missed with probability 7e-5
 
 
@@ -214,16 +212,11 @@ def _large_pairs(diff: DataFrame, labels: DataFrame, similarity: float) -> DataF
 
 
 def _representatives(sketch: DataFrame) -> DataFrame:
-    """(id, rep, size, bands): the smallest id with the same text; only representatives keep their bands.
-
-    A text with over 1 / HOT of all rows is looked up by broadcast (there are fewer than HOT), so no task gets its copies.
-    """
-    copies = written(sketch.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
-    often = F.col("n") * HOT > F.lit(sketch.count())
-    found = sketch.join(F.broadcast(copies.where(often).select("copy", F.col("rep").alias("hot"))), "copy", "left")
-    rest = found.where("hot is null").join(copies.where(~often).select("copy", "rep").hint("merge"), "copy", "left")
-    columns = ("id", "rep", "size", "bands")
-    every = found.where("hot is not null").withColumn("rep", F.col("hot")).select(*columns).union(rest.withColumn("rep", F.coalesce("rep", "id")).select(*columns))
+    """(id, rep, size, bands): the smallest id with the same text; only representatives keep their bands."""
+    copies = written(sketch.groupBy(F.col("copy").alias("same")).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    often = copies.where(F.col("n") * HOT > F.lit(sketch.count()))
+    found = lookup(sketch, "copy", copies.select("same", "rep"), "same", [r[0] for r in often.select("same").collect()], "left")
+    every = found.select("id", F.coalesce("rep", "id").alias("rep"), "size", "bands")
     return every.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands")))
 
 
@@ -248,9 +241,11 @@ def near_duplicates(
     )
     member = written(_representatives(sketch), "member")
     dealt = member.where("id = rep and size > 0").dropDuplicates(["id"]).select("id", "size", F.explode("bands").alias("band"))
-    pivots = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = dealt.groupBy(F.col("band").alias("bucket")).agg(F.min(F.struct("id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = written(pivots.select("bucket", F.col("p.id").alias("p"), F.col("p.size").alias("p_size"), "n"), "pivots")
+    often = pivots.where(F.col("n") * HOT > F.lit(dealt.count()))
     # a group: a pivot and all that share a bucket of which it is the smallest document
-    group = dealt.join(pivots.hint("merge"), "band").select("id", "size", F.col("p.id").alias("p"), F.col("p.size").alias("p_size")).distinct()
+    group = lookup(dealt, "band", pivots, "bucket", [r[0] for r in often.select("bucket").collect()]).select("id", "size", "p", "p_size").distinct()
     group = written(group, "groups")
     first = group.where((F.col("id") != F.col("p")) & (F.least("size", "p_size") >= F.lit(similarity) * F.greatest("size", "p_size")))
     wanted = group.select("id").distinct()

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it; only where it names none (tests) a local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """The cluster's shared folder, as the session names it; where it names none, a local one in local mode, else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -28,8 +29,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Keys that hold more than this part of all rows are frequent: there are fewer than HOT of them.
+HOT = 1000
+
+
+def frequent(rows: DataFrame, key: str, part: int = HOT) -> list:
+    """The values of `key`, null aside, that hold more than 1 / part of all rows: fewer than `part`, at any size of input."""
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    return [r[0] for r in counted.where(F.col("n") * part > total).select(key).collect()]
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, hot: list, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table`, in which every key stands once; columns of the two have different names.
+
+    Rows of the frequent keys `hot` find their row of `table` by broadcast, so no task gets all rows of such a key; the
+    others are shuffled.
+    """
+    on = F.col(key) == F.col(table_key)
+    if not hot:
+        return rows.join(table.hint("merge"), on, how)
+    kind = T.StructType([T.StructField("hot_key", rows.schema[key].dataType)])
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], kind))
+    few = table.join(keys, F.col(table_key) == F.col("hot_key"), "left_semi")
+    often = rows.join(keys, F.col(key) == F.col("hot_key"), "left_semi").join(F.broadcast(few), on, how)
+    return often.unionByName(rows.join(keys, F.col(key) == F.col("hot_key"), "left_anti").join(table.hint("merge"), on, how))
 
 
 def text_of(name: str) -> Column:
@@ -40,17 +64,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of `links(a, b)`: the smallest node of its connected component.
 
     Each round takes the smallest label among a node and its neighbours, then follows that label's own label
-    (pointer jumping), so long chains shrink geometrically. Hot nodes are aggregated before the shuffle.
+    (pointer jumping), so long chains shrink geometrically. Nodes with very many neighbours, and labels that very many
+    nodes have already, are looked up by broadcast (`lookup`), so a large component does not go to one task.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    centres = frequent(both, "b")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        near = lookup(both, "b", labels, "node", centres).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("next")
         )
+        step = written(step, "steps")
         parents = labels.select(F.col("node").alias("parent"), F.col("label").alias("grand"))
-        jumped = step.join(parents, step.next == parents.parent, "left").select(
+        jumped = lookup(step, "next", parents, "parent", frequent(step, "next"), "left").select(
             "node", "old", F.least("next", F.coalesce("grand", "next")).alias("label")
         )
         jumped = written(jumped, "labels")
