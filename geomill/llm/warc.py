@@ -18,9 +18,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import HOT, lookup, shared_dir, written
 
 FILE_BYTES, RANGE_BYTES, GAP_BYTES, LEVEL = 512 << 20, 4 << 20, 64 << 10, 1
+#: Bytes of records that a task reads.
+TASK_BYTES = 64 << 20
 INDEX = "page_id long, url string, record_type string, digest string, file string, offset long, length long"
 
 
@@ -107,9 +109,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
     q = lambda c: F.col(f"`{c}`")
     rows = pages.select(q(id_col).cast("long").alias("page_id"), q(url_col).cast("string").alias("url"), F.coalesce(q(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sum", F.sha1(F.col("html").cast("binary")))
-    keyed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit)).select("page_id", "sum")
-    first = keyed.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    again = keyed.join(first, "sum").where("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("sum").alias("again_sum"), "refers_to").distinct()
+    keyed = written(rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit)).select("page_id", "sum"), "payload-sums")
+    first = keyed.groupBy(F.col("sum").alias("same")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "responses")
+    often = first.where(F.col("n") * HOT > F.lit(keyed.count())).select("same").collect()
+    met = lookup(keyed, "sum", first, "same", [r[0] for r in often]).where("page_id <> refers_to")
+    again = met.select(F.col("page_id").alias("again"), F.col("sum").alias("again_sum"), "refers_to").distinct()
     # a repeated page_id may have several payloads, so a row is matched by its payload as well; null ids match none
     marked = rows.join(again, (rows.page_id == again.again) & (rows["sum"] == again.again_sum), "left").select("page_id", "url", "html", "refers_to")
     return written(marked.mapInArrow(lambda b: _write(b, folder), INDEX), "warc-index")
@@ -153,9 +158,13 @@ def _read_ranges(batches, folder: str):
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that `index` (all of it, or a selection) names: page_id, url, record_type, payload_digest, payload_bytes,
-    refers_to and, unless `payloads` is false, payload. Every response is checked against its digest."""
-    zone = F.floor(F.col("offset") / F.lit(16 * RANGE_BYTES))
-    dealt = index.select("file", "offset", "length", zone.alias("zone")).repartition("file", "zone").sortWithinPartitions("file", "offset")
+    refers_to and, unless `payloads` is false, payload. Every response is checked against its digest.
+
+    Tasks are counted by the bytes of the selected records, not of the index: about TASK_BYTES each."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    zone = F.floor(F.col("offset") / F.lit(RANGE_BYTES))
+    dealt = index.select("file", "offset", "length", zone.alias("zone")).repartition(tasks, "file", "zone").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
     if payloads:
         return dealt.mapInArrow(lambda b: _read_ranges(b, folder), schema)
