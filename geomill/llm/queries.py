@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, media, neardup, quality, sharding, substring, urlgraph, warc
+from .shared import shared_dir
 
-#: Folder of public vocabulary files; a parameter of the queries.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The vocabulary file of the queries.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SHARD_NAMES = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +66,9 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
-    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], names)
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    back = sharding.write_shards(table(spark, sf_dir, "documents"), folder, ["doc_id"], SHARD_NAMES)
+    return back.select("doc_id", "slot", "shard", "shard_name", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +168,18 @@ SELECT page_id, host, path, rule,
     )
 
 
+def _op8_sql() -> str:
+    """Slots from MD5; the slots of the shards are a fixed table, which tests compare with a plain filling."""
+    shards = ",".join(str(k) for k in sharding.lookup_table(SHARD_NAMES))
+    return f"""
+WITH t AS (SELECT [{shards}] AS shards),
+s AS (SELECT doc_id, text, (('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN 'n' ELSE 'v' || doc_id END), 1, 15))::BIGINT % {sharding.SLOTS})::BIGINT AS slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1]::INTEGER AS shard, printf('shard-%03d', shards[slot + 1]) AS shard_name,
+       strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256
+FROM s, t
+"""
+
+
 def _op10_sql() -> str:
     return r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -177,4 +194,4 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "op10_substrings": _op10_sql()}
+    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "op8_shards": _op8_sql(), "op10_substrings": _op10_sql()}

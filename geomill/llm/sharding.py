@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS, SHARDS = 65_537, 64
+SLOTS, SHARDS, SALTS = 65_537, 64, 8
 
 
 def _number(name: str, salt: str) -> int:
@@ -64,8 +64,17 @@ def shard(df: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS)
     return named.join(F.broadcast(table), "slot", "left").select(*(F.col(f"`{c}`") for c in named.columns), "shard", "shard_name")
 
 
-def write_shards(df: DataFrame, path: str, keys: list[str], shards: list[str], slots: int = SLOTS, rows_per_file: int = 1_000_000) -> None:
-    """Writes a folder for each shard. Tasks are dealt by shard and a salt, so that a large shard is written by several."""
+def write_shards(df: DataFrame, path: str, keys: list[str], shards: list[str], slots: int = SLOTS, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Writes every row of `df`, with its slot and shard_name, to the folder of its shard, and returns the shards read back.
+
+    Tasks are dealt by shard and a salt from the whole row, so a shard that holds a third of all rows is written by up to SALTS
+    tasks; rows that are equal in every column share a salt. Null keys have a shard like any other value, repeated rows are
+    all written, an empty table gives an empty folder and an empty result. Columns of `df` named slot, shard or shard_name
+    are replaced. The result's columns are those of `df`, slot, shard_name, and shard.
+    """
     placed = shard(df, keys, shards, slots)
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in df.columns if df.schema[k].dataType.typeName() not in ("map", "variant"))), F.lit(8))
-    placed.repartition("shard", salt).write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in df.columns if df.schema[k].dataType.typeName() not in ("map", "variant"))), F.lit(SALTS))
+    columns = [c for c in placed.columns if c != "shard"]
+    dealt = placed.select(*(F.col(f"`{c}`") for c in columns), "shard").repartition("shard", salt)
+    dealt.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
