@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.llm import bpe, decontam, neardup, quality, substring
-from geomill.llm.queries import TOKENIZERS, table
+from geomill.llm.queries import VOCABULARY, table
 from geomill.llm.shared import written
 
 
@@ -37,7 +37,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_column(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "lang", "source", "n_tokens", "input_ids")
+    return bpe.encode_column(docs, VOCABULARY).select("doc_id", "lang", "source", "n_tokens", "input_ids")
 
 
 STAGES = [
