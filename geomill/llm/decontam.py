@@ -1,11 +1,12 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is a fixed mask over consecutive token positions; positions that are 0 are ignored, so a substituted token there
-does not hide a shared passage. Hashes of all masks over the benchmark are joined with those over the training text;
+does not hide a shared passage. Seeds of the benchmark and of the training text are tables of hashes that Spark joins;
 around each hit the two token sequences are compared on that diagonal, and every stretch that meets both limits counts.
 
-The benchmark is a stated query set: it is handled in blocks of at most BLOCK_BYTES of text, each broadcast to the tasks,
-so the training text is read once per block and never shuffled, however large the benchmark is.
+A bit set of the benchmark's hashes, of bounded size and broadcast, keeps most training hashes from being shuffled; a false
+hit only reaches the join. Documents that hit are written once with their hashes, so no other text is shuffled. Hashes and
+items that a large part of the hits share are looked up by broadcast while they are few and small, else shuffled.
 """
 
 from __future__ import annotations
@@ -16,17 +17,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import spans
-from .shared import text_of
+from .shared import frequent, lookup, text_of, written
 
 #: Weight 8 in spans of 8 to 14: the first one is contiguous, the others skip different positions.
 MASKS = ("11111111", "1101100110101", "11101001010011", "1011010011101")
-#: For items of under SHORT tokens, which the spaced masks don't fit in: one of these fits around any one changed token of 8.
+#: For items of LEAST to SHORT - 1 tokens, which the spaced masks don't fit in: one of these fits around any one changed token of 8.
 SHORT_MASKS, SHORT = ("111111", "11001111", "11110011"), 13
-MIN_MATCH, MIN_IDENTITY, MIN_TOKENS = 13, 0.75, 8
-BLOCK_BYTES = 8 << 20
-FILTER_BITS = 22
+#: Items of fewer tokens than LEAST count only where a text has all their tokens in a row.
+LEAST = 8
+MIN_MATCH, MIN_IDENTITY = 13, 0.75
+#: The bit set has about SPARSE bits for each seed, within these powers of two.
+SPARSE, FEWEST_BITS, MOST_BITS = 1024, 16, 26
+#: Benchmark rows that are broadcast for frequent hashes and items, and bytes of their texts, at most.
+FEW_ROWS, FEW_BYTES = 100_000, 4 << 20
+
+
+def mask_table() -> list[str]:
+    """All masks; a mask's place here is its number."""
+    return [*MASKS, *SHORT_MASKS, *("1" * n for n in range(1, LEAST))]
+
+
+def masks_of(size: int) -> list[int]:
+    """The masks for items of so many tokens."""
+    if size < LEAST:
+        return [len(MASKS) + len(SHORT_MASKS) + size - 1] if size else []
+    return list(range(len(MASKS) + (len(SHORT_MASKS) if size < SHORT else 0)))
+
+
+def needed(size: int, min_match: int, min_identity: float) -> int:
+    """Equal tokens that a passage shared with an item of `size` tokens has at least."""
+    part = Fraction(min_identity).limit_denominator(1_000_000)
+    return size if size < LEAST else max(1, min(min_match, -(-size * part.numerator // part.denominator)))
 
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +61,7 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
         at = offsets[first : last + 1]
         words = spans.Words(at - at[0], data[at[0] : at[-1]])
         hashes.append(words.hashes(fold_case=True))
-        of_row += (words.of_row[1:] + of_row[-1]).tolist()
+        of_row.extend((words.of_row[1:] + of_row[-1]).tolist())
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.array(of_row, np.int64)
 
 
@@ -50,36 +74,76 @@ def seed_hashes(tokens: np.ndarray, starts: np.ndarray, mask: str, salt: int) ->
     return spans.mix(h)
 
 
-class Seeds:
-    """The seeds of one block of the benchmark, sorted by hash."""
-
-    def __init__(self, ids: np.ndarray, column, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS):
-        self.ids = ids
-        self.tokens, self.of_row = _tokens(column)
-        sizes = np.diff(self.of_row)
-        short = ((sizes >= min_tokens) & (sizes < SHORT)).any()
-        self.masks = masks + SHORT_MASKS if short else masks
-        hashes, places = [], []
-        for salt, mask in enumerate(self.masks):
-            starts = spans.inside(self.of_row, len(mask))
-            size = sizes[np.searchsorted(self.of_row, starts, "right") - 1]
-            starts = starts[(size >= min_tokens) & ((size < SHORT) | (salt < len(masks)))]
-            hashes.append(seed_hashes(self.tokens, starts, mask, salt))
-            places.append(starts)
-        h, p = np.concatenate(hashes), np.concatenate(places)
-        o = np.argsort(h, kind="stable")
-        self.hash, self.place = h[o], p[o]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-
-def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int]:
-    """[first, last) of the highest-scoring run with +1 for a match and -penalty for a difference."""
-    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -penalty))))
-    low = np.minimum.accumulate(total)
-    last = int(np.argmax(total - low))
-    first = int(np.flatnonzero(total[: last + 1] == low[last])[-1])
-    return first, last
+def _seeds(batches):
+    """(hash, item, place, mask) of benchmark rows (key, text)."""
+    table = mask_table()
+    for batch in batches:
+        tokens, of_row = _tokens(batch.column(1))
+        sizes = np.diff(of_row)
+        own = {n: set(masks_of(n)) for n in np.unique(sizes).tolist()}
+        parts = []
+        for number, mask in enumerate(table):
+            starts = spans.inside(of_row, len(mask))
+            row = np.searchsorted(of_row, starts, "right") - 1
+            fits = np.array([number in own[n] for n in sizes.tolist()], bool)[row]
+            starts, row = starts[fits], row[fits]
+            if len(starts):
+                parts.append((seed_hashes(tokens, starts, mask, number).view(np.int64), row, starts - of_row[row], np.full(len(starts), number)))
+        h, row, place, mask = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h), batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(mask.astype(np.int32))], names=["seed", "item", "place", "mask"]
+        )
+
+
+def _bit_set(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): two bits are set for each seed, from the two halves of its hash; at most 2**(MOST_BITS - 6) words are gathered."""
+    bits = min(max(int(seeds.count() * SPARSE).bit_length(), FEWEST_BITS), MOST_BITS)
+    halves = F.array(F.col("seed"), F.shiftleft("seed", 32))
+    bit = F.shiftrightunsigned("half", 64 - bits).alias("bit")
+    found = seeds.select(F.explode(halves).alias("half")).select(bit).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+    return bits, words
+
+
+def _in_bit_set(h: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose two bits are set."""
+    at = np.arange(len(h))
+    for shift in (0, 32):
+        bit = (h[at] << np.uint64(shift)) >> np.uint64(64 - bits)
+        at = at[(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
+_HITS = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int64())]))
+
+
+def _suspects(batches, masks: list[int], bits: int, words: np.ndarray):
+    """The rows (id, text) that have a seed of the bit set, with all such seeds and their token positions."""
+    table = mask_table()
+    for batch in batches:
+        offsets, _ = spans.buffers(batch.column(1))
+        for first, last in spans.slices(offsets):
+            part = batch.slice(first, last - first)
+            tokens, of_row = _tokens(part.column(1))
+            seeds, places = [], []
+            for number in masks:
+                starts = spans.inside(of_row, len(table[number]))
+                h = seed_hashes(tokens, starts, table[number], number)
+                hit = _in_bit_set(h, bits, words)
+                seeds.append(h[hit].view(np.int64))
+                places.append(starts[hit])
+            seed, place = np.concatenate(seeds), np.concatenate(places)
+            if not len(seed):
+                continue
+            o = np.argsort(place, kind="stable")
+            seed, place = seed[o], place[o]
+            row = np.searchsorted(of_row, place, "right") - 1
+            rows, ends = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.append(ends, len(row)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(seed), pa.array(place - of_row[row])], fields=list(_HITS.value_type))
+            )
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), lists], names=["id", "text", "hits"])
 
 
 def fullest_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int]:
@@ -117,46 +181,40 @@ def passages(same: np.ndarray, need: int, min_identity: float) -> list[tuple[int
     return sorted(out)
 
 
-def _overlaps(batches, seeds: Seeds, min_match: int, min_identity: float):
-    part = Fraction(min_identity).limit_denominator(1_000_000)
+_FOUND = ("doc_first", "doc_last", "item_first", "matched", "identity")
+
+
+def _compare(batches, min_match: int, min_identity: float):
+    """Passages on the given diagonals of rows (id, item_id, text, item_text, shifts)."""
     for batch in batches:
-        ids = batch.column(0)
-        offsets, _ = spans.buffers(batch.column(1))
-        found: dict[str, list] = {k: [] for k in ("row", "item", "doc_first", "doc_last", "item_first", "matched", "identity")}
+        offsets, _ = spans.buffers(batch.column(2))
         for first, last in spans.slices(offsets):
-            tokens, of_row = _tokens(batch.column(1).slice(first, last - first))
-            hits_doc, hits_test = [], []
-            for salt, mask in enumerate(seeds.masks):
-                starts = spans.inside(of_row, len(mask))
-                h = seed_hashes(tokens, starts, mask, salt)
-                maybe = np.flatnonzero(seeds.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                lo, hi = np.searchsorted(seeds.hash, h[maybe]), np.searchsorted(seeds.hash, h[maybe], "right")
-                n = hi - lo
-                if n.sum():
-                    hits_doc.append(np.repeat(starts[maybe], n))
-                    hits_test.append(seeds.place[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])
-            if not hits_doc:
-                continue
-            at, test = np.concatenate(hits_doc), np.concatenate(hits_test)
-            row, item = np.searchsorted(of_row, at, "right") - 1, np.searchsorted(seeds.of_row, test, "right") - 1
-            shift = at - test
-            for r, i, s in np.unique(np.stack((row, item, shift), 1), axis=0).tolist():  # one comparison a diagonal
-                a = max(seeds.of_row[i] + s, of_row[r])
-                b = min(seeds.of_row[i + 1] + s, of_row[r + 1])
-                same = tokens[a:b] == seeds.tokens[a - s : b - s]
-                size = int(seeds.of_row[i + 1] - seeds.of_row[i])
-                need = max(1, min(min_match, -(-size * part.numerator // part.denominator)))
-                for x, y in passages(same, need, min_identity):
-                    matched = int(same[x:y].sum())
-                    for k, v in zip(found, (r + first, i, a + x - of_row[r], a + y - of_row[r], a + x - s - seeds.of_row[i], matched, matched / (y - x)), strict=True):
-                        found[k].append(v)
-        rows = np.array(found["row"], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(rows)), pa.array(seeds.ids[np.array(found["item"], np.int64)])]
-            + [pa.array(np.array(found[k], np.int64)) for k in ("doc_first", "doc_last", "item_first", "matched")]
-            + [pa.array(np.array(found["identity"], np.float64))],
-            names=["doc_id", "item_id", "doc_first", "doc_last", "item_first", "matched", "identity"],
-        )
+            part = batch.slice(first, last - first)
+            tokens, of_row = _tokens(part.column(2))
+            others, of_item = _tokens(part.column(3))
+            rows, found = [], []
+            for r, shifts in enumerate(part.column(4)):
+                text, item = tokens[of_row[r] : of_row[r + 1]], others[of_item[r] : of_item[r + 1]]
+                need = needed(len(item), min_match, min_identity)
+                for s in shifts.values.to_numpy().tolist():
+                    a, b = max(s, 0), min(len(item) + s, len(text))
+                    same = text[a:b] == item[a - s : b - s]
+                    for x, y in passages(same, need, min_identity):
+                        matched = int(same[x:y].sum())
+                        rows.append(r)
+                        found.append((a + x, a + y, a + x - s, matched, matched / (y - x)))
+            at = pa.array(rows, pa.int64())
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=["doc_id", "item_id", *_FOUND]
+            )
+
+
+def _few(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> list:
+    """Frequent keys of `rows`, if what `table` has of them is small enough for a broadcast."""
+    hot = frequent(rows, key)
+    n, size = table.where(F.col(table_key).isin(hot)).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return hot if n <= FEW_ROWS and size <= FEW_BYTES else []
 
 
 def overlaps(
@@ -168,30 +226,36 @@ def overlaps(
     item_text_col: str = "text",
     min_match: int = MIN_MATCH,
     min_identity: float = MIN_IDENTITY,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, doc_first, doc_last, item_first, matched, identity): shared passages, in token positions.
 
-    A passage counts with at least `min_match` equal tokens (of a short item, `min_identity` of its tokens if that is less) and
-    an identity of at least `min_identity`; a passage inside which no mask fits on equal tokens is not seen. Benchmark items of under MIN_TOKENS tokens, null items and null ids of items are not searched: they would
-    fit ordinary text. Null text: empty. Several passages of a document and an item give several rows; repeated benchmark
-    rows and repeated document rows give the same row once. Documents with a null id are reported with a null id.
+    Tokens are words in ASCII lower case. A passage counts with at least `min_match` equal tokens (of an item of under
+    18 tokens, `min_identity` of them if that is less) and an identity of at least `min_identity`; a passage inside which no
+    mask fits on equal tokens is not seen. Items of fewer than LEAST tokens count where a text has all their tokens in a row.
+    Items without an id or without tokens are not searched. Null text: empty. Several passages of a document and an
+    item give several rows; repeated benchmark rows and repeated document rows give the same row once. Documents with a null
+    id are reported with a null id. Other columns of the two tables are not read, so their names may clash.
     """
-    tests = benchmark.where(F.col(f"`{item_col}`").isNotNull() & F.col(f"`{item_text_col}`").isNotNull()).select(
-        F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")
-    )
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    schema = "doc_id long, item_id long, doc_first long, doc_last long, item_first long, matched long, identity double"
-    out = None
-    for block in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct().orderBy("item_id").toArrow()
-        seeds = Seeds(part["item_id"].to_numpy(), part["text"])
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
-        found = named.mapInArrow(lambda b, s=shared: _overlaps(b, s.value, min_match, min_identity), schema)
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    named = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("item_text"))
+    tests = written(named.where("item_id is not null and item_text is not null").distinct().withColumn("key", F.monotonically_increasing_id()), "benchmark")
+    seeds = written(tests.select("key", "item_text").mapInArrow(_seeds, "seed long, item long, place int, mask int"), "seeds")
+    masks = [r[0] for r in seeds.select("mask").distinct().orderBy("mask").collect()]  # a fixed table's numbers
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "item_id", *_FOUND[:-1])] + [T.StructField("identity", T.DoubleType())])
+    if not masks:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(seeds))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
+    suspects = texts.mapInArrow(lambda b: _suspects(b, masks, *shared.value), "id long, text string, hits array<struct<seed: long, at: long>>")
+    suspects = written(suspects.withColumn("row", F.monotonically_increasing_id()), "suspects")
+    hits = suspects.select("row", F.explode("hits").alias("h")).select("row", "h.at", F.col("h.seed").alias("own"))
+    table = seeds.select("seed", "item", "place", F.lit(24).alias("bytes"))
+    met = lookup(hits, "own", table, "seed", _few(hits, "own", table, "seed"))
+    diagonals = met.groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    diagonals = written(diagonals.withColumnRenamed("row", "of"), "diagonals")
+    items = tests.select("key", "item_id", "item_text", F.octet_length("item_text").alias("bytes"))
+    pairs = lookup(diagonals, "item", items, "key", _few(diagonals, "item", items, "key"))
+    pairs = pairs.join(suspects.select("row", "id", "text"), F.col("of") == F.col("row")).select("id", "item_id", "text", "item_text", "shifts")
+    return pairs.mapInArrow(lambda b: _compare(b, min_match, min_identity), schema).distinct()
 
 
 def contaminated(found: DataFrame) -> DataFrame:
