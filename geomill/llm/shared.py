@@ -33,11 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 HOT = 1000
 
 
+def frequent_counts(rows: DataFrame, key: str, part: int = HOT) -> DataFrame:
+    """(key, n) of the values, null aside, that hold more than 1 / part of all rows: fewer than `part`, at any size of input."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * part > F.lit(rows.count()))
+
+
 def frequent(rows: DataFrame, key: str, part: int = HOT) -> list:
-    """The values of `key`, null aside, that hold more than 1 / part of all rows: fewer than `part`, at any size of input."""
-    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.count()
-    return [r[0] for r in counted.where(F.col("n") * part > total).select(key).collect()]
+    return [r[0] for r in frequent_counts(rows, key, part).select(key).collect()]
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, hot: list, how: str = "inner") -> DataFrame:
