@@ -1,10 +1,10 @@
 """Media columns stored as content-defined chunks.
 
 A gear hash rolls over each payload; where its top bits are zero, the payload is cut (not before MIN_CHUNK bytes, not after
-MAX_CHUNK). A media value is an ordered list of chunk digests. Chunks that occur once stay with their media value; chunks
-that may occur again go to a chunk table, once per digest. Which ones may is told by a filter of fixed size, built from
-digests counted in Spark: a false hit only sends a chunk the longer way. Reading joins the lists with the chunk table,
-puts the chunks in order and checks every digest.
+MAX_CHUNK). The stored form of a media value is one blob: a header, the ordered list of its chunks (size, digest, and where
+the chunk stands), and the bytes of those chunks that stand here. Chunks that may occur again stand in a chunk table, once per
+digest. Which ones may is told by a filter, built from digests counted in Spark and sized by their number; a false hit only
+sends a chunk the longer way. Reading joins the lists with the chunk table, puts the chunks in order and checks every digest.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import written
+from .shared import frequent, lookup, written
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, UNIT = 256, 16_384, 11, 64
-FILTER_BITS = 25
+#: The filter has about SPARSE bits for each repeated digest, within these powers of two.
+SPARSE, FEWEST_BITS, MOST_BITS = 16, 20, 28
 GEAR = (spans.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-MAGIC = b"CDC1"
+MAGIC, ENTRY = b"CDC2", struct.Struct("<IB32s")
 
 
 def gear_cuts(data: np.ndarray) -> np.ndarray:
@@ -75,69 +76,88 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big") >> (64 - FILTER_BITS)
-
-
-def repeated_filter(texts: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that has the bits of all digests that occur more than once."""
+def repeated_filter(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): a bit set that has the bits of all digests that occur more than once; at most 2**(MOST_BITS - 5) words are gathered."""
     counted = texts.mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    bit = F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), 56 - FILTER_BITS)
+    heads = written(counted.select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("head")), "digests")
+    bits = min(max(int(heads.count() * SPARSE).bit_length(), FEWEST_BITS), MOST_BITS)
     groups = (
-        counted.select(bit.alias("bit"))
+        heads.select(F.shiftrightunsigned("head", 56 - bits).alias("bit"))
         .groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
     )
-    table = groups.toArrow()  # at most 2**(FILTER_BITS - 5) rows
-    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    table = groups.toArrow()
+    words = np.zeros(1 << (bits - 5), np.uint32)
     words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
-    return words
+    return bits, words
 
 
-def _in_filter(words: np.ndarray, digest: bytes) -> bool:
-    bit = _bit(digest)
+def _in_filter(filled: tuple[int, np.ndarray], digest: bytes) -> bool:
+    bits, words = filled
+    bit = int.from_bytes(digest[:8], "big") >> (64 - bits)
     return bool(words[bit >> 5] >> np.uint32(bit & 31) & np.uint32(1))
 
 
-_CHUNK = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int64()), ("shared", pa.bool_())]))
+_WANTED = pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.binary())]))
+
+
+def form_of(chunks: list[bytes], digests: list[bytes], shared: list[bool]) -> bytes:
+    entries = b"".join(ENTRY.pack(len(c), s, d) for c, d, s in zip(chunks, digests, shared, strict=True))
+    return MAGIC + struct.pack("<I", len(chunks)) + entries + b"".join(c for c, s in zip(chunks, shared, strict=True) if not s)
+
+
+def payload_of(form: bytes, shared: dict[int, bytes]) -> bytes:
+    """The payload of a stored form; `shared` has the chunks that stand elsewhere, by their place. Every digest is checked."""
+    if form[:4] != MAGIC:
+        raise ValueError("no stored media form")
+    n = int.from_bytes(form[4:8], "little")
+    at, parts = 8 + n * ENTRY.size, []
+    for k, (size, far, digest) in enumerate(ENTRY.iter_unpack(form[8:at])):
+        part = shared[k] if far else form[at : at + size]
+        at += 0 if far else size
+        if len(part) != size or hashlib.sha256(part).digest() != digest:
+            raise ValueError("a chunk does not have its digest")
+        parts.append(part)
+    return b"".join(parts)
 
 
-def _store(batches, words: np.ndarray):
+def _store(batches, filled: tuple[int, np.ndarray]):
     for batch in batches:
-        lists, own, sizes = [], [], []
+        forms, wanted, sizes = [], [], []
         for _, n, payload, ends in _payloads(batch.column(1)):
             chunks = _chunks(payload, ends)
             digests = [hashlib.sha256(c).digest() for c in chunks]
-            shared = [_in_filter(words, d) for d in digests]
-            lists.append([{"digest": d, "size": len(c), "shared": s} for d, c, s in zip(digests, chunks, shared, strict=True)])
-            own.append(b"".join(c for c, s in zip(chunks, shared, strict=True) if not s))
+            shared = [_in_filter(filled, d) for d in digests]
+            forms.append(form_of(chunks, digests, shared))
+            wanted.append([{"at": k, "digest": d} for k, (d, s) in enumerate(zip(digests, shared, strict=True)) if s])
             sizes.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, _CHUNK), pa.array(own, pa.binary())], names=["doc_id", "n_bytes", "chunks", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(forms, pa.binary()), pa.array(wanted, _WANTED)], names=["doc_id", "n_bytes", "form", "wanted"])
 
 
-def _shared_chunks(batches, words: np.ndarray):
+def _shared_chunks(batches, filled: tuple[int, np.ndarray]):
     for batch in batches:
         found: dict[bytes, bytes] = {}
         for _, _, payload, ends in _payloads(batch.column(0)):
             for c in _chunks(payload, ends):
                 d = hashlib.sha256(c).digest()
-                if _in_filter(words, d):
+                if _in_filter(filled, d):
                     found[d] = c
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["same", "payload"])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(media, chunks): the written tables. media has a row for each row of `docs` with a key of its own.
+    """(media, chunks): the written tables. media has a row for each row of `docs` with a key of its own; its column form is
+    what is stored of it, chunks has the chunks that stand elsewhere.
 
     Null text: empty, stored as one unit of zeros. Null and repeated ids are ordinary. Extra columns are not read.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_filter(named.select("text")))
+    filled = docs.sparkSession.sparkContext.broadcast(repeated_filter(named.select("text")))
     kind = docs.schema[id_col].dataType.simpleString()
-    media = named.mapInArrow(lambda b: _store(b, bits.value), f"doc_id {kind}, n_bytes long, chunks array<struct<digest: binary, size: long, shared: boolean>>, own binary")
-    media = written(media.withColumn("key", F.monotonically_increasing_id()).withColumn("whole", F.expr("not exists(chunks, c -> c.shared)")), "media")
-    chunks = named.select("text").mapInArrow(lambda b: _shared_chunks(b, bits.value), "digest binary, payload binary")
-    return media, written(chunks.groupBy("digest").agg(F.first("payload").alias("payload")), "chunks")
+    media = named.mapInArrow(lambda b: _store(b, filled.value), f"doc_id {kind}, n_bytes long, form binary, wanted array<struct<at: int, digest: binary>>")
+    media = written(media.withColumn("key", F.monotonically_increasing_id()), "media")
+    chunks = named.select("text").mapInArrow(lambda b: _shared_chunks(b, filled.value), "same binary, payload binary")
+    return media, written(chunks.groupBy("same").agg(F.first("payload").alias("payload")), "chunks")
 
 
 def feature(payload: bytes) -> str:
@@ -148,38 +168,32 @@ def feature(payload: bytes) -> str:
 
 
 def _read(batches):
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
     for batch in batches:
-        ids, sizes = batch.column(0), batch.column(1)
         out = []
-        for chunks, own, fetched in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            far = {f["at"]: f["payload"] for f in fetched or ()}
-            parts, at = [], 0
-            for k, c in enumerate(chunks):
-                part = far[k] if c["shared"] else own[at : at + c["size"]]
-                at += 0 if c["shared"] else c["size"]
-                if len(part) != c["size"] or hashlib.sha256(part).digest() != c["digest"]:
-                    raise ValueError("a chunk does not have its digest")
-                parts.append(part)
-            payload = b"".join(parts)
-            form = MAGIC + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", c["size"]) + c["digest"] for c in chunks) + payload
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload), len(parts)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
-        yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", *names])
+        for form, fetched in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            form = form.as_py()
+            payload = payload_of(form, {f["at"]: f["payload"] for f in fetched or ()})
+            digest, own = hashlib.sha256(payload).hexdigest(), hashlib.sha256(form).hexdigest()
+            out.append((len(payload), digest, zlib.crc32(payload[-UNIT:]), len(form), own, feature(payload), int.from_bytes(form[4:8], "little")))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", *names])
 
 
 def read_features(media: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every media value read back from its chunks, with its digests and features.
+    """Every media value read back from its chunks, with its digests and features; media_bytes and media_sha256 are of the
+    stored form as it is read.
 
     A value without shared chunks is read where it stands; only lists with shared chunks are joined with the chunk table,
-    and only these values are shuffled.
+    and only these values are shuffled. A chunk that very many values share is looked up by broadcast.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
     fetched_type = "array<struct<at: int, payload: binary>>"
-    whole = media.where("whole").select("doc_id", "n_bytes", "chunks", "own", F.lit(None).cast(fetched_type).alias("fetched"))
-    split = media.where("not whole")
-    wanted = split.select("key", F.posexplode("chunks").alias("at", "c")).where("c.shared").select("key", "at", F.col("c.digest").alias("digest"))
-    found = wanted.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "payload")).cast(fetched_type).alias("fetched"))
-    joined = split.join(found, "key", "left").select("doc_id", "n_bytes", "chunks", "own", "fetched")
+    whole = media.where("size(wanted) = 0").select("doc_id", "n_bytes", "form", F.lit(None).cast(fetched_type).alias("fetched"))
+    split = media.where("size(wanted) > 0")
+    wanted = split.select("key", F.explode("wanted").alias("w")).select("key", "w.at", "w.digest")
+    found = lookup(wanted, "digest", chunks, "same", frequent(wanted, "digest"))
+    found = found.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("at", "payload")).cast(fetched_type).alias("fetched"))
+    joined = split.join(found, F.col("key") == F.col("of"), "left").select("doc_id", "n_bytes", "form", "fetched")
     return whole.mapInArrow(_read, schema).unionByName(joined.mapInArrow(_read, schema))

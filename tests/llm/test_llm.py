@@ -260,7 +260,12 @@ def test_media_round_trip(spark, docs, rows):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert out[6].media_sha256 == out[7].media_sha256 and out[8].n_chunks > 1
     stored, chunks = media.store(docs)
-    assert chunks.count() == chunks.select("digest").distinct().count() > 0
+    assert chunks.count() == chunks.select("same").distinct().count() > 0
+    forms = {r.doc_id: bytes(r.form) for r in stored.collect()}
+    for i, t in rows:
+        assert (out[i].media_bytes, out[i].media_sha256) == (len(forms[i]), hashlib.sha256(forms[i]).hexdigest())
+        x = np.array(list((t or "").encode().ljust(-(-max(len((t or "").encode()), 1) // 64) * 64, b"\0")))
+        assert out[i].feature == f"mean={x.mean():.3f};std={x.std():.3f};zero={(x == 0).mean():.4f};step={np.abs(np.diff(x)).mean():.3f}"
     assert media.read_features(*media.store(empty(spark))).count() == 0
 
 
