@@ -65,6 +65,18 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(table(spark, sf_dir, "pages"))
 
 
+def url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of op7 on pages whose hosts do link: a page for each line item, on its supplier's host, that links to the
+    host of a supplier of its part."""
+    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
+    host = lambda key: F.concat(F.lit("s"), key, F.element_at(F.array(*(F.lit(x) for x in (".net", ".org", ".test", ".example.com", ".test:8080"))), (F.pmod(key, F.lit(5)) + 1).cast("int")))
+    own, other = F.col("l_suppkey"), F.pmod(F.col("l_partkey") * 7, F.lit(n)) + 1
+    page = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("page_id")
+    url = F.concat(F.lit("http://"), host(own), F.when(F.col("l_linenumber") % 2 == 0, "/fr/").otherwise("/x/"), "l_orderkey").alias("url")
+    html = F.concat(F.lit('<a class="s" href="//'), host(other), F.lit('/p/'), "l_partkey", F.lit('">part</a> <a href="/own">own</a>')).alias("html")
+    return urlgraph.judge(table(spark, sf_dir, "lineitem").select(page, url, html))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     back = sharding.write_shards(table(spark, sf_dir, "documents"), folder, ["doc_id"], SHARD_NAMES)
@@ -81,7 +93,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, op8_shards, op9_media, op10_substrings)
+    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings)
     return {f.__name__: f for f in own}
 
 
@@ -143,7 +155,7 @@ def _op7_sql() -> str:
         f"h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"j AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS action FROM h)",
         f"k AS (SELECT host, coalesce({case(lambda r: r[0], chr(39) + '/' + chr(39))} = 'block', false) AS bad, count(*) FILTER (action = 'allow') * 2 > count(*) AS good FROM j WHERE host <> '' GROUP BY host)",
-        f"l AS (SELECT host AS src, translate(regexp_replace(x, ':[0-9]+$', ''), '{upper}', '{lower}') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM j))",
+        f"l AS (SELECT host AS src, translate(x, '{upper}', '{lower}') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM j))",
         "e AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
     ]
     for name, a, b, flag in (("t", "src", "dst", "good"), ("d", "dst", "src", "bad")):

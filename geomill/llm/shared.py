@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,8 +50,9 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, hot: lis
     on = F.col(key) == F.col(table_key)
     if not hot:
         return rows.join(table.hint("merge"), on, how)
-    kind = T.StructType([T.StructField("hot_key", rows.schema[key].dataType)])
-    keys = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], kind))
+    kind = rows.schema[key].dataType
+    value = lambda x: F.unhex(F.lit(x.hex())) if isinstance(x, (bytes, bytearray)) else F.lit(x)
+    keys = F.broadcast(rows.sparkSession.range(1).select(F.explode(F.array(*(value(x).cast(kind) for x in hot))).alias("hot_key")))
     few = table.join(keys, F.col(table_key) == F.col("hot_key"), "left_semi")
     often = rows.join(keys, F.col(key) == F.col("hot_key"), "left_semi").join(F.broadcast(few), on, how)
     return often.unionByName(rows.join(keys, F.col(key) == F.col("hot_key"), "left_anti").join(table.hint("merge"), on, how))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import HOT, lookup, written
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.2
@@ -47,9 +47,12 @@ def match(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between different hosts, counted over all pages; `pages` has host and html."""
+    """(src, dst, w): links between different hosts, counted over all pages; `pages` has host and html.
+
+    A host is what `host_of` gives, port included, on both sides. Relative links stay on their page's host and join no hosts.
+    """
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
-    dst = F.translate(F.regexp_replace("to", r":\d+$", ""), UPPER, LOWER)
+    dst = F.translate("to", UPPER, LOWER)
     return links.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
@@ -129,7 +132,8 @@ def judge(
     judged = judged.select("*", rule.alias("rule"), action.alias("action"))
     root = match(F.col("host"), F.lit("/"), rules)[1]
     hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("good"))
-    hosts = written(hosts.select("host", (root == "block").alias("bad"), (F.col("good") * 2 > F.col("n")).alias("good")), "hosts")
+    hosts = written(hosts.select("host", "n", (root == "block").alias("bad"), (F.col("good") * 2 > F.col("n")).alias("good")), "hosts")
+    often = [r["host"] for r in hosts.where(F.col("n") * HOT > F.lit(hosts.agg(F.sum("n")).first()[0])).select("host").collect()]
     edges = written(host_edges(judged), "links")
     n_good, n_bad = hosts.agg(F.count_if("good"), F.count_if(F.coalesce("bad", F.lit(False)))).first()
     good, bad = hosts.where("good").select("host"), hosts.where("bad").select("host")
@@ -139,7 +143,9 @@ def judge(
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
     for seeds, ends, links, name in ((good, bad, back, "credit"), (bad, good, edges, "risk")):
         scores = scores.join(exposure(links, seeds, ends, rounds=rounds, tolerance=tolerance).withColumnRenamed("share", name), "host", "full_outer")
-    tail = judged.select("page_id", "host", "path", "rule", "action").join(scores, "host", "left")
+    # pages of frequent hosts, and those without a host, find their scores by broadcast
+    scores = written(scores.withColumnRenamed("host", "of"), "scores")
+    tail = lookup(judged.select("page_id", "host", "path", "rule", "action"), "host", scores, "of", [*often, ""], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     blocked = (F.round(zero("risk") - zero("credit"), 9) > 0) & (F.round(zero("risk"), 6) >= threshold)
     verdict = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))

@@ -42,3 +42,44 @@ def test_rank_is_iterated_to_the_tolerance(spark):
     seeds = spark.createDataFrame([("spam", 1.0)], "host string, s double")
     found = {r.host: r.score for r in urlgraph.personalised_rank(frame, seeds, rounds=urlgraph.MOST_ROUNDS, tolerance=1e-4).collect()}
     assert abs(found["spam"] - 1 / 1.85) < 1e-4 and abs(found["farm"] - 0.85 / 1.85) < 1e-4
+
+
+def test_ports_belong_to_hosts(spark):
+    pages = [(1, "http://one.test/", LINK.format("Spam.net:8080")), (2, "http://spam.net:8080/", LINK.format("x.org")), (3, "http://x.org/fr/", ""), (3, "http://x.org/fr/", ""), (4, None, LINK.format("spam.net")), (5, "http://l.test/" + "p" * 9000, None)]
+    rules = [("block", "net:8080", "/"), ("allow", "org", "/fr/")]
+    frame = spark.createDataFrame([(*p, 1, "u") for p in pages], "page_id long, url string, html string, n int, of string")
+    out = sorted((r.page_id, r.host, r.verdict, r.distrust > 0) for r in urlgraph.judge(frame, rules).collect())
+    assert out == [(1, "one.test", "block", True), (2, "spam.net:8080", "block", True), (3, "x.org", "allow", False), (3, "x.org", "allow", False), (4, "", "allow", False), (5, "l.test", "allow", False)]
+
+
+def test_link_graph_query_equals_dense_iteration(spark):
+    """The registered query on pages with links against dense matrices."""
+    from geomill.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    out = queries.url_link_graph(spark, folder).collect()
+    hosts = sorted({r.host for r in out})
+    place = {h: k for k, h in enumerate(hosts)}
+    n = max(r[0] for r in spark.read.parquet(f"{folder}/supplier.parquet").select("s_suppkey").collect())
+    ends = (".net", ".org", ".test", ".example.com", ".test:8080")
+    name = lambda k: f"s{k}{ends[k % 5]}"
+    w, good, pages = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts)), np.zeros(len(hosts))
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_linenumber").collect():
+        a, b = name(r[0]), name(r[1] * 7 % n + 1)
+        pages[place[a]] += 1
+        good[place[a]] += a.endswith(".org") and r[2] % 2 == 0
+        if a != b and b in place:
+            w[place[a], place[b]] += 1
+    bad, good = np.array([h.endswith(".net") for h in hosts]), good * 2 > pages
+
+    def share(m, seeds, stops):
+        p = 0.85 * m / np.maximum(m.sum(1, keepdims=True), 1)
+        p[seeds | stops] = 0
+        return np.linalg.solve(np.eye(len(m)) - p, seeds.astype(float))
+
+    risk, credit = share(w, bad, good), share(w.T, good, bad)
+    assert bad.any() and len({r.verdict for r in out if r.rule is None}) >= 1 and len(out) == int(pages.sum())
+    for r in out:
+        k = place[r.host]
+        if r.rule is None and abs(risk[k] - credit[k]) > 1e-3 and abs(risk[k] - urlgraph.THRESHOLD) > 1e-3:
+            assert r.verdict == ("block" if risk[k] > credit[k] and risk[k] >= urlgraph.THRESHOLD else "allow"), r
