@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import frequent, lookup, written
+from .shared import HOT, lookup, written
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, UNIT = 256, 16_384, 11, 64
 #: The filter has about SPARSE bits for each repeated digest, within these powers of two.
-SPARSE, FEWEST_BITS, MOST_BITS = 16, 20, 28
+SPARSE, FEWEST_BITS, MOST_BITS = 256, 25, 28
 GEAR = (spans.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 MAGIC, ENTRY = b"CDC2", struct.Struct("<IB32s")
 
@@ -76,13 +76,18 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
 
 
-def repeated_filter(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, words): a bit set that has the bits of all digests that occur more than once; at most 2**(MOST_BITS - 5) words are gathered."""
-    counted = texts.mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    heads = written(counted.select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("head")), "digests")
-    bits = min(max(int(heads.count() * SPARSE).bit_length(), FEWEST_BITS), MOST_BITS)
+def repeated_chunks(texts: DataFrame) -> DataFrame:
+    """(digest, n) of the chunks that occur more than once."""
+    counted = texts.mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n"))
+    return written(counted.where("n > 1"), "digests")
+
+
+def repeated_filter(repeated: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): a bit set that has the bits of the given digests; at most 2**(MOST_BITS - 5) words are gathered."""
+    bits = min(max(int(repeated.count() * SPARSE).bit_length(), FEWEST_BITS), MOST_BITS)
+    head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     groups = (
-        heads.select(F.shiftrightunsigned("head", 56 - bits).alias("bit"))
+        repeated.select(F.shiftrightunsigned(head, 56 - bits).alias("bit"))
         .groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
     )
@@ -147,17 +152,21 @@ def _shared_chunks(batches, filled: tuple[int, np.ndarray]):
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(media, chunks): the written tables. media has a row for each row of `docs` with a key of its own; its column form is
-    what is stored of it, chunks has the chunks that stand elsewhere.
+    what is stored of it, chunks has the chunks that stand elsewhere (`often`: over 1 / HOT of all repeated ones are this one).
 
     Null text: empty, stored as one unit of zeros. Null and repeated ids are ordinary. Extra columns are not read.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    filled = docs.sparkSession.sparkContext.broadcast(repeated_filter(named.select("text")))
+    repeated = repeated_chunks(named.select("text"))
+    filled = docs.sparkSession.sparkContext.broadcast(repeated_filter(repeated))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(repeated.where(F.col("n") * HOT > total).select("digest", F.lit(True).alias("often")))  # fewer than HOT rows
     kind = docs.schema[id_col].dataType.simpleString()
     media = named.mapInArrow(lambda b: _store(b, filled.value), f"doc_id {kind}, n_bytes long, form binary, wanted array<struct<at: int, digest: binary>>")
     media = written(media.withColumn("key", F.monotonically_increasing_id()), "media")
     chunks = named.select("text").mapInArrow(lambda b: _shared_chunks(b, filled.value), "same binary, payload binary")
-    return media, written(chunks.groupBy("same").agg(F.first("payload").alias("payload")), "chunks")
+    chunks = chunks.groupBy("same").agg(F.first("payload").alias("payload")).join(often, F.col("same") == F.col("digest"), "left")
+    return media, written(chunks.select("same", "payload", F.coalesce("often", F.lit(False)).alias("often")), "chunks")
 
 
 def feature(payload: bytes) -> str:
@@ -193,7 +202,8 @@ def read_features(media: DataFrame, chunks: DataFrame) -> DataFrame:
     whole = media.where("size(wanted) = 0").select("doc_id", "n_bytes", "form", F.lit(None).cast(fetched_type).alias("fetched"))
     split = media.where("size(wanted) > 0")
     wanted = split.select("key", F.explode("wanted").alias("w")).select("key", "w.at", "w.digest")
-    found = lookup(wanted, "digest", chunks, "same", frequent(wanted, "digest"))
+    often = [r["same"] for r in chunks.where("often").select("same").collect()]
+    found = lookup(wanted, "digest", chunks.select("same", "payload"), "same", often)
     found = found.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("at", "payload")).cast(fetched_type).alias("fetched"))
     joined = split.join(found, F.col("key") == F.col("of"), "left").select("doc_id", "n_bytes", "form", "fetched")
     return whole.mapInArrow(_read, schema).unionByName(joined.mapInArrow(_read, schema))
