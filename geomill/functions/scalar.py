@@ -11,6 +11,8 @@ EARTH = 6378137.0
 LAT_LIMIT = 85.0
 
 # Months of the seasons (southern summer is named by its months, winter runs from December to 28 February).
+# Units of sizes.
+UNITS = ("KB", "MB", "GB", "TB", "PB")
 SEASONS = {"spring": (3, 5), "summer": (6, 8), "autumn": (9, 11), "winter": (12, 2)}
 
 
@@ -24,9 +26,12 @@ def like_escape(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    k = 1024.0
-    size = lambda p, unit: F.concat(F.format_string("%.2f", n / F.lit(k**p)), F.lit(f" {unit}"))
-    return F.when(n < k, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < k**2, size(1, "KB")).when(n < k**3, size(2, "MB")).otherwise(size(3, "GB"))
+    """Whole bytes below 1024, else two decimals of the largest unit that fits; null and what is not positive: 0 B."""
+    out = F.when(F.coalesce(n, F.lit(0)) <= 0, "0 B").when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    for power, unit in enumerate(UNITS, 1):
+        size = F.concat(F.format_string("%.2f", n / F.lit(1024.0**power)), F.lit(f" {unit}"))
+        out = out.otherwise(size) if unit == UNITS[-1] else out.when(n < F.lit(1024.0 ** (power + 1)), size)
+    return out
 
 
 def mercator_x(lon: Column) -> Column:
@@ -64,10 +69,16 @@ def quadkey(z: Column, x: Column, y: Column) -> Column:
     return F.when(z > 0, F.array_join(bits, "")).otherwise("")
 
 
-def mgrs_tile(item_id: Column, tile: Column | None = None) -> Column:
-    """A given tile, else the five characters after _T in a granule's id."""
-    found = F.nullif(F.regexp_extract(item_id, r"_T(\d{2}[A-Z]{3})(?:_|$)", 1), F.lit(""))
-    return found if tile is None else F.coalesce(F.nullif(F.upper(F.trim(tile)), F.lit("")), found)
+def mgrs_tile(item_id: Column, *properties: Column) -> Column:
+    """The first tile (two digits, three letters) that a property is or has among its parts (cut at _ and spaces), else the
+    one in an item's id: after _T, or after S2A_ or S2B_ at a start."""
+    out = []
+    for p in properties:
+        parts = F.filter(F.split(F.upper(F.trim(p)), r"[_\s]+"), lambda x: x.rlike(r"^\d{2}[A-Z]{3}$"))
+        out.append(F.get(parts, 0))
+    for pattern in (r"(?i)_T(\d{2}[A-Z]{3})(?:_|$)", r"(?i)(?:^|_)S2[AB]_(\d{2}[A-Z]{3})_"):
+        out.append(F.nullif(F.upper(F.regexp_extract(item_id, pattern, 1)), F.lit("")))
+    return F.coalesce(*out)
 
 
 def composite_id(member: Column, feature: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Filter operators, and what a token for exact search looks like.
 OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "like", "ilike")
+#: A token has at least this many characters.
+GRAM = 8
 TOKEN = r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$"
 
 
@@ -45,13 +50,17 @@ def condition(key: str, op: str, value: str) -> Column:
     if op in ("eq", "ne"):
         return p == value if op == "eq" else p != value
     if op in ("like", "ilike"):
-        text = value.replace("'", "''")
-        return F.expr(f"from_json(properties, 'map<string,string>')['{key}'] {op} r'{text}' escape '\\\\'") if "'" not in text else getattr(p, op)(value)
+        return getattr(p, op)(like_pattern(value))
     n = _number(value)
     left, right = (p.try_cast("double"), F.lit(n)) if n is not None else (p, F.lit(value))
     return {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
 
 
+def like_pattern(value: str) -> str:
+    """`value` as a pattern in which a backslash escapes %, _ and itself and stands for itself before anything else."""
+    return re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else "\\\\", value)
+
+
 def structured_filter(df: DataFrame, filters: str | list[tuple[str, str, str]]) -> DataFrame:
     for f in parse_filter(filters) if isinstance(filters, str) else filters:
         df = df.where(condition(*f))
@@ -75,19 +84,27 @@ def fulltext(df: DataFrame, q: str) -> DataFrame:
     return df.where(F.contains(F.lower(flat_text()), F.lower(F.lit(q.strip()))))
 
 
-def exact_search(df: DataFrame, tokens: DataFrame, keys: list[str], limit: int = 100) -> DataFrame:
+def exact_search(df: DataFrame, tokens: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Rows for each token of `tokens(token)`: by id, else by a known key's value, else by the flat text; the first tier
-    with rows wins. The first two tiers are equi-joins on exploded keys; only tokens without rows there go on to the third."""
+    with rows wins; with a limit a token gets so many rows at most, the first by id.
+
+    The first two tiers are equi-joins on exploded keys; only tokens without rows there go on to the third, where texts
+    and tokens meet by the token's first GRAM characters, so no text is compared with every token."""
     valid = tokens.where(F.col("token").rlike(TOKEN)).distinct()
     entries = F.array(F.struct(F.lit(1).alias("tier"), F.col("id").alias("value")), *(F.struct(F.lit(2).alias("tier"), prop(k).alias("value")) for k in keys[:16]))
     keyed = df.select("id", "collection_id", F.explode(entries).alias("e")).where("e.value is not null")
     hits = valid.join(keyed, valid.token == F.col("e.value")).select("token", "e.tier", "id", "collection_id").distinct()
-    rest = valid.join(hits.select("token").distinct(), "token", "left_anti").limit(limit)
-    texts = df.select("id", "collection_id", F.lower(flat_text()).alias("flat"))
-    loose = texts.join(F.broadcast(rest), F.contains(F.col("flat"), F.lower("token"))).select("token", F.lit(3).alias("tier"), "id", "collection_id")
-    every = hits.union(loose.distinct())
+    rest = valid.join(hits.select("token").distinct(), "token", "left_anti").select("token", F.lower(F.left("token", F.lit(GRAM))).alias("gram"))
+    texts = df.select("id", "collection_id", F.lower(flat_text()).alias("flat")).where(F.length("flat") >= GRAM)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("flat") - GRAM + 1), lambda i: F.substring("flat", i, F.lit(GRAM))))
+    loose = texts.withColumn("gram", F.explode(grams)).join(rest, "gram").where(F.contains("flat", F.lower("token")))
+    every = hits.union(loose.select("token", F.lit(3).alias("tier"), "id", "collection_id").distinct())
     best = F.min("tier").over(Window.partitionBy("token"))
-    return every.withColumn("best", best).where("tier = best").drop("best")
+    first = every.withColumn("best", best).where("tier = best").drop("best")
+    if limit is None:
+        return first
+    place = F.row_number().over(Window.partitionBy("token").orderBy("id", "collection_id"))
+    return first.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
 def datetime_filter(df: DataFrame, text: str, column: str = "created_at") -> DataFrame:

@@ -11,7 +11,8 @@ from .spatial import cell
 
 
 def scene_search(scenes: DataFrame, box=None, slices=None, max_cloud: float | None = None, collections: list[str] | None = None) -> DataFrame:
-    """Scenes by box, date slices and cloud cover; scenes without a cloud value only drop out if a bound is given."""
+    """Scenes by box, date slices and cloud cover; scenes without a cloud value only drop out if a bound is given. Without
+    slices (None) every date fits; no date fits an empty list of them."""
     if collections:
         scenes = scenes.where(F.col("collection").isin(collections))
     if box is not None:
@@ -19,7 +20,7 @@ def scene_search(scenes: DataFrame, box=None, slices=None, max_cloud: float | No
         scenes = scenes.where((F.col("minx") <= x2) & (F.col("maxx") >= x1) & (F.col("miny") <= y2) & (F.col("maxy") >= y1))
     if max_cloud is not None:
         scenes = scenes.where(F.col("cloud") <= max_cloud)
-    if slices:
+    if slices is not None:
         day, hit = F.to_date("dt"), F.lit(False)
         for a, b in slices:
             hit = hit | day.between(F.lit(a), F.lit(b))

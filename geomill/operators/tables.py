@@ -69,19 +69,44 @@ def shadow_finalize(current: DataFrame, collection_id: str, job: str) -> DataFra
     return kept.withColumn("bulk_import_job_id", F.when(own, F.lit(None).cast("string")).otherwise(F.col("bulk_import_job_id")))
 
 
+def drop_collection(spark: SparkSession, path: str, collection_id: str) -> int:
+    """Removes a collection's folder from a table that `write_features` wrote; gives the number of features that went."""
+    own = spark.read.parquet(path).where(F.col("collection_id") == collection_id)
+    gone, file = own.select("id").distinct().count(), own.select("_metadata.file_path").first()
+    if file is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file[0])).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def rollback_job(current: DataFrame, job: str) -> DataFrame:
     return current.where(~F.col("bulk_import_job_id").eqNullSafe(job))
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes(collection_id, id, op, patch JSON): create or replace sets the properties, patch merges them (the change
-    wins, a key `id` is ignored), delete drops the feature. Features without a change stay."""
-    c = changes.select("collection_id", "id", "op", "patch")
-    met = current.join(c, ["collection_id", "id"], "left").where("op is null or op <> 'delete'")
+    """changes(collection_id, id, op, patch JSON and, if wanted, seq and columns of `current` that describe a geometry).
+
+    create and replace set the properties, and add the feature where there is none; patch merges them (the change wins, a
+    key `id` is ignored); delete drops the feature. Of several changes of one feature the one with the largest seq counts.
+    A geometry that a change gives replaces all parts by one; without one the parts stay. Features without a change stay.
+    """
+    shape = [c for c in changes.columns if c in current.columns and c not in (*KEY, "properties")]
+    order = [F.col("seq").desc_nulls_last()] if "seq" in changes.columns else []
+    c = newest(changes, ["collection_id", "id"], *order, F.col("op"), F.col("patch"))
+    given = F.lit(False)
+    for name in shape:
+        given = given | F.col(name).isNotNull()
+    c = c.select("collection_id", "id", "op", "patch", given.alias("reshaped"), *(F.col(x).alias(f"new_{x}") for x in shape))
     patch = F.map_filter(F.from_json("patch", "map<string,string>"), lambda k, _: k != "id")
     old = F.map_filter(properties_map(), lambda k, _: ~F.array_contains(F.map_keys(patch), k))
-    merged = F.when(F.col("op") == "patch", F.to_json(F.map_concat(old, patch))).when(F.col("op") == "replace", F.to_json(patch)).otherwise(F.col("properties"))
-    return met.withColumn("properties", merged).drop("op", "patch")
+    sets = F.col("op").isin("create", "replace")
+    merged = F.when(F.col("op") == "patch", F.to_json(F.map_concat(old, patch))).when(sets, F.to_json(patch)).otherwise(F.col("properties"))
+    met = current.join(c, ["collection_id", "id"], "left").where("op is null or op <> 'delete'")
+    met = met.where(~F.coalesce("reshaped", F.lit(False)) | (F.col("part_index") == 0))
+    kept = met.select(*(merged.alias(x) if x == "properties" else F.when(F.col("reshaped"), F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) if x in shape else F.col(x) for x in current.columns))
+    added = c.where(sets).join(current.select("collection_id", "id").distinct(), ["collection_id", "id"], "left_anti")
+    fresh = {"collection_id": F.col("collection_id"), "id": F.col("id"), "part_index": F.lit(0), "properties": F.to_json(patch)} | {x: F.col(f"new_{x}") for x in shape}
+    return kept.unionByName(added.select(*(fresh.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in current.schema)))
 
 
 def read_geojsonl(spark: SparkSession, path: str, collection_id: str, job: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,8 +147,9 @@ def _nth(at: int):
 
 def write_geojsonl(df: DataFrame, path: str) -> None:
     """One feature per line from columns id, kind, coordinates and properties, sorted by id and part."""
-    geometry = F.concat(F.lit('{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}"))
-    line = F.concat(F.lit('{"type":"Feature","id":'), F.concat(F.lit("\""), F.col("id"), F.lit("\"")), F.lit(',"geometry":'), geometry, F.lit(',"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}"))
+    text = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c))), r"(?s)^\[(.*)\]$", "$1")  # noqa: E731  a JSON string, or null
+    geometry = F.coalesce(F.concat(F.lit('{"type":'), text("kind"), F.lit(',"coordinates":'), F.col("coordinates"), F.lit("}")), F.lit("null"))
+    line = F.concat(F.lit('{"type":"Feature","id":'), text("id"), F.lit(',"geometry":'), geometry, F.lit(',"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}"))
     df.repartitionByRange("id").sortWithinPartitions("id", "part_index").select(line.alias("value")).write.mode("overwrite").text(path)
 
 

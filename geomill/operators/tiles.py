@@ -13,6 +13,8 @@ from .filters import bbox_filter, properties_map
 from .overlay import _rowwise, clip
 
 BUFFER = 256 / 4096
+#: Of a tile: what lies this close below a tile's edge counts as on it.
+EPSILON = 5e-10
 
 
 def tile_boxes(tiles: DataFrame) -> DataFrame:
@@ -32,24 +34,25 @@ def tiles_for(df: DataFrame, zoom: int) -> DataFrame:
 
 
 def assign_tiles(df: DataFrame, zmin: int, zmax: int, buffer: float = BUFFER) -> DataFrame:
-    """One row per feature and tile whose buffered box meets the feature's box, for all zooms of the pyramid.
+    """One row per feature and tile whose buffered box meets the feature's box, for all zooms of the pyramid; a feature without a box has none.
 
-    The tile range is computed in fractional tile coordinates, where the buffer is a constant, so no join is needed."""
-    out = df.withColumn("z", F.explode(F.sequence(F.lit(zmin), F.lit(zmax))))
-    n = F.pow(F.lit(2.0), F.col("z"))
-    lon = lambda c: (F.col(c) + 180) / 360 * n
+    The tile range is computed in fractional tile coordinates, where the buffer is a constant, so no join is needed. The
+    place of a box on the whole map is computed once for all zooms, and the tiles of a zoom are dealt out at once by their
+    number in its range."""
 
-    def lat(c: str):
+    def down(c: str):
         held = F.radians(F.least(F.greatest(F.col(c), F.lit(-S.LAT_LIMIT)), F.lit(S.LAT_LIMIT)))
-        return (1 - F.ln(F.tan(held) + 1 / F.cos(held)) / F.pi()) / 2 * n
-
-    def span(low, high):
-        a = F.greatest(F.floor(F.round(low - F.lit(buffer), 9)), F.lit(0))
-        b = F.least(F.floor(F.round(high + F.lit(buffer), 9)), n.cast("long") - 1)
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        return (1 - F.ln(F.tan(held) + 1 / F.cos(held)) / F.pi()) / 2
 
-    out = out.withColumn("xs", span(lon("minx"), lon("maxx"))).withColumn("ys", span(lat("maxy"), lat("miny")))
-    return out.select(*df.columns, "z", F.explode("xs").alias("x"), "ys").select(*df.columns, "z", "x", F.explode("ys").alias("y"))
+    placed = {"_w": (F.col("minx") + 180) / 360, "_e": (F.col("maxx") + 180) / 360, "_n": down("maxy"), "_s": down("miny")}
+    boxed = df.where("minx is not null and miny is not null and maxx is not null and maxy is not null")
+    out = boxed.withColumns(placed).withColumn("z", F.explode_outer(F.sequence(F.lit(zmin), F.lit(zmax))))
+    n = F.pow(F.lit(2.0), F.col("z"))
+    low = lambda c: F.greatest(F.floor(F.col(c) * n - F.lit(buffer) + F.lit(EPSILON)), F.lit(0))
+    high = lambda c: F.least(F.floor(F.col(c) * n + F.lit(buffer) + F.lit(EPSILON)), n.cast("long") - 1)
+    out = out.withColumns({"_x": low("_w"), "_x2": high("_e"), "_y": low("_n"), "_y2": high("_s")}).where("_x <= _x2 and _y <= _y2")
+    out = out.withColumn("_k", F.explode_outer(F.expr("sequence(0L, (_x2 - _x + 1) * (_y2 - _y + 1) - 1)")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), "z", F.expr("_x + _k % (_x2 - _x + 1)").alias("x"), F.expr("_y + _k div (_x2 - _x + 1)").alias("y"))
 
 
 def cap_tiles(assigned: DataFrame, cap: int) -> DataFrame:

@@ -225,12 +225,28 @@ def _(s, d):
     return tb.delete_by_filters(fx.parcels(s, d), [("rank", "gte", "40")]).select("id")
 
 
-@query("b8_upsert", wv("SELECT id, status, CASE WHEN o_orderkey % 4 = 1 THEN 'new' ELSE priority END AS priority FROM parcels WHERE o_orderkey % 4 <> 2", "parcels"))
+@query(
+    "b8_upsert",
+    wv(
+        """SELECT id, CASE WHEN o_orderkey % 4 <> 3 THEN status END AS status, CASE o_orderkey % 4 WHEN 1 THEN 'new' WHEN 3 THEN 'set' ELSE priority END AS priority,
+ CASE WHEN o_orderkey % 4 = 3 THEN 1.5 ELSE minx END AS minx FROM parcels WHERE o_orderkey % 4 <> 2
+ UNION ALL SELECT 's' || s_suppkey, 'N', 'made', 0.5 FROM supplier""",
+        "parcels",
+    ),
+)
 def _(s, d):
+    """Patches, deletes, replacements with a geometry, and creations; earlier changes of the same features don't count."""
     p = fx.parcels(s, d)
-    op = "case cast(id as bigint) % 4 when 1 then 'patch' when 2 then 'delete' end"
-    changes = p.selectExpr("collection_id", "id", f"{op} as op", "'{\"priority\":\"new\",\"id\":\"x\"}' as patch").where("op is not null")
-    return tb.upsert(p, changes).select("id", fl.prop("status").alias("status"), fl.prop("priority").alias("priority"))
+    kind = F.expr("case cast(id as bigint) % 4 when 1 then 'patch' when 2 then 'delete' when 3 then 'replace' end").alias("op")
+    text = F.when(F.col("op") == "replace", '{"priority":"set"}').otherwise('{"priority":"new","id":"x"}').alias("patch")
+    place = F.when(F.col("op") == "replace", F.lit(1.5)).alias("minx")
+    last = p.select("collection_id", "id", kind).where("op is not null").select("collection_id", "id", "op", text, place, F.lit(2).alias("seq"))
+    before = last.where("op = 'patch'").select("collection_id", "id", F.lit("delete").alias("op"), "patch", F.lit(9.0).alias("minx"), F.lit(1).alias("seq"))
+    made = fx.table(s, d, "supplier").select(
+        F.lit("made").alias("collection_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("create").alias("op"),
+        F.lit('{"status":"N","priority":"made"}').alias("patch"), F.lit(0.5).alias("minx"), F.lit(2).alias("seq"),
+    )
+    return tb.upsert(p, last.union(before).union(made)).select("id", fl.prop("status").alias("status"), fl.prop("priority").alias("priority"), "minx")
 
 
 FILES = "SELECT p_partkey, p_name AS path, p_size * 1024 AS length, p_brand AS kind, TIMESTAMP '2024-01-01' + (p_partkey % 500) * INTERVAL 1 HOUR AS modified, CASE WHEN p_partkey % 9 = 0 THEN 'gone' ELSE p_type END AS owner FROM part"

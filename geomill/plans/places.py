@@ -231,7 +231,7 @@ SELECT z, count(*) AS n, count(DISTINCT x * 100000 + y) AS tiles FROM (SELECT z,
 @query("t3_tile_pyramid", _assign_sql())
 def _(s, d):
     tiles = tl.assign_tiles(fx.parcels(s, d).select("id", *sp.BOX), 0, 6)
-    return tiles.groupBy("z").agg(F.count("*").alias("n"), F.countDistinct(F.col("x") * 100000 + F.col("y")).alias("tiles"))
+    return tiles.groupBy("z", "x", "y").agg(F.count("*").alias("n")).groupBy("z").agg(F.sum("n").alias("n"), F.count("*").alias("tiles"))
 
 
 def _cap_sql() -> str:
@@ -272,9 +272,12 @@ def _(s, d):
     return mo.coverage_gaps(gaps).select("id", "sx1", "sy2")
 
 
-@query("x4_mgrs_tile", wv("SELECT id, substr(mgrs, 2) AS tile FROM scenes", "scenes"))
+@query("x4_mgrs_tile", wv("SELECT id, substr(mgrs, 2) AS tile, substr(mgrs, 2) AS short, CASE WHEN cloud < 50 THEN '01ABC' ELSE substr(mgrs, 2) END AS own FROM scenes", "scenes"))
 def _(s, d):
-    return fx.scenes(s, d).select("id", S.mgrs_tile(F.col("id")).alias("tile"))
+    scenes = fx.scenes(s, d)
+    short = F.concat(F.lit("s2b_"), F.substring("mgrs", 2, 5), F.lit("_20250101_0"))
+    given = F.when(F.col("cloud") < 50, F.lit(" granule_01abc L2A"))
+    return scenes.select("id", S.mgrs_tile(F.col("id")).alias("tile"), S.mgrs_tile(short).alias("short"), S.mgrs_tile(F.col("id"), F.lit("none"), given).alias("own"))
 
 
 @query("x2_x3_scalars", "SELECT p_partkey, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0) ELSE printf('%.2f MB', b / 1048576.0) END AS size, replace(replace(p_type, '%', '\\%'), '_', '\\_') AS escaped FROM (SELECT p_partkey, p_type, p_size * p_size * 700 AS b FROM part)")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import requests as rq
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views as wv
+from ..sources.readers import shared_path
 from ..streaming import metrics as st
 
 Q: dict = {}
@@ -66,14 +65,13 @@ def _(s, d):
 
 @query("r1_minute_metrics_stream", wv(f"SELECT date_trunc('minute', created_at) AS minute, route_template, count(*) AS requests, CAST(round(avg(latency_ms)) AS INT) AS mean_ms, {FAMILIES} FROM request_events GROUP BY 1, 2", "request_events"))
 def _(s, d):
-    """The stream writes every minute in complete mode to a table; its exact columns equal the batch job's."""
+    """The stream upserts the minutes of each batch; its exact columns equal the batch job's, percentiles are compared in a test."""
     events = fx.table(s, d, "events")
     stream = s.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
     shaped = stream.selectExpr(
         "cast(ts as timestamp) as created_at", "concat('/', event_type) as route_template", "cast(floor(value * 10) as int) as latency_ms",
         "case event_id % 20 when 0 then 500 when 1 then 404 when 2 then 301 else 200 end as status_code",
     )
-    name = f"minutes_{uuid.uuid4().hex}"
-    run = st.minute_metrics_stream(shaped).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.table(name).drop("p50_ms", "p90_ms").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    path = shared_path(s, "minutes")
+    st.upsert_minutes(st.minute_metrics_stream(shaped), f"{path}/table", f"{path}/checkpoint")
+    return st.read_minutes(s, f"{path}/table").drop("p50_ms", "p90_ms").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
