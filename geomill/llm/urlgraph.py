@@ -18,7 +18,7 @@ from .shared import HOT, lookup, written
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.2
 #: Scores are iterated until none changes by more than this part of a seed's; changes shrink by DAMPING a round.
-TOLERANCE, MOST_ROUNDS = 1e-4, 200
+TOLERANCE, MOST_ROUNDS = 1e-3, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 
@@ -67,18 +67,24 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     scores = written(seeds.select("host", F.col("s").cast("double").alias("score")), "scores")
     if flow.isEmpty():
         return scores
-    total = scores.agg(F.sum("score")).first()[0] or 0.0
+    linking = written(out.select(F.col("src").alias("of"), F.lit(True).alias("links")), "linking")
+
+    def sums(rows: DataFrame):
+        """(mass, mass on hosts with links, largest change)."""
+        met = rows.join(linking, rows.host == linking.of, "left")
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        return met.agg(zero(F.sum("score")), zero(F.sum(F.when(F.col("links"), F.col("score")))), zero(F.max(F.abs(F.col("score") - F.col("before"))))).first()
+
+    total, sent, _ = sums(scores.withColumn("before", F.lit(0.0)))
     for _ in range(rounds):
-        moved = flow.join(scores, flow.src == scores.host).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        moved = written(moved, "moved")
-        sent = moved.agg(F.sum("got")).first()[0] or 0.0
+        moved = flow.join(scores, flow.src == scores.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         back = (1 - damping) + damping * (total - sent)  # teleports, and what stood on hosts without links
-        new = seeds.select("host", "s").join(moved.withColumnRenamed("dst", "host"), "host", "full_outer")
+        new = seeds.select("host", "s").join(moved, "host", "full_outer")
         new = new.join(scores.withColumnRenamed("score", "before"), "host", "full_outer").select(
             "host", F.round(F.coalesce("s", F.lit(0.0)) * back + F.lit(damping) * F.coalesce("got", F.lit(0.0)), 12).alias("score"), F.coalesce("before", F.lit(0.0)).alias("before")
         )
         new = written(new, "scores")
-        total, change = new.agg(F.coalesce(F.sum("score"), F.lit(0.0)), F.coalesce(F.max(F.abs(F.col("score") - F.col("before"))), F.lit(0.0))).first()
+        total, sent, change = sums(new)
         scores = new.where("score > 0").select("host", "score")
         if change <= tolerance:
             break
