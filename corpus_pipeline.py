@@ -15,17 +15,20 @@ from geomill.llm.shared import written
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sampler selects; rows without an id can't be drawn and stay."""
-    drawn = quality.importance_sample(docs, table(spark, sf_dir, "labels")).where("not selected").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drawn, docs["doc_id"] == drawn["_gone"], "left_anti")
+    """Documents that the importance sampler selects; a repeated id stays if one of its rows is drawn, rows without an id stay."""
+    drawn = quality.importance_sample(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.bool_or("selected").alias("kept"))
+    gone = drawn.where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near copies; rows without an id, and repeated rows of a first document, stay."""
     return neardup.keep_one(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; a text that loses nothing stays as it is written."""
+    """Texts without repeated passages. A text that loses nothing stays as it is written; of one that loses words, the kept
+    words are joined by single spaces, so its line breaks go. Null texts stay null."""
     out = substring.dedup_substrings(docs.withColumn("_kept", F.col("text")))
     text = F.when(F.col("n_removed") == 0, F.col("_kept")).otherwise(F.col("kept_text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
@@ -33,10 +36,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item; rows without an id stay."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text; null: none."""
     return bpe.encode_column(docs, VOCABULARY).select("doc_id", "lang", "source", "n_tokens", "input_ids")
 
 
