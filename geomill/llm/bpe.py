@@ -28,7 +28,7 @@ from tokenizers import normalizers
 from . import spans
 from .shared import text_of
 
-KEPT_WORDS, KEPT_PAIRS = 150_000, 300_000  # encodings (twice: new and old) and compatible pairs that a Python worker keeps
+KEPT_WORDS, KEPT_PAIRS = 100_000, 200_000  # encodings (twice: new and old) and compatible pairs that a task keeps
 END = "</w>"
 TOKEN, FINAL, CHILDREN = 0, 1, 2
 
@@ -236,6 +236,11 @@ class WordBpe:
         find = self.known.__getitem__
         return [b"".join(map(find, words)) for words in cut]
 
+    def forget(self) -> None:
+        """Lets go of what was kept: a Python worker goes on to other stages, where this would only fill its memory."""
+        self.known, self.before = {}, {}
+        self.pairs.clear()
+
     def decode(self, ids: bytes) -> str:
         """Tokens in their own spelling, with spaces between: the file names no decoder."""
         return " ".join(map(self.names.__getitem__, array("I", ids)))
@@ -253,16 +258,19 @@ def loaded(content: str) -> WordBpe:
 
 def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, bytes], tuple], kinds: list[pa.DataType], names: list[str], drop_text: bool):
     model = loaded(content())
-    for batch in batches:
-        at = batch.schema.get_field_index("_text")
-        offsets, _ = spans.buffers(batch.column(at))
-        for first, last in spans.slices(offsets, 4 * spans.SLICE_BYTES):
-            part = batch.slice(first, last - first)
-            texts = part.column(at).to_pylist()
-            rows = [row(model, ids) for ids in model.encode([t or "" for t in texts])]
-            kept = [part.column(i) for i in range(part.num_columns) if i != at or not drop_text]
-            labels = [n for i, n in enumerate(part.schema.names) if i != at or not drop_text]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=labels + names)
+    try:
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            offsets, _ = spans.buffers(batch.column(at))
+            for first, last in spans.slices(offsets, 4 * spans.SLICE_BYTES):
+                part = batch.slice(first, last - first)
+                texts = part.column(at).to_pylist()
+                rows = [row(model, ids) for ids in model.encode([t or "" for t in texts])]
+                kept = [part.column(i) for i in range(part.num_columns) if i != at or not drop_text]
+                labels = [n for i, n in enumerate(part.schema.names) if i != at or not drop_text]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=labels + names)
+    finally:
+        model.forget()
 
 
 def _run(docs: DataFrame, text_col: str, tokenizer_file: str, fields: list[T.StructField], kinds, row, keep_text: bool) -> DataFrame:
