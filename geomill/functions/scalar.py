@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 EARTH = 6378137.0
 LAT_LIMIT = 85.0
 
-# Months of the seasons (southern summer is named by its months, winter runs from December to 28 February).
+# Months of the seasons (southern summer is named by its months, winter is December and, in the next year, January to 28 February).
 # Units of sizes.
 UNITS = ("KB", "MB", "GB", "TB", "PB")
 SEASONS = {"spring": (3, 5), "summer": (6, 8), "autumn": (9, 11), "winter": (12, 2)}
@@ -86,18 +86,20 @@ def composite_id(member: Column, feature: Column) -> Column:
 
 
 def season_slices(first: dt.date, last: dt.date, seasons: list[str] | None = None) -> list[tuple[dt.date, dt.date]]:
-    """Date ranges to search: by season, else by month beyond 31 days, else as given; reversed bounds are swapped."""
+    """Date ranges to search: by season, else by month beyond 31 days, else as given; reversed bounds are swapped. A winter is
+    a December and the following January to 28 February, two ranges; a range that meets no season is searched whole."""
     first, last = min(first, last), max(first, last)
     out = []
     if seasons:
-        for year in range(first.year - 1, last.year + 1):
+        for year in range(first.year, last.year + 1):
             for name in seasons:
                 a, b = SEASONS[name]
-                start = dt.date(year, a, 1)
-                end = dt.date(year + 1, 2, 28) if name == "winter" else dt.date(year, b + 1, 1) - dt.timedelta(days=1)
-                if start <= last and end >= first:
-                    out.append((max(start, first), min(end, last)))
-        return sorted(out)
+                if name == "winter":
+                    spans = [(dt.date(year, a, 1), dt.date(year, 12, 31)), (dt.date(year + 1, 1, 1), dt.date(year + 1, b, 28))]
+                else:
+                    spans = [(dt.date(year, a, 1), dt.date(year, b + 1, 1) - dt.timedelta(days=1))]
+                out += [(max(start, first), min(end, last)) for start, end in spans if start <= last and end >= first]
+        return sorted(out) or [(first, last)]
     if (last - first).days <= 31:
         return [(first, last)]
     while first <= last:

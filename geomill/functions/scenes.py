@@ -25,22 +25,26 @@ def _span(first: Column, last: Column) -> Column:
 
 def date_slices(first: Column, last: Column, seasons: list[str] | None = None) -> Column:
     """Slices (first_day, last_day) of a range: by season, else by month if it is longer than 31 days, else whole. Reversed bounds
-    are swapped; winter runs from December to 28 February, in leap years too. A null bound gives null."""
+    are swapped. A winter is a December and the following January to 28 February, in leap years too, as two slices; a range that
+    meets no season stays whole. A single bound is a range of one day; without bounds the slices are null."""
     a, b = F.least(first, last), F.greatest(first, last)
-    known = first.isNotNull() & last.isNotNull()
+    known = first.isNotNull() | last.isNotNull()
     if not seasons:
         months = F.sequence(F.trunc(a, "month"), b, F.expr("interval 1 month"))
         cut = F.transform(months, lambda m: _span(F.greatest(m.cast("date"), a), F.least(F.last_day(m), b)))
         return F.when(known, F.when(F.datediff(b, a) <= 31, F.array(_span(a, b))).otherwise(cut))
-    years = F.sequence(F.year(a) - 1, F.year(b))
+    years = F.sequence(F.year(a), F.year(b))
 
     def of(name: str) -> Column:
         start, end = SEASONS[name]
         day = lambda y, m, d=1: F.make_date(y, F.lit(m), F.lit(d))
-        return F.transform(years, lambda y: _span(day(y, start), day(y + 1, 2, 28) if name == "winter" else F.last_day(day(y, end))))
+        if name == "winter":
+            return F.flatten(F.transform(years, lambda y: F.array(_span(day(y, start), day(y, 12, 31)), _span(day(y + 1, 1), day(y + 1, end, 28)))))
+        return F.transform(years, lambda y: _span(day(y, start), F.last_day(day(y, end))))
 
     met = F.filter(F.flatten(F.array(*(of(s) for s in seasons))), lambda s: (s["first_day"] <= b) & (s["last_day"] >= a))
-    return F.when(known, F.array_sort(F.transform(met, lambda s: _span(F.greatest(s["first_day"], a), F.least(s["last_day"], b)))))
+    cut = F.array_sort(F.transform(met, lambda s: _span(F.greatest(s["first_day"], a), F.least(s["last_day"], b))))
+    return F.when(known, F.when(F.size(cut) > 0, cut).otherwise(F.array(_span(a, b))))
 
 
 def _pick(assets: Column, names: tuple[str, ...], else_if) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .paging import newest, swap_pages
-from .spatial import cell
+from .spatial import cell, spatial_join
 
 
 def scene_search(scenes: DataFrame, box=None, slices=None, max_cloud: float | None = None, collections: list[str] | None = None) -> DataFrame:
@@ -62,9 +62,18 @@ def best_window(scenes: DataFrame) -> DataFrame:
 
 
 def swap_options(selected: DataFrame, scenes: DataFrame, offset: int = 0, limit: int = 5) -> DataFrame:
-    """Other scenes of the same tile whose boxes overlap a selected one, a page of them with totals; least cloud first."""
+    """Other scenes whose boxes overlap a selected one, a page of them with totals; least cloud first. Two known tiles must be the
+    same, so these pairs are joined on the tile; where a tile is not known, boxes are joined by grid cell."""
     s = selected.select("mgrs", *(F.col(c).alias(f"{c}_s") for c in ("id", "minx", "miny", "maxx", "maxy")))
-    met = s.join(scenes, "mgrs").where("id <> id_s and minx < maxx_s and minx_s < maxx and miny < maxy_s and miny_s < maxy")
+    held = s.columns[1:]
+    names = {f"{c}_b": c for c in held}
+
+    def by_box(some: DataFrame, others: DataFrame) -> DataFrame:
+        chosen = some.select(*held, *(F.col(f"{c}_s").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+        return spatial_join(others, chosen).select(*scenes.columns, *(F.col(b).alias(c) for b, c in names.items()))
+
+    pairs = s.join(scenes, "mgrs").unionByName(by_box(s.where("mgrs is null"), scenes)).unionByName(by_box(s.where("mgrs is not null"), scenes.where("mgrs is null")))
+    met = pairs.where("id <> id_s and minx < maxx_s and minx_s < maxx and miny < maxy_s and miny_s < maxy")
     return swap_pages(met, ["id_s"], [F.col("cloud").asc_nulls_last(), F.col("id")], offset, limit)
 
 

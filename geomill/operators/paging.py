@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .filters import prop
 
 
-def logical(df: DataFrame) -> DataFrame:
-    """One row per logical feature: box of all parts, properties of the first part, first creation, last update."""
-    return df.groupBy("collection_id", "id").agg(
+def logical(df: DataFrame, *also: str) -> DataFrame:
+    """One row per logical feature: box of all parts, properties of the first part, first creation, last update; `also` are
+    columns that all its parts share."""
+    return df.groupBy("collection_id", "id", *also).agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
         F.min_by("properties", "part_index").alias("properties"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
         F.sum((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("area"), F.count("*").alias("n_parts"),
@@ -21,12 +22,25 @@ def ordered(column: Column, descending: bool) -> Column:
     return column.desc_nulls_first() if descending else column.asc_nulls_last()
 
 
+def _page_order(sortby: str, descending: bool) -> list[Column]:
+    return [ordered(F.col("sort_key"), descending), ordered(F.col("id"), descending if sortby == "id" else False), F.col("collection_id")]
+
+
 def page(df: DataFrame, sortby: str = "id", descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of logical features by id, created_at or a property's text; ties by id. Only the page's rows are carried on."""
     limit = max(1, min(limit, 1000))
+    order = _page_order(sortby, descending)
     key = {"id": F.col("id"), "created_at": F.min("created_at")}.get(sortby)
     keyed = df.groupBy("collection_id", "id").agg((F.min_by(prop(sortby), "part_index") if key is None else F.min(key) if sortby == "id" else key).alias("sort_key"))
-    return keyed.orderBy(ordered(F.col("sort_key"), descending), ordered(F.col("id"), descending if sortby == "id" else False), "collection_id").offset(offset).limit(limit)
+    return keyed.orderBy(*order).offset(offset).limit(limit)
+
+
+def page_features(df: DataFrame, sortby: str = "id", descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
+    """The page's logical features with their `place` on it, from 1. Ids are paged first (at most 1000, broadcast), so only the
+    parts of the page's features are grouped."""
+    ids = page(df, sortby, descending, limit, offset)
+    ids = ids.select("collection_id", "id", F.row_number().over(Window.orderBy(*_page_order(sortby, descending))).alias("place"))
+    return logical(df.join(F.broadcast(ids), ["collection_id", "id"]), "place").orderBy("place")
 
 
 def page_summary(df: DataFrame, **options) -> DataFrame:

@@ -25,8 +25,8 @@ def top_endpoints(events: DataFrame, hours: int, limit: int = 40) -> DataFrame:
     return recent.groupBy("route_template").agg(F.count("*").alias("requests")).orderBy(F.desc("requests"), "route_template").limit(limit)
 
 
-def log_search(events: DataFrame, family: int | None = None, method: str | None = None, path: str | None = None, min_latency: int | None = None, page: int = 1, size: int = 50) -> DataFrame:
-    """A page of matching events, newest first."""
+def log_filter(events: DataFrame, family: int | None = None, method: str | None = None, path: str | None = None, min_latency: int | None = None) -> DataFrame:
+    """Events by status family, method, part of the route and least latency."""
     if family is not None:
         events = events.where(F.floor(F.col("status_code") / 100) == family)
     if method:
@@ -35,7 +35,18 @@ def log_search(events: DataFrame, family: int | None = None, method: str | None
         events = events.where(F.contains(F.lower("route_template"), F.lit(path.lower())))
     if min_latency is not None:
         events = events.where(F.col("latency_ms") >= min_latency)
-    return events.orderBy(F.desc("created_at"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size)
+    return events
+
+
+def log_search(events: DataFrame, page: int = 1, size: int = 50, **filters) -> DataFrame:
+    """A page of matching events (see log_filter), newest first."""
+    return log_filter(events, **filters).orderBy(F.desc("created_at"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size)
+
+
+def log_totals(events: DataFrame, size: int = 50, **filters) -> DataFrame:
+    """(total, total_pages) of the events that log_search pages through; without any there is one page."""
+    total = log_filter(events, **filters).agg(F.count("*").alias("total"))
+    return total.withColumn("total_pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)))
 
 
 def retention(events: DataFrame, days: int) -> DataFrame:

@@ -68,9 +68,22 @@ def zonal_statistics(zones: DataFrame, pixels: DataFrame, size: float = 8.0) ->
     )
 
 
+def zonal_values(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:
+    """(zone, band, value, n): how often each value stands in the pixels that are not masked."""
+    return points_in(pixels, zones, size).where("not masked and value is not null").groupBy(F.col("id_b").alias("zone"), "band", "value").agg(F.count("*").alias("n"))
+
+
 def zonal_categories(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:
     """Per zone and band: number of values, the most and the least frequent one (ties to the smaller value)."""
-    counts = points_in(pixels, zones, size).where("not masked").groupBy(F.col("id_b").alias("zone"), "band", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("zone", "band").agg(
+    return zonal_values(zones, pixels, size).groupBy("zone", "band").agg(
         F.count("*").alias("unique"), F.max_by("value", F.struct("n", -F.col("value"))).alias("majority"), F.min_by("value", F.struct("n", "value")).alias("minority")
     )
+
+
+def zonal_histogram(zones: DataFrame, pixels: DataFrame, bins: int = 10, size: float = 8.0) -> DataFrame:
+    """(zone, band, bin, n): pixels that are not masked in equal parts of their zone's and band's range; bins without pixels have no
+    row, the greatest value is in the last bin, and a range of one value is bin 0. Values are counted before they are binned."""
+    counts = zonal_values(zones, pixels, size)
+    range_ = counts.groupBy("zone", "band").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0)
+    return counts.join(range_, ["zone", "band"]).groupBy("zone", "band", place.alias("bin")).agg(F.sum("n").alias("n"))

@@ -120,6 +120,21 @@ def _(s, d):
     return pg.page(fx.parts(s, d), "priority", descending=True, limit=100, offset=50)
 
 
+@query(
+    "p1_page_features",
+    wv(
+        """WITH k AS (SELECT collection_id, id, min(priority) AS sort_key FROM parts GROUP BY 1, 2),
+ p AS (SELECT collection_id, id, row_number() OVER (ORDER BY sort_key DESC NULLS FIRST, id, collection_id) - 50 AS place FROM k)
+SELECT place, collection_id, id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n_parts
+FROM parts JOIN p USING (collection_id, id) WHERE place BETWEEN 1 AND 100 GROUP BY 1, 2, 3""",
+        "parts",
+    ),
+)
+def _(s, d):
+    found = pg.page_features(fx.parts(s, d), "priority", descending=True, limit=100, offset=50)
+    return found.select("place", "collection_id", "id", "minx", "miny", "maxx", "maxy", "n_parts")
+
+
 @query("p2_number_matched", wv("SELECT collection_id, count(DISTINCT id) AS number_matched FROM parts WHERE rank >= 10 GROUP BY 1", "parts"))
 def _(s, d):
     return fl.structured_filter(fx.parts(s, d), "rank:gte:10").groupBy("collection_id").agg(F.countDistinct("id").alias("number_matched"))

@@ -128,6 +128,20 @@ def _(s, d):
     return sp.zonal_categories(fx.zones(s, d), fx.pixels(s, d))
 
 
+@query(
+    "a6_zonal_histogram",
+    wv(
+        f"""WITH v AS (SELECT b.id AS zone, band, value FROM pixels JOIN zones b ON {IN} WHERE NOT masked),
+ w AS (SELECT *, min(value) OVER (PARTITION BY zone, band) AS low, max(value) OVER (PARTITION BY zone, band) AS high FROM v)
+SELECT zone, band, CASE WHEN high > low THEN least(CAST(floor((value - low) / (high - low) * 10) AS BIGINT), 9) ELSE 0 END AS bin, count(*) AS n FROM w GROUP BY 1, 2, 3""",
+        "pixels",
+        "zones",
+    ),
+)
+def _(s, d):
+    return sp.zonal_histogram(fx.zones(s, d), fx.pixels(s, d))
+
+
 @query(
     "a13_rescale_suggestion",
     wv(

@@ -47,6 +47,11 @@ def _(s, d):
     return rq.log_search(fx.request_events(s, d), family=4, method="get", min_latency=100, page=2).select("id", "latency_ms")
 
 
+@query("r4_log_totals", wv("SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 50.0) AS BIGINT), 1) AS total_pages FROM request_events WHERE status_code // 100 = 4 AND method = 'GET' AND latency_ms >= 100", "request_events"))
+def _(s, d):
+    return rq.log_totals(fx.request_events(s, d), family=4, method="get", min_latency=100)
+
+
 @query("r5_performance_series", wv("SELECT id, created_at, latency_ms FROM request_events WHERE route_template = (SELECT min(route_template) FROM request_events) ORDER BY created_at DESC, id DESC LIMIT 5000", "request_events"))
 def _(s, d):
     e = fx.request_events(s, d)

@@ -150,7 +150,7 @@ def _(s, d):
     return _slices(s, d)
 
 
-@query("x5_season_slices", f"WITH {_RANGES}, y AS (SELECT *, unnest(range(year(a) - 1, year(b) + 1)) AS y FROM o), t AS (SELECT *, make_date(y, 6, 1) AS s1, make_date(y, 8, 31) AS s2 FROM y UNION ALL SELECT *, make_date(y, 12, 1), make_date(y + 1, 2, 28) FROM y) SELECT o_orderkey, greatest(s1, a) AS first_day, least(s2, b) AS last_day FROM t WHERE s1 <= b AND s2 >= a")
+@query("x5_season_slices", f"WITH {_RANGES}, y AS (SELECT *, unnest(range(year(a), year(b) + 1)) AS y FROM o), t AS (SELECT *, make_date(y, 6, 1) AS s1, make_date(y, 8, 31) AS s2 FROM y UNION ALL SELECT *, make_date(y, 12, 1), make_date(y, 12, 31) FROM y UNION ALL SELECT *, make_date(y + 1, 1, 1), make_date(y + 1, 2, 28) FROM y), m AS (SELECT o_orderkey, greatest(s1, a) AS first_day, least(s2, b) AS last_day FROM t WHERE s1 <= b AND s2 >= a) SELECT * FROM m UNION ALL SELECT o_orderkey, a, b FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m)")
 def _(s, d):
     return _slices(s, d, ["summer", "winter"])
 

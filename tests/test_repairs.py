@@ -9,6 +9,7 @@ from geomill.functions import scalar as S
 from geomill.operators import filters as fl
 from geomill.operators import mosaics as mo
 from geomill.operators import requests as rq
+from geomill.operators import spatial as sp
 from geomill.operators import tables as tb
 from geomill.operators import tiles as tl
 from geomill.streaming import metrics as st
@@ -117,3 +118,19 @@ def test_minutes_are_upserted(spark, tmp_path):
     for m, w in want.items():
         assert (got[m].requests, got[m].mean_ms, got[m].s2xx) == (w.requests, w.mean_ms, w.s2xx)
         assert abs(got[m].p50_ms - w.p50_ms) <= 1 and abs(got[m].p90_ms - w.p90_ms) <= 2
+
+
+def test_swaps_without_a_tile(spark):
+    schema = "id string, mgrs string, cloud double, minx double, miny double, maxx double, maxy double"
+    rows = [("a", "T1", 1.0, 0.0, 0.0, 2.0, 2.0), ("b", "T1", 2.0, 1.0, 1.0, 3.0, 3.0), ("c", "T2", 3.0, 1.0, 1.0, 3.0, 3.0), ("d", None, 4.0, 1.0, 1.0, 3.0, 3.0), ("e", None, None, 9.0, 9.0, 9.5, 9.5), ("f", None, 0.0, 2.0, 0.0, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, schema)
+    found = lambda i: [r.id for r in mo.swap_options(df.where(f"id = '{i}'"), df).orderBy("place").collect()]
+    assert found("a") == ["b", "d"] and found("d") == ["f", "a", "b", "c"] and found("c") == ["f", "d"] and found("e") == []
+
+
+def test_histogram_of_one_value_and_log_without_rows(spark):
+    zones = spark.createDataFrame([("z", 0.0, 0.0, 1.0, 1.0)], "id string, minx double, miny double, maxx double, maxy double")
+    pixels = spark.createDataFrame([(0.1, 0.1, 1, 5.0, False), (0.2, 0.2, 1, 5.0, False), (0.2, 0.3, 1, None, False), (0.3, 0.3, 1, 9.0, True)], "lon double, lat double, band int, value double, masked boolean")
+    assert [(r.bin, r.n) for r in sp.zonal_histogram(zones, pixels).collect()] == [(0, 2)]
+    events = spark.createDataFrame([(1, 200)], "id int, status_code int")
+    assert [tuple(r) for r in rq.log_totals(events, family=5).collect()] == [(0, 1)] and [tuple(r) for r in rq.log_totals(events).collect()] == [(1, 1)]
