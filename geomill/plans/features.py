@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as cg
 from ..operators import filters as fl
 from ..operators import paging as pg
 from ..operators import tables as tb
@@ -110,6 +111,30 @@ def _(s, d):
     return collections(s, d).where("visibility = 'public'").where(hit).orderBy("title", "id").limit(50).select("id", "title")
 
 
+EXTENTS = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS title, c_mktsegment AS description, CASE c_nationkey % 2 WHEN 0 THEN 'vector' ELSE 'raster' END AS collection_type,
+ CASE c_custkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'logged' ELSE 'private' END AS visibility, CAST(c_custkey % 360 - 180 AS DOUBLE) AS minx, CAST(c_custkey % 360 - 175 AS DOUBLE) AS maxx,
+ CAST(c_custkey % 170 - 85 AS DOUBLE) AS miny, CAST(c_custkey % 170 - 80 AS DOUBLE) AS maxy FROM customer"""
+CHOSEN = """visibility = 'public' AND collection_type = 'vector' AND (contains(lower(id), 'i') OR contains(lower(title), 'i') OR contains(lower(description), 'i'))
+ AND minx <= 60 AND maxx >= -120 AND miny <= 60 AND maxy >= -60 AND id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)"""
+
+
+def chosen(s, d):
+    tiled = fx.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("id"))
+    return s.sql(EXTENTS.replace("VARCHAR", "STRING").replace("FROM customer", "FROM {customer}"), customer=fx.table(s, d, "customer")).where("visibility = 'public'"), dict(q=" I ", box=(-120.0, -60.0, 60.0, 60.0), kind="vector", tiled=tiled)
+
+
+@query("f14_collections_page", f"SELECT id, title, description FROM ({EXTENTS}) WHERE {CHOSEN} ORDER BY description DESC NULLS FIRST, id LIMIT 20 OFFSET 3")
+def _(s, d):
+    found, filters = chosen(s, d)
+    return cg.collections_list(found, "description", descending=True, limit=20, offset=3, **filters).select("id", "title", "description")
+
+
+@query("f14_collections_count", f"SELECT collection_type, count(*) AS n FROM ({EXTENTS}) WHERE {CHOSEN} GROUP BY 1")
+def _(s, d):
+    found, filters = chosen(s, d)
+    return cg.collections_matching(found, **filters).groupBy("collection_type").agg(F.count("*").alias("n"))
+
+
 @query("f15_visible_to", f"SELECT id FROM ({COLLECTIONS}) c WHERE visibility IN ('public', 'logged') OR owner = '7' OR EXISTS (SELECT 1 FROM supplier WHERE CAST(s_suppkey AS VARCHAR) = c.id AND s_nationkey = 7)")
 def _(s, d):
     return fl.visible_to(collections(s, d), shares(s, d), "7").select("id")
@@ -279,6 +304,20 @@ def _(s, d):
     return tb.storage_usage(files(s, d))
 
 
+@query(
+    "a9_usage_by_owner",
+    f"""WITH f AS (SELECT owner, length, ['db', 'tiles', 'raster', 'log'][p_partkey % 4 + 1] AS k FROM ({FILES})),
+ p AS (SELECT owner, CASE owner WHEN 'gone' THEN 'orphan' ELSE 'collection' END AS owner_kind, CAST(coalesce(sum(length) FILTER (k = 'db'), 0) AS BIGINT) AS db_bytes,
+ CAST(coalesce(sum(length) FILTER (k = 'tiles'), 0) AS BIGINT) AS tiles_bytes, CAST(coalesce(sum(length) FILTER (k = 'raster'), 0) AS BIGINT) AS raster_bytes,
+ CAST(coalesce(sum(length) FILTER (k = 'log'), 0) AS BIGINT) AS other_bytes, CAST(sum(length) AS BIGINT) AS total_bytes FROM f GROUP BY 1)
+SELECT * FROM p UNION ALL SELECT NULL, 'total', CAST(sum(db_bytes) AS BIGINT), CAST(sum(tiles_bytes) AS BIGINT), CAST(sum(raster_bytes) AS BIGINT), CAST(sum(other_bytes) AS BIGINT), CAST(sum(total_bytes) AS BIGINT) FROM p""",
+)
+def _(s, d):
+    kinds = F.element_at(F.array(*map(F.lit, ("db", "tiles", "raster", "log"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    owners = fx.table(s, d, "part").select(F.col("p_type").alias("owner"), F.lit("collection").alias("kind")).distinct()
+    return cg.usage_by_owner(files(s, d).withColumn("kind", kinds), owners).drop("total_size")
+
+
 @query("b9_j6_orphan_files", f"SELECT p_partkey, path FROM ({FILES}) WHERE owner = 'gone' AND modified <= (SELECT max(modified) FROM ({FILES})) - INTERVAL 24 HOUR")
 def _(s, d):
     owners = fx.table(s, d, "part").select(F.col("p_type").alias("owner"))
