@@ -209,7 +209,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens that a text spells out."""
-        if self.special_at is None or "<|" not in text:
+        if not any(s in text for s in self.special):
             return self.split(text)
         out: list[str | int] = []
         for k, part in enumerate(self.special_at.split(text)):
@@ -256,31 +256,40 @@ def loaded(content: str) -> WordBpe:
     return _LOADED[key]
 
 
-def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, bytes], tuple], kinds: list[pa.DataType], names: list[str], drop_text: bool):
+def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, bytes], tuple], kinds: list[pa.DataType], names: list[str], text_at: str):
+    """Rows of `row` beside the columns of a batch other than `text_at`, the texts' own."""
     model = loaded(content())
     try:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index(text_at)
             offsets, _ = spans.buffers(batch.column(at))
             for first, last in spans.slices(offsets, 4 * spans.SLICE_BYTES):
                 part = batch.slice(first, last - first)
                 texts = part.column(at).to_pylist()
                 rows = [row(model, ids) for ids in model.encode([t or "" for t in texts])]
-                kept = [part.column(i) for i in range(part.num_columns) if i != at or not drop_text]
-                labels = [n for i, n in enumerate(part.schema.names) if i != at or not drop_text]
+                kept = [part.column(i) for i in range(part.num_columns) if i != at]
+                labels = [n for n in part.schema.names if n != text_at]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=labels + names)
     finally:
         model.forget()
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores before it as it takes not to be one of `columns`; Spark's names ignore case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def _run(docs: DataFrame, text_col: str, tokenizer_file: str, fields: list[T.StructField], kinds, row, keep_text: bool) -> DataFrame:
     with open(tokenizer_file, encoding="utf-8") as f:  # a vocabulary file: read once by the driver
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     names = [f.name for f in fields]
-    others = [c for c in docs.columns if c not in names and c != "_text" and (keep_text or c != text_col)]
-    frame = docs.select(*(F.col(f"`{c}`") for c in others), text_of(f"`{text_col}`").alias("_text"))
+    others, text_at = [c for c in docs.columns if c not in names and (keep_text or c != text_col)], _unused("_text", docs.columns)
+    frame = docs.select(*(F.col(f"`{c}`") for c in others), text_of(f"`{text_col}`").alias(text_at))
     schema = T.StructType([*frame.select(*(f"`{c}`" for c in others)).schema.fields, *fields])
-    return frame.mapInArrow(lambda b: _over_slices(b, lambda: content.value, row, kinds, names, True), schema)
+    return frame.mapInArrow(lambda b: _over_slices(b, lambda: content.value, row, kinds, names, text_at), schema)
 
 
 def encode_column(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
@@ -290,17 +299,19 @@ def encode_column(docs: DataFrame, tokenizer_file: str, text_col: str = "text")
 
 
 def decode_column(encoded: DataFrame, tokenizer_file: str, ids_col: str = "input_ids", out_col: str = "decoded") -> DataFrame:
-    """`encoded` with the decoded text of an array<int> column; null ids: empty text."""
+    """`encoded` with the decoded text of an array<int> column; null ids: empty text. A column `out_col` is replaced."""
     with open(tokenizer_file, encoding="utf-8") as f:
         content = encoded.sparkSession.sparkContext.broadcast(f.read())
-    frame = encoded.drop(out_col).withColumn("_ids", F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")))
-    schema = T.StructType([*encoded.drop(out_col).schema.fields, T.StructField(out_col, T.StringType())])
+    others, ids_at = [c for c in encoded.columns if c != out_col], _unused("_ids", encoded.columns)
+    ids = F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>"))
+    frame = encoded.select(*(F.col(f"`{c}`") for c in others), ids.alias(ids_at))
+    schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField(out_col, T.StringType())])
 
     def run(batches):
         model = loaded(content.value)
         for b in batches:
-            texts = [" ".join(map(model.names.__getitem__, x)) for x in b.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], schema=pa.schema([*list(b.schema)[:-1], (out_col, pa.string())]))
+            texts = [" ".join(map(model.names.__getitem__, x)) for x in b.column(ids_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*others, out_col])
 
     return frame.mapInArrow(run, schema)
 
