@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .paging import newest, swap_pages
+from .quantiles import quantiles
 from .spatial import cell, spatial_join
 
 
@@ -104,7 +105,8 @@ def classify(samples: DataFrame, classes: DataFrame, nodata: float) -> DataFrame
 
 def rescale_suggestion(pixels: DataFrame) -> DataFrame:
     """Per raster: the least 2nd and the greatest 98th percentile over bands, as text; none if they don't span a range."""
-    bands = pixels.where("not masked").groupBy("raster_id", "band").agg(F.percentile("value", F.lit(0.02)).alias("lo"), F.percentile("value", F.lit(0.98)).alias("hi"))
+    counts = pixels.where("not masked").groupBy("raster_id", "band", "value").agg(F.count("*").alias("n"))
+    bands = quantiles(counts, ["raster_id", "band"], {"lo": 0.02, "hi": 0.98})
     both = bands.groupBy("raster_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("hi > lo")
     return both.select("raster_id", F.concat(F.round("lo").cast("long").cast("string"), F.lit(","), F.round("hi").cast("long").cast("string")).alias("rescale"))
 

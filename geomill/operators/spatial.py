@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from .quantiles import quantiles
+
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -57,20 +60,39 @@ def clip(df: DataFrame, other: str = "_b") -> DataFrame:
     return out.withColumn("area", (F.col("ix2") - F.col("ix1")) * (F.col("iy2") - F.col("iy1"))).where("ix2 > ix1 and iy2 > iy1")
 
 
-def zonal_statistics(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:
-    """Per zone and band: counts, min, max, mean, sum, deviation, median and percentiles of the pixels that are not masked."""
+def pixels_in(pixels: DataFrame, zones: DataFrame, size: float) -> DataFrame:
+    """Pixels with the zones (suffix _b) that hold their centres; zones are polygons where they have `rings`, else boxes."""
     met = points_in(pixels, zones, size)
-    v = F.when(~F.col("masked"), F.col("value"))
-    return met.groupBy(F.col("id_b").alias("zone"), "band").agg(
-        F.count(v).alias("valid_pixels"), F.count_if("masked").alias("masked_pixels"), F.round(F.count(v) * 100.0 / F.count("*"), 6).alias("valid_percent"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"), F.sum(v).alias("sum"), F.round(F.stddev_pop(v), 6).alias("std"),
-        F.percentile(v, F.lit(0.5)).alias("median"), F.round(F.percentile(v, F.lit(0.02)), 6).alias("percentile_2"), F.round(F.percentile(v, F.lit(0.98)), 6).alias("percentile_98"),
+    return met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat"))) if "rings" in zones.columns else met
+
+
+def zonal_statistics(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:
+    """Per zone and band: counts, min, max, mean, sum, deviation, median and percentiles of the pixels that are not masked.
+
+    Pixels are counted by value before anything else, so a zone of any size is spread over tasks.
+    """
+    keys, v, n = ["zone", "band"], F.col("value"), F.col("n")
+    met = pixels_in(pixels, zones, size).select(F.col("id_b").alias("zone"), "band", F.when(~F.col("masked"), F.col("value")).alias("value"), "masked")
+    counts = met.groupBy(*keys, "masked", "value").agg(F.count("*").alias("n"))
+    valid = F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
+    stats = counts.groupBy(*keys).agg(
+        valid.alias("valid_pixels"), F.coalesce(F.sum(F.when(F.col("masked"), n)), F.lit(0)).alias("masked_pixels"), F.round(valid * 100.0 / F.sum(n), 6).alias("valid_percent"),
+        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))).alias("mean"), F.sum(v * n).alias("sum"),
     )
+    means = stats.select(F.col("zone").alias("of_zone"), F.col("band").alias("of_band"), F.col("mean"))
+    same = F.col("zone").eqNullSafe(F.col("of_zone")) & F.col("band").eqNullSafe(F.col("of_band"))
+    spread = counts.join(means, same).groupBy(*keys).agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(F.when(v.isNotNull(), n))).alias("std"))
+    shares = {"median": 0.5, "percentile_2": 0.02, "percentile_98": 0.98}
+    out = stats
+    for more in (spread, quantiles(counts, keys, shares)):
+        more = more.withColumnsRenamed({"zone": "of_zone", "band": "of_band"})
+        out = out.join(more, same, "left").drop("of_zone", "of_band")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "percentile_2", "percentile_98")})
 
 
 def zonal_values(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:
     """(zone, band, value, n): how often each value stands in the pixels that are not masked."""
-    return points_in(pixels, zones, size).where("not masked and value is not null").groupBy(F.col("id_b").alias("zone"), "band", "value").agg(F.count("*").alias("n"))
+    return pixels_in(pixels, zones, size).where("not masked and value is not null").groupBy(F.col("id_b").alias("zone"), "band", "value").agg(F.count("*").alias("n"))
 
 
 def zonal_categories(zones: DataFrame, pixels: DataFrame, size: float = 8.0) -> DataFrame:

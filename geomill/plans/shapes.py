@@ -162,3 +162,34 @@ def _(s, d):
 def _(s, d):
     met = sp.points_in(fx.points(s, d), lots(s, d))
     return met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat"))).select("id", "id_b")
+
+
+_BELOW = "(p.lon - z.minx) * (z.maxy - z.miny) + (p.lat - z.miny) * (z.maxx - z.minx) <= (z.maxx - z.minx) * (z.maxy - z.miny)"
+_IN_TRIANGLE = f"FROM pixels p JOIN zones z ON p.lon BETWEEN z.minx AND z.maxx AND p.lat BETWEEN z.miny AND z.maxy AND {_BELOW}"
+
+
+def triangles(s, d):
+    """The lower left halves of the zones."""
+    corners = F.array("minx", "miny", "maxx", "miny", "minx", "maxy", "minx", "miny")
+    return fx.zones(s, d).withColumn("rings", F.array(corners))
+
+
+@query(
+    "a6_zonal_polygons",
+    wv(
+        f"""SELECT z.id AS zone, band, count(*) FILTER (NOT masked) AS valid_pixels, count(*) FILTER (masked) AS masked_pixels,
+ round(count(*) FILTER (NOT masked) * 100.0 / count(*), 6) AS valid_percent, min(value) FILTER (NOT masked) AS min, max(value) FILTER (NOT masked) AS max,
+ round(avg(value) FILTER (NOT masked), 6) AS mean, sum(value) FILTER (NOT masked) AS sum, round(stddev_pop(value) FILTER (NOT masked), 6) AS std,
+ quantile_cont(value, 0.5) FILTER (NOT masked) AS median, round(quantile_cont(value, 0.02) FILTER (NOT masked), 6) AS percentile_2,
+ round(quantile_cont(value, 0.98) FILTER (NOT masked), 6) AS percentile_98 {_IN_TRIANGLE} GROUP BY 1, 2""",
+        "pixels",
+        "zones",
+    ),
+)
+def _(s, d):
+    return sp.zonal_statistics(triangles(s, d), fx.pixels(s, d))
+
+
+@query("a6_zonal_unique_values", wv(f"SELECT z.id AS zone, band, value, count(*) AS n {_IN_TRIANGLE} WHERE NOT masked GROUP BY 1, 2, 3", "pixels", "zones"))
+def _(s, d):
+    return sp.zonal_values(triangles(s, d), fx.pixels(s, d))
