@@ -115,3 +115,15 @@ def homogenize(parts: Column) -> Column:
     kinds = F.array_distinct(F.transform(parts, lambda p: p["kind"]))
     one = F.get(kinds, 0)
     return F.when(F.size(kinds) != 1, F.lit("GeometryCollection")).when(F.size(parts) == 1, one).otherwise(F.concat(F.lit("Multi"), one))
+
+
+def rings_of(kind: Column, coordinates: Column) -> Column:
+    """Rings of a polygon's GeoJSON coordinates, without heights; null for other kinds and for text that is none."""
+    shape = F.from_json(coordinates, "array<array<array<double>>>")
+    return F.when(kind == "Polygon", F.transform(shape, lambda ring: F.flatten(F.transform(ring, lambda p: F.slice(p, 1, 2)))))
+
+
+def coordinates_of(rings: Column) -> Column:
+    """GeoJSON coordinates of a polygon."""
+    points = lambda ring: F.transform(F.filter(F.sequence(F.lit(0), F.size(ring)), lambda i: (i % 2 == 0) & (i + 1 < F.size(ring))), lambda i: F.slice(ring, i + 1, 2))
+    return F.to_json(F.transform(rings, points))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import coordinates_of, rings_of
 from .filters import OPS, condition, properties_map
 from .paging import newest
 
@@ -118,7 +119,7 @@ def parse_features(texts: DataFrame, collection_id: str, job: str | None = None)
     """(features, rejects) of texts(value) of one feature each, batch or stream. Blank texts are skipped; bad JSON and missing
     geometry are rejects.
 
-    Multi geometries become parts. A part keeps its coordinates as JSON text and its box.
+    Multi geometries become parts. A part keeps its coordinates as JSON text and its box; a polygon has its rings as well.
     """
     lines = texts.where(F.trim("value") != "")
     schema = "type string, id string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
@@ -138,6 +139,7 @@ def parse_features(texts: DataFrame, collection_id: str, job: str | None = None)
     rows = rows.withColumn("_n", numbers(F.col("coordinates")))
     for name, at, f in (("minx", 0, F.array_min), ("miny", 1, F.array_min), ("maxx", 0, F.array_max), ("maxy", 1, F.array_max)):
         rows = rows.withColumn(name, f(F.transform("_n", _nth(at))))
+    rows = rows.withColumn("rings", rings_of(F.col("kind"), F.col("coordinates")))
     return rows.drop("_n"), parsed.where(~F.coalesce(good, F.lit(False))).select("value")
 
 
@@ -146,7 +148,10 @@ def _nth(at: int):
 
 
 def write_geojsonl(df: DataFrame, path: str) -> None:
-    """One feature per line from columns id, kind, coordinates and properties, sorted by id and part."""
+    """One feature per line from columns id, kind, coordinates and properties, sorted by id and part. Without coordinates, features
+    are polygons of their rings."""
+    if "coordinates" not in df.columns:
+        df = df.withColumns({"kind": F.lit("Polygon"), "coordinates": coordinates_of(F.col("rings"))})
     text = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c))), r"(?s)^\[(.*)\]$", "$1")  # noqa: E731  a JSON string, or null
     geometry = F.coalesce(F.concat(F.lit('{"type":'), text("kind"), F.lit(',"coordinates":'), F.col("coordinates"), F.lit("}")), F.lit("null"))
     line = F.concat(F.lit('{"type":"Feature","id":'), text("id"), F.lit(',"geometry":'), geometry, F.lit(',"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import overlay as ov
 from ..operators import spatial as sp
+from ..operators import tables as tb
 from ..sources import fixtures as fx
+from ..sources import readers as rd
 from ..sources.fixtures import with_views as wv
+from ..sources.readers import shared_path
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -193,3 +196,39 @@ def _(s, d):
 @query("a6_zonal_unique_values", wv(f"SELECT z.id AS zone, band, value, count(*) AS n {_IN_TRIANGLE} WHERE NOT masked GROUP BY 1, 2, 3", "pixels", "zones"))
 def _(s, d):
     return sp.zonal_values(triangles(s, d), fx.pixels(s, d))
+
+
+_FRAMES = "SELECT id, 2 AS n_rings, round((maxx - minx) * (maxy - miny) * 3 / 4, 6) AS area, round(minx + (maxx - minx) / 4, 6) AS hole_x FROM parcels"
+
+
+def frames(s, d):
+    """Parcels with a hole of half their width and height in the middle."""
+    w, h = (F.col("maxx") - F.col("minx")) / 4, (F.col("maxy") - F.col("miny")) / 4
+    x1, y1, x2, y2 = F.col("minx") + w, F.col("miny") + h, F.col("maxx") - w, F.col("maxy") - h
+    hole = F.array(x1, y1, x1, y2, x2, y2, x2, y1, x1, y1)
+    return fx.parcels(s, d).withColumn("rings", F.concat(G.box_rings(*sp.BOX), F.array(hole)))
+
+
+def framed(read):
+    rings = F.col("rings")
+    return read.select("id", F.size(rings).alias("n_rings"), F.round(G.planar_area(rings), 6).alias("area"), F.round(F.get(F.get(rings, 1), 0), 6).alias("hole_x"))
+
+
+@query("s1_s4_polygons", wv(_FRAMES, "parcels"))
+def _(s, d):
+    """Polygons with holes are written as GeoJSON lines and read back as rings."""
+    path = shared_path(s, "polygons")
+    tb.write_geojsonl(frames(s, d).select("id", F.lit(0).alias("part_index"), "rings", F.lit("{}").alias("properties")), path)
+    return framed(tb.read_geojsonl(s, path, "parcels")[0])
+
+
+@query("s3_kml_polygons", wv(_FRAMES, "parcels"))
+def _(s, d):
+    """The same polygons as placemarks, those of odd ids within a MultiGeometry."""
+    path, ring = shared_path(s, "placemarks"), F.col("rings")
+    text = lambda r: F.struct(F.array_join(F.transform(F.sequence(F.lit(1), F.size(r), F.lit(2)), lambda i: F.concat_ws(",", *(F.element_at(r, i + k).cast("string") for k in (0, 1)))), " ").alias("coordinates"))
+    border = lambda k: F.struct(text(F.get(ring, k)).alias("LinearRing"))
+    area, odd = F.struct(border(0).alias("outerBoundaryIs"), F.array(border(1)).alias("innerBoundaryIs")), F.col("id").cast("long") % 2 == 1
+    marks = frames(s, d).select(F.col("id").alias("_id"), F.when(~odd, area).alias("Polygon"), F.when(odd, F.struct(F.array(area).alias("Polygon"))).alias("MultiGeometry"))
+    marks.write.format("xml").option("rootTag", "kml").option("rowTag", "Placemark").save(path)
+    return framed(rd.read_kml(s, path, "parcels"))

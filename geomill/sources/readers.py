@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +34,31 @@ def read_geojson(spark: SparkSession, path: str, collection_id: str, job: str |
 
 
 def read_kml(spark: SparkSession, path: str, collection_id: str) -> DataFrame:
-    """Points, lines and polygons of placemarks: id, collection_id, part_index, kind, coordinates (flat x, y), box, properties.
+    """Points, lines and polygons of placemarks: id, collection_id, part_index, kind, properties, coordinates (flat x, y; of a
+    polygon the outer ring), rings (of polygons), box.
 
-    An id falls back to a hash of the placemark. A polygon keeps its outer ring.
+    An id falls back to a hash of the placemark. The parts of a MultiGeometry become parts; one within another is not read.
     """
-    ring = "outerBoundaryIs struct<LinearRing:struct<coordinates:string>>"
-    schema = f"_id string, name string, description string, Point struct<coordinates:string>, LineString struct<coordinates:string>, Polygon struct<{ring.replace(' ', ':', 1)}>"
+    ring = "struct<LinearRing:struct<coordinates:string>>"
+    place, area = "struct<coordinates:string>", f"struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"
+    many = f"struct<Point:array<{place}>,LineString:array<{place}>,Polygon:array<{area}>>"
+    schema = f"_id string, name string, description string, Point {place}, LineString {place}, Polygon {area}, MultiGeometry {many}"
     marks = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    kinds = {"Point": F.col("Point.coordinates"), "LineString": F.col("LineString.coordinates"), "Polygon": F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")}
-    each = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in kinds.items())), lambda g: g["text"].isNotNull())
-    pairs = F.split(F.trim("text"), r"\s+")
-    flat = F.flatten(F.transform(pairs, lambda p: F.transform(F.slice(F.split(p, ","), 1, 2), lambda v: v.try_cast("double"))))
+
+    def part(kind: str, g):
+        if kind != "Polygon":
+            return F.struct(F.lit(kind).alias("kind"), F.array(g["coordinates"]).alias("texts"))
+        holes = F.transform(g["innerBoundaryIs"], lambda h: h["LinearRing"]["coordinates"])
+        rings = F.concat(F.array(g["outerBoundaryIs"]["LinearRing"]["coordinates"]), F.coalesce(holes, F.array().cast("array<string>")))
+        return F.struct(F.lit(kind).alias("kind"), rings.alias("texts"))
+
+    kinds, none = ("Point", "LineString", "Polygon"), F.array().cast("array<struct<kind:string,texts:array<string>>>")
+    inner = [F.coalesce(F.transform(F.col(f"MultiGeometry.{k}"), partial(part, k)), none) for k in kinds]
+    each = F.filter(F.concat(F.array(*(part(k, F.col(k)) for k in kinds)), *inner), lambda g: F.get(g["texts"], 0).isNotNull())
+    flat = lambda text: F.flatten(F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.transform(F.slice(F.split(p, ","), 1, 2), lambda v: v.try_cast("double"))))
     props = F.to_json(F.struct("name", "description"))
     rows = marks.select(F.coalesce("_id", F.sha2(F.to_json(F.struct("*")), 256)).alias("id"), F.lit(collection_id).alias("collection_id"), props.alias("properties"), F.posexplode(each).alias("part_index", "g"))
-    rows = rows.select("id", "collection_id", "part_index", "g.kind", "g.text", "properties").withColumn("coordinates", flat).drop("text")
+    rows = rows.select("id", "collection_id", "part_index", "g.kind", "properties", flat(F.get("g.texts", 0)).alias("coordinates"), F.when(F.col("g.kind") == "Polygon", F.transform("g.texts", flat)).alias("rings"))
     side = lambda odd: F.filter("coordinates", lambda _, i: i % 2 == odd)
     box = {"minx": F.array_min(side(0)), "miny": F.array_min(side(1)), "maxx": F.array_max(side(0)), "maxy": F.array_max(side(1))}
     return rows.withColumns(box)
