@@ -118,7 +118,8 @@ def test_preview_of_padding_only_has_no_row(spark):
 def test_winter_ends_on_28_february(spark):
     df = spark.createDataFrame([(dt.date(2024, 3, 9), dt.date(2023, 12, 20)), (None, dt.date(2024, 1, 1))], "a date, b date")
     got = df.select(sc.date_slices(F.col("a"), F.col("b"), ["winter"]).alias("s")).collect()
-    assert [tuple(x) for x in got[0].s] == [(dt.date(2023, 12, 20), dt.date(2024, 2, 28))] and got[1].s is None
+    assert [tuple(x) for x in got[0].s] == [(dt.date(2023, 12, 20), dt.date(2023, 12, 31)), (dt.date(2024, 1, 1), dt.date(2024, 2, 28))]
+    assert [tuple(x) for x in got[1].s] == [(dt.date(2024, 1, 1), dt.date(2024, 1, 1))]
 
 
 def test_item_fallbacks(spark, tmp_path):
