@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -20,10 +21,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import normalizers
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from . import spans
 from .shared import text_of
@@ -43,32 +45,13 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-# Letters and digits that regex knows and the tokenizers library's older character table does not.
-NEWER = (
-    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF"
-    r"\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1\U00016EA0-\U00016EB8"
-    r"\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
-    r"\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81"
-    r"\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED"
-    r"\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+#: Code points whose kind, case and composition have stood since Unicode 3.0, so every library agrees on them. A text with any
+#: other one is normalised and cut by the tokenizers library itself, whatever Unicode version it was built with.
+SETTLED = (
+    r"\u0000-\u0220\u0222-\u0233\u0391-\u03A1\u03A3-\u03A9\u03B1-\u03C9\u0410-\u044F\u0401\u0451\u2010-\u2027\u2030-\u2046\u20AC\u2190-\u2199"
+    r"\u3001-\u3003\u3008-\u3011\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3"
 )
-# Capitals that Python's older character table does not lower.
-CAPITALS = r"\u1C89\uA7CB-\uA7CE\uA7D2-\uA7DC\U00010D50-\U00010D65\U00016EA0-\U00016EB8"
-
-
-def newer_pattern(pattern: str) -> regex.Pattern:
-    """The file's pattern, in which NEWER counts as neither letters nor digits."""
-    for kind in (r"\p{L}", r"\p{N}"):
-        pattern = pattern.replace(kind, f"[{kind}--[{NEWER}]]")
-    return regex.compile(pattern, regex.V1)
-
-
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+unsettled = re.compile(f"[^{SETTLED}]").search
 
 
 class WordBpe:
@@ -83,10 +66,11 @@ class WordBpe:
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], n) for n, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words_of = regex.compile(pattern).findall
-        self.words_with_newer = newer_pattern(pattern).findall
-        self.has_newer = regex.compile(f"[{NEWER}{CAPITALS}]").search
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words_of = regex.compile(split["pattern"]["Regex"]).findall
+        cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        normalize = Tokenizer.from_str(content).normalizer.normalize_str
+        self.library_words = lambda text: [word for word, _ in cut.pre_tokenize_str(normalize(text))]
         self.letters = byte_letters()
         self.size = {i: len(t.removesuffix(END)) for t, i in self.vocab.items()}
         self.names = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
@@ -199,13 +183,12 @@ class WordBpe:
         raise ValueError("no token at a word's end")
 
     def split(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-            if not _is_latin(text) and self.has_newer(text):
-                return self.words_with_newer(normalizers.Lowercase().normalize_str(text))
-            return self.words_of(text)
-        return self.words_of(text.lower())
+        if text.isascii():
+            return self.words_of(text.lower())
+        if unsettled(text):
+            return self.library_words(text)
+        text = unicodedata.normalize("NFC", text)
+        return self.words_of(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
 
     def pieces(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens that a text spells out."""
@@ -256,9 +239,9 @@ def loaded(content: str) -> WordBpe:
     return _LOADED[key]
 
 
-def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, bytes], tuple], kinds: list[pa.DataType], names: list[str], text_at: str):
-    """Rows of `row` beside the columns of a batch other than `text_at`, the texts' own."""
-    model = loaded(content())
+def over_slices(batches, load: Callable, row: Callable[[object, bytes], tuple], kinds: list[pa.DataType], names: list[str], text_at: str):
+    """Rows of `row` beside the columns of a batch other than `text_at`, the texts' own; `load` gives the model."""
+    model = load()
     try:
         for batch in batches:
             at = batch.schema.get_field_index(text_at)
@@ -274,7 +257,7 @@ def _over_slices(batches, content: Callable[[], str], row: Callable[[WordBpe, by
         model.forget()
 
 
-def _unused(name: str, columns: list[str]) -> str:
+def unused(name: str, columns: list[str]) -> str:
     """`name`, with as many underscores before it as it takes not to be one of `columns`; Spark's names ignore case."""
     taken = {c.lower() for c in columns}
     while name in taken:
@@ -282,38 +265,42 @@ def _unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def _run(docs: DataFrame, text_col: str, tokenizer_file: str, fields: list[T.StructField], kinds, row, keep_text: bool) -> DataFrame:
-    with open(tokenizer_file, encoding="utf-8") as f:  # a vocabulary file: read once by the driver
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+def run(docs: DataFrame, text_col: str, content: Broadcast, load: Callable, fields: list[T.StructField], kinds, row, keep_text: bool) -> DataFrame:
+    """`docs` with the columns `fields` that `row` makes of a model (`load` of the vocabulary file's content) and the ids of a text."""
     names = [f.name for f in fields]
-    others, text_at = [c for c in docs.columns if c not in names and (keep_text or c != text_col)], _unused("_text", docs.columns)
+    others, text_at = [c for c in docs.columns if c not in names and (keep_text or c != text_col)], unused("_text", docs.columns)
     frame = docs.select(*(F.col(f"`{c}`") for c in others), text_of(f"`{text_col}`").alias(text_at))
     schema = T.StructType([*frame.select(*(f"`{c}`" for c in others)).schema.fields, *fields])
-    return frame.mapInArrow(lambda b: _over_slices(b, lambda: content.value, row, kinds, names, text_at), schema)
+    return frame.mapInArrow(lambda b: over_slices(b, lambda: load(content.value), row, kinds, names, text_at), schema)
+
+
+def vocabulary(spark: SparkSession, tokenizer_file: str) -> Broadcast:
+    """A vocabulary file, read once by the driver."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encode_column(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
     """`docs` with input_ids (array<int>) and n_tokens; null text: empty. A column of one of these names is replaced."""
     fields = [T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
-    return _run(docs, text_col, tokenizer_file, fields, [pa.list_(pa.int32()), pa.int64()], lambda m, ids: (np.frombuffer(ids, np.int32), len(ids) // 4), True)
+    return run(docs, text_col, vocabulary(docs.sparkSession, tokenizer_file), loaded, fields, [pa.list_(pa.int32()), pa.int64()], lambda m, ids: (np.frombuffer(ids, np.int32), len(ids) // 4), True)
 
 
 def decode_column(encoded: DataFrame, tokenizer_file: str, ids_col: str = "input_ids", out_col: str = "decoded") -> DataFrame:
     """`encoded` with the decoded text of an array<int> column; null ids: empty text. A column `out_col` is replaced."""
-    with open(tokenizer_file, encoding="utf-8") as f:
-        content = encoded.sparkSession.sparkContext.broadcast(f.read())
-    others, ids_at = [c for c in encoded.columns if c != out_col], _unused("_ids", encoded.columns)
+    content = vocabulary(encoded.sparkSession, tokenizer_file)
+    others, ids_at = [c for c in encoded.columns if c != out_col], unused("_ids", encoded.columns)
     ids = F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>"))
     frame = encoded.select(*(F.col(f"`{c}`") for c in others), ids.alias(ids_at))
     schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField(out_col, T.StringType())])
 
-    def run(batches):
+    def spell(batches):
         model = loaded(content.value)
         for b in batches:
             texts = [" ".join(map(model.names.__getitem__, x)) for x in b.column(ids_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*others, out_col])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(spell, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,4 +315,4 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()
 
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return _run(frame, "text", tokenizer_file, fields, [pa.int64(), pa.string(), pa.string()], row, False)
+    return run(frame, "text", vocabulary(docs.sparkSession, tokenizer_file), loaded, fields, [pa.int64(), pa.string(), pa.string()], row, False)
