@@ -10,11 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, media, neardup, quality, sharding, substring, urlgraph, warc
+from . import bpe, chat, decontam, media, neardup, pieces, quality, sharding, substring, urlgraph, warc
 from .shared import shared_dir
 
-#: The vocabulary file of the queries.
+#: The vocabulary files of the queries.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARD_NAMES = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
 
 
@@ -92,8 +93,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_digest(substring.dedup_substrings(docs))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings)
+    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings, op13_pieces)
     return {f.__name__: f for f in own}
 
 
