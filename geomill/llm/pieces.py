@@ -61,6 +61,7 @@ class PieceBpe:
         for b, i in self.of_byte.items():
             self.spelling[i] = bytes([b])
         self.spelling[spec.trainer_spec.unk_id] = spec.trainer_spec.unk_surface.encode()
+        self.silent = np.array([not x for x in self.spelling])
         self.chunks_of = re.compile(" +[^ ]*").findall
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -120,9 +121,11 @@ class PieceBpe:
 
     def decode(self, ids: bytes) -> str:
         """The pieces' spelling without the marker before the first word; bytes that form no character become U+FFFD each."""
-        tokens = array("I", ids)
-        text = b"".join(map(self.spelling.__getitem__, tokens)).decode("utf-8", "one-by-one")
-        first = next((t for t in tokens if self.spelling[t]), None)
+        tokens = np.frombuffer(ids, "<u4")
+        cuts = np.flatnonzero(self.silent[tokens]).tolist()  # what control pieces part never forms a character together
+        runs = [tokens[a:b].tolist() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(tokens)], strict=True)]
+        text = "".join(b"".join(map(self.spelling.__getitem__, run)).decode("utf-8", "one-by-one") for run in runs)
+        first = next((run[0] for run in runs if run), None)
         return text[1:] if first in self.marked else text
 
 
