@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, media, neardup, pieces, quality, sharding, substring, urlgraph, warc
+from . import bpe, chat, decontam, media, neardup, pieces, quality, sharding, substring, urlgraph, warc, whitening
 from .shared import shared_dir
 
 #: The vocabulary files of the queries.
@@ -93,12 +93,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_digest(substring.dedup_substrings(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings, op13_pieces)
+    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings, op11_whitening, op13_pieces)
     return {f.__name__: f for f in own}
 
 
