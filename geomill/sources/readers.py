@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scenes as sc
+from ..operators.shared import shared_path
 from ..operators.tables import parse_features
 
 ASSETS = "map<string,struct<href:string,type:string,roles:array<string>>>"
 ITEM = f"id string, collection string, geometry struct<type:string,coordinates:string>, bbox array<double>, properties map<string,string>, assets {ASSETS}"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; where the session names none, a local one in local mode, else an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_geojson(spark: SparkSession, path: str, collection_id: str, job: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) of files that each hold one FeatureCollection or one Feature. A file is read by one task, as JSON
     documents don't split; large data belong into GeoJSON lines."""
