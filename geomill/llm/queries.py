@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, media, neardup, pieces, quality, sharding, substring, urlgraph, warc, whitening
+from . import bpe, chat, convtrie, decontam, media, neardup, pieces, quality, sharding, substring, urlgraph, warc, whitening
 from .shared import shared_dir
 
 #: The vocabulary files of the queries.
@@ -97,12 +97,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings, op11_whitening, op13_pieces)
+    own = (op1_bpe, op2_neardup, op3_warc, op4_chat, op5_decontaminate, op6_quality, op7_urls, url_link_graph, op8_shards, op9_media, op10_substrings, op11_whitening, op12_convtrie, op13_pieces)
     return {f.__name__: f for f in own}
 
 
@@ -214,5 +218,31 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def _op12_sql() -> str:
+    """The checksum is taken bit by bit; a node is the text of its turns' digests. An unbroken chain of prefixes is what joins
+    a node with those above it."""
+    bits = "list_reduce([{}, 0, 0, 0, 0, 0, 0, 0, 0], lambda q, w: xor(q >> 1, 3988292384 * (q & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {bits.format('xor(a, b)')}), 4294967295)"
+    return rf"""
+WITH t AS (SELECT conv_id::BIGINT AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, c - c % 20 AS base, {crc} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT i.c, k, role, text FROM i JOIN t ON t.c = i.base AND k <= h UNION ALL SELECT i.c, k, role, text FROM i JOIN t ON t.c = i.c AND k > h),
+u AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, md5(length(role) || ':' || role || text) AS m,
+             len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r),
+p AS MATERIALIZED (SELECT c, d, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS key, words FROM u UNION ALL SELECT c, 0, '', 0 FROM i),
+z AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+n AS MATERIALIZED (SELECT key, d, min(c) AS conv, count(*) AS n_convs, min(words) AS words, left(key, greatest(length(key) - 32, 0)) AS up FROM p GROUP BY key, d),
+kids AS (SELECT up, count(*) AS n FROM n WHERE d > 0 GROUP BY up),
+v AS (SELECT n.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * words AS saving FROM n LEFT JOIN kids ON kids.up = n.key),
+s AS (SELECT p.key, sum(saving) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM v JOIN p ON p.c = v.conv AND p.d <= v.d GROUP BY p.key),
+e AS (SELECT key, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN z ON z.c = p.c AND z.d = p.d GROUP BY key)
+SELECT v.conv AS conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN b.conv END AS parent_conv_id, v.n_convs, v.n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM v LEFT JOIN n b ON b.key = v.up AND b.d = v.d - 1 JOIN s ON s.key = v.key LEFT JOIN e ON e.key = v.key
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "op8_shards": _op8_sql(), "op10_substrings": _op10_sql()}
+    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "op8_shards": _op8_sql(), "op10_substrings": _op10_sql(), "op12_convtrie": _op12_sql()}
