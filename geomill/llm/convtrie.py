@@ -27,7 +27,7 @@ from .shared import frequent, lookup, written
 
 UNIT = 20  # bytes of a turn: 16 of its id, 4 of its number of words
 BAND = 256  # turns of a suffix at most
-CONTAINER = 5000  # suffixes that a container holds at most
+CONTAINER = 1000  # suffixes that a container holds at most
 GROUP, HEADS = 20, 3  # conversations that share their first turns, and how many at most
 BLOCK = 4096  # nodes of a chain that are summed together
 JOINED = 256  # ids in a chunk that is hashed on
