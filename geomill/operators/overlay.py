@@ -127,16 +127,21 @@ def _merged(a: Column, b: Column, more: Column) -> Column:
     return F.to_json(F.map_concat(F.map_filter(x, lambda k, _: ~F.array_contains(F.map_keys(y), k)), y))
 
 
-def intersection(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
+def apart(rings: list[list[float]]) -> list[list[list[float]]]:
+    """Parts as they are, a row each; `outlines.assemble` makes polygons with holes of them instead."""
+    return [[r] for r in rings]
+
+
+def intersection(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart) -> DataFrame:
     """Parts of a that meet b: id, id_b, part_index, rings, properties (those of b win; _id_a and _id_b are added).
 
-    a and b: id, rings, box and properties. Pairs that only touch have no part.
+    a and b: id, rings, box and properties. Pairs that only touch have no part. `made` is what parts become, here and below.
     """
     need = ["id", "rings", "properties", "minx", "miny", "maxx", "maxy"]
     met = spatial_join(a.select(*need), b.select(*need), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
     met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
-    return _rowwise(met, ["id", "id_b", "properties"], ["rings", "rings_b"], lambda x, y: [[r] for r in overlay([(0, x), (1, y)], all)])
+    return _rowwise(met, ["id", "id_b", "properties"], ["rings", "rings_b"], lambda x, y: made(overlay([(0, x), (1, y)], all)))
 
 
 def erase(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
@@ -162,8 +167,8 @@ def _by_cell(pieces: DataFrame, keys: list[str], size: float, keep) -> DataFrame
     head = [*keys, "cx", "cy"]
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = (table.column(c)[0].as_py() * size for c in ("cx", "cy"))
-        shapes = [(s, clip(r, x, y, x + size, y + size)) for s, r in zip(table.column("side").to_pylist(), table.column("rings").to_pylist(), strict=True)]
+        x, y = (table.column(c)[0].as_py() for c in ("cx", "cy"))
+        shapes = [(s, clip(r, x * size, y * size, (x + 1) * size, (y + 1) * size)) for s, r in zip(table.column("side").to_pylist(), table.column("rings").to_pylist(), strict=True)]
         made = overlay(shapes, keep)
         zeros = pa.array(np.zeros(len(made), int))
         out = [table.column(c).combine_chunks().take(zeros) for c in head]
@@ -189,9 +194,9 @@ def dissolve(df: DataFrame, key: Column | None = None, size: float = 1.0) -> Dat
     return _by_cell(rest.union(united).withColumn("side", F.lit(0)), ["key"], size, lambda n: n[0] > 0)
 
 
-def make_valid(df: DataFrame) -> DataFrame:
+def make_valid(df: DataFrame, made=apart) -> DataFrame:
     """id, part_index, rings without self-intersections."""
-    return _rowwise(df, ["id"], ["rings"], lambda r: [[p] for p in overlay([(0, r)], lambda n: n[0] > 0)])
+    return _rowwise(df, ["id"], ["rings"], lambda r: made(overlay([(0, r)], lambda n: n[0] > 0)))
 
 
 def simple_parts(df: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def subdivide(df: DataFrame, max_points: int = 256) -> DataFrame:
     return _rowwise(df, ["id"], ["rings"], halve)
 
 
-def buffer(df: DataFrame, distance: float, quarter: int = 16) -> DataFrame:
+def buffer(df: DataFrame, distance: float, quarter: int = 16, made=apart) -> DataFrame:
     """id, part_index, rings grown by `distance` degrees with round corners of `quarter` segments to a right angle.
 
     A convex polygon stays one part; others are the union of themselves and of their edges' surroundings.
@@ -252,7 +257,7 @@ def buffer(df: DataFrame, distance: float, quarter: int = 16) -> DataFrame:
         if len(shells) == 1 and (left or max(turns) <= 0) and abs(abs(sum(turns)) - 2 * math.pi) < 1e-6:
             return [[convex(shells[0] if left else shells[0][::-1])]]
         capsules = [(0, [convex([a, b])]) for s in shells for a, b in zip(s, s[1:] + s[:1], strict=True)]
-        return [[r] for r in overlay([(0, rings), *capsules], lambda n: n[0] > 0)]
+        return made(overlay([(0, rings), *capsules], lambda n: n[0] > 0))
 
     return _rowwise(df, ["id"], ["rings"], grow)
 

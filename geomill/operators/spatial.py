@@ -83,8 +83,9 @@ def _dealt(df: DataFrame, crowded: dict[tuple, list[int]], own: int) -> DataFram
     return df.withColumn(place, mine).withColumn(spread, others).drop("_p")
 
 
-def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Column, ...], size: float) -> DataFrame:
-    """Rows of a and b, whose column names differ, for each pair of boxes that meet.
+def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Column, ...], size: float, same: list[tuple[str, str]] = ()) -> DataFrame:
+    """Rows of a and b, whose column names differ, for each pair of boxes that meet and that agrees in the columns `same` (null
+    equals null).
 
     One small pass over the boxes tells which levels the two sides have; only a side with more than DENSE rows can have
     crowded cells, and then a second one counts them.
@@ -113,6 +114,9 @@ def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Col
     long = _long(size, F.col("_level"))
     here = (F.col("_x") == F.floor(F.greatest(ax1, bx1) / long)) & (F.col("_y") == F.floor(F.greatest(ay1, by1) / long))
     meets = (box_a[0] <= box_b[2]) & (box_b[0] <= box_a[2]) & (box_a[1] <= box_b[3]) & (box_b[1] <= box_a[3])
+    if same:
+        left, right = (df.withColumn("_same", F.xxhash64(*(pair[k] for pair in same))) for k, df in enumerate((left, right)))
+        keys, meets = [*keys, "_same"], reduce(lambda p, q: p & q, (F.col(x).eqNullSafe(F.col(y)) for x, y in same), meets)
     return left.join(right, keys).where(here & meets).drop(*keys)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import outlines as ol
 from ..operators import overlay as ov
 from ..operators import spatial as sp
 from ..operators import tables as tb
@@ -59,6 +60,68 @@ def _(s, d):
     return area_by(ov.dissolve(boxes(s, d), None, 2.0), "key")
 
 
+def _rings_of(squares: str, *keys: str) -> str:
+    """keys, n_points and area of the region of `squares`(keys, gx, gy): a ring has a corner where one or three of the four squares
+    around a point are there, and two rings have one, or one ring two, where two opposite ones are."""
+    k = ", ".join(keys)
+    corners = " UNION ALL ".join(f"SELECT {k}, gx + {x} AS px, gy + {y} AS py, {bit} AS bit FROM s" for x, y, bit in ((0, 0, 1), (1, 0, 2), (1, 1, 4), (0, 1, 8)))
+    return f"""s AS (SELECT DISTINCT {k}, gx, gy FROM ({squares})), quads AS (SELECT {k}, px, py, sum(bit) AS bits FROM ({corners}) GROUP BY ALL),
+ rings AS (SELECT {k}, sum(CASE WHEN bits IN (5, 10) THEN 2 WHEN bit_count(bits::BIGINT) IN (1, 3) THEN 1 ELSE 0 END)::BIGINT AS n_points FROM quads GROUP BY ALL),
+ areas AS (SELECT {k}, count(*) / 64.0::DOUBLE AS area FROM s GROUP BY ALL)"""
+
+
+#: Regions of squares that share sides, counted over runs of squares: a run takes the least number of a run it reaches.
+_REGIONS = """runs AS (SELECT key, gy, min(gx) AS x1, max(gx) AS x2, row_number() OVER () AS n FROM (SELECT *, gx - row_number() OVER (PARTITION BY key, gy ORDER BY gx) AS g FROM s) GROUP BY key, gy, g),
+ near AS (SELECT a.n AS a, b.n AS b FROM runs a JOIN runs b ON a.key = b.key AND abs(a.gy - b.gy) = 1 AND a.x1 <= b.x2 AND b.x1 <= a.x2),
+ reach AS (SELECT n, n AS label FROM runs UNION SELECT near.b, reach.label FROM reach JOIN near ON near.a = reach.n),
+ counted AS (SELECT key, count(*) AS n_polygons FROM (SELECT key, n FROM runs JOIN reach USING (n) GROUP BY key, n HAVING min(label) = n) GROUP BY key)"""
+
+
+def outlined(polys, *keys):
+    """keys, the number of polygons and of their corners, and the area."""
+    points = G.n_points(F.col("rings")) - F.size("rings")
+    return polys.groupBy(*keys).agg(F.count("*").alias("n_polygons"), F.sum(points).cast("long").alias("n_points"), F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"))
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("g1_polygons_by_status", _recursive(wv(f"WITH {_rings_of(f'SELECT status AS key, gx, gy FROM ({SQUARES})', 'key')}, {_REGIONS} SELECT key, n_polygons, n_points, area FROM rings JOIN areas USING (key) JOIN counted USING (key)", "parcels")))
+def _(s, d):
+    """The union as polygons with holes, over cells of 4 degrees."""
+    return outlined(ol.dissolved(boxes(s, d), F.get_json_object("properties", "$.status"), 4.0), "key")
+
+
+@query("g1_polygons_all", _recursive(wv(f"WITH {_rings_of(f'SELECT 1 AS key, gx, gy FROM ({SQUARES})', 'key')}, {_REGIONS} SELECT '_all' AS key, n_polygons, n_points, area FROM rings JOIN areas USING (key) JOIN counted USING (key)", "parcels")))
+def _(s, d):
+    return outlined(ol.dissolved(boxes(s, d), None, 2.0), "key")
+
+
+@query("g2_polygons", wv("SELECT a.id, b.id AS id_b, 1 AS n_polygons, 4 AS n_points, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS area FROM parcels a JOIN parcels b ON a.status = 'P' AND b.status = 'O' AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy", "parcels"))
+def _(s, d):
+    return outlined(ov.intersection(boxes(s, d, "P"), boxes(s, d, "O"), made=ol.assemble), "id", "id_b")
+
+
+@query("a1_united_parts", wv("SELECT collection_id, id, 1 AS n_polygons, 4 AS n_points, (maxx - minx) * (maxy - miny) AS area FROM parcels", "parcels"))
+def _(s, d):
+    """Logical features whose parts are united: the two halves of a cut parcel are one box again."""
+    return outlined(ol.united_parts(halves(s, d), 4.0), "collection_id", "id")
+
+
+def halves(s, d):
+    """Parts of parcels with rings; every fifth parcel is two halves, of which the second reaches into the first."""
+    reach = F.when(F.col("part_index") == 1, F.col("minx") - (F.col("maxx") - F.col("minx")) / 2).otherwise(F.col("minx"))
+    return fx.parts(s, d).withColumn("minx", reach).withColumn("rings", G.box_rings(*sp.BOX))
+
+
+@query("p1_page_geometry", wv("SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, 1 AS n_polygons, minx, miny, maxx, maxy, (maxx - minx) * (maxy - miny) AS area FROM parcels ORDER BY created_at DESC, id LIMIT 200", "parcels"))
+def _(s, d):
+    paged = ol.page_geometry(halves(s, d), sortby="created_at", descending=True, limit=200)
+    area = F.aggregate("polygons", F.lit(0.0), lambda n, rings: n + G.planar_area(rings))
+    return paged.select("place", "id", F.size("polygons").alias("n_polygons"), *sp.BOX, F.round(area, 6).alias("area"))
+
+
 @query("g2_polygon_intersection", None)
 def _(s, d):
     """Large lots with large lots: SQL has no polygon clip; tests compare the kernel with sampled points."""
@@ -83,6 +146,24 @@ def _(s, d):
     return area_by(ov.erase(boxes(s, d, "P"), others), "id")
 
 
+_LEFT_OVER = "SELECT id, gx, gy FROM q WHERE status = 'P' AND NOT EXISTS (SELECT 1 FROM f WHERE f.gx = q.gx AND f.gy = q.gy)"
+
+
+@query("g4_erase_polygons", wv(f"{LEFT}, {_rings_of(_LEFT_OVER, 'id')} SELECT id, n_points, area FROM rings JOIN areas USING (id)", "parcels"))
+def _(s, d):
+    """What the others leave of each parcel, as polygons over cells of half a degree, so that most are put together across cells."""
+    return outlined(ol.erased(boxes(s, d, "P"), boxes(s, d).where("collection_id <> 'parcels_P'"), 0.5), "id").drop("n_polygons")
+
+
+_FREE = "SELECT 1 AS id, w.gx, w.gy FROM (SELECT x.gx, y.gy FROM (SELECT unnest(range(-96, 96)) AS gx) x, (SELECT unnest(range(-96, 96)) AS gy) y) w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.gx = w.gx AND f.gy = w.gy)"
+
+
+@query("g5_erase_polygons", wv(f"{LEFT}, {_rings_of(_FREE, 'id')} SELECT 'box' AS id, n_points, area FROM rings JOIN areas USING (id)", "parcels"))
+def _(s, d):
+    box = s.createDataFrame([("box", -12.0, -12.0, 12.0, 12.0)], "id string, minx double, miny double, maxx double, maxy double").withColumn("rings", G.box_rings(*sp.BOX))
+    return outlined(ol.erased(box, boxes(s, d).where("collection_id <> 'parcels_P'"), 2.0), "id").drop("n_polygons")
+
+
 @query("g5_erase_feature", wv(f"{LEFT} SELECT 'box' AS id, 24 * 24 - count(*) / 64.0::DOUBLE AS area FROM f WHERE gx >= -96 AND gx < 96 AND gy >= -96 AND gy < 96", "parcels"))
 def _(s, d):
     box = s.createDataFrame([("box", -12.0, -12.0, 12.0, 12.0)], "id string, minx double, miny double, maxx double, maxy double").withColumn("rings", G.box_rings(*sp.BOX))
