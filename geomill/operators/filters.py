@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 # Filter operators, and what a token for exact search looks like.
 OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "like", "ilike")
 #: A token has at least this many characters.
 GRAM = 8
+#: Grams of a token that are looked up.
+PROBES = 3
 TOKEN = r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$"
 
 
@@ -84,37 +91,88 @@ def fulltext(df: DataFrame, q: str) -> DataFrame:
     return df.where(F.contains(F.lower(flat_text()), F.lower(F.lit(q.strip()))))
 
 
-def exact_search(df: DataFrame, tokens: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+def gram_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of all runs of GRAM characters; time is linear in the text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(c) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + n] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    return np.unique((h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+
+
+def _grams(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys and `gram` for each distinct run of GRAM characters in the column `text`; the text itself is not copied."""
+
+    def run(batches):
+        for b in batches:
+            for first in range(0, b.num_rows, 64):
+                part = b.slice(first, 64)
+                found = [gram_hashes(t or "") for t in part.column(len(keys)).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(len(keys))), pa.array(np.concatenate(found))], names=[*keys, "gram"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, text).mapInArrow(run, f"{kinds}, gram long")
+
+
+def build_text_index(df: DataFrame, path: str) -> str:
+    """An inverted index of the features' texts below `path`: postings (gram, collection_id, id), sorted by gram, so a probe reads
+    few row groups, and the number of postings of each gram. Gives `path`."""
+    texts = df.select("collection_id", "id", F.lower(flat_text()).alias("flat"))
+    postings = _grams(texts, "flat", ["collection_id", "id"]).distinct()
+    postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
+    df.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    return path
+
+
+def exact_search(df: DataFrame, tokens: DataFrame, keys: list[str], limit: int | None = None, index: str | None = None) -> DataFrame:
     """Rows for each token of `tokens(token)`: by id, else by a known key's value, else by the flat text; the first tier
     with rows wins; with a limit a token gets so many rows at most, the first by id.
 
-    The first two tiers are equi-joins on exploded keys; only tokens without rows there go on to the third, where texts
-    and tokens meet by the token's first GRAM characters, so no text is compared with every token."""
+    The first two tiers are equi-joins on exploded keys. Tokens without rows there go on to the third: of a token's grams the
+    PROBES rarest are looked up, features that have all of them are candidates, and only candidates' texts are compared with
+    the token. `index` is the path of an index of the same features; without one, the grams that tokens ask for are
+    gathered from all texts in one pass."""
+    spark = df.sparkSession
     valid = tokens.where(F.col("token").rlike(TOKEN)).distinct()
     entries = F.array(F.struct(F.lit(1).alias("tier"), F.col("id").alias("value")), *(F.struct(F.lit(2).alias("tier"), prop(k).alias("value")) for k in keys[:16]))
     keyed = df.select("id", "collection_id", F.explode(entries).alias("e")).where("e.value is not null")
     hits = valid.join(keyed, valid.token == F.col("e.value")).select("token", "e.tier", "id", "collection_id").distinct()
-    rest = valid.join(hits.select("token").distinct(), "token", "left_anti").select("token", F.lower(F.left("token", F.lit(GRAM))).alias("gram"))
-    texts = df.select("id", "collection_id", F.lower(flat_text()).alias("flat")).where(F.length("flat") >= GRAM)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("flat") - GRAM + 1), lambda i: F.substring("flat", i, F.lit(GRAM))))
-    loose = texts.withColumn("gram", F.explode(grams)).join(rest, "gram").where(F.contains("flat", F.lower("token")))
+    rest = stored(valid.join(hits.select("token").distinct(), "token", "left_anti").select("token", F.lower("token").alias("low")), "tokens")
+    asked = _grams(rest, "low", ["token"])
+    if index is None:
+        texts = df.select("collection_id", "id", F.lower(flat_text()).alias("flat"))
+        postings = stored(_grams(texts, "flat", ["collection_id", "id"]).join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), "postings")
+        counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    else:
+        postings, counts = spark.read.parquet(f"{index}/postings"), spark.read.parquet(f"{index}/counts")
+    of = Window.partitionBy("token")
+    ranked = asked.join(counts, "gram", "left").withColumn("found", F.count("n").over(of) == F.count("*").over(of)).where("found")
+    rarest = ranked.withColumn("place", F.row_number().over(of.orderBy("n", "gram"))).where(F.col("place") <= PROBES)
+    rarest = rarest.withColumn("probes", F.count("*").over(of)).select("token", "gram", "probes")
+    near = rarest.join(postings, "gram").groupBy("token", "collection_id", "id").agg(F.count("*").alias("n"), F.first("probes").alias("probes")).where("n = probes")
+    loose = near.select("token", "collection_id", "id").join(df, ["collection_id", "id"]).where(F.contains(F.lower(flat_text()), F.lower("token")))
     every = hits.union(loose.select("token", F.lit(3).alias("tier"), "id", "collection_id").distinct())
-    best = F.min("tier").over(Window.partitionBy("token"))
+    best = F.min("tier").over(of)
     first = every.withColumn("best", best).where("tier = best").drop("best")
     if limit is None:
         return first
-    place = F.row_number().over(Window.partitionBy("token").orderBy("id", "collection_id"))
+    place = F.row_number().over(of.orderBy("id", "collection_id"))
     return first.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
 def datetime_filter(df: DataFrame, text: str, column: str = "created_at") -> DataFrame:
-    """`a` or `a/b`, both ends included and `..` open; what can't be read filters nothing."""
+    """`a` or `a/b`, both ends included and `..` open. Where one end can't be read, nothing is filtered."""
     first, _, last = text.partition("/")
-    last = last or first
-    for side, op in ((first, ">="), (last, "<=")):
-        if side and side != "..":
-            value = F.try_to_timestamp(F.lit(side))
-            df = df.where(F.coalesce(F.col(column) >= value if op == ">=" else F.col(column) <= value, value.isNull()))
+    ends = [(side, op) for side, op in ((first, ">="), (last or first, "<=")) if side and side != ".."]
+    value = {side: F.try_to_timestamp(F.lit(side)) for side, _ in ends}
+    unread = reduce(lambda p, q: p | q, (v.isNull() for v in value.values()), F.lit(False))
+    for side, op in ends:
+        df = df.where(unread | (F.col(column) >= value[side] if op == ">=" else F.col(column) <= value[side]))
     return df
 
 

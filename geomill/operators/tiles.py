@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .filters import bbox_filter, properties_map
+from .numbering import number_rows
 from .overlay import _rowwise, clip
 
 BUFFER = 256 / 4096
@@ -118,14 +119,22 @@ def merge_members(members: list[DataFrame], zmin: int, zmax: int) -> DataFrame:
     return assign_tiles(every, zmin, zmax).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.countDistinct("member").alias("members"))
 
 
-def export_rows(df: DataFrame, prefix: int = 3) -> DataFrame:
-    """Logical features with a number in id order, from 1; a property `id` moves to `id_source`.
+def export_rows(df: DataFrame, box: tuple[str, ...] = ("minx", "miny", "maxx", "maxy")) -> DataFrame:
+    """Logical features with a number in id order, from 1, for the static tile build; a property `id` moves to the first free
+    name of id_source, id_source_1, ... Features without geometry (a null in `box`) are left out; `export_counts` counts them.
 
-    Rows are numbered within id prefixes, and each prefix starts after the rows before it, so no task sorts all rows.
+    Numbers come from ranges of ids and their counts, so ids that begin alike, as time-ordered ones do, don't share a task.
     """
-    d = df.withColumn("_p", F.left("id", F.lit(prefix)))
-    starts = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("id", "collection_id"))
+    drawn = df.where(" and ".join(f"{c} is not null" for c in box))
+    numbered = number_rows(drawn, ["id", "collection_id"], first=1)
     props = properties_map()
-    moved = F.transform_keys(props, lambda k, _: F.when((k == "id") & ~F.map_contains_key(props, "id_source"), F.lit("id_source")).when(k == "id", F.lit("id_source_1")).otherwise(k))
-    return d.withColumn("_k", place).join(starts, "_p").withColumn("number", F.col("_s") + F.col("_k")).withColumn("properties", F.to_json(moved)).drop("_p", "_s", "_k")
+    keys = F.map_keys(props)
+    names = F.transform(F.sequence(F.lit(0), F.size(keys)), lambda k: F.when(k == 0, F.lit("id_source")).otherwise(F.concat(F.lit("id_source_"), k.cast("string"))))
+    free = F.get(F.filter(names, lambda n: ~F.array_contains(keys, n)), 0)
+    return numbered.withColumn("properties", F.to_json(F.transform_keys(props, lambda k, _: F.when(k == "id", free).otherwise(k))))
+
+
+def export_counts(df: DataFrame, box: tuple[str, ...] = ("minx", "miny", "maxx", "maxy")) -> DataFrame:
+    """exported and skipped features."""
+    empty = F.expr(" or ".join(f"{c} is null" for c in box))
+    return df.agg(F.count_if(~empty).alias("exported"), F.count_if(empty).alias("skipped"))

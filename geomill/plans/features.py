@@ -11,6 +11,7 @@ from ..operators import tables as tb
 from ..operators.search import doc_search
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views as wv
+from ..sources.readers import shared_path
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -62,6 +63,21 @@ def _(s, d):
     return fl.exact_search(fx.parcels(s, d), tokens, ["priority"])
 
 
+_LONG_WORDS = "[A-Za-z0-9]{9,20}"
+
+
+@query(
+    "f6_exact_index",
+    f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LONG_WORDS}')) AS token FROM benchmark)
+SELECT token, 3 AS tier, CAST(doc_id AS VARCHAR) AS id, lang AS collection_id FROM t JOIN documents ON contains(lower(text), lower(token))""",
+)
+def _(s, d):
+    """All long words of the benchmark in the texts of documents, by a written index."""
+    docs = fx.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("collection_id"), F.to_json(F.struct("text")).alias("properties"))
+    tokens = fx.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_LONG_WORDS), F.lit(0))).alias("token"))
+    return fl.exact_search(docs, tokens, ["code"], index=fl.build_text_index(docs, shared_path(s, "text-index")))
+
+
 @query("f7_structured_eq_ids", wv("SELECT DISTINCT id FROM parts WHERE status = 'F' AND rank = 3", "parts"))
 def _(s, d):
     return fl.structured_filter(fx.parts(s, d), [("status", "eq", "F"), ("rank", "eq", "3")]).select("id").distinct()
@@ -72,6 +88,11 @@ def _(s, d):
     return fl.datetime_filter(fx.parcels(s, d), "1996-01-01T00:00:00Z/1996-12-31T12:00:00Z").select("id")
 
 
+@query("f8_unreadable_end", wv("SELECT count(*) AS n FROM parcels", "parcels"))
+def _(s, d):
+    return fl.datetime_filter(fx.parcels(s, d), "1996-01-01T00:00:00Z/some day").agg(F.count("*").alias("n"))
+
+
 @query("f9_bbox_filter", wv("SELECT id FROM parcels WHERE minx <= 20 AND maxx >= -20 AND miny <= 30 AND maxy >= -10", "parcels"))
 def _(s, d):
     return fl.bbox_filter(fx.parcels(s, d), (-20, -10, 20, 30)).select("id")
