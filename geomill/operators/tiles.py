@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -119,13 +120,18 @@ def merge_members(members: list[DataFrame], zmin: int, zmax: int) -> DataFrame:
     return assign_tiles(every, zmin, zmax).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.countDistinct("member").alias("members"))
 
 
+def _empty(df: DataFrame, box: tuple[str, ...]):
+    """Whether a feature has no geometry; where no column of `box` is carried, none is known to."""
+    return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in box if c in df.columns), F.lit(False))
+
+
 def export_rows(df: DataFrame, box: tuple[str, ...] = ("minx", "miny", "maxx", "maxy")) -> DataFrame:
     """Logical features with a number in id order, from 1, for the static tile build; a property `id` moves to the first free
     name of id_source, id_source_1, ... Features without geometry (a null in `box`) are left out; `export_counts` counts them.
 
     Numbers come from ranges of ids and their counts, so ids that begin alike, as time-ordered ones do, don't share a task.
     """
-    drawn = df.where(" and ".join(f"{c} is not null" for c in box))
+    drawn = df.where(~_empty(df, box))
     numbered = number_rows(drawn, ["id", "collection_id"], first=1)
     props = properties_map()
     keys = F.map_keys(props)
@@ -136,5 +142,5 @@ def export_rows(df: DataFrame, box: tuple[str, ...] = ("minx", "miny", "maxx", "
 
 def export_counts(df: DataFrame, box: tuple[str, ...] = ("minx", "miny", "maxx", "maxy")) -> DataFrame:
     """exported and skipped features."""
-    empty = F.expr(" or ".join(f"{c} is null" for c in box))
+    empty = _empty(df, box)
     return df.agg(F.count_if(~empty).alias("exported"), F.count_if(empty).alias("skipped"))
