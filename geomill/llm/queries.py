@@ -157,42 +157,50 @@ FROM z GROUP BY conv_id
 """
 
 
-def _op7_sql() -> str:
+def _op7_sql(pages: str = "SELECT page_id, url, html FROM pages", most: int = 60) -> str:
+    """The same rule and the same rounds: of `most` rounds that are written out, the first whose largest change is small enough counts."""
     rules = sorted(urlgraph.RULES, key=lambda r: (-len(r[1] + r[2]), r))
     fits = lambda r, path: f"((host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with({path}, '{r[2]}'))"
     case = lambda value, path="path": "CASE " + " ".join(f"WHEN {fits(r, path)} THEN '{value(r)}'" for r in rules) + " END"
     link, upper, lower = urlgraph.LINK.replace("'", "''"), urlgraph.UPPER, urlgraph.LOWER
-    d = urlgraph.DAMPING
     parts = [
-        "u AS (SELECT page_id, html, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"g AS ({pages})",
+        "u AS (SELECT page_id, html, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM g)",
         f"h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"j AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS action FROM h)",
         f"k AS (SELECT host, coalesce({case(lambda r: r[0], chr(39) + '/' + chr(39))} = 'block', false) AS bad, count(*) FILTER (action = 'allow') * 2 > count(*) AS good FROM j WHERE host <> '' GROUP BY host)",
         f"l AS (SELECT host AS src, translate(x, '{upper}', '{lower}') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM j))",
         "e AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
+        "s AS (SELECT host, good, bad FROM k WHERE good OR bad)",
     ]
-    for name, a, b, flag in (("t", "src", "dst", "good"), ("d", "dst", "src", "bad")):
-        parts.append(f"{name}f AS (SELECT {a} AS a, {b} AS b, w / sum(w) OVER (PARTITION BY {a}) AS p FROM e)")
-        parts.append(f"{name}s AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS s FROM k WHERE {flag})")
-        parts.append(f"{name}0 AS (SELECT host, s AS score FROM {name}s)")
-        for n in range(urlgraph.ROUNDS):
-            parts.append(f"{name}m{n} AS (SELECT b AS host, sum(p * score) AS got FROM {name}f JOIN {name}{n} ON a = host GROUP BY b)")
-            back = f"({1 - d} + {d} * (coalesce((SELECT sum(score) FROM {name}{n}), 0) - coalesce((SELECT sum(got) FROM {name}m{n}), 0)))"
-            parts.append(f"{name}{n + 1} AS (SELECT host, round(coalesce(s, 0) * {back} + {d} * coalesce(got, 0), 12) AS score FROM {name}s FULL JOIN {name}m{n} USING (host))")
-    last = urlgraph.ROUNDS
+    for name, a, b, flag in (("t", "dst", "src", "good"), ("d", "src", "dst", "bad")):
+        parts.append(f"{name}f AS (SELECT a, b, {urlgraph.DAMPING} * w / total AS p FROM (SELECT {a} AS a, {b} AS b, w, sum(w) OVER (PARTITION BY {a}) AS total FROM e) WHERE a NOT IN (SELECT host FROM s))")
+        parts.append(f"{name}0 AS (SELECT host, 1.0::DOUBLE AS share FROM s WHERE {flag})")
+        for n in range(most):
+            parts.append(f"{name}{n + 1} AS (SELECT host, share FROM {name}0 UNION ALL SELECT a, round(sum(p * share), 12) FROM {name}f JOIN {name}{n} ON b = host GROUP BY a)")
+        change = " UNION ALL ".join(f"SELECT {n + 1} AS n, coalesce(max(abs(x.share - coalesce(y.share, 0))), 0) AS most FROM {name}{n + 1} x LEFT JOIN {name}{n} y USING (host)" for n in range(most))
+        every = " UNION ALL ".join(f"SELECT {n + 1} AS n, host, share FROM {name}{n + 1}" for n in range(most))
+        parts.append(f"{name}c AS ({change})")
+        parts.append(f"{name}z AS (SELECT host, share FROM ({every}) WHERE n = (SELECT min(n) FROM {name}c WHERE most <= {urlgraph.TOLERANCE}))")
     return (
         "WITH "
         + ",\n".join(f"{p.split(' AS ', 1)[0]} AS MATERIALIZED {p.split(' AS ', 1)[1]}" for p in parts)
         + f""",
-q AS (SELECT page_id, j.host, path, rule, action, coalesce(t.score, 0) AS t, coalesce(d.score, 0) AS d FROM j
-      LEFT JOIN t{last} t ON t.host = j.host LEFT JOIN d{last} d ON d.host = j.host)
-SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN round(d - t, 9) > 0 AND round(d * greatest((SELECT count(*) FROM ds), 1), 6) >= {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
-       round(t, 9) AS trust, round(d, 9) AS distrust FROM q
+q AS (SELECT page_id, j.host, path, rule, action, round(coalesce(tz.share, 0), 9) AS trust, round(coalesce(dz.share, 0), 9) AS distrust
+      FROM j LEFT JOIN tz ON tz.host = j.host LEFT JOIN dz ON dz.host = j.host)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN distrust > trust AND distrust >= {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+       trust, distrust FROM q
 """
     )
 
 
+def _url_link_graph_sql() -> str:
+    host = lambda key: f"'s' || {key} || ['.net', '.org', '.test', '.example.com', '.test:8080'][{key} % 5 + 1]"
+    other = "((l_partkey * 7) % (SELECT max(s_suppkey) FROM supplier) + 1)"
+    return _op7_sql(f"""SELECT l_orderkey * 8 + l_linenumber AS page_id, 'http://' || {host("l_suppkey")} || CASE WHEN l_linenumber % 2 = 0 THEN '/fr/' ELSE '/x/' END || l_orderkey AS url,
+ '<a class="s" href="//' || {host(other)} || '/p/' || l_partkey || '">part</a> <a href="/own">own</a>' AS html FROM lineitem""")
+
+
 def _op8_sql() -> str:
     """Slots from MD5; the slots of the shards are a fixed table, which tests compare with a plain filling."""
     shards = ",".join(str(k) for k in sharding.lookup_table(SHARD_NAMES))
@@ -230,7 +238,8 @@ WITH t AS (SELECT conv_id::BIGINT AS c, coalesce(role, '') AS role, coalesce(tex
 i AS (SELECT c, c - c % 20 AS base, {crc} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
 r AS (SELECT i.c, k, role, text FROM i JOIN t ON t.c = i.base AND k <= h UNION ALL SELECT i.c, k, role, text FROM i JOIN t ON t.c = i.c AND k > h),
 u AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, md5(length(role) || ':' || role || text) AS m,
-             len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r),
+             len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM r),
 p AS MATERIALIZED (SELECT c, d, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS key, words FROM u UNION ALL SELECT c, 0, '', 0 FROM i),
 z AS (SELECT c, max(d) AS d FROM p GROUP BY c),
 n AS MATERIALIZED (SELECT key, d, min(c) AS conv, count(*) AS n_convs, min(words) AS words, left(key, greatest(length(key) - 32, 0)) AS up FROM p GROUP BY key, d),
@@ -245,4 +254,4 @@ FROM v LEFT JOIN n b ON b.key = v.up AND b.d = v.d - 1 JOIN s ON s.key = v.key L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "op8_shards": _op8_sql(), "op10_substrings": _op10_sql(), "op12_convtrie": _op12_sql()}
+    return {"op2_neardup": _op2_sql(), "op3_warc": _op3_sql(), "op4_chat": _op4_sql(), "op7_urls": _op7_sql(), "url_link_graph": _url_link_graph_sql(), "op8_shards": _op8_sql(), "op10_substrings": _op10_sql(), "op12_convtrie": _op12_sql()}

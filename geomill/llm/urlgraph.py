@@ -1,26 +1,27 @@
 """URL verdicts from rules and, where no rule fits, from link-graph propagation. DataFrame operations only.
 
-Trust starts at hosts whose pages are mostly allowed by rules and flows along links (personalised PageRank); distrust
-starts at hosts that a rule blocks as a whole and flows against links, to those that point there. These two scores are
-divided among all that link to a host (or that it links to), so they rank hosts and do not judge them. A host is judged by
-shares: the damped share of its links that lead to blocked hosts, directly or over others that are not trusted (`exposure`),
-and likewise the share of the links to it that come from trusted ones. It is blocked if the first exceeds the second and reaches
-THRESHOLD. How many others link to the same blocked host doesn't matter.
+Distrust starts at hosts that a rule blocks as a whole and flows against links, to those that point there; trust starts at
+hosts whose pages are mostly allowed by rules and flows along links. Both are personalised PageRanks with damping, in which
+seeds keep their score and a walk ends at either kind of seed. They are normalised per host: what a host gets from a neighbour
+is divided by the host's own links and not by the neighbour's. So a host's distrust is what its own random walk, which goes on
+with probability DAMPING and stops at seeds, collects at blocked ones (the sum over them of the host's personalised PageRank,
+over 1 - DAMPING), and it doesn't shrink with the number of others that link to the same blocked host. A host is
+blocked if its distrust exceeds its trust and reaches THRESHOLD.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import HOT, lookup, written
+from .shared import HOT, frequent, lookup, written
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.2
-#: Scores are iterated until none changes by more than this part of a seed's; changes shrink by DAMPING a round.
-TOLERANCE, MOST_ROUNDS = 1e-3, 200
+DAMPING, THRESHOLD = 0.85, 0.2
+#: Scores are iterated until none changes by more than this part of a seed's.
+TOLERANCE, MOST_ROUNDS = 1e-4, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -56,62 +57,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
-    """(host, score) by power iteration over edges (src, dst, w) with teleports to seeds (host, s); sums of s are 1.
-
-    Mass on hosts without links returns to the seeds. It stops early when no score changes by more than `tolerance`.
-    Out-weights are aggregated before each join's shuffle, and every round is written to the shared folder.
-    """
-    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    flow = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "edges")
-    scores = written(seeds.select("host", F.col("s").cast("double").alias("score")), "scores")
-    if flow.isEmpty():
-        return scores
-    linking = written(out.select(F.col("src").alias("of"), F.lit(True).alias("links")), "linking")
-
-    def sums(rows: DataFrame):
-        """(mass, mass on hosts with links, largest change)."""
-        met = rows.join(linking, rows.host == linking.of, "left")
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        return met.agg(zero(F.sum("score")), zero(F.sum(F.when(F.col("links"), F.col("score")))), zero(F.max(F.abs(F.col("score") - F.col("before"))))).first()
-
-    total, sent, _ = sums(scores.withColumn("before", F.lit(0.0)))
-    for _ in range(rounds):
-        moved = flow.join(scores, flow.src == scores.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        back = (1 - damping) + damping * (total - sent)  # teleports, and what stood on hosts without links
-        new = seeds.select("host", "s").join(moved, "host", "full_outer")
-        new = new.join(scores.withColumnRenamed("score", "before"), "host", "full_outer").select(
-            "host", F.round(F.coalesce("s", F.lit(0.0)) * back + F.lit(damping) * F.coalesce("got", F.lit(0.0)), 12).alias("score"), F.coalesce("before", F.lit(0.0)).alias("before")
-        )
-        new = written(new, "scores")
-        total, sent, change = sums(new)
-        scores = new.where("score > 0").select("host", "score")
-        if change <= tolerance:
-            break
-    return scores
-
-
-def exposure(edges: DataFrame, seeds: DataFrame, ends: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def normalised_rank(edges: DataFrame, seeds: DataFrame, ends: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, share): 1 for seeds (host), 0 for other `ends`, else `damping` times the mean share of the hosts that it links
-    to, by link weight.
+    to, by link weight: the seeds' score, propagated against edges (src, dst, w).
 
     A host all of whose links go to seeds has `damping`, whatever else links there; hosts without a share have no row or 0.
+    Each round is one job: a join with the scores, in which hosts that hold over 1/HOT of all edges are looked up by broadcast, an
+    aggregate and a written table, whose largest change is observed on the way. It ends when that is at most `tolerance`;
+    changes shrink by `damping` a round, so that comes after log(tolerance) / log(damping) rounds at the latest.
     """
     named = seeds.select("host").distinct()
-    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    flow = edges.join(out, "src").join(named.union(ends.select("host")).withColumnRenamed("host", "src"), "src", "left_anti")
+    out = edges.groupBy("src").agg(F.sum("w").alias("out")).withColumnRenamed("src", "_src")
+    flow = lookup(edges, "src", out, "_src", frequent(edges, "src"))
+    flow = flow.join(named.union(ends.select("host")).distinct(), F.col("src") == F.col("host"), "left_anti")
     flow = written(flow.select("src", "dst", (F.lit(damping) * F.col("w") / F.col("out")).alias("p")), "edges")
     fixed = written(named.select("host", F.lit(1.0).alias("share")), "shares")
-    shares = fixed
+    shares, hubs = fixed, frequent(flow, "dst")
     if flow.isEmpty():
         return shares
     for _ in range(rounds):
-        got = flow.join(shares, flow.dst == shares.host).groupBy("src").agg(F.round(F.sum(F.col("p") * F.col("share")), 12).alias("share"))
-        new = got.join(shares.select(F.col("host").alias("src"), F.col("share").alias("before")), "src", "left")
-        new = written(new.select(F.col("src").alias("host"), "share", F.coalesce("before", F.lit(0.0)).alias("before")), "shares")
-        change = new.agg(F.max(F.abs(F.col("share") - F.col("before")))).first()[0] or 0.0
+        got = lookup(flow, "dst", shares, "host", hubs).groupBy("src").agg(F.round(F.sum(F.col("p") * F.col("share")), 12).alias("share"))
+        new = got.join(shares.select(F.col("host").alias("_src"), F.col("share").alias("before")), F.col("src") == F.col("_src"), "left")
+        new = new.select(F.col("src").alias("host"), "share", F.coalesce("before", F.lit(0.0)).alias("before"))
+        change = Observation()
+        new = written(new.observe(change, F.max(F.abs(F.col("share") - F.col("before"))).alias("most")), "shares")
         shares = fixed.union(new.select("host", "share"))
-        if change <= tolerance:
+        if (change.get["most"] or 0.0) <= tolerance:
             break
     return shares
 
@@ -141,18 +112,16 @@ def judge(
     hosts = written(hosts.select("host", "n", (root == "block").alias("bad"), (F.col("good") * 2 > F.col("n")).alias("good")), "hosts")
     often = [r["host"] for r in hosts.where(F.col("n") * HOT > F.lit(hosts.agg(F.sum("n")).first()[0])).select("host").collect()]
     edges = written(host_edges(judged), "links")
-    n_good, n_bad = hosts.agg(F.count_if("good"), F.count_if(F.coalesce("bad", F.lit(False)))).first()
     good, bad = hosts.where("good").select("host"), hosts.where("bad").select("host")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    rank = lambda e, seeds, n: personalised_rank(e, seeds.withColumn("s", F.lit(1.0 / max(n, 1))), rounds=rounds, tolerance=max(tolerance / max(n, 1), 1e-12))
-    trust, distrust = rank(edges, good, n_good), rank(back, bad, n_bad)
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
-    for seeds, ends, links, name in ((good, bad, back, "credit"), (bad, good, edges, "risk")):
-        scores = scores.join(exposure(links, seeds, ends, rounds=rounds, tolerance=tolerance).withColumnRenamed("share", name), "host", "full_outer")
+    scores = None
+    for seeds, ends, links, name in ((good, bad, back, "trust"), (bad, good, edges, "distrust")):
+        found = normalised_rank(links, seeds, ends, rounds=rounds, tolerance=tolerance).withColumnRenamed("share", name)
+        scores = found if scores is None else scores.join(found, "host", "full_outer")
     # pages of frequent hosts, and those without a host, find their scores by broadcast
     scores = written(scores.withColumnRenamed("host", "of"), "scores")
     tail = lookup(judged.select("page_id", "host", "path", "rule", "action"), "host", scores, "of", [*often, ""], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    blocked = (F.round(zero("risk") - zero("credit"), 9) > 0) & (F.round(zero("risk"), 6) >= threshold)
-    verdict = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
-    return tail.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(zero("trust"), 9).alias("trust"), F.round(zero("distrust"), 9).alias("distrust"))
+    trust, distrust = F.round(zero("trust"), 9), F.round(zero("distrust"), 9)
+    verdict = F.coalesce("action", F.when((distrust > trust) & (distrust >= threshold), "block").otherwise("allow"))
+    return tail.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -213,25 +213,6 @@ def test_url_distrust_flows_against_links(spark):
     assert out[5].trust > 0 and out[1].distrust > 0 and out[3].distrust == 0
 
 
-def test_rank_equals_numpy(spark):
-    rng = np.random.default_rng(2)
-    edges = [(f"h{a}", f"h{b}", int(w)) for a, b, w in rng.integers(0, 12, (40, 3)) + np.array([0, 0, 1]) if a != b]
-    frame = spark.createDataFrame(edges, "src string, dst string, w long").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    seeds = spark.createDataFrame([("h0", 0.5), ("h1", 0.5)], "host string, s double")
-    found = {r.host: r.score for r in urlgraph.personalised_rank(frame, seeds, rounds=5).collect()}
-    m, s = np.zeros((12, 12)), np.zeros(12)
-    for a, b, w in edges:
-        m[int(b[1:]), int(a[1:])] += w
-    s[:2] = 0.5
-    out = m.sum(0)
-    p, r = m / np.where(out == 0, 1, out), s.copy()
-    for _ in range(5):
-        moved = p @ r
-        r = s * (0.15 + 0.85 * (r.sum() - moved.sum())) + 0.85 * moved
-    for k in range(12):
-        assert abs(found.get(f"h{k}", 0.0) - r[k]) < 1e-9
-
-
 def test_lookup_table(spark):
     names = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(names, 1009)
