@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 from ..functions import scalar as S
 from .paging import newest, swap_pages
 from .quantiles import quantiles
@@ -118,3 +120,29 @@ def coverage_gaps(gaps: DataFrame, limit: int = 16) -> DataFrame:
     w = Window.partitionBy("aoi").orderBy(F.col("area").desc(), F.col("id"))
     top = gaps.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     return top.select("aoi", "id", "place", (cx - half).alias("sx1"), (cy - half).alias("sy1"), (cx + half).alias("sx2"), (cy + half).alias("sy2"))
+
+
+def search_boxes(gaps: DataFrame, areas: DataFrame, limit: int = 16) -> DataFrame:
+    """aoi, place, x1, y1, x2, y2: where to search for scenes that fill gaps(aoi, id, area, rings) of areas(aoi, box).
+
+    For each of an area's largest gaps a box around a point inside it, with half-size clamp(0.32 sqrt(area), 0.0025, 0.11)
+    degrees, cut at the map's and the area's box; equal boxes count once. An area with gaps but without such a box has
+    one around all its gaps, 3 % or 0.008 degrees wider, at place 0.
+    """
+    order = Window.partitionBy("aoi").orderBy(F.col("area").desc(), F.col("id"))
+    top = gaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("p", G.interior_point(F.col("rings")))
+    half = F.least(F.greatest(F.sqrt(F.greatest("area", F.lit(1e-12))) * 0.32, F.lit(0.0025)), F.lit(0.11))
+    around = top.select("aoi", "place", *((F.col(f"p.{c}") + sign * half).alias(f"{c}{k}") for k, sign in ((1, -1), (2, 1)) for c in "xy"))
+    box = areas.select("aoi", *(F.col(c).alias(f"_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    low, high = {"x": -180.0, "y": -85.0}, {"x": 180.0, "y": 85.0}
+
+    def cut(df: DataFrame) -> DataFrame:
+        held = {f"{c}1": F.greatest(f"{c}1", f"_min{c}", F.lit(low[c])) for c in "xy"} | {f"{c}2": F.least(f"{c}2", f"_max{c}", F.lit(high[c])) for c in "xy"}
+        return df.join(box, "aoi").withColumns(held).where("x1 < x2 - 1e-9 and y1 < y2 - 1e-9").select("aoi", "place", "x1", "y1", "x2", "y2")
+
+    found = cut(around.where("x1 is not null")).groupBy("aoi", "x1", "y1", "x2", "y2").agg(F.min("place").alias("place")).select("aoi", "place", "x1", "y1", "x2", "y2")
+    b = G.bounds(F.col("rings"))
+    whole = gaps.groupBy("aoi").agg(*((F.min if c.startswith("min") else F.max)(v).alias(c) for c, v in b.items()))
+    pad = F.greatest((F.col("maxx") - F.col("minx")) * 0.03, (F.col("maxy") - F.col("miny")) * 0.03, F.lit(0.008))
+    wide = whole.select("aoi", F.lit(0).alias("place"), *((F.col(f"min{c}") - pad).alias(f"{c}1") for c in "xy"), *((F.col(f"max{c}") + pad).alias(f"{c}2") for c in "xy"))
+    return found.unionByName(cut(wide.join(found.select("aoi").distinct(), "aoi", "left_anti")))

@@ -225,6 +225,21 @@ def subdivide(df: DataFrame, max_points: int = 256) -> DataFrame:
     return _rowwise(df, ["id"], ["rings"], halve)
 
 
+def around(points, distance: float, quarter: int = 16) -> list[float]:
+    """Sum of a convex ring, counter-clockwise, and the circle: arcs at the corners. One point: a circle; two: a capsule."""
+    if len(points) == 1:
+        (x, y), n = points[0], 4 * quarter
+        return [v for k in (*range(n), 0) for v in (x + distance * math.cos(2 * math.pi * k / n), y + distance * math.sin(2 * math.pi * k / n))]
+    out = []
+    for k, (x, y) in enumerate(points):
+        (px, py), (nx, ny) = points[k - 1], points[(k + 1) % len(points)]
+        start, end = math.atan2(px - x, y - py), math.atan2(x - nx, ny - y)
+        turn = (end - start) % (2 * math.pi)
+        steps = max(1, math.ceil(turn / (math.pi / 2) * quarter - 1e-9))
+        out += [v for s in range(steps + 1) for v in (x + distance * math.cos(start + turn * s / steps), y + distance * math.sin(start + turn * s / steps))]
+    return [*out, *out[:2]]
+
+
 def buffer(df: DataFrame, distance: float, quarter: int = 16, made=apart) -> DataFrame:
     """id, part_index, rings grown by `distance` degrees with round corners of `quarter` segments to a right angle.
 
@@ -233,17 +248,6 @@ def buffer(df: DataFrame, distance: float, quarter: int = 16, made=apart) -> Dat
     if distance <= 0:
         raise ValueError("the distance must be positive")
 
-    def convex(points):
-        """Sum of a convex ring, counter-clockwise, and the circle: arcs at the corners."""
-        out = []
-        for k, (x, y) in enumerate(points):
-            (px, py), (nx, ny) = points[k - 1], points[(k + 1) % len(points)]
-            start, end = math.atan2(px - x, y - py), math.atan2(x - nx, ny - y)
-            turn = (end - start) % (2 * math.pi)
-            steps = max(1, math.ceil(turn / (math.pi / 2) * quarter - 1e-9))
-            out += [v for s in range(steps + 1) for v in (x + distance * math.cos(start + turn * s / steps), y + distance * math.sin(start + turn * s / steps))]
-        return [*out, *out[:2]]
-
     def grow(rings):
         shells = [[tuple(q) for q in np.asarray(r, float).reshape(-1, 2).tolist()] for r in rings or []]
         shells = [[q for k, q in enumerate(s) if q != s[k - 1]] for s in shells]
@@ -255,8 +259,8 @@ def buffer(df: DataFrame, distance: float, quarter: int = 16, made=apart) -> Dat
             turns.append(math.atan2(ux * vy - uy * vx, ux * vx + uy * vy))
         left = min(turns) >= 0
         if len(shells) == 1 and (left or max(turns) <= 0) and abs(abs(sum(turns)) - 2 * math.pi) < 1e-6:
-            return [[convex(shells[0] if left else shells[0][::-1])]]
-        capsules = [(0, [convex([a, b])]) for s in shells for a, b in zip(s, s[1:] + s[:1], strict=True)]
+            return [[around(shells[0] if left else shells[0][::-1], distance, quarter)]]
+        capsules = [(0, [around([a, b], distance, quarter)]) for s in shells for a, b in zip(s, s[1:] + s[:1], strict=True)]
         return made(overlay([(0, rings), *capsules], lambda n: n[0] > 0))
 
     return _rowwise(df, ["id"], ["rings"], grow)

@@ -98,8 +98,8 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     for name in shape:
         given = given | F.col(name).isNotNull()
     c = c.select("collection_id", "id", "op", "patch", given.alias("reshaped"), *(F.col(x).alias(f"new_{x}") for x in shape))
-    patch = F.map_filter(F.from_json("patch", "map<string,string>"), lambda k, _: k != "id")
-    old = F.map_filter(properties_map(), lambda k, _: ~F.array_contains(F.map_keys(patch), k))
+    patch = F.map_filter(F.from_json("patch", "map<string,variant>"), lambda k, _: k != "id")  # values keep their types
+    old = F.map_filter(F.from_json("properties", "map<string,variant>"), lambda k, _: ~F.array_contains(F.map_keys(patch), k))
     sets = F.col("op").isin("create", "replace")
     merged = F.when(F.col("op") == "patch", F.to_json(F.map_concat(old, patch))).when(sets, F.to_json(patch)).otherwise(F.col("properties"))
     met = current.join(c, ["collection_id", "id"], "left").where("op is null or op <> 'delete'")

@@ -365,3 +365,14 @@ def _search_sql(*tokens: str) -> str:
 @query("x11_doc_search", _search_sql("edition", "auch", "than"))
 def _(s, d):
     return doc_search(fx.table(s, d, "documents"), ["edition", "auch", "than"])
+
+
+@query("b8_upsert_types", wv("SELECT id, '{\"n\":' || (rank + 1) || ',\"l\":[1,\"x\"]}' AS properties FROM parcels", "parcels"))
+def _(s, d):
+    """Numbers and lists stay what they are through a patch."""
+    p = fx.parcels(s, d)
+    rank = F.get_json_object("properties", "$.rank").cast("int")
+    p = p.withColumn("properties", F.format_string('{"n":0,"l":[1,"x"]}'))
+    change = fx.parcels(s, d).select("collection_id", "id", F.lit("patch").alias("op"), F.format_string('{"n":%d}', rank + 1).alias("patch"))
+    flat = F.expr("from_json(properties, 'map<string,variant>')")
+    return tb.upsert(p, change).select("id", F.to_json(F.map_from_arrays(F.array(F.lit("n"), F.lit("l")), F.array(flat["n"], flat["l"]))).alias("properties"))

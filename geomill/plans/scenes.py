@@ -14,6 +14,7 @@ from ..operators import overlay as ov
 from ..operators import paging as pg
 from ..operators import previews as pv
 from ..operators import spatial as sp
+from ..operators import snapshots as sn
 from ..operators import tables as tb
 from ..operators import tiles as tl
 from ..sources import fixtures as fx
@@ -222,3 +223,24 @@ def _(s, d):
     grey = {c: F.expr(f"cast((l_quantity * {k} + l_partkey) % 256 as int)") for k, c in ((5, "red"), (5, "green"), (6, "blue"))}
     pixels = fx.table(s, d, "lineitem").select(F.expr("l_suppkey % 4 as raster_id"), F.expr("l_orderkey % 48 as px"), F.expr("l_partkey % 40 as py"), *(v.alias(c) for c, v in grey.items()))
     return pv.data_footprint(pixels)
+
+
+@query(
+    "s5_snapshot_table",
+    wv(
+        """SELECT 'now' AS version, collection_id, count(*) AS n, count(DISTINCT id) AS ids FROM (
+ SELECT id, collection_id FROM parcels WHERE status <> 'P' AND NOT (status = 'F' AND job IS NOT DISTINCT FROM 'job1') UNION ALL SELECT id, collection_id FROM parcels WHERE status = 'P' AND rank < 10 UNION ALL SELECT 'more-' || id, collection_id FROM parcels WHERE status = 'O' AND rank = 7) GROUP BY ALL
+UNION ALL SELECT 'first', collection_id, count(*), count(DISTINCT id) FROM parcels GROUP BY ALL""",
+        "parcels",
+    ),
+)
+def _(s, d):
+    """A load, the rollback of a job in one collection, a replacement of another and an append, then the newest and the first version."""
+    p, path = fx.parcels(s, d), rd.shared_path(s, "snapshots")
+    sn.append(p, path)
+    sn.rewrite(s, path, "parcels_F", lambda rows: tb.rollback_job(rows, "job1"))
+    rank = F.get_json_object("properties", "$.rank").cast("int")
+    sn.replace(p.where((F.col("collection_id") == "parcels_P") & (rank < 10)), path)
+    sn.append(p.where((F.col("collection_id") == "parcels_O") & (rank == 7)).withColumn("id", F.concat(F.lit("more-"), "id")), path)
+    sizes = lambda df, name: df.groupBy("collection_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).select(F.lit(name).alias("version"), "collection_id", "n", "ids")
+    return sizes(sn.read(s, path), "now").union(sizes(sn.read(s, path, 1), "first"))

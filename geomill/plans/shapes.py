@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import lines as ln
+from ..operators import measures as ms
+from ..operators import mosaics as mo
 from ..operators import outlines as ol
 from ..operators import overlay as ov
 from ..operators import spatial as sp
@@ -196,6 +199,127 @@ def _(s, d):
     return lots(s, d).select("id", F.round(G.perimeter(F.col("rings"), "km"), 3).alias("km"))
 
 
+def _geodesic_sql(edges: str, steps: int = 8) -> str:
+    """edges(id, x1, y1, x2, y2) with `m`, the same iteration as text: each step is a layer of columns."""
+    f = "(1 / 298.257223563)"
+    sphere = """sqrt(power(c2 * sin({0}), 2) + power(c1 * s2 - s1 * c2 * cos({0}), 2)) AS ss{1}, s1 * s2 + c1 * c2 * cos({0}) AS cs{1}, atan2(ss{1}, cs{1}) AS arc{1},
+ coalesce(c1 * c2 * sin({0}) / nullif(ss{1}, 0), 0) AS a{1}, 1 - a{1} * a{1} AS q{1}, coalesce(cs{1} - 2 * s1 * s2 / nullif(q{1}, 0), 0) AS m{1}"""
+    sql = f"SELECT *, atan(tan(radians(y1)) * (1 - {f})) AS u1, atan(tan(radians(y2)) * (1 - {f})) AS u2, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, radians(x2 - x1) AS l, l AS lam0 FROM ({edges})"
+    for k in range(steps):
+        grow = f"{f} / 16 * q{k} * (4 + {f} * (4 - 3 * q{k})) AS g{k}, l + (1 - g{k}) * {f} * a{k} * (arc{k} + g{k} * ss{k} * (m{k} + g{k} * cs{k} * (2 * m{k} * m{k} - 1))) AS lam{k + 1}"
+        sql = f"SELECT *, {sphere.format(f'lam{k}', k)}, {grow} FROM ({sql})"
+    n = steps
+    sql = f"SELECT *, {sphere.format(f'lam{n}', n)}, q{n} * (1 / power(1 - {f}, 2) - 1) AS u FROM ({sql})"
+    big, small = "1 + u * (1 / 4.0::DOUBLE + u * (-3 / 64.0::DOUBLE + u * (5 / 256.0::DOUBLE - u * 175 / 16384.0::DOUBLE)))", "u * (1 / 4.0::DOUBLE + u * (-1 / 8.0::DOUBLE + u * (37 / 512.0::DOUBLE - u * 47 / 1024.0::DOUBLE)))"
+    d = f"b * ss{n} * (m{n} + b / 4 * (cs{n} * (2 * m{n} * m{n} - 1) - b / 6 * m{n} * (4 * ss{n} * ss{n} - 3) * (4 * m{n} * m{n} - 3)))"
+    return f"SELECT *, {small} AS b, 6378137.0::DOUBLE * (1 - {f}) * ({big}) * (arc{n} - {d}) AS m FROM ({sql})"
+
+
+_BORDER = " UNION ALL ".join(f"SELECT id, {e} FROM parcels" for e in ("minx AS x1, miny AS y1, maxx AS x2, miny AS y2", "maxx, miny, maxx, maxy", "maxx, maxy, minx, maxy", "minx, maxy, minx, miny"))
+
+
+@query("g9_measure_written", wv(f"SELECT id, round(sum(m) / 1000, 6) AS km, true AS number FROM ({_geodesic_sql(_BORDER)}) GROUP BY 1", "parcels"))
+def _(s, d):
+    """The perimeter of logical features of one or two parts, as a JSON number in the properties of their first part."""
+    out = ms.measure(halves(s, d), "perimeter", "km", "km", 4.0).where("part_index = 0")
+    written = F.variant_get(F.parse_json("properties"), F.lit("$.km"), "double")
+    return out.select("id", F.round(written, 6).alias("km"), F.col("properties").rlike('"km":[0-9.]+[,}]').alias("number"))
+
+
+_DIAGONAL = "SELECT CAST(event_id AS VARCHAR) AS id, lon AS x1, lat AS y1, lon + CAST(event_id % 97 AS DOUBLE) / 8 AS x2, lat + CAST(event_id % 31 AS DOUBLE) / 16 - 1 AS y2 FROM points"
+
+
+@query("g9_line_lengths", wv(f"SELECT id, round(m, 4) AS m FROM ({_geodesic_sql(_DIAGONAL)}) WHERE x1 <> x2 OR y1 <> y2", "points"))
+def _(s, d):
+    n = F.col("id").cast("long")
+    ends = F.array(F.col("lon"), F.col("lat"), F.col("lon") + (n % 97) / F.lit(8.0), F.col("lat") + (n % 31) / F.lit(16.0) - 1)
+    lines = fx.points(s, d).select("id", ends.alias("line")).where("line[0] <> line[2] or line[1] <> line[3]")
+    return lines.select("id", F.round(G.line_length(F.col("line")), 4).alias("m"))
+
+
+def arches(s, d):
+    """Parcels with a notch from above: the left arm is a quarter wide, the right one half; the bar below is a quarter high."""
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    x = lambda k: F.col("minx") + w * k
+    y = lambda k: F.col("miny") + h * k
+    corners = ((0, 0), (1, 0), (1, 1), (0.5, 1), (0.5, 0.25), (0.25, 0.25), (0.25, 1), (0, 1))
+    return fx.parcels(s, d).withColumn("rings", F.array(F.array(*(f(k) for a, b in corners for f, k in ((x, a), (y, b))))))
+
+
+@query("g16_interior_point", wv("SELECT id, minx + (maxx - minx) * 0.75 AS x, miny + (maxy - miny) * 0.625 AS y, true AS inside FROM parcels", "parcels"))
+def _(s, d):
+    p = G.interior_point(F.col("rings"))
+    return arches(s, d).withColumn("p", p).select("id", "p.x", "p.y", G.holds(F.col("rings"), F.col("p.x"), F.col("p.y")).alias("inside"))
+
+
+_AREAS = "SELECT 'parcels_F' AS aoi, -180.0::DOUBLE AS ax1, -90.0::DOUBLE AS ay1, 180.0::DOUBLE AS ax2, 90.0::DOUBLE AS ay2 UNION ALL SELECT 'parcels_O', -60.0::DOUBLE, -40.0::DOUBLE, 60.0::DOUBLE, 40.0::DOUBLE UNION ALL SELECT 'parcels_P', 0.001::DOUBLE, 0.001::DOUBLE, 0.002::DOUBLE, 0.002::DOUBLE"
+
+
+@query(
+    "m6_search_boxes",
+    wv(
+        f"""WITH a AS ({_AREAS}), g AS (SELECT collection_id AS aoi, id, minx, miny, maxx, maxy, (maxx - minx) * (maxy - miny) * 13 / 16 AS area FROM parcels),
+t AS (SELECT *, minx + (maxx - minx) * 0.75 AS px, miny + (maxy - miny) * 0.625 AS py, least(greatest(sqrt(area) * 0.32, 0.0025), 0.11) AS h, row_number() OVER (PARTITION BY aoi ORDER BY area DESC, id) AS place FROM g),
+b AS (SELECT aoi, place, px - h AS x1, py - h AS y1, px + h AS x2, py + h AS y2 FROM t WHERE place <= 16),
+w AS (SELECT aoi, 0 AS place, min(minx) AS lx, min(miny) AS ly, max(maxx) AS hx, max(maxy) AS hy, greatest((hx - lx) * 0.03, (hy - ly) * 0.03, 0.008) AS pad FROM g GROUP BY aoi),
+c AS (SELECT aoi, place, greatest(x1, ax1, -180) AS x1, greatest(y1, ay1, -85) AS y1, least(x2, ax2, 180) AS x2, least(y2, ay2, 85) AS y2 FROM b JOIN a USING (aoi)),
+k AS (SELECT * FROM c WHERE x1 < x2 - 1e-9 AND y1 < y2 - 1e-9),
+u AS (SELECT aoi, place, greatest(lx - pad, ax1, -180) AS x1, greatest(ly - pad, ay1, -85) AS y1, least(hx + pad, ax2, 180) AS x2, least(hy + pad, ay2, 85) AS y2 FROM w JOIN a USING (aoi) WHERE aoi NOT IN (SELECT aoi FROM k))
+SELECT aoi, CAST(min(place) AS INTEGER) AS place, round(x1, 9) AS x1, round(y1, 9) AS y1, round(x2, 9) AS x2, round(y2, 9) AS y2 FROM (SELECT * FROM k UNION ALL SELECT * FROM u) GROUP BY ALL""",
+        "parcels",
+    ),
+)
+def _(s, d):
+    gaps = arches(s, d).select(F.col("collection_id").alias("aoi"), "id", "rings", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) * 13 / 16).alias("area"))
+    areas = s.createDataFrame([("parcels_F", -180.0, -90.0, 180.0, 90.0), ("parcels_O", -60.0, -40.0, 60.0, 40.0), ("parcels_P", 0.001, 0.001, 0.002, 0.002)], "aoi string, minx double, miny double, maxx double, maxy double")
+    return mo.search_boxes(gaps, areas).select("aoi", "place", *(F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+def crossings(s, d):
+    """For each F parcel a line through it, from a degree to its left to a degree to its right and then up, on a level no border is on."""
+    y, x1, x2 = F.col("miny") + 0.0625, F.col("minx") - 0.9375, F.col("maxx") + 0.9375
+    p = fx.parcels(s, d).where("collection_id = 'parcels_F'")
+    return ln.with_line_box(p.select("id", "properties", F.array(x1, y, x2, y, x2, y + 1).alias("line")))
+
+
+_SEGMENTS = "t AS (SELECT id, minx - 0.9375 AS x1, maxx + 0.9375 AS x2, miny + 0.0625 AS y FROM parcels WHERE status = 'F')"
+_STRETCHES = """c AS (SELECT t.id, b.id AS id_b, greatest(least(x2, b.maxx) - greatest(x1, b.minx), 0) * CAST(y > b.miny AND y < b.maxy AS INT) AS across,
+ greatest(least(y + 1, b.maxy) - greatest(y, b.miny), 0) * CAST(x2 > b.minx AND x2 < b.maxx AS INT) AS up FROM t JOIN parcels b ON b.status = 'O' AND x1 <= b.maxx AND x2 >= b.minx AND y <= b.maxy AND y + 1 >= b.miny)"""
+
+
+@query("g2_lines", wv(f"WITH {_SEGMENTS}, {_STRETCHES} SELECT id, id_b, across + up AS length, id AS a, id_b AS b FROM c WHERE across + up > 0", "parcels"))
+def _(s, d):
+    """Lines in polygons: what is inside, by pair, with the ids in the properties."""
+    out = ln.intersect_lines(crossings(s, d), boxes(s, d, "O"))
+    length = F.aggregate("lines", F.lit(0.0), lambda n, line: n + F.aggregate(F.sequence(F.lit(2), F.size(line) - 2, F.lit(2)), F.lit(0.0), lambda m, i: m + F.abs(F.get(line, i) - F.get(line, i - 2)) + F.abs(F.get(line, i + 1) - F.get(line, i - 1))))
+    own = lambda k: F.get_json_object("properties", f"$.{k}")
+    return out.select("id", "id_b", F.round(length, 9).alias("length"), own("_id_a").alias("a"), own("_id_b").alias("b"))
+
+
+@query("g2_points", wv("SELECT p.id, b.id AS id_b, b.status AS status FROM points p JOIN parcels b ON b.status <> 'P' AND lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy", "points", "parcels"))
+def _(s, d):
+    out = ln.intersect_points(fx.points(s, d), boxes(s, d).where("collection_id <> 'parcels_P'"))
+    return out.select("id", "id_b", F.get_json_object("properties", "$.status").alias("status"))
+
+
+@query("g6_buffer_lines", wv("SELECT id, 1 AS n_polygons, round((maxx - minx + 1.875) * 0.5 + 0.0625 * 32 * sin(2 * pi() / 64), 6) AS area, round(maxx + 0.9375 + 0.25, 6) AS maxx FROM parcels WHERE status = 'F' UNION ALL SELECT 'p' || id, 1, round(0.0625 * 32 * sin(2 * pi() / 64), 6), round(lon + 0.25, 6) FROM points", "parcels", "points"))
+def _(s, d):
+    """Straight lines and points with a margin of a quarter degree."""
+    straight = crossings(s, d).select("id", F.slice("line", 1, 4).alias("line"))
+    dots = fx.points(s, d).select(F.concat(F.lit("p"), "id").alias("id"), F.array("lon", "lat").alias("line"))
+    grown = ov.with_box(ln.buffer_lines(straight.unionByName(dots), 0.25))
+    return grown.groupBy("id").agg(F.count("*").alias("n_polygons"), F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"), F.round(F.max("maxx"), 6).alias("maxx"))
+
+
+_PARTS_SQL = """SELECT o_orderkey || '_' || (k - 1) AS id, CAST(o_orderkey AS VARCHAR) AS _parent_id, k - 1 AS _part_index, kinds[k] AS kind FROM (
+ SELECT o_orderkey, kinds, unnest(range(1, len(kinds) + 1)) AS k FROM (SELECT o_orderkey, ['Point'] || CASE WHEN o_orderkey % 2 = 0 THEN ['LineString'] ELSE [] END || CASE WHEN o_orderkey % 3 = 0 THEN ['Polygon', 'Polygon'] ELSE [] END AS kinds FROM orders))"""
+
+
+@query("g7_explode_parts", _PARTS_SQL)
+def _(s, d):
+    return ln.explode_parts(collections(s, d)).select("id", "_parent_id", "_part_index", "kind")
+
+
 @query("g10_subdivide", wv("SELECT id, round(power(maxx - minx, 2) * 32 * sin(2 * pi() / 64), 6) AS area, true AS small FROM parcels", "parcels"))
 def _(s, d):
     angle = lambda i: i * F.pi() / 32
