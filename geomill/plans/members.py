@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import composite as cp
 from ..operators import filters as fl
 from ..operators import paging as pg
 from ..operators import tables as tb
@@ -110,3 +111,46 @@ def _(s, d):
     df = fx.parcels(s, d).withColumn("minx", F.when(F.col("id").cast("long") % 7 != 0, F.col("minx"))).withColumn("id", F.concat(F.lit("018f-"), F.lpad("id", 12, "0")))
     numbers = tl.export_rows(df).agg(F.max("number").alias("last"), F.min("number").cast("int").alias("first"))
     return tl.export_counts(df).join(numbers, F.lit(True))
+
+
+_COMPOSITE = ["parcels_F", "parcels_P"]
+_MEMBERS = "SELECT *, CASE status WHEN 'F' THEN 0 ELSE 1 END AS member_ord FROM parcels WHERE status IN ('F', 'P')"
+
+
+@query(
+    "u1_composite_page",
+    wv(
+        f"""SELECT collection_id || ':' || id AS id, member_ord, minx, maxx, collection_id AS member, id AS feature, priority, CAST(NULL AS VARCHAR) AS status
+ FROM ({_MEMBERS}) ORDER BY priority DESC, member_ord, id LIMIT 400 OFFSET 100""",
+        "parcels",
+    ),
+)
+def _(s, d):
+    """Sorted over all members by a property; parts are grouped, and properties say where a feature comes from."""
+    page = cp.composite_items(fx.parts(s, d), _COMPOSITE, "priority", True, 400, 100, ["priority"])
+    return page.select("id", "member_ord", "minx", "maxx", fl.prop("_member_collection_id").alias("member"), fl.prop("_member_feature_id").alias("feature"), fl.prop("priority").alias("priority"), fl.prop("status").alias("status"))
+
+
+@query("u1_composite_matched", wv(f"SELECT count(*) AS number_matched FROM ({_MEMBERS})", "parcels"))
+def _(s, d):
+    return cp.number_matched(fx.parts(s, d), _COMPOSITE)
+
+
+@query(
+    "u2_composite_lookup",
+    wv(
+        """SELECT item, collection_id, id FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN id WHEN 1 THEN 'parcels_F:' || id WHEN 2 THEN 'parcels_O:' || id ELSE collection_id || ':' || id END AS item,
+ collection_id, id, o_orderkey % 4 AS k, status FROM parcels) WHERE status IN ('F', 'P') AND (k IN (0, 3) OR k = 1 AND status = 'F')""",
+        "parcels",
+    ),
+)
+def _(s, d):
+    n = F.col("id").cast("long") % 4
+    item = F.when(n == 0, F.col("id")).when(n == 1, F.concat(F.lit("parcels_F:"), "id")).when(n == 2, F.concat(F.lit("parcels_O:"), "id")).otherwise(F.concat("collection_id", F.lit(":"), "id"))
+    return cp.composite_get(fx.parts(s, d), _COMPOSITE, fx.parcels(s, d).select(item.alias("item")))
+
+
+@query("a11_dynamic_revision", wv("SELECT left(sha256('parcels_P:' || (SELECT strftime(max(updated_at), '%Y-%m-%dT%H:%M:%S') FROM parcels WHERE status = 'P') || '+00:00' || chr(10) || 'absent:' || chr(10) || 'parcels_F:' || (SELECT strftime(max(updated_at), '%Y-%m-%dT%H:%M:%S') FROM parcels WHERE status = 'F') || '+00:00'), 16) AS revision", "parcels"))
+def _(s, d):
+    last = fx.parcels(s, d).groupBy("collection_id").agg(F.max("updated_at").alias("last_updated"))
+    return cp.dynamic_revision(last, ["parcels_P", "absent", "parcels_F"])
