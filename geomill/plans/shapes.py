@@ -226,6 +226,10 @@ def _(s, d):
     return out.select("id", F.round(written, 6).alias("km"), F.col("properties").rlike('"km":[0-9.]+[,}]').alias("number"))
 
 
+_CUT_CORNER = "SELECT *, (minx + maxx) / 2 AS mx, (miny + maxy) / 2 AS my FROM parcels"
+_LOT_BORDER = " UNION ALL ".join(f"SELECT id, {e} FROM ({_CUT_CORNER})" for e in ("minx AS x1, miny AS y1, maxx AS x2, miny AS y2", "maxx, miny, maxx, my", "maxx, my, mx, maxy", "mx, maxy, minx, maxy", "minx, maxy, minx, miny"))
+SQL["g9_measure_perimeter"] = wv(f"SELECT id, round(sum(m) / 1000, 3) AS km FROM ({_geodesic_sql(_LOT_BORDER)}) GROUP BY 1", "parcels")
+
 _DIAGONAL = "SELECT CAST(event_id AS VARCHAR) AS id, lon AS x1, lat AS y1, lon + CAST(event_id % 97 AS DOUBLE) / 8 AS x2, lat + CAST(event_id % 31 AS DOUBLE) / 16 - 1 AS y2 FROM points"
 
 
