@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cg
+from ..operators import digests as dg
 from ..operators import filters as fl
 from ..operators import paging as pg
 from ..operators import tables as tb
@@ -235,8 +236,15 @@ def _(s, d):
 
 @query("a10_mosaic_version", wv("SELECT collection_id, sha256(collection_id || ':' || string_agg(id, ',' ORDER BY id)) AS version FROM parcels GROUP BY 1", "parcels"))
 def _(s, d):
-    ids = F.concat_ws(",", F.array_sort(F.collect_list("id")))
-    return fx.parcels(s, d).groupBy("collection_id").agg(F.sha2(F.concat(F.first("collection_id"), F.lit(":"), ids), 256).alias("version"))
+    return dg.mosaic_versions(fx.parts(s, d))
+
+
+@query("a10_version_matches", wv("SELECT collection_id, k, k < 2 AS matches FROM (SELECT DISTINCT collection_id FROM parcels), (SELECT unnest(range(4)) AS k)", "parcels"))
+def _(s, d):
+    """The whole version and 16 characters of it match; 15 characters and none do not."""
+    given = F.array(F.col("version"), F.left("version", F.lit(16)), F.left("version", F.lit(15)), F.lit(None))
+    out = dg.mosaic_versions(fx.parcels(s, d)).select("collection_id", "version", F.posexplode(given).alias("k", "given"))
+    return out.select("collection_id", F.col("k").cast("long").alias("k"), dg.version_matches(F.col("given"), F.col("version")).alias("matches"))
 
 
 @query("a11_composite_revision", "SELECT n_regionkey, substr(sha256(string_agg(n_name, '|' ORDER BY n_nationkey)), 1, 16) AS revision FROM nation GROUP BY 1")
