@@ -105,6 +105,20 @@ def classify(samples: DataFrame, classes: DataFrame, nodata: float) -> DataFrame
     return out.withColumn("is_nodata", F.coalesce(F.col("value") == nodata, F.lit(False)))
 
 
+def legend(classes: DataFrame, colormap: DataFrame) -> DataFrame:
+    """(value_key, name, color) of a style: its classes(value, name, color), of equal values the first by `place`, and colours of
+    colormap(value, color) for values without a class, named by their value. Values are normalised as samples are (3.0 is 3), a
+    class without a name has its value's, and colours begin with #. Rows without a value count for nothing."""
+    number = F.col("value").try_cast("double")
+    key = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(F.col("value").cast("string"))
+    hashed = lambda c: F.when((c != "") & ~c.startswith("#"), F.concat(F.lit("#"), c)).otherwise(F.coalesce(c, F.lit("")))
+    named = classes.where("value is not null").groupBy(key.alias("value_key")).agg(F.min_by(F.struct("name", "color"), "place").alias("c"))
+    named = named.select("value_key", F.coalesce(F.nullif("c.name", F.lit("")), "value_key").alias("name"), hashed(F.col("c.color")).alias("color"))
+    colored = colormap.where("value is not null").groupBy(key.alias("value_key")).agg(F.min("color").alias("color"))
+    rest = colored.join(named, "value_key", "left_anti").select("value_key", F.col("value_key").alias("name"), hashed(F.col("color")).alias("color"))
+    return named.unionByName(rest)
+
+
 def rescale_suggestion(pixels: DataFrame) -> DataFrame:
     """Per raster: the least 2nd and the greatest 98th percentile over bands, as text; none if they don't span a range."""
     counts = pixels.where("not masked").groupBy("raster_id", "band", "value").agg(F.count("*").alias("n"))

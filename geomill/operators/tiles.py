@@ -111,6 +111,12 @@ def tile_polygons(df: DataFrame, zmin: int, zmax: int, extent: int = 4096, buffe
     return _rowwise(assign_tiles(df, zmin, zmax, buffer), ["id", "z", "x", "y"], ["rings", "z", "x", "y"], cut)
 
 
+def member_tiles(df: DataFrame, members: list[str], zmin: int, zmax: int) -> DataFrame:
+    """z, x, y, member_ord, collection_id, id, part_index, properties: the features of all members as one layer for each tile."""
+    held = df.where(F.col("collection_id").isin(members)).withColumn("member_ord", F.array_position(F.array(*(F.lit(m) for m in members)), F.col("collection_id")).cast("int") - 1)
+    return assign_tiles(held, zmin, zmax).select("z", "x", "y", "member_ord", "collection_id", "id", "part_index", "properties")
+
+
 def merge_members(members: list[DataFrame], zmin: int, zmax: int) -> DataFrame:
     """Features per tile over all members, as (member, id) lists' sizes: z, x, y, n, members."""
     every = None

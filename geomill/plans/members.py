@@ -100,6 +100,17 @@ def _(s, d):
     return tl.merge_members([p.where(F.col("collection_id") == f"parcels_{m}") for m in "OFP"], 4, 4)
 
 
+def _layers_sql() -> str:
+    sql = _merged_sql()
+    return sql[: sql.index("SELECT z, x, y, count(*)")] + "SELECT z, x, y, id, CASE status WHEN 'P' THEN 0 ELSE 1 END AS member_ord FROM (SELECT id, status, z, x, unnest(range(y1, y2 + 1)) AS y FROM r) WHERE status IN ('P', 'O')"
+
+
+@query("t6_member_tiles", _layers_sql())
+def _(s, d):
+    """The features themselves, of two members in their order, for each tile of a zoom."""
+    return tl.member_tiles(fx.parcels(s, d), ["parcels_P", "parcels_O"], 4, 4).select("z", "x", "y", "id", "member_ord")
+
+
 @query("t7_tile_export", wv("SELECT id, row_number() OVER (ORDER BY id, collection_id) AS number FROM (SELECT DISTINCT id, collection_id FROM parts)", "parts"))
 def _(s, d):
     return tl.export_rows(pg.logical(fx.parts(s, d))).select("id", "number")

@@ -173,6 +173,14 @@ def _(s, d):
     return mo.classify(fx.pixels(s, d).select("raster_id", "band", "value"), classes, 50.0).select("raster_id", "band", "value", "name", "is_nodata")
 
 
+@query("j8_legend", wv("SELECT raster_id, band, value, CASE value WHEN 1 THEN 'water' WHEN 2 THEN '2' WHEN 3 THEN 'urban' WHEN 4 THEN '4' WHEN 50 THEN '50' END AS name, CASE value WHEN 1 THEN '#00f' WHEN 2 THEN '#0f0' WHEN 3 THEN '' WHEN 4 THEN '#123' WHEN 50 THEN '#fff' END AS color FROM pixels", "pixels"))
+def _(s, d):
+    """Classes first (of two for a value the first), then the colour map."""
+    classes = s.createDataFrame([(0, "1.0", "water", "00f"), (1, "2", None, "#0f0"), (2, "3", "urban", None), (3, "1", "later", "#f00"), (4, None, "none", "#000")], "place int, value string, name string, color string")
+    colors = s.createDataFrame([("1", "#aaa"), ("4", "123"), ("50.0", "#fff"), ("x", "#bbb")], "value string, color string")
+    return mo.classify(fx.pixels(s, d).select("raster_id", "band", "value"), F.broadcast(mo.legend(classes, colors)), 50.0).select("raster_id", "band", "value", "name", "color")
+
+
 @query("f17_scene_search", wv("SELECT catalog, id FROM scenes WHERE minx <= 40 AND maxx >= -40 AND miny <= 40 AND maxy >= -40 AND cloud <= 30 AND CAST(dt AS DATE) BETWEEN DATE '1995-06-01' AND DATE '1995-08-31'", "scenes"))
 def _(s, d):
     slices = S.season_slices(dt.date(1995, 3, 1), dt.date(1995, 12, 31), ["summer"])
