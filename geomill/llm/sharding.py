@@ -12,7 +12,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS, SHARDS, SALTS = 65_537, 64, 8
+SLOTS, SHARDS = 65_537, 64
+#: About so many bytes, uncompressed, are written by one task.
+TASK_BYTES = 256 << 20
 
 
 def _number(name: str, salt: str) -> int:
@@ -64,17 +66,36 @@ def shard(df: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS)
     return named.join(F.broadcast(table), "slot", "left").select(*(F.col(f"`{c}`") for c in named.columns), "shard", "shard_name")
 
 
-def write_shards(df: DataFrame, path: str, keys: list[str], shards: list[str], slots: int = SLOTS, rows_per_file: int = 1_000_000) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About the size of a row: the bytes of texts, binaries and of nested values as text, and 8 for any other column."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    sized = [F.octet_length(F.col(f"`{c}`")) for c, k in kinds.items() if k in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.col(f"`{c}`"))) for c, k in kinds.items() if k in ("array", "map", "struct")]
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sized + nested), F.lit(8 * len(kinds)).cast("long"))
+
+
+def writers(placed: DataFrame, n_shards: int, task_bytes: int = TASK_BYTES) -> list[int]:
+    """How many tasks write each shard, from the bytes of its rows; one pass that gathers a sum for each shard."""
+    sums = dict(tuple(r) for r in placed.groupBy("shard").agg(F.sum(row_bytes(placed.drop("slot", "shard", "shard_name")))).collect())
+    return [max(1, -(-sums.get(k, 0) // task_bytes)) for k in range(n_shards)]
+
+
+def write_shards(
+    df: DataFrame, path: str, keys: list[str], shards: list[str], slots: int = SLOTS, rows_per_file: int = 1_000_000, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """Writes every row of `df`, with its slot and shard_name, to the folder of its shard, and returns the shards read back.
 
-    Tasks are dealt by shard and a salt from the whole row, so a shard that holds a third of all rows is written by up to SALTS
-    tasks; rows that are equal in every column share a salt. Null keys have a shard like any other value, repeated rows are
+    Tasks are dealt by shard and a salt from the whole row. A shard has one salt for each `task_bytes` of its rows, so the
+    number of writing tasks grows with the data and a shard that holds a third of all rows has as large a part of them; rows
+    that are equal in every column share a salt. Null keys have a shard like any other value, repeated rows are
     all written, an empty table gives an empty folder and an empty result. Columns of `df` named slot, shard or shard_name
     are replaced. The result's columns are those of `df`, slot, shard_name, and shard.
     """
     placed = shard(df, keys, shards, slots)
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in df.columns if df.schema[k].dataType.typeName() not in ("map", "variant"))), F.lit(SALTS))
+    salts = writers(placed, len(shards), task_bytes)
     columns = [c for c in placed.columns if c != "shard"]
-    dealt = placed.select(*(F.col(f"`{c}`") for c in columns), "shard").repartition("shard", salt)
+    whole = F.xxhash64(*(F.col(f"`{k}`") for k in df.columns if df.schema[k].dataType.typeName() not in ("map", "variant")))
+    salt = F.pmod(whole, F.element_at(F.array(*map(F.lit, salts)), F.col("shard") + 1).cast("long"))
+    dealt = placed.select(*(F.col(f"`{c}`") for c in columns), "shard").repartition(sum(salts), "shard", salt)
     dealt.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy("shard").parquet(path)
     return df.sparkSession.read.schema(dealt.schema).parquet(path)
