@@ -196,9 +196,13 @@ def _table(counted: DataFrame, buckets: int) -> np.ndarray:
 
 
 def label_counts(named: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(counts by kind, labelled rows by kind), from at most `sample` labelled rows, those with the smallest hashes of their id."""
+    """(counts by kind, labelled rows by kind), from at most `sample` labelled ids, those with the smallest hashes of their id.
+
+    An id with several labels that differ has the worst of them: toxic, else low in quality. Documents that share an id share
+    its label and all count, but only the one with the least signature says whether it is a copy.
+    """
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), kind.alias("kind")).dropDuplicates(["id"])
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), kind.alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
     rows = known.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     kinds = dict(zip(rows["id"].tolist(), rows["kind"].tolist(), strict=True))
     share = np.bincount(rows["kind"].to_numpy(dtype=np.int64), minlength=len(KINDS))
@@ -206,7 +210,8 @@ def label_counts(named: DataFrame, labels: DataFrame, sample: int = SAMPLE, buck
         return np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64), share
     picked = F.broadcast(named.sparkSession.createDataFrame([(i,) for i in kinds], "picked long"))  # at most `sample` rows
     found = named.join(picked, named.id == picked.picked, "left_semi").select("id", "text")
-    first = found.mapInArrow(_signatures, _RUNS).toPandas().drop_duplicates("id").sort_values("id")
+    least = F.min(F.struct("m0", "m1", "m2", "m3")).alias("m")  # at most `sample` rows, however many documents share an id
+    first = found.mapInArrow(_signatures, _RUNS).groupBy("id").agg(least).select("id", "m.*").toPandas().sort_values("id")
     copies = first["m0"].duplicated() | first["m1"].duplicated() | first["m2"].duplicated() | first["m3"].duplicated()
     kinds = {i: kinds[i] for i in first["id"][~copies].tolist()}  # else a group of copies counts as if its words were common
     return _table(found.mapInArrow(lambda b: _counts(b, kinds, buckets), "kind int, bucket int, n long"), buckets), share

@@ -105,3 +105,19 @@ def test_first_runs_equal_loops():
         h = spans.Words(np.array([0, len(data)]), data).hashes()
         runs = spans.window_hashes(h, min(8, len(h))) if len(h) else np.zeros(1, np.uint64)
         assert found[r, 0] == spans.mix(runs).min()
+
+
+def test_conflicting_labels_and_repeated_ids_have_one_result(spark):
+    docs = [(k, f"plain words about {k} and more of them {'vile' if k % 3 == 2 else 'fine'}") for k in range(60)] + [(4, "another text"), (4, "a third text")]
+    labels = [(k, 1, int(k % 3 == 2)) for k in range(60)] + [(4, 1, 1), (5, 0, 0), (6, None, 1), (None, 1, 1), (7, 1, None)]
+    found = []
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        random.Random(seed).shuffle(labels)
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(1 + seed)
+        named = frame.withColumnRenamed("doc_id", "id")
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(3 - seed)
+        counts, share = quality.label_counts(named, known, buckets=1 << 8)
+        found.append((counts.tolist(), share.tolist()))
+    assert found[0] == found[1] == found[2]
+    assert found[0][1] == [38, 0, 22]  # 4 is toxic now; of 5's labels the toxic one holds
