@@ -2,89 +2,28 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import BLOCK, extreme_corners, filled_size, largest_area
+
 # Up to this a pixel is near black, from this it is near white.
 BLACK, WHITE = 18, 235
-CORNERS = "raster_id long, n_pixels long, corners array<array<long>>"
 
 
-def runs(pixels: DataFrame) -> DataFrame:
-    """raster_id, py, x1, x2: runs of data pixels in each row. pixels: raster_id, px, py, red, green, blue."""
+def data_pixels(pixels: DataFrame) -> DataFrame:
+    """(raster_id, px, py) of the data pixels. pixels: raster_id, px, py, red, green, blue; pixels with a null are no data."""
     bands = ("red", "green", "blue")
+    held = pixels.dropna(subset=list(bands))
     dark, light = (F.greatest(*bands) <= BLACK), (F.least(*bands) >= WHITE)
-    data = pixels.where(~dark & ~light).select("raster_id", "px", "py").distinct()
-    apart = F.col("px") - F.row_number().over(Window.partitionBy("raster_id", "py").orderBy("px"))
-    return data.withColumn("_run", apart).groupBy("raster_id", "py", "_run").agg(F.min("px").alias("x1"), F.max("px").alias("x2")).drop("_run")
-
-
-def blobs(rows: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Runs (y, x1, x2) grouped to areas whose pixels share sides."""
-    rows = sorted(rows)
-    parent = list(range(len(rows)))
-
-    def root(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    above = 0
-    for k, (y, x1, x2) in enumerate(rows):
-        while above < k and (rows[above][0] < y - 1 or (rows[above][0] == y - 1 and rows[above][2] < x1)):
-            above += 1
-        j = above
-        while j < k and rows[j][0] == y - 1 and rows[j][1] <= x2:
-            parent[root(k)] = root(j)
-            j += 1
-    out: dict = {}
-    for k, r in enumerate(rows):
-        out.setdefault(root(k), []).append(r)
-    return list(out.values())
-
+    return held.where(~dark & ~light).select(*(F.col(c).cast("long") for c in ("raster_id", "px", "py")))
 
-def filled(blob: list[tuple[int, int, int]]) -> int:
-    """Pixels of a blob with its holes: all of its frame but what is connected with the frame's border."""
-    own: dict = {}
-    for y, x1, x2 in sorted(blob):
-        own.setdefault(y, []).append((x1, x2))
-    left, right = min(r[1] for r in blob) - 1, max(r[2] for r in blob) + 1
-    empty = []
-    for y in range(min(own) - 1, max(own) + 2):
-        at = left
-        for x1, x2 in own.get(y, []):
-            if x1 > at:
-                empty.append((y, at, x1 - 1))
-            at = x2 + 1
-        if at <= right:
-            empty.append((y, at, right))
-    outside = next(b for b in blobs(empty) if (min(own) - 1, left, right) in b)
-    frame = (right - left + 1) * (max(own) - min(own) + 3)
-    return frame - sum(x2 - x1 + 1 for _, x1, x2 in outside)
 
-
-def corners(blob: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Lower left, upper left, upper right and lower right extremes of the pixels' corners; y counts down from the top."""
-    p = {(x, -y) for top, x1, x2 in blob for x in (x1, x2 + 1) for y in (top, top + 1)}
-    found = (
-        min(p, key=lambda q: (q[0] + q[1], q)), max(p, key=lambda q: (q[1] - q[0], -q[0], q[1])),
-        max(p, key=lambda q: (q[0] + q[1], q)), max(p, key=lambda q: (q[0] - q[1], q[0], -q[1])),
-    )
-    return [[x, -y] for x, y in found]
-
-
-def data_footprint(pixels: DataFrame) -> DataFrame:
+def data_footprint(pixels: DataFrame, block: int = BLOCK) -> DataFrame:
     """raster_id, n_pixels (holes filled) and corners of each preview's largest blob (ties: the upper, then the left one).
 
-    Spark turns pixels to runs; one task holds the runs of one preview. Previews without data have no row.
+    Rasters are labelled by blocks of `block` x `block` pixels and joined across them, so no task holds a raster; the size of
+    the blocks doesn't change the result. Previews without data have no row; repeated pixels count once.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("py", "x1", "x2")), strict=True))
-        largest = min(blobs(rows), key=lambda b: (-sum(x2 - x1 + 1 for _, x1, x2 in b), min(b)))
-        out = {"raster_id": [table.column("raster_id")[0].as_py()], "n_pixels": [filled(largest)], "corners": [corners(largest)]}
-        return pa.table(out, pa.schema([("raster_id", pa.int64()), ("n_pixels", pa.int64()), ("corners", pa.list_(pa.list_(pa.int64())))]))
-
-    return runs(pixels).groupBy("raster_id").applyInArrow(run, CORNERS)
+    area = largest_area(data_pixels(pixels), block)
+    return filled_size(area, block).join(extreme_corners(area), "raster_id")

@@ -9,6 +9,7 @@ from ..sources import fixtures as fx
 from ..sources.fixtures import with_views as wv
 from ..sources.readers import shared_path
 from ..streaming import metrics as st
+from ..streaming import sketches as sk
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -73,10 +74,27 @@ def _(s, d):
     """The stream upserts the minutes of each batch; its exact columns equal the batch job's, percentiles are compared in a test."""
     events = fx.table(s, d, "events")
     stream = s.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
-    shaped = stream.selectExpr(
-        "cast(ts as timestamp) as created_at", "concat('/', event_type) as route_template", "cast(floor(value * 10) as int) as latency_ms",
-        "case event_id % 20 when 0 then 500 when 1 then 404 when 2 then 301 else 200 end as status_code",
-    )
     path = shared_path(s, "minutes")
-    st.upsert_minutes(st.minute_metrics_stream(shaped), f"{path}/table", f"{path}/checkpoint")
+    st.upsert_minutes(st.minute_metrics_stream(fx.as_requests(stream)), f"{path}/table", f"{path}/checkpoint")
     return st.read_minutes(s, f"{path}/table").drop("p50_ms", "p90_ms").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query(
+    "r1_sketch_days",
+    wv(f"SELECT date_trunc('day', created_at)::TIMESTAMP AS day, route_template, count(*) AS requests, CAST(round(avg(latency_ms)) AS INT) AS mean_ms, {FAMILIES}, true AS p50_ok, true AS p90_ok FROM request_events GROUP BY 1, 2", "request_events"),
+)
+def _(s, d):
+    """Days merged from the minute sketches of a stream; *_ok: the percentile's rank among the day's events is within the bound."""
+    events = fx.table(s, d, "events")
+    stream = fx.as_requests(s.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*"))
+    path = shared_path(s, "sketches")
+    sk.write_sketches(stream, f"{path}/table", f"{path}/checkpoint")
+    days = sk.merged(sk.read_sketches(s, f"{path}/table"), F.date_trunc("day", "minute")).withColumnRenamed("minute", "day")
+    own = fx.as_requests(events).select(F.date_trunc("day", "created_at").alias("day"), "route_template", "latency_ms")
+    values = own.groupBy("day", "route_template", "latency_ms").agg(F.count("*").alias("n")).join(days, ["day", "route_template"])
+    count = lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0)) / F.sum("n")
+    slack = sk.RANK_ERROR + 1 / F.sum("n")
+    ok = lambda p, q: ((count(f"latency_ms < {p}") - slack <= q) & (count(f"latency_ms <= {p}") + slack >= q)).alias(f"{p[:3]}_ok")
+    kept = [c for c in days.columns if c not in ("day", "route_template", "p50_ms", "p90_ms")]
+    out = values.groupBy("day", "route_template", *kept).agg(ok("p50_ms", 0.5), ok("p90_ms", 0.9))
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))

@@ -225,6 +225,14 @@ def _(s, d):
     return pv.data_footprint(pixels)
 
 
+@query("m11_block_footprint", None)
+def _(s, d):
+    """A raster for each 25 suppliers, so rasters grow in number with the data, in blocks smaller than a raster."""
+    grey = F.expr("cast((l_quantity * 5 + l_partkey) % 256 as int)")
+    pixels = fx.table(s, d, "lineitem").select(F.expr("l_suppkey div 25 as raster_id"), F.expr("l_orderkey % 48 as px"), F.expr("l_partkey % 40 as py"), *(grey.alias(c) for c in ("red", "green", "blue")))
+    return pv.data_footprint(pixels, 16)
+
+
 @query(
     "s5_snapshot_table",
     wv(

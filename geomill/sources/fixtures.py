@@ -97,6 +97,14 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_requests(events: DataFrame) -> DataFrame:
+    """The columns of request events that metrics read, of a table or stream of events."""
+    return events.selectExpr(
+        "cast(ts as timestamp) as created_at", "concat('/', event_type) as route_template", "cast(floor(value * 10) as int) as latency_ms",
+        "case event_id % 20 when 0 then 500 when 1 then 404 when 2 then 301 else 200 end as status_code",
+    )
+
+
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
