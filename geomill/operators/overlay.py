@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,80 +22,252 @@ RINGS = "array<array<double>>"
 TINY = 1e-12
 #: Polygons that one kernel call of a union takes before it is split by salt.
 GROUP = 256
-
-
-def overlay(shapes, keep) -> list[list[float]]:
-    """Rings of the region where keep(n) holds; n[s] counts the polygons of side s at a point. shapes: (side, rings)."""
-    lines, owner = [np.zeros((0, 4))], [np.zeros(0, int)]
-    for k, (_, rings) in enumerate(shapes):
-        for ring in rings or []:
-            p = np.asarray(ring, float).reshape(-1, 2)
-            lines.append(np.hstack([p, np.roll(p, -1, 0)]))
-            owner.append(np.full(len(p), k))
-    e, owner = np.concatenate(lines), np.concatenate(owner)
+#: Rows of a batch that a kernel works on together, and pairs of edges, or of edges and cuts, that it holds at a time.
+ROWS, SHARE = 2048, 1 << 21
+
+
+class Rings:
+    """Rings of many polygons as flat arrays: points (n, 2), the number of points of each ring and the polygon it belongs to."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, of: np.ndarray):
+        self.points, self.sizes, self.of = points, sizes, of
+
+    @staticmethod
+    def of_column(column) -> Rings:
+        """Of an Arrow column of polygons; null: no rings."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        rings = column.flatten()
+        of = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        sizes = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        return Rings(rings.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, 2), sizes, of)
+
+    @staticmethod
+    def of_lists(polygons) -> Rings:
+        every = [(k, np.asarray(r, float).reshape(-1, 2)) for k, rings in enumerate(polygons) for r in rings or []]
+        points = np.concatenate([np.zeros((0, 2)), *(p for _, p in every)])
+        return Rings(points, np.array([len(p) for _, p in every], np.int64), np.array([k for k, _ in every], np.int64))
+
+    def following(self) -> np.ndarray:
+        """The index of the point after each one; the first one's after a ring's last."""
+        after = np.arange(1, len(self.points) + 1)
+        ends = np.cumsum(self.sizes)[self.sizes > 0]
+        after[ends - 1] = ends - self.sizes[self.sizes > 0]
+        return after
+
+    def taken(self, which: np.ndarray) -> Rings:
+        """The rings of these polygons, which become the polygons 0, 1, ...; rings stand in order of their polygons."""
+        n = np.bincount(self.of, minlength=int(which.max(initial=-1)) + 1)
+        of, ring = _runs((np.cumsum(n) - n)[which], n[which])
+        return Rings(self.points[_runs((np.cumsum(self.sizes) - self.sizes)[ring], self.sizes[ring])[1]], self.sizes[ring], of)
+
+    def lists(self) -> list[list[float]]:
+        ends = np.cumsum(self.sizes)
+        return [self.points[e - n : e].ravel().tolist() for e, n in zip(ends, self.sizes, strict=True)]
+
+    def arrow(self) -> pa.ListArray:
+        """The rings as an Arrow array of flat lists."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * self.sizes)]), pa.int32()), pa.array(self.points.ravel()))
+
+
+def joined(every: list[Rings], polygons: list[int]) -> Rings:
+    """All rings; each one's polygons are numbered behind those of the ones before it, of which there are `polygons` each."""
+    shift = np.cumsum([0, *polygons])
+    points, sizes, of = [np.zeros((0, 2))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, r in enumerate(every):
+        points.append(r.points)
+        sizes.append(r.sizes)
+        of.append(r.of + shift[k])
+    return Rings(np.concatenate(points), np.concatenate(sizes), np.concatenate(of))
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which run, value) of the runs first[k], first[k] + 1, ... of n[k] values each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _shares(weights: np.ndarray, most: int):
+    """Slices of consecutive items of about `most` weight each; an item alone may weigh more."""
+    at, total = 0, np.cumsum(weights)
+    while at < len(weights):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _kept(keep, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """keep((n0, n1)) of each item, asked once for each pair of counts."""
+    wide = int(n1.max(initial=0)) + 1
+    pairs, at = np.unique(n0 * wide + n1, return_inverse=True)
+    return np.array([bool(keep([int(p // wide), int(p % wide)])) for p in pairs], bool)[at]
+
+
+def overlays(rings: Rings, job: np.ndarray, side: np.ndarray, keep) -> tuple[np.ndarray, Rings]:
+    """(job of each part, parts): for every job the region where keep(n) holds; n[s] counts the job's polygons of side s at a point.
+
+    job and side: of each polygon; jobs in order. All jobs are worked on together, in arrays; a job alone gives the same parts.
+    """
+    after, owner = rings.following(), np.repeat(rings.of, rings.sizes)
+    e = np.hstack([rings.points, rings.points[after]])
     e = np.where((e[:, 0] <= e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]])
     sloped = e[:, 0] < e[:, 2]
     e, owner = e[sloped], owner[sloped]
+    of = job[owner]
+    order = np.argsort(of, kind="stable")
+    e, owner, of = e[order], owner[order], of[order]
     x1, y1, x2, slope = e[:, 0], e[:, 1], e[:, 2], (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-    cuts = [x1, x2]
-    for i in range(len(e)):  # where an edge crosses later ones
-        lo, hi = np.maximum(x1[i], x1[i + 1 :]), np.minimum(x2[i], x2[i + 1 :])
-        at = lambda x, i=i: y1[i] + slope[i] * (x - x1[i]) - y1[i + 1 :] - slope[i + 1 :] * (x - x1[i + 1 :])
-        a, b = at(lo), at(hi)
-        hit = (lo < hi) & (a * b < 0)
+    # crossings: edges by their left ends, each with those that begin before it ends
+    values, jobs = np.concatenate([x1, x2]), np.concatenate([of, of])
+    by = np.lexsort((values, jobs))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(np.concatenate([[False], (np.diff(values[by]) != 0) | (np.diff(jobs[by]) != 0)])[: len(by)])
+    begin, end = rank[: len(e)], rank[len(e) :]
+    by_left = np.argsort(begin, kind="stable")
+    bent = np.zeros(int(of.max(initial=-1)) + 1, bool)
+    bent[of[slope != 0]] = True
+    later = np.where(bent[of[by_left]], np.searchsorted(begin[by_left], end[by_left]) - np.arange(1, len(e) + 1), 0)
+    cuts, cut_of = [x1, x2], [of, of]
+    for s in _shares(later, SHARE):
+        i, j = _runs(np.arange(s.start + 1, s.stop + 1), later[s])
+        i, j = by_left[i + s.start], by_left[j]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        lo, hi = np.maximum(x1[i], x1[j]), np.minimum(x2[i], x2[j])
+        a, b = (y1[i] + slope[i] * (x - x1[i]) - y1[j] - slope[j] * (x - x1[j]) for x in (lo, hi))
+        hit = np.flatnonzero((lo < hi) & (a * b < 0))
         cuts.append(lo[hit] + (hi - lo)[hit] * a[hit] / (a[hit] - b[hit]))
-    cuts = np.unique(np.concatenate(cuts))
-    height = lambda k, x: float(y1[k] + slope[k] * (x - x1[k]))
-    out, running = [], {}
-
-    def close(spans, end):
-        for (low, high), start in spans.items():
-            ring = [(start, height(low, start)), (end, height(low, end)), (end, height(high, end)), (start, height(high, start))]
-            ring = [p for k, p in enumerate(ring) if p != ring[k - 1]]
-            out.append([float(v) for p in (*ring, ring[0]) for v in p])
-
-    last = None
-    for left, right in zip(cuts[:-1], cuts[1:], strict=True):
-        if right - left < TINY:
-            continue
-        here = np.flatnonzero((x1 <= left + TINY) & (x2 >= right - TINY))
-        middle = y1[here] + slope[here] * ((left + right) / 2 - x1[here])
-        inside, n, spans, was, low = set(), [0, 0], [], False, None
-        for k in np.argsort(middle, kind="stable"):
-            own = owner[here[k]]
-            n[shapes[own][0]] += -1 if own in inside else 1
-            inside ^= {own}
-            now = keep(n)
-            if now and not was:
-                low = spans.pop()[0] if spans and middle[k] - middle[spans[-1][1]] < TINY else k
-            elif was and not now and middle[k] - middle[low] > TINY:
-                spans.append((low, k))
-            was = now
-        found = {(int(here[a]), int(here[b])): float(left) for a, b in spans}
-        close({s: x for s, x in running.items() if s not in found}, last)
-        running, last = {s: running.get(s, x) for s, x in found.items()}, float(right)
-    close(running, last)
-    return out
+        cut_of.append(of[i[hit]])
+    values, jobs = np.concatenate(cuts), np.concatenate(cut_of)
+    by = np.lexsort((values, jobs))
+    new = np.concatenate([[True], (np.diff(values[by]) != 0) | (np.diff(jobs[by]) != 0)])[: len(by)]
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(new) - 1
+    at, at_of = values[by][new], jobs[by][new]
+    wide = np.append((np.diff(at) >= TINY) & (np.diff(at_of) == 0), False)[: len(at)]
+    before = np.concatenate([[0], np.cumsum(wide)])
+    left, right, slab_of = at[wide], np.append(at[1:], 0)[: len(at)][wide], at_of[wide]
+    first, past = before[place[: len(e)]], before[place[len(e) : 2 * len(e)]]  # slabs that an edge spans
+    load = np.cumsum(np.bincount(first, minlength=len(left) + 1) - np.bincount(past, minlength=len(left) + 1))[: len(left)]
+    spans = [np.zeros((3, 0), np.int64)]
+    for s in _shares(load, SHARE):
+        some = np.flatnonzero((first < s.stop) & (past > s.start))
+        low, high = np.maximum(first[some], s.start), np.minimum(past[some], s.stop)
+        k, slab = _runs(low, high - low)
+        k = some[k]
+        middle = y1[k] + slope[k] * ((left[slab] + right[slab]) / 2 - x1[k])
+        by = np.lexsort((middle, slab))
+        k, slab, middle = k[by], slab[by], middle[by]
+        spans.append(_spans(k, slab, middle, owner[k], side[owner[k]], keep))
+    slab, low, high = np.concatenate(spans, 1)
+    # spans between the same edges that follow each other are one part
+    by = np.lexsort((slab, high, low))
+    slab, low, high = slab[by], low[by], high[by]
+    new = np.concatenate([[True], (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(slab) != 1)])[: len(by)]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(by))[: len(starts)] - 1
+    starts, ends = (v[np.argsort(by[ends])] for v in (starts, ends))  # as they end, from below
+    a, b, low, high = left[slab[starts]], right[slab[ends]], low[starts], high[starts]
+    height = lambda k, x: y1[k] + slope[k] * (x - x1[k])
+    p = np.stack([a, height(low, a), b, height(low, b), b, height(high, b), a, height(high, a)], 1).reshape(-1, 4, 2)
+    differs = (p != np.roll(p, 1, 1)).any(2)
+    closing = np.where(differs[:, :1], p[:, 0], p[:, 1])[:, None]
+    shown = np.hstack([differs, np.ones((len(p), 1), bool)])
+    return slab_of[slab[starts]], Rings(np.concatenate([p, closing], 1)[shown], shown.sum(1), np.arange(len(p)))
+
+
+def _spans(edge, slab, middle, owner, side, keep) -> np.ndarray:
+    """(slab, lower edge, upper edge) of the stretches to keep, slab by slab from below. The edges of a slab come in order."""
+    by = np.lexsort((owner, slab))
+    own = np.concatenate([[True], (np.diff(owner[by]) != 0) | (np.diff(slab[by]) != 0)])[: len(by)]
+    turn = np.empty(len(by), np.int64)
+    turn[by] = np.arange(len(by)) - np.flatnonzero(own)[np.cumsum(own) - 1]
+    step = 1 - 2 * (turn % 2)
+    lowest = np.concatenate([[True], np.diff(slab) != 0])[: len(slab)]
+    bottom = np.flatnonzero(lowest)[np.cumsum(lowest) - 1]
+    count = lambda d: (c := np.cumsum(d)) - (c - d)[bottom]
+    now = _kept(keep, count(np.where(side == 0, step, 0)), count(np.where(side == 1, step, 0)))
+    was = np.concatenate([[False], now[:-1]])[: len(now)] & ~lowest
+    events = np.flatnonzero(now != was)
+    ends = np.flatnonzero(~now[events])
+    low, high = events[ends - 1], events[ends]
+    thick = middle[high] - middle[low] > TINY
+    low, high = low[thick], high[thick]
+    apart = np.concatenate([[True], (slab[low[1:]] != slab[high[:-1]]) | (middle[low[1:]] - middle[high[:-1]] >= TINY)])[: len(low)]
+    last = np.append(apart[1:], True)[: len(low)]
+    low, high = low[apart], high[last]
+    return np.stack([slab[low], edge[low], edge[high]])
+
+
+def overlay(shapes, keep) -> list[list[float]]:
+    """Rings of the region where keep(n) holds; n[s] counts the polygons of side s at a point. shapes: (side, rings)."""
+    shapes = list(shapes)
+    return overlays(Rings.of_lists([r for _, r in shapes]), np.zeros(len(shapes), np.int64), np.array([s for s, _ in shapes], np.int64), keep)[1].lists()
+
+
+def clips(rings: Rings, boxes: np.ndarray) -> tuple[np.ndarray, Rings]:
+    """(ring each came from, rings) cut at their boxes (x1, y1, x2, y2 of each ring); those with under 3 points left are dropped."""
+    points, sizes = rings.points, rings.sizes
+    for axis, bound, sign in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
+        cut = Rings(points, sizes, rings.of)
+        other, at = points[cut.following()], np.repeat(boxes[:, bound], sizes)
+        da, db = sign * (points[:, axis] - at), sign * (other[:, axis] - at)
+        stays, crosses = da >= 0, da * db < 0
+        n = stays.astype(np.int64) + crosses
+        place = np.cumsum(n) - n
+        made = np.empty((int(n.sum()), 2))
+        made[place[stays]] = points[stays]
+        c = np.flatnonzero(crosses)
+        spot = place[c] + stays[c]
+        made[spot, axis] = at[c]
+        made[spot, 1 - axis] = points[c, 1 - axis] + (other[c, 1 - axis] - points[c, 1 - axis]) * da[c] / (da[c] - db[c])
+        total = np.concatenate([[0], np.cumsum(n)])
+        past = np.cumsum(sizes)
+        points, sizes = made, total[past] - total[past - sizes]
+    whole = sizes >= 3
+    return np.flatnonzero(whole), Rings(points[np.repeat(whole, sizes)], sizes[whole], rings.of[whole])
 
 
 def clip(rings, x1: float, y1: float, x2: float, y2: float) -> list[list[float]]:
     """Rings cut at a box; edges along its border may run twice, which the even-odd rule ignores."""
-    out = []
-    for ring in rings or []:
-        p = [tuple(q) for q in np.asarray(ring, float).reshape(-1, 2).tolist()]
-        for axis, bound, sign in ((0, x1, 1), (0, x2, -1), (1, y1, 1), (1, y2, -1)):
-            cut = []
-            for a, b in zip(p, p[1:] + p[:1], strict=True):
-                da, db = sign * (a[axis] - bound), sign * (b[axis] - bound)
-                if da >= 0:
-                    cut.append(a)
-                if da * db < 0:
-                    other = a[1 - axis] + (b[1 - axis] - a[1 - axis]) * da / (da - db)
-                    cut.append((bound, other) if axis == 0 else (other, bound))
-            p = cut
-        if len(p) >= 3:
-            out.append([v for q in p for v in q])
-    return out
+    every = Rings.of_lists([rings])
+    return clips(every, np.tile([float(x1), float(y1), float(x2), float(y2)], (len(every.sizes), 1)))[1].lists()
+
+
+def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def _numbered(of: np.ndarray) -> np.ndarray:
+    """The place of each item among the items of its owner; `of` is in order."""
+    first = np.concatenate([[True], np.diff(of) != 0])[: len(of)]
+    return np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
+def _batched(df: DataFrame, keys: list[str], inputs: list[str], kernel) -> DataFrame:
+    """keys, part_index and rings by kernel(*inputs): Arrow columns of many rows to (row of each part, in order; parts as an array of polygons)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                at, rings = kernel(*(part.column(c) for c in inputs))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in keys), pa.array(_numbered(at), pa.int32()), rings], names=[*keys, "part_index", "rings"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
+    return df.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, f"{schema}, part_index int, rings {RINGS}")
+
+
+def _overlaid(columns, keep, made) -> tuple[np.ndarray, pa.Array]:
+    """A kernel for _batched: the overlay of each row's polygons, of which the k-th column's are side k; `made` as in intersection."""
+    every = [Rings.of_column(c) for c in columns]
+    n = len(columns[0])
+    of, parts = overlays(joined(every, [n] * len(every)), np.tile(np.arange(n), len(every)), np.repeat(np.arange(len(every)), n), keep)
+    if made is apart:
+        return of, _listed(np.ones(len(of), np.int64), parts.arrow())
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0])[: len(of)])
+    lists = parts.lists()
+    polygons = [made(lists[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False)]
+    at = np.repeat(of[starts], [len(p) for p in polygons])
+    return at, pa.array([p for some in polygons for p in some], pa.list_(pa.list_(pa.float64())))
 
 
 def _rowwise(df: DataFrame, keys: list[str], inputs: list[str], kernel) -> DataFrame:
@@ -141,7 +314,7 @@ def intersection(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart) -> D
     met = spatial_join(a.select(*need), b.select(*need), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
     met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
-    return _rowwise(met, ["id", "id_b", "properties"], ["rings", "rings_b"], lambda x, y: made(overlay([(0, x), (1, y)], all)))
+    return _batched(met, ["id", "id_b", "properties"], ["rings", "rings_b"], lambda *c: _overlaid(c, all, made))
 
 
 def erase(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
@@ -165,18 +338,61 @@ def erase(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
 def _by_cell(pieces: DataFrame, keys: list[str], size: float, keep) -> DataFrame:
     """keys, cx, cy, part_index, rings of the overlay of each cell's pieces(keys, cx, cy, rings, side)."""
     head = [*keys, "cx", "cy"]
+    names = [*head, "part_index", "rings"]
+
+    def united(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        job = np.repeat(np.arange(len(starts)), np.diff([*starts, table.num_rows]))
+        rings = Rings.of_column(table.column("rings"))
+        x, y = (table.column(c).to_numpy()[rings.of].astype(float) for c in ("cx", "cy"))
+        _, cut = clips(rings, np.stack([x * size, y * size, (x + 1) * size, (y + 1) * size], 1))
+        of, made = overlays(cut, job, table.column("side").to_numpy().astype(np.int64), keep)
+        first = pa.array(starts[of])
+        columns = [table.column(c).combine_chunks().take(first) for c in head]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(_numbered(of), pa.int32()), _listed(np.ones(len(of), np.int64), made.arrow())], names=names)
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y = (table.column(c)[0].as_py() for c in ("cx", "cy"))
-        shapes = [(s, clip(r, x * size, y * size, (x + 1) * size, (y + 1) * size)) for s, r in zip(table.column("side").to_pylist(), table.column("rings").to_pylist(), strict=True)]
-        made = overlay(shapes, keep)
-        zeros = pa.array(np.zeros(len(made), int))
-        out = [table.column(c).combine_chunks().take(zeros) for c in head]
-        rings = pa.array([[r] for r in made], pa.list_(pa.list_(pa.float64())))
-        return pa.Table.from_arrays([*out, pa.array(np.arange(len(made)), pa.int32()), rings], names=[*head, "part_index", "rings"])
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []  # rows since the last group's first one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting:
+                ends = pa.Table.from_batches([waiting[-1].slice(waiting[-1].num_rows - 1), batch.slice(0, 1)])
+                fresh = len(_starts(ends, head)) == 2
+            inner = _starts(pa.Table.from_batches([batch]), head)
+            last = int(inner[-1])
+            if waiting and (fresh or last):
+                table = pa.Table.from_batches([*waiting, batch.slice(0, last)])
+                yield from (united(*some) for some in _groups(table, _starts(table, head)))
+                waiting = []
+            elif last:
+                table = pa.Table.from_batches([batch.slice(0, last)])
+                yield from (united(*some) for some in _groups(table, inner[:-1]))
+            waiting.append(batch.slice(last))
+        if waiting:
+            table = pa.Table.from_batches(waiting)
+            yield from (united(*some) for some in _groups(table, _starts(table, head)))
 
     schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in head)
-    return pieces.select(*head, "rings", "side").groupBy(*head).applyInArrow(run, f"{schema}, part_index int, rings {RINGS}")
+    return pieces.select(*head, "rings", "side").repartition(*head).sortWithinPartitions(*head).mapInArrow(run, f"{schema}, part_index int, rings {RINGS}")
+
+
+def _starts(table: pa.Table, head: list[str]) -> np.ndarray:
+    """Where the rows of another group begin, in a table in order of `head`; null is a value."""
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for c in head:
+        column = table.column(c).combine_chunks()
+        a, b = column[:-1], column[1:]
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new |= differ | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+    return np.concatenate([[0], np.flatnonzero(new) + 1])[: max(table.num_rows, 0)]
+
+
+def _groups(table: pa.Table, starts: np.ndarray):
+    """(rows, starts in them) of some groups at a time, of about ROWS rows or one group."""
+    ends = np.append(starts[1:], table.num_rows)
+    for s in _shares(ends - starts, ROWS):
+        first = int(starts[s.start])
+        yield table.slice(first, int(ends[s.stop - 1]) - first), starts[s] - first
 
 
 def dissolve(df: DataFrame, key: Column | None = None, size: float = 1.0) -> DataFrame:
@@ -196,33 +412,55 @@ def dissolve(df: DataFrame, key: Column | None = None, size: float = 1.0) -> Dat
 
 def make_valid(df: DataFrame, made=apart) -> DataFrame:
     """id, part_index, rings without self-intersections."""
-    return _rowwise(df, ["id"], ["rings"], lambda r: made(overlay([(0, r)], lambda n: n[0] > 0)))
+    return _batched(df, ["id"], ["rings"], lambda c: _overlaid([c], lambda n: n[0] > 0, made))
 
 
 def simple_parts(df: DataFrame) -> DataFrame:
     """id, part_index, rings: valid simple parts of polygons (array of rings each), numbered through."""
-    return _rowwise(df, ["id"], ["polygons"], lambda every: [[p] for r in every or [] for p in overlay([(0, r)], lambda n: n[0] > 0)])
+
+    def parts(column):
+        of = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        at, rings = _overlaid([column.flatten()], lambda n: n[0] > 0, apart)
+        return of[at], rings
+
+    return _batched(df, ["id"], ["polygons"], parts)
 
 
 def subdivide(df: DataFrame, max_points: int = 256) -> DataFrame:
     """id, part_index, rings: halved along the longer side until a part has at most `max_points` points."""
     held = max(max_points, 8)
 
-    def halve(rings):
-        rings = rings or []
-        if sum(len(r) // 2 for r in rings) <= held:
-            return [rings] if rings else []
-        p = np.concatenate([np.asarray(r, float).reshape(-1, 2) for r in rings])
-        (x1, y1), (x2, y2) = p.min(0).tolist(), p.max(0).tolist()
-        if max(x2 - x1, y2 - y1) < TINY:
-            return [rings]
-        if x2 - x1 >= y2 - y1:
-            boxes = ((x1, y1, (x1 + x2) / 2, y2), ((x1 + x2) / 2, y1, x2, y2))
-        else:
-            boxes = ((x1, y1, x2, (y1 + y2) / 2), (x1, (y1 + y2) / 2, x2, y2))
-        return [part for box in boxes for part in halve(clip(rings, *box))]
-
-    return _rowwise(df, ["id"], ["rings"], halve)
+    def halved(column):
+        """All parts with too many points at a time; two halves stand in the place of their whole."""
+        rings, row, rank = Rings.of_column(column), np.arange(len(column)), np.arange(len(column))
+        total, done = len(row), []  # done: rank, row, rings
+        while len(row):
+            some = np.flatnonzero(np.bincount(rings.of, minlength=len(row)))
+            rings, row, rank = rings.taken(some), row[some], rank[some]
+            at, low, high = np.repeat(rings.of, rings.sizes), np.full((len(row), 2), np.inf), np.full((len(row), 2), -np.inf)
+            np.minimum.at(low, at, rings.points)
+            np.maximum.at(high, at, rings.points)
+            cut = (np.bincount(at, minlength=len(row)) > held) & ~((high - low).max(1, initial=0) < TINY)
+            done.append([rank[~cut], row[~cut], rings.taken(np.flatnonzero(~cut))])
+            copies = np.ones(total, np.int64)
+            copies[rank[cut]] = 2
+            place, total = np.cumsum(copies) - copies, int(copies.sum())
+            for d in done:
+                d[0] = place[d[0]]
+            both = np.repeat(np.flatnonzero(cut), 2)
+            second, x = np.tile([False, True], int(cut.sum())), (high - low)[both, 0] >= (high - low)[both, 1]
+            rank, row, low, high = place[rank[both]] + second, row[both], low[both], high[both]
+            middle = (low + high) / 2
+            for k, of in ((0, x), (1, ~x)):
+                low[:, k], high[:, k] = np.where(of & second, middle[:, k], low[:, k]), np.where(of & ~second, middle[:, k], high[:, k])
+            rings = rings.taken(both)
+            rings = clips(rings, np.hstack([low, high])[rings.of])[1]
+        order = np.argsort(np.concatenate([d[0] for d in done])) if done else np.zeros(0, int)
+        every = joined([d[2] for d in done], [len(d[1]) for d in done]).taken(order)
+        at = np.concatenate([np.zeros(0, int), *(d[1] for d in done)])[order]
+        return at, _listed(np.bincount(every.of, minlength=len(at)), every.arrow())
+
+    return _batched(df, ["id"], ["rings"], halved)
 
 
 def around(points, distance: float, quarter: int = 16) -> list[float]:
