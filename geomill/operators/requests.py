@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIDDEN_HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key", "proxy-authorization")
@@ -10,12 +10,24 @@ HIDDEN_HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key", "proxy-a
 
 def minute_metrics(events: DataFrame) -> DataFrame:
     """Per minute and route: count, latencies (mean rounds half up, percentiles half to even) and status classes."""
-    ms = F.col("latency_ms")
-    family = lambda n: F.count_if(F.floor(F.col("status_code") / 100) == n)
-    return events.groupBy(F.date_trunc("minute", "created_at").alias("minute"), "route_template").agg(
-        F.count("*").alias("requests"), F.round(F.avg(ms)).cast("int").alias("mean_ms"),
-        F.rint(F.percentile(ms, F.lit(0.5))).cast("int").alias("p50_ms"), F.rint(F.percentile(ms, F.lit(0.9))).cast("int").alias("p90_ms"),
-        *(family(n).alias(f"s{n}xx") for n in (2, 3, 4, 5)),
+    keys = [F.date_trunc("minute", "created_at").alias("minute"), "route_template"]
+    ms, n = F.col("latency_ms"), F.col("n")
+    families = [f"s{k}xx" for k in (2, 3, 4, 5)]
+    counts = events.groupBy(*keys, "latency_ms").agg(F.count("*").alias("n"), *(F.count_if(F.floor(F.col("status_code") / 100) == int(c[1])).alias(c) for c in families))
+    own = Window.partitionBy("minute", "route_template")
+    timed = F.when(ms.isNotNull(), n).otherwise(0)
+    placed = counts.withColumns({"_upto": F.sum(timed).over(own.orderBy("latency_ms")), "_timed": F.sum(timed).over(own)})
+
+    def percentile(q: float) -> Column:
+        """Between two values as low + (high - low) * rest, as SQL engines do; other forms differ where halves are rounded."""
+        place = (F.col("_timed") - 1) * F.lit(q)
+        at = lambda k: F.min(F.when(F.col("_upto") > k, ms))
+        low, rest = at(F.floor(place)), F.max(place - F.floor(place))
+        return F.rint(low + (at(F.ceil(place)) - low) * rest).cast("int")
+
+    return placed.groupBy("minute", "route_template").agg(
+        F.sum("n").alias("requests"), F.round(F.sum(ms * n) / F.sum(timed)).cast("int").alias("mean_ms"), percentile(0.5).alias("p50_ms"), percentile(0.9).alias("p90_ms"),
+        *(F.sum(c).alias(c) for c in families),
     )
 
 
