@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import scalar as S
 from .paging import newest, swap_pages
 from .quantiles import quantiles
-from .spatial import cell, spatial_join
+from .spatial import _met, cell
 
 
 def scene_search(scenes: DataFrame, box=None, slices=None, max_cloud: float | None = None, collections: list[str] | None = None) -> DataFrame:
@@ -66,16 +66,19 @@ def best_window(scenes: DataFrame) -> DataFrame:
 
 def swap_options(selected: DataFrame, scenes: DataFrame, offset: int = 0, limit: int = 5) -> DataFrame:
     """Other scenes whose boxes overlap a selected one, a page of them with totals; least cloud first. Two known tiles must be the
-    same, so these pairs are joined on the tile; where a tile is not known, boxes are joined by grid cell."""
-    s = selected.select("mgrs", *(F.col(c).alias(f"{c}_s") for c in ("id", "minx", "miny", "maxx", "maxy")))
-    held = s.columns[1:]
-    names = {f"{c}_b": c for c in held}
-
-    def by_box(some: DataFrame, others: DataFrame) -> DataFrame:
-        chosen = some.select(*held, *(F.col(f"{c}_s").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
-        return spatial_join(others, chosen).select(*scenes.columns, *(F.col(b).alias(c) for b, c in names.items()))
-
-    pairs = s.join(scenes, "mgrs").unionByName(by_box(s.where("mgrs is null"), scenes)).unionByName(by_box(s.where("mgrs is not null"), scenes.where("mgrs is null")))
+    same, so these pairs are joined on the tile and the grid cell of the boxes, as a tile may hold any number of scenes."""
+    box = ("minx", "miny", "maxx", "maxy")
+    s = selected.select(F.col("mgrs").alias("_mgrs"), *(F.col(c).alias(f"{c}_s") for c in ("id", *box)))
+
+    def by_box(some: DataFrame, others: DataFrame, same=()) -> DataFrame:
+        return _met(others, tuple(F.col(c) for c in box), some, tuple(F.col(f"{c}_s") for c in box), 4.0, list(same)).drop("_mgrs")
+
+    known, unknown = s.where("_mgrs is not null"), s.where("_mgrs is null")
+    pairs = by_box(known, scenes.where("mgrs is not null"), [("mgrs", "_mgrs")])
+    if not unknown.isEmpty():
+        pairs = pairs.unionByName(by_box(unknown, scenes))
+    if not (untiled := scenes.where("mgrs is null")).isEmpty():
+        pairs = pairs.unionByName(by_box(known, untiled))
     met = pairs.where("id <> id_s and minx < maxx_s and minx_s < maxx and miny < maxy_s and miny_s < maxy")
     return swap_pages(met, ["id_s"], [F.col("cloud").asc_nulls_last(), F.col("id")], offset, limit)
 

@@ -66,6 +66,8 @@ def _crowded(cells: DataFrame) -> dict[tuple, list[int]]:
     2 SHARE. cells: _side, CELL."""
     counts = cells.groupBy("_side", *CELL).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE)
     total = {r[0]: r[1] for r in cells.groupBy("_side").count().collect()}
+    if not total:  # one side is empty, so the other looks for nothing
+        return {}
     large = counts.where(reduce(lambda p, q: p | q, ((F.col("_side") == side) & (F.col("_n") * SHARE > n) for side, n in total.items())))
     out: dict[tuple, list[int]] = {}
     for side, *cell_, n in large.collect():
