@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .mosaics import best_window, scene_search, swap_options
 from .overlay import RINGS, clip, overlay
+from .shared import stored
 from .spatial import BOX, spatial_join
 
 # The covered part at which a plan is done, the most rounds, the least gain of the hole, and strips of an area.
@@ -160,12 +161,12 @@ def cover(aois: DataFrame, scenes: DataFrame, mode: str = "greedy", prefer: str
 
 def plan_mosaic(aois: DataFrame, scenes: DataFrame, slices=None, max_cloud: float | None = None, one_week: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """(plan, swaps): the scenes that pass the search, of the best seven days if asked, cover the areas; swaps are a page of
-    other scenes of the same tile for each picked one. Write the plan to a table before both are used."""
+    other scenes of the same tile for each picked one. The plan is a table, so it is computed once for both."""
     held = scene_search(scenes, None, slices, max_cloud)
     if one_week:
         days = best_window(held).select(F.explode(F.expr("sequence(date_sub(anchor, 3), date_add(anchor, 3))")).alias("_day"))
         held = held.join(F.broadcast(days), F.to_date("dt") == F.col("_day"), "left_semi")  # seven rows
-    plan = cover(aois, held, **options)
+    plan = stored(cover(aois, held, **options), "plan")
     chosen = scenes.join(plan.where("kind = 'pick'").select("id").distinct(), "id", "left_semi")
     return plan, swap_options(chosen, scenes)
 
