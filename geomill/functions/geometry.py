@@ -27,10 +27,11 @@ _Q_POLE = 1 + (1 - _ECC2) / (2 * _ECC) * math.log((1 + _ECC) / (1 - _ECC))
 def edges(ring: Column) -> Column:
     """The ring's edges as structs, the closing one included."""
     n = F.floor(F.size(ring) / 2).cast("int")
-    at = lambda i, k: F.get(ring, F.pmod(i, n) * 2 + k)
+    at = lambda i, k: F.get(ring, i * 2 + k)
+    after = lambda i: F.when(i + 1 < n, i + 1).otherwise(F.lit(0))
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.struct(at(i, 0).alias("x1"), at(i, 1).alias("y1"), at(i + 1, 0).alias("x2"), at(i + 1, 1).alias("y2")),
+        lambda i: F.struct(at(i, 0).alias("x1"), at(i, 1).alias("y1"), at(after(i), 0).alias("x2"), at(after(i), 1).alias("y2")),
     )
     return F.filter(pieces, lambda e: e["x1"].isNotNull() & e["y2"].isNotNull())
 
@@ -41,7 +42,7 @@ def _total(items: Column, each) -> Column:
 
 def _shell_less_holes(rings: Column, each) -> Column:
     sizes = F.transform(rings, lambda r: F.abs(_total(edges(r), each)))
-    return F.coalesce(2 * F.get(sizes, 0) - _total(sizes, lambda s: s), F.lit(0.0))
+    return F.coalesce(let(sizes, lambda every: 2 * F.get(every, 0) - _total(every, lambda s: s)), F.lit(0.0))
 
 
 def planar_area(rings: Column) -> Column:
@@ -74,8 +75,8 @@ def holds(rings: Column, x: Column, y: Column) -> Column:
         flat = (e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])
         return flat & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    odd = F.size(F.filter(every, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return F.coalesce(odd | F.exists(every, touches), F.lit(False))
+    odd = lambda some: F.size(F.filter(some, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return F.coalesce(let(every, lambda some: odd(some) | F.exists(some, touches)), F.lit(False))
 
 
 def authalic_sine(lat: Column) -> Column:
@@ -101,7 +102,7 @@ def ellipsoid_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.when(h <= 0, F.lit(0.0)).otherwise(RADIUS * (arc - FLATTENING / 2 * (far + near)))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """`use(value)`, in which the value is computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -130,31 +131,31 @@ def geodesic_length(x1: Column, y1: Column, x2: Column, y2: Column, steps: int =
         azimuth = lambda t: F.coalesce(e["c1"] * e["c2"] * F.sin(lam) / F.nullif(t["sin"], F.lit(0.0)), F.lit(0.0))
         middle = lambda t, a: F.coalesce(t["cos"] - 2 * e["s1"] * e["s2"] / F.nullif(1 - a * a, F.lit(0.0)), F.lit(0.0))
         both = F.struct(sine.alias("sin"), cosine.alias("cos"))
-        return _let(both, lambda t: _let(azimuth(t), lambda a: F.struct(F.atan2(t["sin"], t["cos"]).alias("arc"), t["sin"].alias("sin"), t["cos"].alias("cos"), a.alias("a"), (1 - a * a).alias("c2"), middle(t, a).alias("m"))))
+        return let(both, lambda t: let(azimuth(t), lambda a: F.struct(F.atan2(t["sin"], t["cos"]).alias("arc"), t["sin"].alias("sin"), t["cos"].alias("cos"), a.alias("a"), (1 - a * a).alias("c2"), middle(t, a).alias("m"))))
 
     def step(e: Column, lam: Column) -> Column:
         def next_(t: Column) -> Column:
-            return _let(
+            return let(
                 FLATTENING / 16 * t["c2"] * (4 + FLATTENING * (4 - 3 * t["c2"])),
                 lambda c: e["l"] + (1 - c) * FLATTENING * t["a"] * (t["arc"] + c * t["sin"] * (t["m"] + c * t["cos"] * (2 * t["m"] * t["m"] - 1))),
             )
 
-        return _let(sphere(e, lam), next_)
+        return let(sphere(e, lam), next_)
 
     def length(e: Column, lam: Column) -> Column:
         def of(t: Column, u: Column) -> Column:
             big, small = _poly(u, 1.0, 1 / 4, -3 / 64, 5 / 256, -175 / 16384), _poly(u, 0.0, 1 / 4, -1 / 8, 37 / 512, -47 / 1024)
             d = lambda b: b * t["sin"] * (t["m"] + b / 4 * (t["cos"] * (2 * t["m"] * t["m"] - 1) - b / 6 * t["m"] * (4 * t["sin"] * t["sin"] - 3) * (4 * t["m"] * t["m"] - 3)))
-            return RADIUS * (1 - FLATTENING) * big * (t["arc"] - _let(small, d))
+            return RADIUS * (1 - FLATTENING) * big * (t["arc"] - let(small, d))
 
-        return _let(sphere(e, lam), lambda t: _let(t["c2"] * (1 / (1 - FLATTENING) ** 2 - 1), lambda u: of(t, u)))
+        return let(sphere(e, lam), lambda t: let(t["c2"] * (1 / (1 - FLATTENING) ** 2 - 1), lambda u: of(t, u)))
 
     def solve(e: Column) -> Column:
         begin = F.struct(e["l"].alias("lam"), F.lit(1.0).alias("moved"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, lambda s, _: _let(step(e, s["lam"]), lambda n: F.struct(n.alias("lam"), F.abs(n - s["lam"]).alias("moved"))))
-        return _let(found, lambda s: F.when((s["moved"] < 1e-11) & (F.abs(s["lam"]) < math.pi), length(e, s["lam"])).otherwise(F.least(ellipsoid_length(x1, y1, x2, y2), F.lit(HALF_MERIDIAN))))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, lambda s, _: let(step(e, s["lam"]), lambda n: F.struct(n.alias("lam"), F.abs(n - s["lam"]).alias("moved"))))
+        return let(found, lambda s: F.when((s["moved"] < 1e-11) & (F.abs(s["lam"]) < math.pi), length(e, s["lam"])).otherwise(F.least(ellipsoid_length(x1, y1, x2, y2), F.lit(HALF_MERIDIAN))))
 
-    return F.when((x1 == x2) & (y1 == y2), F.lit(0.0)).otherwise(_let(ends, solve))
+    return F.when((x1 == x2) & (y1 == y2), F.lit(0.0)).otherwise(let(ends, solve))
 
 
 def perimeter(rings: Column, unit: str = "m") -> Column:
@@ -186,16 +187,16 @@ def interior_point(rings: Column) -> Column:
         ys = F.array_distinct(F.transform(every, lambda e: e["y1"]))
         middle = (F.array_min(ys) + F.array_max(ys)) / 2
         level = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
-        return _let(level, lambda y: widest(every, y))
+        return let(level, lambda y: widest(every, y))
 
     def widest(every: Column, y: Column) -> Column:
         crossing = F.filter(every, lambda e: (e["y1"] > y) != (e["y2"] > y))
         xs = F.array_sort(F.transform(crossing, lambda e: e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"])))
         pair = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(x) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(x))), lambda i: F.struct((F.get(x, i + 1) - F.get(x, i)).alias("wide"), (-(F.get(x, i) + F.get(x, i + 1)) / 2).alias("left")))
-        best = _let(xs, lambda x: F.array_max(pair(x)))
-        return _let(best, lambda b: F.when(b["wide"] > 0, F.struct((-b["left"]).alias("x"), y.alias("y"))))
+        best = let(xs, lambda x: F.array_max(pair(x)))
+        return let(best, lambda b: F.when(b["wide"] > 0, F.struct((-b["left"]).alias("x"), y.alias("y"))))
 
-    return _let(F.flatten(F.transform(rings, edges)), on)
+    return let(F.flatten(F.transform(rings, edges)), on)
 
 
 def box_rings(minx: str, miny: str, maxx: str, maxy: str) -> Column:

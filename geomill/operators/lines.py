@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .outlines import assemble
-from .overlay import RINGS, TINY, _merged, around, overlay
+from .overlay import RINGS, ROWS, SHARE, TINY, Rings, _listed, _merged, _runs, _shares, around, overlay, parsed
 from .spatial import points_in, spatial_join
 
 LINES = "array<array<double>>"
@@ -24,53 +24,74 @@ def with_line_box(df: DataFrame, column: str = "line") -> DataFrame:
     return df.withColumns(G.bounds(F.array(column)))
 
 
-def _inside(rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    odd = np.zeros(len(x), bool)
-    for ring in rings or []:
-        p = np.asarray(ring, float).reshape(-1, 2)
-        q = np.roll(p, -1, 0)
-        for (x1, y1), (x2, y2) in zip(p.tolist(), q.tolist(), strict=True):
-            if y1 != y2:
-                odd ^= ((y1 > y) != (y2 > y)) & (x < x1 + (x2 - x1) * (y - y1) / (y2 - y1))
-    return odd
+def cut_lines(lines: Rings, polygons: Rings, count: int, outside: bool = False) -> list[np.ndarray]:
+    """[line of each stretch, points of each stretch, all points]: the stretches of each of `count` lines inside its polygon (or outside of it), in
+    order; those along its border count as neither. All lines are cut together, in arrays."""
+    first = np.cumsum(lines.sizes) - lines.sizes
+    start = np.setdiff1d(np.arange(len(lines.points)), (first + lines.sizes - 1)[lines.sizes > 0], assume_unique=True)
+    of = np.repeat(lines.of, lines.sizes)[start]
+    a, b = lines.points[start], lines.points[start + 1]
+    moves = (a != b).any(1)
+    a, b, of = a[moves], b[moves], of[moves]
+    d = b - a
+    e = np.hstack([polygons.points, polygons.points[polygons.following()]])
+    n = np.bincount(np.repeat(polygons.of, polygons.sizes), minlength=count)  # edges of each line's polygon
+    begin = np.cumsum(n) - n
+    at, hits, lower, upper, flat_of = [np.arange(len(a)).repeat(2)], [np.tile([0.0, 1.0], len(a))], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for s in _shares(n[of], SHARE):
+        k, edge = _runs(begin[of[s]], n[of[s]])
+        k = k + s.start
+        ex, ey, ox, oy = e[edge, 2] - e[edge, 0], e[edge, 3] - e[edge, 1], e[edge, 0] - a[k, 0], e[edge, 1] - a[k, 1]
+        dx, dy = d[k, 0], d[k, 1]
+        cross, away = dx * ey - dy * ex, ox * dy - oy * dx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (ox * ey - oy * ex) / cross, away / cross
+        hit = (cross != 0) & (u >= -TINY) & (u <= 1 + TINY) & (t > 0) & (t < 1)
+        f = np.flatnonzero((cross == 0) & (np.abs(away) < TINY))
+        long = dx[f] * dx[f] + dy[f] * dy[f]
+        along = [((e[edge[f], c] - a[k[f], 0]) * dx[f] + (e[edge[f], c + 1] - a[k[f], 1]) * dy[f]) / long for c in (0, 2)]
+        lower.append(np.minimum(*along))
+        upper.append(np.maximum(*along))
+        flat_of.append(k[f])
+        at += [k[hit], *(k[f[(v > 0) & (v < 1)]] for v in along)]
+        hits += [t[hit], *(v[(v > 0) & (v < 1)] for v in along)]
+    at, cuts = np.concatenate(at), np.concatenate(hits)
+    by = np.lexsort((cuts, at))
+    at, cuts = at[by], cuts[by]
+    kept = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(cuts) > TINY)])[: len(at)]
+    at, cuts = at[kept], cuts[kept]
+    cuts[np.append(np.diff(at) != 0, True)[: len(at)]] = 1.0  # the last one of a segment
+    same = np.flatnonzero(np.diff(at) == 0)  # pieces: from a cut to the next one
+    k, low, high = at[same], cuts[same], cuts[same + 1]
+    middle = (low + high) / 2
+    x, y = a[k, 0] + d[k, 0] * middle, a[k, 1] + d[k, 1] * middle
+    odd = np.zeros(len(k), np.int64)
+    for s in _shares(n[of[k]], SHARE):
+        piece, edge = _runs(begin[of[k[s]]], n[of[k[s]]])
+        piece = piece + s.start
+        x1, y1, x2, y2 = e[edge].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crosses = ((y1 > y[piece]) != (y2 > y[piece])) & (x[piece] < x1 + (x2 - x1) * (y[piece] - y1) / (y2 - y1))
+        odd[s] = np.bincount(piece[crosses] - s.start, minlength=s.stop - s.start)
+    wanted = (odd % 2 == 1) != outside
+    lower, upper, flat_of = np.concatenate(lower), np.concatenate(upper), np.concatenate(flat_of)
+    left, right = np.searchsorted(k, flat_of), np.searchsorted(k, flat_of, "right")
+    border, piece = _runs(left, right - left)
+    wanted[piece[(middle[piece] >= lower[border]) & (middle[piece] <= upper[border])]] = False
+    follows = np.concatenate([[False], of[k[1:]] == of[k[:-1]]])[: len(k)] & np.concatenate([[False], wanted[:-1]])[: len(k)]
+    new = (wanted & ~follows)[wanted]
+    k, low, high = k[wanted], low[wanted], high[wanted]
+    ends = np.where((high == 1.0)[:, None], b[k], a[k] + d[k] * high[:, None])
+    points = np.stack([a[k] + d[k] * low[:, None], ends], 1)
+    shown = np.stack([new, np.ones(len(k), bool)], 1)
+    sizes = np.bincount(np.cumsum(new) - 1, shown.sum(1), int(new.sum())).astype(np.int64)
+    return [of[k[new]], sizes, points[shown]]
 
 
 def cut_line(line, rings, outside: bool = False) -> list[list[float]]:
-    """The stretches of a line inside a polygon (or outside of it), in order; those along its border count as neither."""
-    p = np.asarray(line or [], float).reshape(-1, 2)
-    edges = [np.hstack([r, np.roll(r, -1, 0)]) for r in (np.asarray(ring, float).reshape(-1, 2) for ring in rings or []) if len(r)]
-    e = np.concatenate(edges) if edges else np.zeros((0, 4))
-    out: list[list[float]] = []
-    going = False
-    for a, b in zip(p[:-1], p[1:], strict=True):
-        d = b - a
-        if not d.any():
-            continue
-        ex, ey = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-        cross = d[0] * ey - d[1] * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((e[:, 0] - a[0]) * ey - (e[:, 1] - a[1]) * ex) / cross
-            u = ((e[:, 0] - a[0]) * d[1] - (e[:, 1] - a[1]) * d[0]) / cross
-        hit = t[(cross != 0) & (u >= -TINY) & (u <= 1 + TINY) & (t > 0) & (t < 1)]
-        flat = e[(cross == 0) & (np.abs((e[:, 0] - a[0]) * d[1] - (e[:, 1] - a[1]) * d[0]) < TINY)]
-        along = np.concatenate([((flat[:, k : k + 2] - a) @ d) / (d @ d) for k in (0, 2)]) if len(flat) else np.zeros(0)
-        cuts = np.unique(np.concatenate([[0.0, 1.0], hit, along[(along > 0) & (along < 1)]]))
-        cuts = cuts[np.concatenate([[True], np.diff(cuts) > TINY])]
-        if cuts[-1] < 1:
-            cuts[-1] = 1.0
-        middle = (cuts[:-1] + cuts[1:]) / 2
-        mx, my = a[0] + d[0] * middle, a[1] + d[1] * middle
-        wanted = _inside(rings, mx, my) != outside
-        if len(flat):
-            low, high = np.minimum(along[: len(flat)], along[len(flat) :]), np.maximum(along[: len(flat)], along[len(flat) :])
-            wanted &= ~((middle[:, None] >= low) & (middle[:, None] <= high)).any(1)
-        for k, keep in enumerate(wanted.tolist()):
-            if keep:
-                if not going:
-                    out.append((a + d * cuts[k]).tolist())
-                out[-1] += (b if k == len(wanted) - 1 else a + d * cuts[k + 1]).tolist()
-            going = keep
-    return out
+    """The stretches of one line, as of many in `cut_lines`."""
+    _, sizes, points = cut_lines(Rings.of_lists([[line or []]]), Rings.of_lists([rings]), 1, outside)
+    return Rings(points, sizes, np.zeros(len(sizes), int)).lists()
 
 
 def _rows(df: DataFrame, keys: list[str], inputs: list[str], kernel, column: str, kind: str, value: pa.DataType) -> DataFrame:
@@ -95,15 +116,27 @@ def intersect_lines(lines: DataFrame, polygons: DataFrame, size: float = 1.0) ->
     added. Lines that only touch a polygon, or run along its border, have no row.
     """
     box = ["minx", "miny", "maxx", "maxy"]
-    met = spatial_join(lines.select("id", "line", "properties", *box), polygons.select("id", "rings", "properties", *box), size)
+    met = spatial_join(lines.select("id", "line", parsed("properties"), *box), polygons.select("id", "rings", parsed("properties"), *box), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
     met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
-    return _rows(met, ["id", "id_b", "properties"], ["line", "rings_b"], cut_line, "lines", LINES, pa.list_(pa.list_(pa.float64())))
+    keys = ["id", "id_b", "properties"]
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                of, sizes, points = cut_lines(Rings.of_column(_listed(np.ones(part.num_rows, np.int64), part.column("line"))), Rings.of_column(part.column("rings_b")), part.num_rows)
+                n = np.bincount(of, minlength=part.num_rows)
+                some = pa.array(np.flatnonzero(n))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(some) for c in keys), _listed(n[n > 0], Rings(points, sizes, of).arrow())], names=[*keys, "lines"])
+
+    kinds = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
+    return met.select(*keys, "line", "rings_b").mapInArrow(run, f"{kinds}, lines {LINES}")
 
 
 def intersect_points(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
     """id, id_b, properties, lon, lat: points in polygons, on the border included; Columns only."""
-    met = points_in(points.select("id", "lon", "lat", "properties"), polygons.select("id", "rings", "properties", "minx", "miny", "maxx", "maxy"), size)
+    met = points_in(points.select("id", "lon", "lat", parsed("properties")), polygons.select("id", "rings", parsed("properties"), "minx", "miny", "maxx", "maxy"), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
     held = met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat")))
     return held.select("id", "id_b", _merged(F.col("properties"), F.col("properties_b"), ids).alias("properties"), "lon", "lat")

@@ -292,12 +292,15 @@ def with_box(df: DataFrame) -> DataFrame:
     return df.withColumns(G.bounds(F.col("rings")))
 
 
+def parsed(properties: str) -> Column:
+    """Properties as a map, so that a row's text is parsed once, before it is joined."""
+    return F.coalesce(F.from_json(F.col(properties), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")).alias(properties)
+
+
 def _merged(a: Column, b: Column, more: Column) -> Column:
-    """JSON of two property texts; the second wins, and `more` over both."""
-    empty = F.from_json(F.lit("{}"), "map<string,string>")
-    x, y = (F.coalesce(F.from_json(p, "map<string,string>"), empty) for p in (a, b))
-    y = F.map_concat(F.map_filter(y, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
-    return F.to_json(F.map_concat(F.map_filter(x, lambda k, _: ~F.array_contains(F.map_keys(y), k)), y))
+    """JSON of two maps of properties; the second wins, and `more` over both."""
+    y = F.map_concat(F.map_filter(b, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
+    return G.let(F.struct(y.alias("y"), F.map_keys(y).alias("keys")), lambda v: F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(v["keys"], k)), v["y"])))
 
 
 def apart(rings: list[list[float]]) -> list[list[list[float]]]:
@@ -310,7 +313,7 @@ def intersection(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart) -> D
 
     a and b: id, rings, box and properties. Pairs that only touch have no part. `made` is what parts become, here and below.
     """
-    need = ["id", "rings", "properties", "minx", "miny", "maxx", "maxy"]
+    need = ["id", "rings", parsed("properties"), "minx", "miny", "maxx", "maxy"]
     met = spatial_join(a.select(*need), b.select(*need), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
     met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
