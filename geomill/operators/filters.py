@@ -18,7 +18,9 @@ OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "like", "ilike")
 GRAM = 8
 #: Grams of a token that are looked up.
 PROBES = 3
-TOKEN = r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$"
+TOKEN = r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}\z"
+#: A run of characters of tokens in lower case, as long as a token or longer.
+WORD = rf"[a-z0-9._:-]{{{GRAM},}}+"
 
 
 def properties_map(column: str = "properties") -> Column:
@@ -119,13 +121,23 @@ def _grams(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, text).mapInArrow(run, f"{kinds}, gram long")
 
 
+def _postings(df: DataFrame) -> DataFrame:
+    """word, collection_id, id: the words of the features' texts in lower case, once a row."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(flat_text()), F.lit(WORD), F.lit(0)))
+    return df.select(F.explode(words).alias("word"), "collection_id", "id")
+
+
 def build_text_index(df: DataFrame, path: str) -> str:
-    """An inverted index of the features' texts below `path`: postings (gram, collection_id, id), sorted by gram, so a probe reads
-    few row groups, and the number of postings of each gram. Gives `path`."""
-    texts = df.select("collection_id", "id", F.lower(flat_text()).alias("flat"))
-    postings = _grams(texts, "flat", ["collection_id", "id"]).distinct()
-    postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
-    df.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    """An inverted index of the features' texts below `path`: postings (word, collection_id, id), sorted by word, so a probe reads
+    few row groups; grams (gram, word) of the different words, and the number of words of each gram. Gives `path`.
+
+    A word is a run of the characters that tokens consist of, so a text holds a token exactly where one of its words does."""
+    read = df.sparkSession.read.parquet
+    _postings(df).repartitionByRange("word", "id").sortWithinPartitions("word", "id").write.option("compression", "zstd").parquet(f"{path}/postings")
+    words = read(f"{path}/postings").select("word").distinct()
+    _grams(words, "word", ["word"]).repartitionByRange("gram", "word").sortWithinPartitions("gram").write.option("compression", "zstd").parquet(f"{path}/grams")
+    counts = read(f"{path}/grams").groupBy("gram").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.option("compression", "zstd").parquet(f"{path}/counts")
     return path
 
 
@@ -134,31 +146,31 @@ def exact_search(df: DataFrame, tokens: DataFrame, keys: list[str], limit: int |
     with rows wins; with a limit a token gets so many rows at most, the first by id.
 
     The first two tiers are equi-joins on exploded keys. Tokens without rows there go on to the third: of a token's grams the
-    PROBES rarest are looked up, features that have all of them are candidates, and only candidates' texts are compared with
-    the token. `index` is the path of an index of the same features; without one, the grams that tokens ask for are
-    gathered from all texts in one pass."""
+    PROBES rarest are looked up among the different words of the texts, words that have all of them are compared with the token,
+    and the features of those that hold it are its rows. `index` is the path of an index of the same features; without one, the
+    words are gathered from all texts in one pass."""
     spark = df.sparkSession
     valid = tokens.where(F.col("token").rlike(TOKEN)).distinct()
     entries = F.array(F.struct(F.lit(1).alias("tier"), F.col("id").alias("value")), *(F.struct(F.lit(2).alias("tier"), prop(k).alias("value")) for k in keys[:16]))
     keyed = df.select("id", "collection_id", F.explode(entries).alias("e")).where("e.value is not null")
-    hits = valid.join(keyed, valid.token == F.col("e.value")).select("token", "e.tier", "id", "collection_id").distinct()
-    rest = stored(valid.join(hits.select("token").distinct(), "token", "left_anti").select("token", F.lower("token").alias("low")), "tokens")
+    hits = stored(valid.join(keyed, valid.token == F.col("e.value")).select("token", "e.tier", "id", "collection_id").distinct(), "hits")
+    best = hits.groupBy(F.col("token").alias("_token")).agg(F.min("tier").alias("_best"))
+    rest = stored(valid.join(best, F.col("token") == F.col("_token"), "left_anti").select("token", F.lower("token").alias("low")), "tokens")
     asked = _grams(rest, "low", ["token"])
     if index is None:
-        texts = df.select("collection_id", "id", F.lower(flat_text()).alias("flat"))
-        postings = stored(_grams(texts, "flat", ["collection_id", "id"]).join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), "postings")
-        counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+        postings = stored(_postings(df), "postings")
+        grams = stored(_grams(postings.select("word").distinct(), "word", ["word"]).join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+        counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     else:
-        postings, counts = spark.read.parquet(f"{index}/postings"), spark.read.parquet(f"{index}/counts")
+        postings, grams, counts = (spark.read.parquet(f"{index}/{t}") for t in ("postings", "grams", "counts"))
     of = Window.partitionBy("token")
     ranked = asked.join(counts, "gram", "left").withColumn("found", F.count("n").over(of) == F.count("*").over(of)).where("found")
     rarest = ranked.withColumn("place", F.row_number().over(of.orderBy("n", "gram"))).where(F.col("place") <= PROBES)
     rarest = rarest.withColumn("probes", F.count("*").over(of)).select("token", "gram", "probes")
-    near = rarest.join(postings, "gram").groupBy("token", "collection_id", "id").agg(F.count("*").alias("n"), F.first("probes").alias("probes")).where("n = probes")
-    loose = near.select("token", "collection_id", "id").join(df, ["collection_id", "id"]).where(F.contains(F.lower(flat_text()), F.lower("token")))
-    every = hits.union(loose.select("token", F.lit(3).alias("tier"), "id", "collection_id").distinct())
-    best = F.min("tier").over(of)
-    first = every.withColumn("best", best).where("tier = best").drop("best")
+    near = rarest.join(grams, "gram").groupBy("token", "word").agg(F.count("*").alias("n"), F.first("probes").alias("probes")).where("n = probes")
+    holding = stored(near.where(F.contains("word", F.lower("token"))).select("token", "word"), "words")
+    loose = holding.join(postings, "word").select("token", F.lit(3).alias("tier"), "id", "collection_id").distinct()
+    first = hits.join(best, (F.col("token") == F.col("_token")) & (F.col("tier") == F.col("_best"))).select(*hits.columns).union(loose)
     if limit is None:
         return first
     place = F.row_number().over(of.orderBy("id", "collection_id"))

@@ -54,3 +54,14 @@ def test_numbers_with_nulls_and_ties(spark):
     out = sorted(tuple(r) for r in number_rows(df, [F.col("k").asc_nulls_last(), "v"]).select("number", "v").collect())
     assert out == [(0, 3), (1, 5), (2, 2), (3, 1), (4, 4)]
     assert number_rows(df.limit(0), ["k"]).count() == 0
+
+
+def test_index_has_a_row_for_a_word_of_a_text(spark, tmp_path):
+    word = "".join(random.Random(4).choice("abcdefgh.:-") for _ in range(100))
+    df = _features(spark, [f"{word} short {word.upper()} {k}" for k in range(50)])
+    index = fl.build_text_index(df, str(tmp_path / "index"))
+    assert spark.read.parquet(f"{index}/postings").count() == 50
+    assert spark.read.parquet(f"{index}/grams").count() == len(fl.gram_hashes(word))
+    tokens = spark.createDataFrame([(word.lstrip(".:-")[:60],), (word[-9:].lstrip(".:-") + " short",), (word.lstrip(".:-")[:20] + "\n",)], "token string")
+    assert {(r.token, r.tier) for r in fl.exact_search(df, tokens, [], index=index).collect()} == {(word.lstrip(".:-")[:60], 3)}
+    assert fl.exact_search(df, tokens, [], index=index).count() == 50
