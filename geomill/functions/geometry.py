@@ -158,24 +158,6 @@ def geodesic_length(x1: Column, y1: Column, x2: Column, y2: Column, steps: int =
     return F.when((x1 == x2) & (y1 == y2), F.lit(0.0)).otherwise(let(ends, solve))
 
 
-def perimeter(rings: Column, unit: str = "m") -> Column:
-    """Length of the outer ring on the ellipsoid."""
-    shell = edges(F.get(rings, 0))
-    return _total(shell, lambda e: geodesic_length(e["x1"], e["y1"], e["x2"], e["y2"])) / LENGTH_UNITS[unit]
-
-
-def rings_length(rings: Column, unit: str = "m") -> Column:
-    """Length of all rings on the ellipsoid."""
-    return _total(F.flatten(F.transform(rings, edges)), lambda e: geodesic_length(e["x1"], e["y1"], e["x2"], e["y2"])) / LENGTH_UNITS[unit]
-
-
-def line_length(line: Column, unit: str = "m") -> Column:
-    """Length of a flat line (x0, y0, x1, y1, ...) on the ellipsoid; 0 for null and single points."""
-    last = F.floor(F.size(line) / 2).cast("int") - 1
-    pieces = F.filter(F.transform(edges(line), lambda e, i: F.when(i < last, e)), lambda e: e.isNotNull())
-    return _total(pieces, lambda e: geodesic_length(e["x1"], e["y1"], e["x2"], e["y2"])) / LENGTH_UNITS[unit]
-
-
 def interior_point(rings: Column) -> Column:
     """struct(x, y): a point inside the polygon, away from its edges; null without area.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import rings as R
 from .outlines import assemble
 from .overlay import RINGS, ROWS, SHARE, TINY, Rings, _listed, _merged, _runs, _shares, around, overlay, parsed
 from .spatial import points_in, spatial_join
@@ -138,7 +139,7 @@ def intersect_points(points: DataFrame, polygons: DataFrame, size: float = 1.0)
     """id, id_b, properties, lon, lat: points in polygons, on the border included; Columns only."""
     met = points_in(points.select("id", "lon", "lat", parsed("properties")), polygons.select("id", "rings", parsed("properties"), "minx", "miny", "maxx", "maxy"), size)
     ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
-    held = met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat")))
+    held = met.where(R.holds("rings_b", "lon", "lat"))
     return held.select("id", "id_b", _merged(F.col("properties"), F.col("properties_b"), ids).alias("properties"), "lon", "lat")
 
 

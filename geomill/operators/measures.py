@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import rings as R
 from .outlines import united_parts
 
 
@@ -28,9 +29,9 @@ def measure(df: DataFrame, op: str, unit: str, field: str, size: float = 1.0) ->
         raise ValueError(f"no measure {op} in {unit}")
     of = ["collection_id", "id"]
     polys = united_parts(df, size).groupBy(*of)
-    shape = G.ellipsoid_area(F.col("rings"), unit) if op == "area" else G.perimeter(F.col("rings"), unit) if op == "perimeter" else G.rings_length(F.col("rings"), unit)
+    shape = G.ellipsoid_area(F.col("rings"), unit) if op == "area" else R.perimeter("rings", unit) if op == "perimeter" else R.rings_length("rings", unit)
     made = polys.agg(F.sum(shape).alias("_shape"))
-    lines = G.line_length(F.col("line"), unit) if "line" in df.columns and op != "area" else F.lit(0.0)
+    lines = R.line_length("line", unit) if "line" in df.columns and op != "area" else F.lit(0.0)
     along = df.groupBy(*of).agg(F.sum(lines).alias("_line"))
     both = F.coalesce("_shape", F.lit(0.0)) + F.col("_line") if op == "length" else F.coalesce("_shape", F.col("_line"))
     values = along.join(made, of, "left").select(*of, both.alias("_measure"))

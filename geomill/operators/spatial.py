@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from ..functions import rings as R
 from .quantiles import quantiles
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -162,7 +162,7 @@ def clip(df: DataFrame, other: str = "_b") -> DataFrame:
 def pixels_in(pixels: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """Pixels with the zones (suffix _b) that hold their centres; zones are polygons where they have `rings`, else boxes."""
     met = points_in(pixels, zones, size)
-    return met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat"))) if "rings" in zones.columns else met
+    return met.where(R.holds("rings_b", "lon", "lat")) if "rings" in zones.columns else met
 
 
 def zonal_statistics(zones: DataFrame, pixels: DataFrame, size: float = 18.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import rings as R
 from ..operators import lines as ln
 from ..operators import measures as ms
 from ..operators import mosaics as mo
@@ -44,7 +45,7 @@ def lots(s, d, scale=1):
 
 
 def area_by(parts, *keys):
-    return parts.groupBy(*keys).agg(F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"))
+    return parts.groupBy(*keys).agg(F.round(F.sum(R.area("rings")), 6).alias("area"))
 
 
 # Parcels as sets of squares of 1/8 degree, on which they lie exactly.
@@ -83,7 +84,7 @@ _REGIONS = """runs AS (SELECT key, gy, min(gx) AS x1, max(gx) AS x2, row_number(
 def outlined(polys, *keys):
     """keys, the number of polygons and of their corners, and the area."""
     points = G.n_points(F.col("rings")) - F.size("rings")
-    return polys.groupBy(*keys).agg(F.count("*").alias("n_polygons"), F.sum(points).cast("long").alias("n_points"), F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"))
+    return polys.groupBy(*keys).agg(F.count("*").alias("n_polygons"), F.sum(points).cast("long").alias("n_points"), F.round(F.sum(R.area("rings")), 6).alias("area"))
 
 
 def _recursive(sql: str) -> str:
@@ -130,7 +131,7 @@ def _(s, d):
     """Large lots with large lots: SQL has no polygon clip; tests compare the kernel with sampled points."""
     every = lots(s, d, 4)
     f, o = (every.where(F.col("collection_id") == f"parcels_{k}") for k in "FO")
-    return ov.intersection(f, o, 4.0).groupBy("id", "id_b", "properties").agg(F.round(F.sum(G.planar_area(F.col("rings"))), 9).alias("area"))
+    return ov.intersection(f, o, 4.0).groupBy("id", "id_b", "properties").agg(F.round(F.sum(R.area("rings")), 9).alias("area"))
 
 
 @query("g3_feature_layers", wv("SELECT id, collection_id AS _layer, (least(maxx, 12) - greatest(minx, -12)) * (least(maxy, 12) - greatest(miny, -12)) AS area FROM parcels WHERE status IN ('O', 'F') AND minx < 12 AND maxx > -12 AND miny < 12 AND maxy > -12", "parcels"))
@@ -176,13 +177,13 @@ def _(s, d):
 @query("g6_buffer", wv("SELECT id, round((maxx - minx) * (maxy - miny) + 2 * (maxx - minx + maxy - miny) * 0.25 + 0.0625 * 32 * sin(2 * pi() / 64), 6) AS area, maxx + 0.25 AS maxx FROM parcels", "parcels"))
 def _(s, d):
     grown = ov.with_box(ov.buffer(boxes(s, d), 0.25))
-    return grown.groupBy("id").agg(F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"), F.round(F.max("maxx"), 6).alias("maxx"))
+    return grown.groupBy("id").agg(F.round(F.sum(R.area("rings")), 6).alias("area"), F.round(F.max("maxx"), 6).alias("maxx"))
 
 
 @query("g8_make_valid", wv("SELECT id, 2 AS n_parts, (maxx - minx) * (maxy - miny) / 2 AS area FROM parcels", "parcels"))
 def _(s, d):
     ties = fx.parcels(s, d).withColumn("rings", F.expr("array(array(minx, miny, maxx, maxy, maxx, miny, minx, maxy))"))
-    return ov.make_valid(ties).groupBy("id").agg(F.count("*").cast("int").alias("n_parts"), F.round(F.sum(G.planar_area(F.col("rings"))), 9).alias("area"))
+    return ov.make_valid(ties).groupBy("id").agg(F.count("*").cast("int").alias("n_parts"), F.round(F.sum(R.area("rings")), 9).alias("area"))
 
 
 _E = "0.0818191908426215"
@@ -196,7 +197,7 @@ def _(s, d):
 
 @query("g9_measure_perimeter", None)
 def _(s, d):
-    return lots(s, d).select("id", F.round(G.perimeter(F.col("rings"), "km"), 3).alias("km"))
+    return lots(s, d).select("id", F.round(R.perimeter("rings", "km"), 3).alias("km"))
 
 
 def _geodesic_sql(edges: str, steps: int = 8) -> str:
@@ -238,7 +239,7 @@ def _(s, d):
     n = F.col("id").cast("long")
     ends = F.array(F.col("lon"), F.col("lat"), F.col("lon") + (n % 97) / F.lit(8.0), F.col("lat") + (n % 31) / F.lit(16.0) - 1)
     lines = fx.points(s, d).select("id", ends.alias("line")).where("line[0] <> line[2] or line[1] <> line[3]")
-    return lines.select("id", F.round(G.line_length(F.col("line")), 4).alias("m"))
+    return lines.select("id", F.round(R.line_length("line"), 4).alias("m"))
 
 
 def arches(s, d):
@@ -253,7 +254,7 @@ def arches(s, d):
 @query("g16_interior_point", wv("SELECT id, minx + (maxx - minx) * 0.75 AS x, miny + (maxy - miny) * 0.625 AS y, true AS inside FROM parcels", "parcels"))
 def _(s, d):
     p = G.interior_point(F.col("rings"))
-    return arches(s, d).withColumn("p", p).select("id", "p.x", "p.y", G.holds(F.col("rings"), F.col("p.x"), F.col("p.y")).alias("inside"))
+    return arches(s, d).withColumn("p", p).select("id", "p.x", "p.y", R.holds("rings", "p.x", "p.y").alias("inside"))
 
 
 _AREAS = "SELECT 'parcels_F' AS aoi, -180.0::DOUBLE AS ax1, -90.0::DOUBLE AS ay1, 180.0::DOUBLE AS ax2, 90.0::DOUBLE AS ay2 UNION ALL SELECT 'parcels_O', -60.0::DOUBLE, -40.0::DOUBLE, 60.0::DOUBLE, 40.0::DOUBLE UNION ALL SELECT 'parcels_P', 0.001::DOUBLE, 0.001::DOUBLE, 0.002::DOUBLE, 0.002::DOUBLE"
@@ -312,7 +313,7 @@ def _(s, d):
     straight = crossings(s, d).select("id", F.slice("line", 1, 4).alias("line"))
     dots = fx.points(s, d).select(F.concat(F.lit("p"), "id").alias("id"), F.array("lon", "lat").alias("line"))
     grown = ov.with_box(ln.buffer_lines(straight.unionByName(dots), 0.25))
-    return grown.groupBy("id").agg(F.count("*").alias("n_polygons"), F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"), F.round(F.max("maxx"), 6).alias("maxx"))
+    return grown.groupBy("id").agg(F.count("*").alias("n_polygons"), F.round(F.sum(R.area("rings")), 6).alias("area"), F.round(F.max("maxx"), 6).alias("maxx"))
 
 
 _PARTS_SQL = """SELECT o_orderkey || '_' || (k - 1) AS id, CAST(o_orderkey AS VARCHAR) AS _parent_id, k - 1 AS _part_index, kinds[k] AS kind FROM (
@@ -331,7 +332,7 @@ def _(s, d):
     ring = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(F.col("minx") + r * F.cos(angle(i)), F.col("miny") + r * F.sin(angle(i)))))
     cut = ov.subdivide(fx.parcels(s, d).withColumn("rings", F.array(ring)), 24)
     rings = F.col("rings")
-    return cut.groupBy("id").agg(F.round(F.sum(G.planar_area(rings)), 6).alias("area"), (F.max(G.n_points(rings)) <= 24).alias("small"))
+    return cut.groupBy("id").agg(F.round(F.sum(R.area(rings)), 6).alias("area"), (F.max(G.n_points(rings)) <= 24).alias("small"))
 
 
 def collections(s, d):
@@ -373,7 +374,7 @@ def _(s, d):
 )
 def _(s, d):
     met = sp.points_in(fx.points(s, d), lots(s, d))
-    return met.where(G.holds(F.col("rings_b"), F.col("lon"), F.col("lat"))).select("id", "id_b")
+    return met.where(R.holds("rings_b", "lon", "lat")).select("id", "id_b")
 
 
 _BELOW = "(p.lon - z.minx) * (z.maxy - z.miny) + (p.lat - z.miny) * (z.maxx - z.minx) <= (z.maxx - z.minx) * (z.maxy - z.miny)"
@@ -420,7 +421,7 @@ def frames(s, d):
 
 def framed(read):
     rings = F.col("rings")
-    return read.select("id", F.size(rings).alias("n_rings"), F.round(G.planar_area(rings), 6).alias("area"), F.round(F.get(F.get(rings, 1), 0), 6).alias("hole_x"))
+    return read.select("id", F.size(rings).alias("n_rings"), F.round(R.area(rings), 6).alias("area"), F.round(F.get(F.get(rings, 1), 0), 6).alias("hole_x"))
 
 
 @query("s1_s4_polygons", wv(_FRAMES, "parcels"))
