@@ -57,9 +57,10 @@ def keyset_page(df: DataFrame, after_id: str, after_part: int, limit: int = 1000
 
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order. Rows are shuffled before they are sorted, so what a task sorts is a shuffle
+    partition and not a split of the input."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", first).where("_n = 1").drop("_n")
+    return df.repartition(*keys).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def swap_pages(df: DataFrame, keys: list[str], order: list[Column], offset: int = 0, limit: int = 5) -> DataFrame:

@@ -13,10 +13,11 @@ KEY = ["collection_id", "id", "part_index"]
 
 
 def write_features(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by collection; `replace` swaps only the collections that df has, and an empty df changes nothing."""
+    """Parquet by collection; `replace` swaps only the collections that df has, and an empty df changes nothing. A task writes a range
+    of ids, so a collection has as many files as its rows fill."""
     if mode == "replace" and df.isEmpty():
         return
-    writer = df.repartition("collection_id", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("id", "part_index").write.partitionBy("collection_id")
+    writer = df.repartitionByRange("collection_id", "id").sortWithinPartitions("collection_id", "id", "part_index").write.partitionBy("collection_id")
     if mode == "replace":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -28,10 +29,10 @@ def bulk_append(stage: DataFrame, path: str) -> DataFrame:
     spark, names = stage.sparkSession, stage.select("collection_id").distinct()
     write_features(dedupe_staging(stage), path)
     touched = spark.read.parquet(path).join(names, "collection_id", "left_semi")
-    return touched.groupBy("collection_id").agg(
-        F.countDistinct("id").alias("feature_count"), F.min("minx").alias("minx"), F.min("miny").alias("miny"),
-        F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"), F.max("updated_at").alias("last_updated"),
-    )
+    ends = [F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")]
+    # rows are shuffled before ids are told apart, so a task holds the ids of a shuffle partition and not of a split of the table
+    features = touched.repartition("collection_id", "id").groupBy("collection_id", "id").agg(*ends, F.max("updated_at").alias("last_updated"))
+    return features.groupBy("collection_id").agg(F.count("id").alias("feature_count"), *ends, F.max("last_updated").alias("last_updated"))
 
 
 def dedupe_staging(stage: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     met = current.join(c, ["collection_id", "id"], "left").where("op is null or op <> 'delete'")
     met = met.where(~F.coalesce("reshaped", F.lit(False)) | (F.col("part_index") == 0))
     kept = met.select(*(merged.alias(x) if x == "properties" else F.when(F.col("reshaped"), F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) if x in shape else F.col(x) for x in current.columns))
-    added = c.where(sets).join(current.select("collection_id", "id").distinct(), ["collection_id", "id"], "left_anti")
+    added = c.where(sets).join(current.select("collection_id", "id"), ["collection_id", "id"], "left_anti")
     fresh = {"collection_id": F.col("collection_id"), "id": F.col("id"), "part_index": F.lit(0), "properties": F.to_json(patch)} | {x: F.col(f"new_{x}") for x in shape}
     return kept.unionByName(added.select(*(fresh.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in current.schema)))
 
