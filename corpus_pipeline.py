@@ -2,16 +2,31 @@
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents. Stages are written to the shared folder as Parquet and read again.
+
+A stage runs in executors that the stages before it have filled, so stages hand texts to Python in small batches: they set the
+session's spark.sql.execution.arrow.maxBytesPerBatch, and leave it set, as what they return runs later.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.llm import bpe, decontam, neardup, quality, substring
 from geomill.llm.queries import VOCABULARY, table
-from geomill.llm.shared import written
+from geomill.llm.shared import small_batches, written
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +61,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", select_quality),
-    ("near_duplicates", drop_near_copies),
-    ("substrings", remove_repeats),
-    ("decontamination", drop_benchmark_copies),
-    ("tokens", tokenize),
+    ("quality", in_small_batches(select_quality)),
+    ("near_duplicates", in_small_batches(drop_near_copies)),
+    ("substrings", in_small_batches(remove_repeats)),
+    ("decontamination", in_small_batches(drop_benchmark_copies)),
+    ("tokens", in_small_batches(tokenize)),
 ]
 
 ORACLE_SQL = None  # sketches, samplers and subword merges have no SQL; tests/llm compares with brute force
