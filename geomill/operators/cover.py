@@ -1,7 +1,8 @@
 """Mosaic plans: which scenes cover an area. Areas are independent; each is solved in one task from the scenes that meet it.
 
 Scenes with the same footprint (and day, where days count) gain the same, so only the best of them goes to the task: what a
-task holds grows with the different footprints over one area. Large areas should be cut to tiles first (`overlay.subdivide`).
+task holds grows with the different footprints over one area. What a scene can gain is first bounded by its box, and only scenes and
+days whose bound can win are measured by the kernel; a footprint is measured once for a hole, however many scenes have it. Large areas should be cut to tiles first (`overlay.subdivide`).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .spatial import BOX, spatial_join
 # The covered part at which a plan is done, the most rounds, the least gain of the hole, and strips of an area.
 DONE, ROUNDS, LEAST, STRIPS = 0.995, 500, 0.005, 8
 NO_CLOUD_VALUE = 1e9
+#: What rounding can add to an area, and pairs of boxes that are compared at a time.
+SLACK, SHARE = 1e-9, 1 << 20
 PLAN = f"aoi string, kind string, place int, id string, area double, uncovered double, rings {RINGS}"
 
 
@@ -41,15 +44,28 @@ class Hole:
     def __init__(self, parts):
         self.parts = list(parts)
         self.boxes = np.array([_box(p) for p in self.parts]).reshape(-1, 4)
+        self.areas = np.array([ring_area(p) for p in self.parts])
         self.area = sum(map(ring_area, self.parts))
+        self.gains: dict = {}
 
     def _near(self, box):
         b = self.boxes
         return (b[:, 0] < box[2]) & (b[:, 2] > box[0]) & (b[:, 1] < box[3]) & (b[:, 3] > box[1])
 
+    def bounds(self, boxes: np.ndarray) -> np.ndarray:
+        """For each box what a scene within it gains at most; 0: nothing."""
+        out, b = np.zeros(len(boxes)), self.boxes
+        for k in range(0, len(boxes), step := max(1, SHARE // max(1, len(b)))):
+            c = boxes[k : k + step, None]
+            w, h = (np.maximum(np.minimum(c[..., i + 2], b[:, i + 2]) - np.maximum(c[..., i], b[:, i]), 0) for i in (0, 1))
+            out[k : k + step] = np.where((w > 0) & (h > 0), np.minimum(w * h, self.areas) + SLACK, 0).sum(axis=1)
+        return out
+
     def gain(self, scene) -> float:
-        near = [(0, [self.parts[k]]) for k in np.flatnonzero(self._near(scene["box"]))]
-        return sum(map(ring_area, overlay([*near, (1, scene["rings"])], all))) if near else 0.0
+        if (shape := scene["shape"]) not in self.gains:
+            near = [(0, [self.parts[k]]) for k in np.flatnonzero(self._near(scene["box"]))]
+            self.gains[shape] = sum(map(ring_area, overlay([*near, (1, scene["rings"])], all))) if near else 0.0
+        return self.gains[shape]
 
     def without(self, scene) -> Hole:
         near = self._near(scene["box"])
@@ -62,13 +78,18 @@ class Hole:
         return Hole([r for p in self.parts for r in clip([p], x1, y1, x2, y2) if ring_area(r) > 0])
 
 
+def _boxes(scenes: list[dict]) -> np.ndarray:
+    return np.array([s["box"] for s in scenes]).reshape(-1, 4)
+
+
 def greedy(hole: Hole, scenes: list[dict], total: float) -> tuple[list[tuple[dict, float]], Hole]:
     """Picks (scene, gain) of the largest gain, then gain per area, then order, until `hole` is covered or nothing is worth it.
 
-    A scene's gain only falls as the hole shrinks, so its last gain bounds the next one, and only scenes whose bound reaches the
-    best gain found are measured again.
+    A scene's gain only falls as the hole shrinks, so its last gain, or the bound of its box, bounds the next one, and only scenes
+    whose bound reaches the best gain found are measured.
     """
-    waiting = [(-np.inf, k) for k in range(len(scenes))]
+    waiting = [(-b, k) for k, b in enumerate(hole.bounds(_boxes(scenes)).tolist()) if b > 0]
+    heapq.heapify(waiting)
     picks = []
     while waiting and len(picks) < ROUNDS and hole.area > (1 - DONE) * total:
         best, measured = 0.0, []
@@ -93,22 +114,30 @@ def greedy(hole: Hole, scenes: list[dict], total: float) -> tuple[list[tuple[dic
 
 def by_strips(hole: Hole, scenes: list[dict], total: float) -> tuple[list[tuple[dict, float]], Hole]:
     """Strips from west to east; each takes the scenes of the one day that leaves least uncovered, then has least mean cloud,
-    then is earliest. What is left is filled from all scenes."""
+    then is earliest. What is left is filled from all scenes.
+
+    A day leaves at least what the bounds of its scenes' gains leave; days are tried from the best such rank on, until it is
+    worse than the best rank found."""
     west, east = hole.boxes[:, 0].min(), hole.boxes[:, 2].max()
-    picks = []
+    boxes, picks = _boxes(scenes), []
     for k in range(STRIPS):
         x1, x2 = west + (east - west) * k / STRIPS, west + (east - west) * (k + 1) / STRIPS
         if not hole.parts or not (strip := hole.within(x1, x2)).parts:
             continue
-        days: dict = {}
-        for s in scenes:
-            if s["box"][0] < x2 and s["box"][2] > x1:
-                days.setdefault(s["day"], []).append(s)
-        best = None
+        bounds, days = strip.bounds(boxes).tolist(), {}
+        for n in np.flatnonzero((boxes[:, 0] < x2) & (boxes[:, 2] > x1)).tolist():
+            days.setdefault(scenes[n]["day"], []).append(n)
+        ranks = []
         for day, pool in days.items():
-            found, rest = greedy(strip, pool, strip.area)
-            clouds = [s["cloud"] for s in pool if s["cloud"] is not None]
-            rank = (rest.area / strip.area, sum(clouds) / len(clouds) if clouds else 50.0, day is None, str(day))
+            clouds = [c for n in pool if (c := scenes[n]["cloud"]) is not None]
+            least = max(0.0, 1 - sum(bounds[n] for n in pool) / strip.area - SLACK)
+            ranks.append((least, sum(clouds) / len(clouds) if clouds else 50.0, day is None, str(day), day))
+        best = None
+        for *least, day in sorted(ranks, key=lambda r: r[:4]):
+            if best is not None and tuple(least) > best[0]:
+                break
+            found, rest = greedy(strip, [scenes[n] for n in days[day]], strip.area)
+            rank = (rest.area / strip.area, *least[1:])
             if best is None or rank < best[0]:
                 best = (rank, found)
         for scene, gain in best[1] if best else []:
@@ -140,9 +169,12 @@ def cover(aois: DataFrame, scenes: DataFrame, mode: str = "greedy", prefer: str
         rows = table.to_pylist()
         area = [r["rings"] for r in rows if r["id"] is None]
         found = [r for r in rows if r["id"] is not None]
+        shapes: dict = {}
         for r in found:
-            shell = [v for ring in r["rings"] for v in ring]
-            r |= {"box": _box(shell), "area": sum(map(ring_area, overlay([(0, r["rings"])], any))), "order": (r["rank"], r["id"])}
+            if (shape := tuple(map(tuple, r["rings"]))) not in shapes:
+                shell = [v for ring in shape for v in ring]
+                shapes[shape] = {"shape": len(shapes), "box": _box(shell), "area": sum(map(ring_area, overlay([(0, r["rings"])], any)))}
+            r |= shapes[shape] | {"order": (r["rank"], r["id"])}
         found = sorted((r for r in found if r["area"] > 0), key=lambda r: r["order"])
         hole = Hole(overlay([(0, area[0])], any))
         total = hole.area
@@ -156,7 +188,9 @@ def cover(aois: DataFrame, scenes: DataFrame, mode: str = "greedy", prefer: str
         return pa.Table.from_pylist(out, schema)
 
     schema = pa.schema([("aoi", pa.string()), ("kind", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("area", pa.float64()), ("uncovered", pa.float64()), ("rings", pa.list_(pa.list_(pa.float64())))])
-    return best.select(*columns).union(own).groupBy("aoi").applyInArrow(run, PLAN)
+    # by a given number, else Spark joins areas of few rows to one task, and these rows are long work
+    tasks = int(aois.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return best.select(*columns).union(own).repartition(tasks, "aoi").groupBy("aoi").applyInArrow(run, PLAN)
 
 
 def plan_mosaic(aois: DataFrame, scenes: DataFrame, slices=None, max_cloud: float | None = None, one_week: bool = False, **options) -> tuple[DataFrame, DataFrame]:
