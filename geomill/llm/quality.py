@@ -13,9 +13,11 @@ WANTED, counted over the whole corpus.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
@@ -69,13 +71,17 @@ def _sets(families, buckets: int):
         yield each // buckets, each % buckets + base
 
 
+_COUNTS = [f"n{k}" for k in range(len(KINDS))]
+_COUNTED = ", ".join(("bucket int", *(f"{c} long" for c in _COUNTS)))
+
+
 def _emitted(total: np.ndarray) -> pa.RecordBatch:
-    kind, bucket = np.nonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[kind, bucket])], names=["kind", "bucket", "n"])
+    bucket = np.flatnonzero(total.any(axis=0))
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(pa.array(n[bucket]) for n in total)], names=["bucket", *_COUNTS])
 
 
 def _counts(batches, kinds: dict[int, int], buckets: int):
-    """Feature counts of the labelled documents, by kind: one row per kind and bucket and task; the last bucket counts documents."""
+    """Feature counts of the labelled documents, by kind: one row per bucket and task; the last bucket counts documents."""
     total = np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64)
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -187,16 +193,43 @@ class Model:
         return -(top + np.log(np.exp(terms - top).sum(axis=0)))
 
 
-def _table(counted: DataFrame, buckets: int) -> np.ndarray:
-    """The summed counts: at most one row for each component and feature, whatever the corpus holds."""
-    summed = counted.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64)
-    out[summed["kind"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    return out
+def _summed(counted: DataFrame) -> DataFrame:
+    """One row for each feature, whatever the corpus holds."""
+    return counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in counted.columns if c != "bucket"))
+
+
+def _fitted(counts: DataFrame, parts: int, buckets: int) -> Model:
+    """The model of the table counts(bucket, good, n0, n1, n2); n0 to n2 count in 1 / `parts`.
+
+    Only features that LEAST documents and SHARE of the target or of a component have can speak at all, so the driver gets these
+    and the sizes, and not the table of all features.
+    """
+    last, names = FAMILIES * buckets, ["good", *_COUNTS]
+    units = dict(zip(names, (1, *(parts for _ in KINDS)), strict=True))
+    sizes = counts.where(F.col("bucket") == last).select(*names).first() or dict.fromkeys(names, 0)
+    heard = [F.col(c) >= F.lit(int(max(LEAST * units[c], SHARE * sizes[c]))) for c in names]  # rounded down: Model decides
+    found = counts.where((F.col("bucket") < last) & functools.reduce(Column.__or__, heard)).toArrow()
+    every = {c: np.append(found[c].to_numpy(), sizes[c]) for c in names}
+    model = Model(every["good"], np.array([every[c] for c in _COUNTS]) / parts)
+    ratios = np.zeros((len(KINDS), last), np.float32)
+    ratios[:, found["bucket"].to_numpy()] = model.ratios
+    model.ratios = ratios
+    return model
 
 
 def label_counts(named: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(counts by kind, labelled rows by kind), from at most `sample` labelled ids, those with the smallest hashes of their id.
+    """(counts by kind and feature, labelled rows by kind) of `label_table`, as arrays."""
+    counted, share = label_table(named, labels, sample, buckets)
+    out = np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64)
+    if counted is not None:
+        summed = counted.toArrow()
+        for k, c in enumerate(_COUNTS):
+            out[k, summed["bucket"].to_numpy()] = summed[c].to_numpy()
+    return out, share
+
+
+def label_table(named: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[DataFrame | None, np.ndarray]:
+    """(counts by feature, labelled rows by kind), from at most `sample` labelled ids, those with the smallest hashes of their id.
 
     An id with several labels that differ has the worst of them: toxic, else low in quality. Documents that share an id share
     its label and all count, but only the one with the least signature says whether it is a copy.
@@ -207,29 +240,31 @@ def label_counts(named: DataFrame, labels: DataFrame, sample: int = SAMPLE, buck
     kinds = dict(zip(rows["id"].tolist(), rows["kind"].tolist(), strict=True))
     share = np.bincount(rows["kind"].to_numpy(dtype=np.int64), minlength=len(KINDS))
     if not kinds:
-        return np.zeros((len(KINDS), FAMILIES * buckets + 1), np.int64), share
+        return None, share
     picked = F.broadcast(named.sparkSession.createDataFrame([(i,) for i in kinds], "picked long"))  # at most `sample` rows
     found = named.join(picked, named.id == picked.picked, "left_semi").select("id", "text")
     least = F.min(F.struct("m0", "m1", "m2", "m3")).alias("m")  # at most `sample` rows, however many documents share an id
     first = found.mapInArrow(_signatures, _RUNS).groupBy("id").agg(least).select("id", "m.*").toPandas().sort_values("id")
     copies = first["m0"].duplicated() | first["m1"].duplicated() | first["m2"].duplicated() | first["m3"].duplicated()
     kinds = {i: kinds[i] for i in first["id"][~copies].tolist()}  # else a group of copies counts as if its words were common
-    return _table(found.mapInArrow(lambda b: _counts(b, kinds, buckets), "kind int, bucket int, n long"), buckets), share
+    return written(_summed(found.mapInArrow(lambda b: _counts(b, kinds, buckets), _COUNTED)), "label-counts"), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
     """The target model from labels and the raw model from all of `docs`."""
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    counts, share = label_counts(named, labels, sample, buckets)
-    if not share.sum():
-        return Model(counts[0], counts)
-    start = Model(counts[0], counts)
+    counted, share = label_table(named, labels, sample, buckets)
+    if counted is None:
+        none = np.zeros((len(KINDS), FAMILIES * buckets + 1))
+        return Model(none[0], none)
+    start = _fitted(counted.withColumn("good", F.col("n0")), 1, buckets)
     start.shares = share / share.sum()
     runs = written(named.mapInArrow(_signatures, _RUNS).select(F.explode(F.array("m0", "m1", "m2", "m3")).alias("m")), "runs")
     copies = {r["m"]: max(1, r["n"]) for r in frequent_counts(runs, "m", 4 * COPIES).where("n > 1").collect()}  # fewer than 4 * COPIES rows
     shared = named.sparkSession.sparkContext.broadcast((start, copies))
-    raw = _table(named.mapInArrow(lambda b: _raw_counts(b, *shared.value, buckets), "kind int, bucket int, n long"), buckets)
-    return Model(counts[0], raw / PARTS)
+    raw = named.mapInArrow(lambda b: _raw_counts(b, *shared.value, buckets), _COUNTED).withColumn("good", F.lit(0).cast("long"))
+    good = counted.select("bucket", *(F.lit(0).cast("long").alias(c) for c in _COUNTS), F.col("n0").alias("good"))
+    return _fitted(written(_summed(raw.unionByName(good)), "counts"), PARTS, buckets)
 
 
 def _scores(batches, model: Model, buckets: int):
