@@ -34,6 +34,21 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once. The product's error (Dekker) and that of the sum (Knuth) are added at the end."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = F.lit(134217729.0) * x - (F.lit(134217729.0) * x - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    product = a * b
+    lost = ((a1 * b1 - product) + a1 * b2 + a2 * b1) + a2 * b2
+    total = product + c
+    back = total - product
+    return total + ((product - (total - back)) + (c - back) + lost)
+
+
 def mercator_x(lon: Column) -> Column:
     return F.radians(lon) * EARTH
 
