@@ -88,6 +88,29 @@ def _line_length(line: pa.Array) -> pa.Array:
     return pa.array(e.total(geodesic(e.x1, e.y1, e.x2, e.y2), len(line)))
 
 
+def _sums(of: np.ndarray, each: np.ndarray, lists: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Sums of `each` by row; null for null rows."""
+    return pc.if_else(pc.is_valid(lists), pa.array(np.bincount(of, each, len(lists))).cast(kind), None)
+
+
+def _total_area(polygons: pa.Array) -> pa.Array:
+    return _sums(_polygon_of(polygons), _area(polygons.flatten()).to_numpy(zero_copy_only=False), polygons, pa.float64())
+
+
+def _outline(polygons: pa.Array) -> pa.Array:
+    of, every = _polygon_of(polygons), polygons.flatten()
+    ring_of = _polygon_of(every)
+    points = np.bincount(ring_of, _lengths(every.flatten()) // 2 - 1, len(every))
+    names = ("n_polygons", "n_points", "area")
+    sums = (_sums(of, np.ones(len(of)), polygons, pa.int64()), _sums(of, points, polygons, pa.int64()), _total_area(polygons))
+    return pa.StructArray.from_arrays(sums, names=names, mask=pc.is_null(polygons))
+
+
+def _planar_length(lines: pa.Array) -> pa.Array:
+    of, e = _polygon_of(lines), Edges(lines.flatten(), closed=False)
+    return _sums(of[e.of], np.hypot(e.x2 - e.x1, e.y2 - e.y1), lines, pa.float64())
+
+
 def _holds(rings: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
     e = Edges(rings.flatten())
     of = _polygon_of(rings)[e.of]
@@ -172,6 +195,21 @@ def line_length(line: str | Column, unit: str = "m") -> Column:
     return F.arrow_udf(_line_length, T.DoubleType())(line) / LENGTH_UNITS[unit]
 
 
+def total_area(polygons: str | Column) -> Column:
+    """The sum of `area` of a list of polygons; null for null."""
+    return F.arrow_udf(_total_area, T.DoubleType())(polygons)
+
+
+def outline(polygons: str | Column) -> Column:
+    """struct(n_polygons, n_points, area) of a list of closed polygons, the closing points not counted; null for null."""
+    return F.arrow_udf(_outline, "n_polygons long, n_points long, area double")(polygons)
+
+
+def planar_length(lines: str | Column) -> Column:
+    """Length of a list of lines in the plane; null for null."""
+    return F.arrow_udf(_planar_length, T.DoubleType())(lines)
+
+
 def holds(rings: str | Column, x: str | Column, y: str | Column) -> Column:
     """Whether the polygon holds a point (even-odd rule); points on an edge count."""
     return F.arrow_udf(_holds, T.BooleanType())(rings, x, y)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import rings as R
 from .outlines import assemble
-from .overlay import RINGS, ROWS, SHARE, TINY, Rings, _listed, _merged, _runs, _shares, around, overlay, parsed
+from .overlay import RINGS, SHARE, TINY, Rings, _listed, _runs, _shares, around, by_pair, expanded, named, overlay, shaped
 from .spatial import points_in, spatial_join
 
 LINES = "array<array<double>>"
@@ -25,6 +25,19 @@ def with_line_box(df: DataFrame, column: str = "line") -> DataFrame:
     return df.withColumns(G.bounds(F.array(column)))
 
 
+def _odd(x1, y1, x2, y2, x, y) -> np.ndarray:
+    """Whether the edge crosses the ray from the point to the right."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return ((y1 > y) != (y2 > y)) & (x < x1 + (x2 - x1) * (y - y1) / (y2 - y1))
+
+
+def _inside(rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each point is in the polygon."""
+    every = Rings.of_lists([rings])
+    edges = np.hstack([every.points, every.points[every.following()]])
+    return sum((_odd(*e, x, y) for e in edges), np.zeros(len(x), np.int64)) % 2 == 1
+
+
 def cut_lines(lines: Rings, polygons: Rings, count: int, outside: bool = False) -> list[np.ndarray]:
     """[line of each stretch, points of each stretch, all points]: the stretches of each of `count` lines inside its polygon (or outside of it), in
     order; those along its border count as neither. All lines are cut together, in arrays."""
@@ -70,9 +83,7 @@ def cut_lines(lines: Rings, polygons: Rings, count: int, outside: bool = False)
     for s in _shares(n[of[k]], SHARE):
         piece, edge = _runs(begin[of[k[s]]], n[of[k[s]]])
         piece = piece + s.start
-        x1, y1, x2, y2 = e[edge].T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            crosses = ((y1 > y[piece]) != (y2 > y[piece])) & (x[piece] < x1 + (x2 - x1) * (y[piece] - y1) / (y2 - y1))
+        crosses = _odd(*e[edge].T, x[piece], y[piece])
         odd[s] = np.bincount(piece[crosses] - s.start, minlength=s.stop - s.start)
     wanted = (odd % 2 == 1) != outside
     lower, upper, flat_of = np.concatenate(lower), np.concatenate(upper), np.concatenate(flat_of)
@@ -110,37 +121,30 @@ def _rows(df: DataFrame, keys: list[str], inputs: list[str], kernel, column: str
     return df.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, f"{kinds}, {column} {kind}")
 
 
-def intersect_lines(lines: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """id, id_b, properties, lines: the stretches of each line inside each polygon it meets, as one multi-line a pair.
+def intersect_lines(lines: DataFrame, polygons: DataFrame, size: float = 1.0, value=lambda lines: lines, name: str = "lines", keys: tuple[str, ...] | None = None) -> DataFrame:
+    """id, id_b, properties and, as `name`, value(lines) of the stretches of each line inside each polygon it meets, one multi-line a pair.
 
     lines: id, line, box, properties; polygons: id, rings, box, properties. Properties of the polygon win; _id_a and _id_b are
-    added. Lines that only touch a polygon, or run along its border, have no row.
+    added. Lines that only touch a polygon, or run along its border, have no row. Equal lines are cut at equal polygons once, and
+    `value`, a function of Columns, is computed once for them. With `keys` properties are a struct of the values of these instead of JSON.
     """
-    box = ["minx", "miny", "maxx", "maxy"]
-    met = spatial_join(lines.select("id", "line", parsed("properties"), *box), polygons.select("id", "rings", parsed("properties"), *box), size)
-    ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
-    met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
-    keys = ["id", "id_b", "properties"]
 
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                of, sizes, points = cut_lines(Rings.of_column(_listed(np.ones(part.num_rows, np.int64), part.column("line"))), Rings.of_column(part.column("rings_b")), part.num_rows)
-                n = np.bincount(of, minlength=part.num_rows)
-                some = pa.array(np.flatnonzero(n))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(some) for c in keys), _listed(n[n > 0], Rings(points, sizes, of).arrow())], names=[*keys, "lines"])
-
-    kinds = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
-    return met.select(*keys, "line", "rings_b").mapInArrow(run, f"{kinds}, lines {LINES}")
-
-
-def intersect_points(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """id, id_b, properties, lon, lat: points in polygons, on the border included; Columns only."""
-    met = points_in(points.select("id", "lon", "lat", parsed("properties")), polygons.select("id", "rings", parsed("properties"), "minx", "miny", "maxx", "maxy"), size)
-    ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
-    held = met.where(R.holds("rings_b", "lon", "lat"))
-    return held.select("id", "id_b", _merged(F.col("properties"), F.col("properties_b"), ids).alias("properties"), "lon", "lat")
+    def inside(line: pa.Array, rings: pa.Array) -> pa.Array:
+        of, sizes, points = cut_lines(Rings.of_column(_listed(np.ones(len(line), np.int64), line)), Rings.of_column(rings), len(line))
+        n = np.bincount(of, minlength=len(line))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), Rings(points, sizes, of).arrow(), mask=pa.array(n == 0))
+
+    met = spatial_join(shaped(lines, "line", keys), shaped(polygons, "rings", keys), size, spread=True)
+    met = met.withColumn(name, value(by_pair(inside, LINES)("line", "rings_b"))).where(F.col(name).isNotNull())
+    return expanded(met, name, keys=keys)
+
+
+def intersect_points(points: DataFrame, polygons: DataFrame, size: float = 1.0, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """id, id_b, properties, lon, lat: points in polygons, on the border included; equal polygons are tested once. `keys` as in `intersect_lines`."""
+    each = named(points, "lon", "lat", keys=keys)
+    dots = each.select("lon", "lat", "names", F.array(F.struct(*(c for c in each.columns if c not in ("lon", "lat", "names")))).alias("members"))
+    held = points_in(dots, shaped(polygons, "rings", keys), size, spread=True).where(R.holds("rings_b", "lon", "lat"))
+    return expanded(held, "lon", "lat", keys=keys)
 
 
 def erase_lines(lines: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .spatial import BOX, spatial_join, to_cells
+from .spatial import BOX, by_shape, spatial_join, to_cells
 
 RINGS = "array<array<double>>"
 TINY = 1e-12
@@ -292,15 +292,68 @@ def with_box(df: DataFrame) -> DataFrame:
     return df.withColumns(G.bounds(F.col("rings")))
 
 
-def parsed(properties: str) -> Column:
-    """Properties as a map, so that a row's text is parsed once, before it is joined."""
-    return F.coalesce(F.from_json(F.col(properties), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")).alias(properties)
+def _bare(json: Column) -> Column:
+    """The text of a JSON object or array without its brackets."""
+    return F.substr(json, F.lit(2), F.length(json) - 2)
 
 
-def _merged(a: Column, b: Column, more: Column) -> Column:
-    """JSON of two maps of properties; the second wins, and `more` over both."""
-    y = F.map_concat(F.map_filter(b, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
-    return G.let(F.struct(y.alias("y"), F.map_keys(y).alias("keys")), lambda v: F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(v["keys"], k)), v["y"])))
+#: Keys that pairs have.
+IDS = ("_id_a", "_id_b")
+
+
+def named(df: DataFrame, *more: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """id, names (keys of the properties), properties, quoted (the id as JSON) and the columns `more`. Each row's text is parsed once,
+    before it is joined. Properties are JSON text without brackets, a comma behind it, or with `keys` a struct of the values of these."""
+    read = [k for k in keys or () if k not in IDS]
+    if keys is not None and not read:
+        return df.select("id", F.lit(None).cast("array<string>").alias("names"), F.lit(None).cast("string").alias("properties"), F.lit(None).cast("string").alias("quoted"), *more)
+    parsed = F.coalesce(F.from_json("properties", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    out = df.select("id", parsed.alias("_map"), *more)
+    if keys is not None:
+        have = F.filter(F.map_keys("_map"), lambda k: k.isin(*read))
+        return out.select("id", F.sort_array(have).alias("names"), F.struct(*(F.try_element_at("_map", F.lit(k)).alias(k) for k in read)).alias("properties"), F.lit(None).cast("string").alias("quoted"), *more)
+    rest = F.map_filter("_map", lambda k, _: ~k.isin(*IDS))
+    text = _bare(F.to_json(rest))
+    behind = F.when(text != "", F.concat(text, F.lit(","))).otherwise("")
+    return out.select("id", F.map_keys(rest).alias("names"), behind.alias("properties"), _bare(F.to_json(F.array("id"))).alias("quoted"), *more)
+
+
+def shaped(df: DataFrame, geometry: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows by equal `geometry`, box and names of their properties, for `expanded`."""
+    return by_shape(named(df, geometry, *BOX, keys=keys), geometry, ("names",))
+
+
+def expanded(met: DataFrame, *columns: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """id, id_b, properties and `columns` for each pair of `members` and `members_b` of a row, whose names are `names` and `names_b`.
+
+    Properties are JSON, put together of its parts; those of b win over those of a, and _id_a and _id_b are added. With `keys` (the same
+    as in `shaped`) they are a struct of the values of these, and no text is made.
+    """
+    own = F.array_except("names", "names_b")
+    each = met.select(*columns, "members_b", own.alias("_own"), F.explode("members").alias("_a"))
+    a, b = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
+    if keys is not None:
+        each = each.select(*columns, "_own", "_a", F.explode("members_b").alias("_b"))
+        ids = dict(zip(IDS, (a("id"), b("id")), strict=True))
+        value = lambda k: ids[k] if k in ids else F.when(F.array_contains("_own", k), a(f"properties.{k}")).otherwise(b(f"properties.{k}"))
+        values = F.struct(*(value(k).cast("string").alias(k) for k in keys)) if keys else F.lit(None)
+        return each.select(a("id").alias("id"), b("id").alias("id_b"), values.alias("properties"), *columns)
+    kept = F.map_filter(F.from_json(F.concat(F.lit("{"), F.rtrim(a("properties"), F.lit(",")), F.lit("}")), "map<string,string>"), lambda k, _: F.array_contains("_own", k))
+    before = F.when(F.size("_own") > 0, F.concat(F.lit("{"), _bare(F.to_json(kept)), F.lit(","))).otherwise("{")
+    ids = F.concat(F.lit('"_id_a":'), a("quoted"), F.lit(',"_id_b":'))
+    each = each.select(*columns, a("id").alias("id"), before.alias("_before"), ids.alias("_ids"), F.explode("members_b").alias("_b"))
+    text = F.concat("_before", b("properties"), "_ids", b("quoted"), F.lit("}"))
+    return each.select("id", b("id").alias("id_b"), text.alias("properties"), *columns)
+
+
+def by_pair(kernel, kind: str):
+    """kernel(a, b) of two Arrow columns as a function of two Columns, ROWS rows at a time. It is marked so that Spark doesn't move
+    it, as it would then compute it twice."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.concat_arrays([kernel(a.slice(k, ROWS), b.slice(k, ROWS)) for k in range(0, max(len(a), 1), ROWS)])
+
+    return F.arrow_udf(run, kind).asNondeterministic()
 
 
 def apart(rings: list[list[float]]) -> list[list[list[float]]]:
@@ -308,16 +361,27 @@ def apart(rings: list[list[float]]) -> list[list[list[float]]]:
     return [[r] for r in rings]
 
 
-def intersection(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart) -> DataFrame:
-    """Parts of a that meet b: id, id_b, part_index, rings, properties (those of b win; _id_a and _id_b are added).
+def intersections(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart, value=lambda polygons: polygons, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """id, id_b, properties (those of b win; _id_a and _id_b are added) and value(polygons) of each pair that meets.
 
-    a and b: id, rings, box and properties. Pairs that only touch have no part. `made` is what parts become, here and below.
+    a and b: id, rings, box and properties. Pairs that only touch have no row. `made` is what parts become, here and below. Pairs of
+    equal polygons are overlaid once, and `value`, a function of Columns, is computed once for them. With `keys` properties are a struct
+    of the values of these instead of JSON.
     """
-    need = ["id", "rings", parsed("properties"), "minx", "miny", "maxx", "maxy"]
-    met = spatial_join(a.select(*need), b.select(*need), size)
-    ids = F.create_map(F.lit("_id_a"), F.col("id"), F.lit("_id_b"), F.col("id_b"))
-    met = met.withColumn("properties", _merged(F.col("properties"), F.col("properties_b"), ids))
-    return _batched(met, ["id", "id_b", "properties"], ["rings", "rings_b"], lambda *c: _overlaid(c, all, made))
+
+    def common(x: pa.Array, y: pa.Array) -> pa.Array:
+        at, rings = _overlaid([x, y], all, made)
+        n = np.bincount(at, minlength=len(x))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), rings, mask=pa.array(n == 0))
+
+    met = spatial_join(shaped(a, "rings", keys), shaped(b, "rings", keys), size, spread=True)
+    met = met.withColumn("value", value(by_pair(common, f"array<{RINGS}>")("rings", "rings_b"))).where("value is not null")
+    return expanded(met, "value", keys=keys)
+
+
+def intersection(a: DataFrame, b: DataFrame, size: float = 1.0, made=apart) -> DataFrame:
+    """Parts of a that meet b: id, id_b, properties, part_index, rings; see `intersections`."""
+    return intersections(a, b, size, made).select("id", "id_b", "properties", F.posexplode("value").alias("part_index", "rings"))
 
 
 def erase(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:

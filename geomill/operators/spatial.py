@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rings as R
 from .quantiles import quantiles
+from .shared import stored
 
 BOX = ("minx", "miny", "maxx", "maxy")
 #: The cells of a level are so many times as long as those of the level below; levels above the finest one; a box's length in
@@ -25,6 +26,8 @@ STEP, TOP, REACH = 4, 24, 4
 CELL = ("_turn", "_level", "_x", "_y")
 #: Rows of a cell that is not split, and the share of all rows (1 / SHARE) below which no cell is.
 DENSE, SHARE = 50_000, 1000
+#: Rows of one shape that stand together as a row's members.
+TOGETHER = 256
 
 
 def cell(c: str | Column, size: float) -> Column:
@@ -85,9 +88,9 @@ def _dealt(df: DataFrame, crowded: dict[tuple, list[int]], own: int) -> DataFram
     return df.withColumn(place, mine).withColumn(spread, others).drop("_p")
 
 
-def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Column, ...], size: float, same: list[tuple[str, str]] = ()) -> DataFrame:
+def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Column, ...], size: float, same: list[tuple[str, str]] = (), spread: bool = False) -> DataFrame:
     """Rows of a and b, whose column names differ, for each pair of boxes that meet and that agrees in the columns `same` (null
-    equals null).
+    equals null). With `spread` the cells stay in as many tasks as the session has shuffle partitions, for rows that become much more later.
 
     One small pass over the boxes tells which levels the two sides have; only a side with more than DENSE rows can have
     crowded cells, and then a second one counts them.
@@ -119,6 +122,9 @@ def _met(a: DataFrame, box_a: tuple[Column, ...], b: DataFrame, box_b: tuple[Col
     if same:
         left, right = (df.withColumn("_same", F.xxhash64(*(pair[k] for pair in same))) for k, df in enumerate((left, right)))
         keys, meets = [*keys, "_same"], reduce(lambda p, q: p & q, (F.col(x).eqNullSafe(F.col(y)) for x, y in same), meets)
+    if spread:
+        n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(n, *keys), right.repartition(n, *keys)
     return left.join(right, keys).where(here & meets).drop(*keys)
 
 
@@ -126,16 +132,16 @@ def _suffixed(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(f"{c}_b") for c in df.columns))
 
 
-def spatial_join(a: DataFrame, b: DataFrame, size: float = 1.0) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, size: float = 1.0, spread: bool = False) -> DataFrame:
     """Rows of a and b (columns of b with suffix _b) whose boxes meet; touching counts. Boxes with null or NaN ends, and boxes
-    whose ends are the wrong way round, meet nothing. `size` is the length of the finest cells."""
-    return _met(a, tuple(F.col(c) for c in BOX), _suffixed(b), tuple(F.col(f"{c}_b") for c in BOX), size)
+    whose ends are the wrong way round, meet nothing. `size` is the length of the finest cells; `spread` as in `_met`."""
+    return _met(a, tuple(F.col(c) for c in BOX), _suffixed(b), tuple(F.col(f"{c}_b") for c in BOX), size, spread=spread)
 
 
-def points_in(points: DataFrame, boxes: DataFrame, size: float = 1.0, keep: bool = False) -> DataFrame:
+def points_in(points: DataFrame, boxes: DataFrame, size: float = 1.0, keep: bool = False, spread: bool = False) -> DataFrame:
     """Points (lon, lat) with the boxes that hold them (suffix _b); `keep` keeps points outside all boxes, with nulls."""
     at, right = (F.col("lon"), F.col("lat")), _suffixed(boxes)
-    met = _met(points, at * 2, right, tuple(F.col(f"{c}_b") for c in BOX), size)
+    met = _met(points, at * 2, right, tuple(F.col(f"{c}_b") for c in BOX), size, spread=spread)
     if not keep:
         return met
     held = met.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
@@ -143,6 +149,30 @@ def points_in(points: DataFrame, boxes: DataFrame, size: float = 1.0, keep: bool
     return met.unionByName(outside.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields)))
 
 
+def by_shape(df: DataFrame, geometry: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """`geometry`, box, `also` and `members`: an array of structs of the other columns of rows that agree in these, TOGETHER at most;
+    more rows of a shape stand in several. What depends on shapes alone, as joins by place and overlays, is so done once for equal ones.
+
+    A shape with over DENSE rows is dealt to several groups first. Rows without a box are left out. The table is written once to
+    the shared folder, as joins read it several times.
+    """
+    shape = [geometry, *BOX, *also]
+    rest = [F.col(c) for c in df.columns if c not in shape]
+    boxed = df.where("minx is not null").withColumn("_of", F.xxhash64(geometry, *BOX))
+    many = boxed.groupBy("_of").agg(F.ceil(F.count("*") / DENSE).alias("_parts")).where("_parts > 1")
+    dealt = boxed.join(F.broadcast(many), "_of", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))))
+    every = dealt.groupBy("_of", *shape, "_part").agg(F.collect_list(F.struct(*rest)).alias("_every"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_every") - 1) / TOGETHER)), lambda k: F.slice("_every", (k * TOGETHER + 1).cast("int"), TOGETHER))
+    return stored(every.select(*shape, F.explode(runs).alias("members")), "shapes")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
+    """Points (lon, lat) with `id_b` of each polygon (id, rings, box) that holds them, on its border included; equal polygons are tested once."""
+    met = points_in(points, by_shape(polygons.select("id", "rings", *BOX), "rings"), size, spread=True)
+    held = met.where(R.holds("rings_b", "lon", "lat"))
+    return held.select(*points.columns, F.explode("members_b").alias("_b")).select(*points.columns, F.col("_b.id").alias("id_b"))
+
+
 def semi(a: DataFrame, b: DataFrame, size: float = 1.0, anti: bool = False) -> DataFrame:
     hit = spatial_join(a.select("collection_id", "id", *BOX), b.select("id", *BOX), size).select("collection_id", "id").distinct()
     return a.join(hit, ["collection_id", "id"], "left_anti" if anti else "left_semi")

@@ -104,7 +104,8 @@ def _(s, d):
 
 @query("g2_polygons", wv("SELECT a.id, b.id AS id_b, 1 AS n_polygons, 4 AS n_points, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS area FROM parcels a JOIN parcels b ON a.status = 'P' AND b.status = 'O' AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy", "parcels"))
 def _(s, d):
-    return outlined(ov.intersection(boxes(s, d, "P"), boxes(s, d, "O"), made=ol.assemble), "id", "id_b")
+    out = ov.intersections(boxes(s, d, "P"), boxes(s, d, "O"), made=ol.assemble, value=R.outline, keys=())
+    return out.select("id", "id_b", "value.n_polygons", "value.n_points", F.round("value.area", 6).alias("area"))
 
 
 @query("a1_united_parts", wv("SELECT collection_id, id, 1 AS n_polygons, 4 AS n_points, (maxx - minx) * (maxy - miny) AS area FROM parcels", "parcels"))
