@@ -296,10 +296,9 @@ _STRETCHES = """c AS (SELECT t.id, b.id AS id_b, greatest(least(x2, b.maxx) - gr
 @query("g2_lines", wv(f"WITH {_SEGMENTS}, {_STRETCHES} SELECT id, id_b, across + up AS length, id AS a, id_b AS b FROM c WHERE across + up > 0", "parcels"))
 def _(s, d):
     """Lines in polygons: what is inside, by pair, with the ids in the properties."""
-    out = ln.intersect_lines(crossings(s, d), boxes(s, d, "O"))
-    length = F.aggregate("lines", F.lit(0.0), lambda n, line: n + F.aggregate(F.sequence(F.lit(2), F.size(line) - 2, F.lit(2)), F.lit(0.0), lambda m, i: m + F.abs(F.get(line, i) - F.get(line, i - 2)) + F.abs(F.get(line, i + 1) - F.get(line, i - 1))))
-    own = lambda k: F.get_json_object("properties", f"$.{k}")
-    return out.select("id", "id_b", F.round(length, 9).alias("length"), own("_id_a").alias("a"), own("_id_b").alias("b"))
+    length = lambda lines: F.round(R.planar_length(lines), 9)
+    out = ln.intersect_lines(crossings(s, d), boxes(s, d, "O"), value=length, name="length", keys=("_id_a", "_id_b"))
+    return out.select("id", "id_b", "length", F.col("properties._id_a").alias("a"), F.col("properties._id_b").alias("b"))
 
 
 @query("g2_points", wv("SELECT p.id, b.id AS id_b, b.status AS status FROM points p JOIN parcels b ON b.status <> 'P' AND lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy", "points", "parcels"))
