@@ -303,8 +303,8 @@ def _(s, d):
 
 @query("g2_points", wv("SELECT p.id, b.id AS id_b, b.status AS status FROM points p JOIN parcels b ON b.status <> 'P' AND lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy", "points", "parcels"))
 def _(s, d):
-    out = ln.intersect_points(fx.points(s, d), boxes(s, d).where("collection_id <> 'parcels_P'"))
-    return out.select("id", "id_b", F.get_json_object("properties", "$.status").alias("status"))
+    out = ln.intersect_points(fx.points(s, d), boxes(s, d).where("collection_id <> 'parcels_P'"), keys=("status",))
+    return out.select("id", "id_b", "properties.status")
 
 
 @query("g6_buffer_lines", wv("SELECT id, 1 AS n_polygons, round((maxx - minx + 1.875) * 0.5 + 0.0625 * 32 * sin(2 * pi() / 64), 6) AS area, round(maxx + 0.9375 + 0.25, 6) AS maxx FROM parcels WHERE status = 'F' UNION ALL SELECT 'p' || id, 1, round(0.0625 * 32 * sin(2 * pi() / 64), 6), round(lon + 0.25, 6) FROM points", "parcels", "points"))
