@@ -373,8 +373,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    met = sp.points_in(fx.points(s, d), lots(s, d))
-    return met.where(R.holds("rings_b", "lon", "lat")).select("id", "id_b")
+    return sp.points_in_polygons(fx.points(s, d).select("id", "lon", "lat"), lots(s, d)).select("id", "id_b")
 
 
 _BELOW = "(p.lon - z.minx) * (z.maxy - z.miny) + (p.lat - z.miny) * (z.maxx - z.minx) <= (z.maxx - z.minx) * (z.maxy - z.miny)"
