@@ -132,7 +132,8 @@ def _(s, d):
     """Large lots with large lots: SQL has no polygon clip; tests compare the kernel with sampled points."""
     every = lots(s, d, 4)
     f, o = (every.where(F.col("collection_id") == f"parcels_{k}") for k in "FO")
-    return ov.intersection(f, o, 4.0).groupBy("id", "id_b", "properties").agg(F.round(F.sum(R.area("rings")), 9).alias("area"))
+    area = lambda polygons: F.round(R.total_area(polygons), 9)
+    return ov.intersections(f, o, 4.0, value=area).withColumnRenamed("value", "area")
 
 
 @query("g3_feature_layers", wv("SELECT id, collection_id AS _layer, (least(maxx, 12) - greatest(minx, -12)) * (least(maxy, 12) - greatest(miny, -12)) AS area FROM parcels WHERE status IN ('O', 'F') AND minx < 12 AND maxx > -12 AND miny < 12 AND maxy > -12", "parcels"))
