@@ -6,13 +6,14 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .filters import bbox_filter, properties_map
 from .numbering import number_rows
-from .overlay import _rowwise, clip
+from .overlay import Rings, _batched, _listed, clips
 
 BUFFER = 256 / 4096
 #: Of a tile: what lies this close below a tile's edge counts as on it.
@@ -98,17 +99,25 @@ def tile_polygons(df: DataFrame, zmin: int, zmax: int, extent: int = 4096, buffe
     """id, z, x, y, part_index, rings: polygons in tile units, cut at the buffered tile; what has no area there is left out."""
     low, high = -buffer * extent, (1 + buffer) * extent
 
-    def cut(rings, z, x, y):
-        placed = []
-        for ring in rings or []:
-            p = np.asarray(ring, float).reshape(-1, 2)
-            held = np.radians(np.clip(p[:, 1], -S.LAT_LIMIT, S.LAT_LIMIT))
-            across, down = (p[:, 0] + 180) / 360 * 2**z, (1 - np.log(np.tan(held) + 1 / np.cos(held)) / np.pi) / 2 * 2**z
-            placed.append(np.column_stack([(across - x) * extent, (down - y) * extent]).ravel())
-        whole = [np.floor(np.round(r, 6) + 0.5) for r in clip(placed, low, low, high, high)]
-        return [[r.tolist() for r in whole]] if any(np.ptp(r[::2]) * np.ptp(r[1::2]) > 0 for r in whole) else []
-
-    return _rowwise(assign_tiles(df, zmin, zmax, buffer), ["id", "z", "x", "y"], ["rings", "z", "x", "y"], cut)
+    def cut(rings: pa.Array, *tile: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """All rows together, in arrays."""
+        r = Rings.of_column(rings)
+        z, x, y = (c.to_numpy(zero_copy_only=False)[np.repeat(r.of, r.sizes)] for c in tile)
+        n = 2.0**z
+        held = np.radians(np.clip(r.points[:, 1], -S.LAT_LIMIT, S.LAT_LIMIT))
+        across, down = (r.points[:, 0] + 180) / 360 * n, (1 - np.log(np.tan(held) + 1 / np.cos(held)) / np.pi) / 2 * n
+        placed = Rings(np.column_stack([(across - x) * extent, (down - y) * extent]), r.sizes, r.of)
+        inside = clips(placed, np.tile([low, low, high, high], (len(r.sizes), 1)))[1]
+        whole = Rings(np.floor(np.round(inside.points, 6) + 0.5), inside.sizes, inside.of)
+        if not len(whole.sizes):
+            return np.zeros(0, np.int64), _listed(np.zeros(0, np.int64), whole.arrow())
+        first = np.cumsum(whole.sizes) - whole.sizes
+        span = np.maximum.reduceat(whole.points, first) - np.minimum.reduceat(whole.points, first)
+        at = np.unique(whole.of[span.prod(1) > 0])
+        kept = whole.taken(at)
+        return at, _listed(np.bincount(kept.of, minlength=len(at)), kept.arrow())
+
+    return _batched(assign_tiles(df, zmin, zmax, buffer), ["id", "z", "x", "y"], ["rings", "z", "x", "y"], cut)
 
 
 def member_tiles(df: DataFrame, members: list[str], zmin: int, zmax: int) -> DataFrame:
